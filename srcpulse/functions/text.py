@@ -12,10 +12,10 @@ SUPPORTED_EXTENSIONS = (
 )
 STYLE_EXTENSIONS = (".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".go", ".rs", ".rb")
 # --- fixed values: what counts as a line break and as white space -------------------------------
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WHITE_SPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0         "
-    "       　"
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # --- fixed values: constructs that add one path, and what starts a function ---------------------
 DECISION_WORDS = r"\b(?:if|elif|for|while|except|with|assert|and|or)\b"
