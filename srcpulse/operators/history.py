@@ -116,7 +116,9 @@ def _level_counts(levels: Sequence[str]) -> list[Column]:
 
 
 def _mean_score() -> Column:
-    return F.coalesce(round_half_even(F.avg("decay_score")), F.lit(0.0)).alias("average_decay_score")
+    total = F.sum(F.col("decay_score").cast("decimal(20,10)"))  # exact, whatever the order of the tasks
+    mean = F.try_divide(total.cast("double"), F.count(F.lit(1)))
+    return F.coalesce(round_half_even(mean), F.lit(0.0)).alias("average_decay_score")
 
 
 def summary_reference(latest: DataFrame, threshold: float = 60.0) -> DataFrame:

@@ -58,11 +58,10 @@ def top_predicted_types(predictions: DataFrame, n: int = 20, by: Sequence[str] =
 def mean_decay(score: Column) -> Column:
     """Mean score with a missing score as 0 and no rows as 0, not rounded.
 
-    Stored scores have two decimals, so whole hundredths are summed and the result does not depend on the
-    order in which tasks finish.
+    Summed as decimals, so the result does not depend on the order in which tasks finish.
     """
-    cents = F.sum(F.round(F.coalesce(score, F.lit(0.0)) * 100).cast("bigint"))
-    return F.coalesce(F.try_divide(cents.cast("double"), F.count(F.lit(1)) * 100), F.lit(0.0))
+    total = F.sum(F.coalesce(score, F.lit(0.0)).cast("decimal(20,10)"))
+    return F.coalesce(F.try_divide(total.cast("double"), F.count(F.lit(1))), F.lit(0.0))
 
 
 def avg_decay(predictions: DataFrame) -> DataFrame:
