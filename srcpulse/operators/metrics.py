@@ -33,11 +33,12 @@ def branch_complexity(files: DataFrame) -> DataFrame:
     return files.select("file_path", value.alias("cyclomatic_complexity"))
 
 
-def file_metrics(files: DataFrame, keep=()) -> DataFrame:
+def file_metrics(files: DataFrame, keep=(), also=()) -> DataFrame:
     """Lines, complexity, maintainability and comment ratio of each supported file.
 
     Columns ``cyclomatic_complexity`` and ``maintainability_index`` that the input already has are used as
-    they are. Lines of code are all lines of a Python file and the non-blank lines of any other.
+    they are. Lines of code are all lines of a Python file and the non-blank lines of any other. ``also`` are
+    further columns of the same pass, over ``content``, ``lines`` and ``ext``.
     """
     given = set(files.columns)
     base = with_lines(with_support(files))
@@ -67,6 +68,7 @@ def file_metrics(files: DataFrame, keep=()) -> DataFrame:
         if_supported(F.col("maintainability_index").cast("double")).alias("maintainability_index"),
         if_supported(loc).alias("lines_of_code"),
         if_supported(ratio).alias("comment_ratio"),
+        *also,
     )
 
 
