@@ -81,6 +81,11 @@ def gate_report(checked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.coalesce(F.sum("issue_count"), zero).alias("total_issues"),
         *[F.coalesce(F.sum(s), zero).alias(s) for s in style.SEVERITIES],
     )
+    return with_verdict(sums, by)
+
+
+def with_verdict(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Pass/fail and message for counts of files, findings and severities."""
     ok = (F.col("critical") == 0) & (F.col("high") == 0)
     message = (
         F.when(F.col("files_checked") == 0, F.lit(NO_FILES)).when(ok, F.lit(GATE_PASSED)).otherwise(F.lit(GATE_FAILED))

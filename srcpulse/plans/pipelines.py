@@ -89,17 +89,26 @@ def analyze_files(
     files: DataFrame, commits: DataFrame, history: DataFrame, neighbours: DataFrame, as_of: datetime, *,
     days_back: int = 90, trend_order: str = "reference", trend_rows: int = 10, history_skip: int = 0,
     history_tie_break: Sequence[Column] = (), keep: Sequence[str] = (), rules: Sequence[style.Rule] | None = None,
-    cfg: scoring.ScoreConfig = scoring.DEFAULT,
+    current: DataFrame | None = None, cfg: scoring.ScoreConfig = scoring.DEFAULT,
 ) -> DataFrame:
     """Score every file. ``neighbours`` is ``file_path, decay_neighbours, bug_neighbours``.
 
+    ``current(file_path, cyclomatic_complexity, maintainability_index)``, where given, holds the measured
+    values of now; without it they are estimated from the text.
+
     The text is read once and dropped; the four signals meet in left joins on ``file_path``, each side with
     one small row per file. Commits and history are reduced before they are shuffled.
     """
-    text = text_signals(files, keep, rules)
+    measured = (COMPLEXITY, MAINTAINABILITY)
+    if current is not None:
+        files = files.withColumns({m: F.lit(None).cast("double") for m in measured})
+        text = text_signals(files, keep, rules).drop(*measured)
+        text = text.join(current.select("file_path", *measured), "file_path", "left")
+    else:
+        text = text_signals(files, keep, rules)
     stats = churn.change_stats(commits, as_of, days_back)
     trends = hist.metric_trend(
-        history, (COMPLEXITY, MAINTAINABILITY), order=trend_order, n=trend_rows, tie_break=history_tie_break, skip=history_skip
+        history, measured, order=trend_order, n=trend_rows, tie_break=history_tie_break, skip=history_skip
     )
     empty = F.array().cast(similarity._FOUND)
     joined = text.join(stats, "file_path", "left").join(trends, "file_path", "left").join(neighbours, "file_path", "left")
@@ -109,7 +118,7 @@ def analyze_files(
             "authors_count": F.coalesce("authors_count", F.lit(0).cast("bigint")),
             "avg_days_between_changes": F.coalesce("avg_days_between_changes", F.lit(float(days_back))),
             **{
-                f"{m}_trend": F.coalesce(f"{m}_trend", F.lit("insufficient_data")) for m in (COMPLEXITY, MAINTAINABILITY)
+                f"{m}_trend": F.coalesce(f"{m}_trend", F.lit("insufficient_data")) for m in measured
             },
             "decay_neighbours": F.coalesce("decay_neighbours", empty),
             "bug_neighbours": F.coalesce("bug_neighbours", empty),
