@@ -47,7 +47,7 @@ HYGIENE_FLAGS = ("has_readme", "has_license", "has_gitignore", "has_contributing
 
 def top_predicted_types(predictions: DataFrame, n: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """The ``n`` most common predicted issue types, per ``by`` if given; equal counts in order of the type."""
-    kinds = predictions.select(*by, F.explode("predicted_issues").alias("i"))
+    kinds = predictions.select(*by, F.explode_outer("predicted_issues").alias("i")).filter(F.col("i").isNotNull())
     counts = kinds.groupBy(*by, F.coalesce("i.type", F.lit("unknown")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
     if not by:
         return counts.orderBy(F.desc("n"), "type").limit(n)

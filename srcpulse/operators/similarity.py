@@ -210,14 +210,14 @@ def _search_shelf(queries, shelf, k, metric, max_distance, pivots, id_type) -> D
         to_visits, f"query_id {id_type}, embedding array<float>, cell int"
     )
     visitors = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.array(*[F.lit(max(1, math.ceil(n / CELL_ROWS))) for n in size])
-    turns = F.array(*[F.lit(max(1, math.ceil(visitors.get(c, 0) / QUERY_ROWS))) for c in range(n_cells)])
+    parts = F.array(*[F.lit(max(1, math.ceil(n / CELL_ROWS))).cast("bigint") for n in size])
+    turns = F.array(*[F.lit(max(1, math.ceil(visitors.get(c, 0) / QUERY_ROWS))).cast("bigint") for c in range(n_cells)])
     n_parts, n_turns = F.get(parts, F.col("cell")), F.get(turns, F.col("cell"))
     left = visits.withColumn("turn", F.pmod(F.xxhash64("query_id"), n_turns)).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), n_parts - 1)).cast("bigint")
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), n_parts - 1))
     )
     right = placed.drop("to_pivot").withColumn("part", F.pmod(F.xxhash64("pattern_id"), n_parts)).withColumn(
-        "turn", F.explode(F.sequence(F.lit(0), n_turns - 1)).cast("bigint")
+        "turn", F.explode(F.sequence(F.lit(0).cast("bigint"), n_turns - 1))
     )
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -242,18 +242,14 @@ def _search_shelf(queries, shelf, k, metric, max_distance, pivots, id_type) -> D
 def neighbour_rows(found: DataFrame) -> DataFrame:
     """One row per (query, collection, rank)."""
 
+    def ranked(column: str, name: str) -> Column:
+        def entry(n, i):
+            return F.struct(F.lit(name).alias("collection"), (i + 1).alias("rank"), n.alias("n"))
+
+        return F.transform(F.col(column), entry)
+
     both = found.select(
-        "query_id",
-        F.explode(
-            F.concat(
-                *[
-                    F.transform(
-                        F.col(c), lambda n, i, name=name: F.struct(F.lit(name).alias("collection"), (i + 1).alias("rank"), n.alias("n"))
-                    )
-                    for c, name in (("decay_neighbours", DECAY), ("bug_neighbours", BUG))
-                ]
-            )
-        ).alias("e"),
+        "query_id", F.explode(F.concat(ranked("decay_neighbours", DECAY), ranked("bug_neighbours", BUG))).alias("e")
     )
     return both.select("query_id", "e.collection", "e.rank", "e.n.*")
 

@@ -42,8 +42,13 @@ def style_check(
 
 
 def style_issue_rows(checked: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per finding."""
-    return checked.select("file_path", *keep, F.explode("issues").alias("i")).select("file_path", *keep, "i.*")
+    """One row per finding.
+
+    The outer form of explode is on purpose: for the plain form the optimizer adds a filter on the array
+    below it, which would run all rules again.
+    """
+    rows = checked.select("file_path", *keep, F.explode_outer("issues").alias("i")).filter(F.col("i").isNotNull())
+    return rows.select("file_path", *keep, "i.*")
 
 
 def issues_per_file(checked: DataFrame, keep: int = 25) -> DataFrame:

@@ -265,8 +265,8 @@ def style_risk(spark, sf):
 @query
 def style_issues_top25(spark, sf):
     first = so.issues_per_file(so.style_check(A.source_files(spark, sf)))
-    rows = first.select("file_path", F.posexplode("style_issues").alias("p", "i"), "issue_count")
-    return rows.select(
+    rows = first.select("file_path", F.posexplode_outer("style_issues").alias("p", "i"), "issue_count")
+    return rows.filter("i IS NOT NULL").select(
         "file_path", (F.col("p") + 1).alias("issue_no"), "i.type", "i.line", F.col("issue_count").alias("style_issue_count")
     )
 
@@ -418,7 +418,9 @@ def decay_recommendations(spark, sf):
 
 @query
 def predicted_issues(spark, sf):
-    return analysed(spark, sf).select("file_path", F.explode("predicted_issues").alias("i")).select("file_path", "i.*")
+    return analysed(spark, sf).select("file_path", F.explode_outer("predicted_issues").alias("i")).filter("i IS NOT NULL").select(
+        "file_path", "i.*"
+    )
 
 
 @query

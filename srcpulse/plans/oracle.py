@@ -418,8 +418,9 @@ ORACLE: dict[str, str] = {
     "trend_reference": trends("reference"),
     "trend_chronological": trends("chronological"),
     "current_with_trend": CURRENT_WITH_TREND,
-    "commit_gaps": f"WITH {churn('lineitem', A.COMMITS_SUPP, A.SHIP_AS_OF, 90)} SELECT file_path, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, "
-    "count(*) AS commits, max(gap) AS gap_days FROM gaps GROUP BY ALL",
+    "commit_gaps": f"WITH {churn('lineitem', A.COMMITS_SUPP, A.SHIP_AS_OF, 90)}, d AS (SELECT file_path, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, "
+    "count(*) AS commits, max(gap) AS g FROM gaps GROUP BY ALL) "
+    "SELECT file_path, day, commits, CASE WHEN day > min(day) OVER (PARTITION BY file_path) THEN g END AS gap_days FROM d",
     "change_stats_90d": f"WITH {churn('lineitem', A.COMMITS_SUPP, A.SHIP_AS_OF, 90)} SELECT * FROM churn",
     "change_stats_all_files": f"WITH {churn('lineitem', A.COMMITS_CORPUS, A.SHIP_AS_OF, 90)}, {CORPUS} SELECT file_path, coalesce(change_frequency, 0) AS change_frequency, "
     "coalesce(authors_count, 0) AS authors_count, coalesce(avg_days_between_changes, 9e1) AS avg_days_between_changes, last_modified, latest_change "
@@ -502,7 +503,7 @@ ORACLE: dict[str, str] = {
     "short_path": "SELECT page_id, CASE WHEN length(url) > 30 THEN '...' || right(url, 27) ELSE url END AS short_url FROM pages",
     "select_bounded": f"WITH {CORPUS}, r AS (SELECT repo, file_path, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN file_id % 50 = 7 THEN 0 ELSE 1 END, file_path) AS r, count(*) OVER (PARTITION BY repo) AS c FROM corpus) "
     "SELECT repo, file_path, greatest(c - 60, 0) AS files_skipped FROM r WHERE r <= 60",
-    "metrics_append": f"WITH {ANALYSED} SELECT file_path, TIMESTAMP '{A.SHIP_AS_OF}' AS ts, CASE WHEN n > 0 OR cc > 0 OR mi IS NOT NULL THEN cc END AS cyclomatic_complexity, CAST(n AS INTEGER) AS change_frequency, "
+    "metrics_append": f"WITH {ANALYSED} SELECT file_path, TIMESTAMP '{A.SHIP_AS_OF}' AS ts, CAST(cc AS DOUBLE) AS cyclomatic_complexity, CAST(n AS INTEGER) AS change_frequency, "
     "CAST(a AS INTEGER) AS authors_count, import_count, dependency_depth FROM an WHERE done",
     "predictions_append": f"WITH {ANALYSED} SELECT file_path, TIMESTAMP '{A.SHIP_AS_OF}' AS ts, decay_score, risk_level, 0.75e0 AS confidence FROM an WHERE done",
     "decay_features": f"WITH {ANALYSED} SELECT file_path, CAST(cc AS DOUBLE) AS current_complexity, CASE WHEN tr = 'increasing' THEN 1e0 ELSE 0e0 END AS complexity_increasing, "

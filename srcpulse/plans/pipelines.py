@@ -43,7 +43,7 @@ def predict_decay(signals: DataFrame, as_of: datetime, cfg: scoring.ScoreConfig
         return F.when(done, col)
 
     c = F.col
-    cc = F.coalesce(c(COMPLEXITY), F.lit(0.0))
+    cc = c(COMPLEXITY)
     mi = F.coalesce(c(MAINTAINABILITY), F.lit(100.0))
     trend = c(f"{COMPLEXITY}_trend")
     n, authors, gap = c("change_frequency"), c("authors_count"), c("avg_days_between_changes")
@@ -114,6 +114,7 @@ def analyze_files(
     joined = text.join(stats, "file_path", "left").join(trends, "file_path", "left").join(neighbours, "file_path", "left")
     filled = joined.withColumns(
         {
+            COMPLEXITY: F.when(F.col("status") == "completed", F.coalesce(COMPLEXITY, F.lit(0.0))),
             "change_frequency": F.coalesce("change_frequency", F.lit(0).cast("bigint")),
             "authors_count": F.coalesce("authors_count", F.lit(0).cast("bigint")),
             "avg_days_between_changes": F.coalesce("avg_days_between_changes", F.lit(float(days_back))),
