@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, functions as F
 
-from srcpulse.functions.text import STYLE_EXTENSIONS, strip
+from srcpulse.functions.text import STYLE_EXTENSIONS
 from srcpulse.schemas import ISSUE
 
 ISSUES = f"array<{ISSUE}>"
@@ -23,7 +23,8 @@ class Rule:
 
     ``finding`` gives the message, or null where the check does not apply. Its arguments depend on
     ``scope``: ``line`` gets the line; ``pair`` gets the line and the next one (null after the last);
-    ``file`` gets the whole text and the array of lines and is reported at line 0.
+    ``file`` gets the whole text and the array of lines and is reported at line 0. Lines come without white
+    space at their ends, which is taken off once for all rules, or as they are with ``raw_lines``.
     ``guard`` is a cheap test of the whole text that must hold wherever the check can hit; it saves
     the pass over the lines. ``shift`` moves the reported line, ``skip_last`` leaves out that many
     lines at the end.
@@ -38,6 +39,7 @@ class Rule:
     guard: Callable[[Column], Column] | None = None
     shift: int = 0
     skip_last: int = 0
+    raw_lines: bool = False
 
 
 def regex_rule(
@@ -51,7 +53,7 @@ def regex_rule(
     def finding(subject, *_):
         return F.when(subject.rlike(regex), F.lit(message))
 
-    return Rule(type, severity, category, scope, finding, tuple(extensions) if extensions else None)
+    return Rule(type, severity, category, scope, finding, tuple(extensions) if extensions else None, raw_lines=True)
 
 
 def first_label(line: Column, patterns: Iterable[tuple[str, str]]) -> Column:
@@ -100,6 +102,7 @@ GENERIC_NAMES = (
     r"(?U)def\s+handle\s*\(",
     r"(?U)def\s+do_something\s*\(",
 )
+GENERIC_WORDS = ("data", "result", "value", "thing", "stuff", "process", "handle", "do_something")
 GENERIC_NAME_LIMIT = 4
 DUPLICATE_MIN_LENGTH = 20
 
@@ -131,9 +134,8 @@ def _bare_except(line):
 
 
 def _empty_except(line, following):
-    body = strip(following)
-    idle = body.isin("pass", "") | body.startswith("#")
-    return F.when(following.isNotNull() & strip(line).rlike(r"(?U)^except\s+.*:\s*$") & idle, F.lit(EMPTY_EXCEPT_TEXT))
+    idle = following.isin("pass", "") | following.startswith("#")
+    return F.when(following.isNotNull() & line.rlike(r"(?U)^except\s+.*:$") & idle, F.lit(EMPTY_EXCEPT_TEXT))
 
 
 def _empty_catch(line):
@@ -160,19 +162,23 @@ def _secret(line):
 
 
 def _comment_ratio(content, lines):
-    code = F.size(F.filter(lines, lambda x: (strip(x) != "") & ~strip(x).startswith("#")))
-    comments = F.size(F.filter(lines, lambda x: strip(x).startswith("#") | x.contains("//")))
-    ratio = comments.cast("double") / F.greatest(code, F.lit(1))
-    return F.when((code >= COMMENT_RATIO_MIN_LINES) & (ratio > COMMENT_RATIO_LIMIT), F.lit(COMMENT_RATIO_TEXT))
+    code = F.size(F.filter(lines, lambda x: (x != "") & ~x.startswith("#")))
+    comments = F.size(F.filter(lines, lambda x: x.startswith("#") | x.contains("//")))
+    ratio = F.try_divide(comments.cast("double"), code)
+    marked = content.contains("#") | content.contains("//")
+    return F.when(marked & (ratio > COMMENT_RATIO_LIMIT) & (code >= COMMENT_RATIO_MIN_LINES), F.lit(COMMENT_RATIO_TEXT))
 
 
 def _generic_names(content, lines):
-    found = sum((content.rlike(p).cast("int") for p in GENERIC_NAMES), F.lit(0))
-    return F.when(found >= GENERIC_NAME_LIMIT, F.lit(GENERIC_NAME_TEXT))
+    def found(word: str, pattern: str) -> Column:
+        return (content.contains(word) & content.rlike(pattern)).cast("int")
+
+    seen = sum((found(w, p) for w, p in zip(GENERIC_WORDS, GENERIC_NAMES)), F.lit(0))
+    return F.when(seen >= GENERIC_NAME_LIMIT, F.lit(GENERIC_NAME_TEXT))
 
 
 def _duplicate(line, following):
-    same = (F.length(strip(line)) > DUPLICATE_MIN_LENGTH) & (strip(line) == strip(following))
+    same = (line == following) & (F.length(line) > DUPLICATE_MIN_LENGTH)
     return F.when(same, F.lit(DUPLICATE_TEXT))
 
 
@@ -221,8 +227,8 @@ def _issue(rule: Rule, order: int, line: Column, message: Column) -> Column:
     )
 
 
-def _findings(rule: Rule, order: int, content: Column, lines: Column, ext: Column) -> Column:
-    empty = F.array().cast(ISSUES)
+def _findings(rule: Rule, order: int, content: Column, raw: Column, bare: Column, ext: Column, empty: Column) -> Column:
+    lines = raw if rule.raw_lines else bare
     if rule.scope == "file":
         message = rule.finding(content, lines)
         found = F.when(message.isNotNull(), F.array(_issue(rule, order, F.lit(0), message)))
@@ -238,24 +244,26 @@ def _findings(rule: Rule, order: int, content: Column, lines: Column, ext: Colum
         found = F.array_compact(F.transform(lines, at))
     else:
         raise ValueError(f"unknown scope {rule.scope!r}")
-    applies = F.lit(True)
-    if rule.extensions is not None:
-        applies = applies & ext.isin(*rule.extensions)
     if rule.guard is not None:
-        applies = applies & rule.guard(content)
-    return F.coalesce(F.when(applies, found.cast(ISSUES)), empty)
+        found = F.when(rule.guard(content), found)
+    if rule.extensions is not None:
+        found = F.when(ext.isin(*rule.extensions), found)
+    return F.coalesce(found, empty)
 
 
 def style_issues(
-    content: Column, lines: Column, ext: Column, rules: Sequence[Rule] = DEFAULT_RULES,
+    content: Column, lines: Column, bare_lines: Column, ext: Column, rules: Sequence[Rule] = DEFAULT_RULES,
     extensions: Sequence[str] | None = STYLE_EXTENSIONS,
 ) -> Column:
     """All findings of one text as an array in rule order; none out of scope or for unreadable text."""
-    found = F.flatten(F.array(*[_findings(r, i + 1, content, lines, ext) for i, r in enumerate(rules)]))
+    empty = F.array().cast(ISSUES)
+    found = F.flatten(
+        F.array(*[_findings(r, i + 1, content, lines, bare_lines, ext, empty) for i, r in enumerate(rules)])
+    )
     in_scope = content.isNotNull()
     if extensions is not None:
         in_scope = in_scope & ext.isin(*extensions)
-    return F.when(in_scope, found).otherwise(F.array().cast(ISSUES))
+    return F.when(in_scope, found).otherwise(empty)
 
 
 def unreadable_issue() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from srcpulse.functions.numbers import round_half_even
+from srcpulse.functions.numbers import bind, round_half_even
 
 # --- fixed values: file extensions --------------------------------------------------------------
 SUPPORTED_EXTENSIONS = (
@@ -17,6 +17,7 @@ WHITE_SPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+RARE_WHITE_SPACE = r"[\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # --- fixed values: constructs that add one path, and what starts a function ---------------------
 DECISION_WORDS = r"\b(?:if|elif|for|while|except|with|assert|and|or)\b"
 FUNCTION_START = r"(?m)^\s*(?:async\s+)?def\s"
@@ -40,14 +41,25 @@ def universal_newlines(content: Column) -> Column:
 
 def split_lines(content: Column) -> Column:
     """Lines without their breaks; a break at the very end opens no further line, empty text has none."""
-    body = F.regexp_replace(content, rf"(?:{LINE_BREAK})\z", "")
-    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
+
+    def lines(pieces: Column) -> Column:
+        n = F.size(pieces)
+        return F.when(F.get(pieces, n - 1) == "", F.slice(pieces, F.lit(1), n - 1)).otherwise(pieces)
+
+    return bind(F.split(content, LINE_BREAK, -1), lines)
 
 
 def strip(line: Column) -> Column:
     return F.btrim(line, F.lit(WHITE_SPACE))
 
 
+def strip_lines(lines: Column, content: Column) -> Column:
+    """Every line without white space at its ends. Texts with none but blanks and tabs, so nearly all, go the short way."""
+    return F.when(content.rlike(RARE_WHITE_SPACE), F.transform(lines, strip)).otherwise(
+        F.transform(lines, lambda x: F.btrim(x, F.lit(" \t")))
+    )
+
+
 def short_path(path: Column, width: int = 60) -> Column:
     return F.when(F.length(path) > width, F.concat(F.lit("..."), F.right(path, F.lit(width - 3)))).otherwise(path)
 
@@ -63,12 +75,12 @@ def is_comment_line(stripped: Column) -> Column:
     return stripped.startswith("#") | stripped.startswith("//")
 
 
-def line_counts(lines: Column) -> Column:
-    """``struct<line_count, nonblank_lines, comment_lines>``."""
+def line_counts(bare_lines: Column) -> Column:
+    """``struct<line_count, nonblank_lines, comment_lines>`` of stripped lines."""
     return F.struct(
-        F.size(lines).alias("line_count"),
-        F.size(F.filter(lines, lambda x: strip(x) != "")).alias("nonblank_lines"),
-        F.size(F.filter(lines, lambda x: is_comment_line(strip(x)))).alias("comment_lines"),
+        F.size(bare_lines).alias("line_count"),
+        F.size(F.filter(bare_lines, lambda x: x != "")).alias("nonblank_lines"),
+        F.size(F.filter(bare_lines, is_comment_line)).alias("comment_lines"),
     )
 
 
@@ -85,7 +97,8 @@ def mean_block_complexity(content: Column) -> Column:
     blocks = F.regexp_count(content, F.lit(FUNCTION_START))
     body = F.split(content, FUNCTION_START, 2).getItem(1)
     words = F.regexp_count(body, F.lit(DECISION_WORDS))
-    return F.when(blocks > 0, round_half_even((blocks + words).cast("double") / blocks)).otherwise(F.lit(0.0))
+    mean = round_half_even(F.try_divide((blocks + words).cast("double"), blocks))
+    return F.coalesce(mean, F.lit(0.0))
 
 
 def maintainability_index(

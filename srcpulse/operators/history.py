@@ -26,13 +26,10 @@ def latest_one(predictions: DataFrame, tie_break: Sequence[Column]) -> DataFrame
     return predictions.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
 
 
-def last_n(metrics: DataFrame, n: int = 100, tie_break: Sequence[Column] = (), skip: int = 0) -> DataFrame:
-    """Newest ``n`` rows of each file after the newest ``skip``; ``recency`` is 1 for the first kept row."""
+def last_n(metrics: DataFrame, n: int = 100, tie_break: Sequence[Column] = ()) -> DataFrame:
+    """Newest ``n`` rows of each file; ``recency`` is 1 for the newest."""
     newest = Window.partitionBy("file_path").orderBy(F.desc("ts"), *tie_break)
-    rows = metrics.withColumn("recency", F.row_number().over(newest)).filter(F.col("recency") <= n + skip)
-    if skip:
-        rows = rows.filter(F.col("recency") > skip).withColumn("recency", F.col("recency") - skip)
-    return rows
+    return metrics.withColumn("recency", F.row_number().over(newest)).filter(F.col("recency") <= n)
 
 
 def metrics_view(history: DataFrame) -> DataFrame:
@@ -62,26 +59,34 @@ def half_trend(values: Column, rows: Column, percent: float = 10.0) -> Column:
 
 def metric_trend(
     metrics: DataFrame, names: Sequence[str], *, order: str, n: int = 10, percent: float = 10.0,
-    tie_break: Sequence[Column] = (), skip: int = 0,
+    tie_break: Sequence[Column] = (), newest_is_current: bool = False,
 ) -> DataFrame:
     """Trend of each named metric over the newest ``n`` rows of each file, as ``<name>_trend``.
 
     ``order="reference"`` puts the newest value first, so a metric that rose over time is called
     ``decreasing``. ``order="chronological"`` puts the oldest first. Nulls are dropped after the cut to ``n``.
+    With ``newest_is_current`` the newest row of a file is its measurement of now: it comes back under the
+    metric's own name, and the trend is over the ``n`` rows before it. One window serves both.
     """
     if order not in ("reference", "chronological"):
         raise ValueError("order is 'reference' or 'chronological'")
-    recent = last_n(metrics, n, tie_break, skip).select("file_path", "recency", *names)
+    first = 2 if newest_is_current else 1
+    recent = last_n(metrics, n + first - 1, tie_break)
+    past = F.col("recency") >= first
 
     def series(name: str) -> Column:
-        entry = F.when(F.col(name).isNotNull(), F.struct("recency", F.col(name).cast("double").alias("v")))
+        entry = F.when(past & F.col(name).isNotNull(), F.struct("recency", F.col(name).cast("double").alias("v")))
         return F.sort_array(F.collect_list(entry), asc=(order == "reference"))  # at most n entries
 
-    grouped = recent.groupBy("file_path").agg(F.count(F.lit(1)).alias("_rows"), *[series(m).alias(m) for m in names])
+    now = [F.max(F.when(~past, F.col(m))).alias(f"_now_{m}") for m in names] if newest_is_current else []
+    grouped = recent.groupBy("file_path").agg(
+        F.count_if(past).alias("_rows"), *now, *[series(m).alias(f"_past_{m}") for m in names]
+    )
     return grouped.select(
         "file_path",
+        *[F.col(f"_now_{m}").alias(m) for m in names if newest_is_current],
         *[
-            half_trend(F.transform(F.col(m), lambda e: e["v"]), F.col("_rows"), percent).alias(f"{m}_trend")
+            half_trend(F.transform(F.col(f"_past_{m}"), lambda e: e["v"]), F.col("_rows"), percent).alias(f"{m}_trend")
             for m in names
         ],
     )

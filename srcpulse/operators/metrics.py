@@ -22,7 +22,8 @@ def with_support(files: DataFrame, extensions=text.SUPPORTED_EXTENSIONS) -> Data
 def line_profile(files: DataFrame, keys=("file_path",)) -> DataFrame:
     """Line, non-blank and comment line counts and the comment ratio of each text."""
     lines = files.withColumn("lines", text.split_lines(F.col("content")))
-    counted = lines.select(*keys, text.line_counts(F.col("lines")).alias("c")).select(*keys, "c.*")
+    bare = lines.select(*keys, text.strip_lines(F.col("lines"), F.col("content")).alias("bare"))
+    counted = bare.select(*keys, text.line_counts(F.col("bare")).alias("c")).select(*keys, "c.*")
     return counted.withColumn("comment_ratio", text.ratio3(F.col("comment_lines"), F.col("line_count")))
 
 
@@ -42,7 +43,7 @@ def file_metrics(files: DataFrame, keep=(), also=()) -> DataFrame:
     """
     given = set(files.columns)
     base = with_lines(with_support(files))
-    counted = base.withColumn("_c", text.line_counts(F.col("lines")))
+    counted = base.withColumn("_c", text.line_counts(F.col("bare_lines")))
     python = F.col("ext") == ".py"
     supported = F.col("status") != UNSUPPORTED
     if "cyclomatic_complexity" not in given:

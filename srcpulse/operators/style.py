@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from srcpulse.functions import style
-from srcpulse.functions.text import STYLE_EXTENSIONS, extension, split_lines, universal_newlines
+from srcpulse.functions.text import STYLE_EXTENSIONS, extension, split_lines, strip_lines, universal_newlines
 
 
 def with_lines(files: DataFrame) -> DataFrame:
-    """Adds ``ext`` and ``lines`` and gives ``content`` the line ends a text-mode read gives."""
-    return files.withColumns({"ext": extension(F.col("file_path")), "content": universal_newlines(F.col("content"))}).withColumn(
-        "lines", split_lines(F.col("content"))
-    )
+    """Adds ``ext``, ``lines`` and ``bare_lines``; ``content`` gets the line ends a text-mode read gives."""
+    text = files.withColumns({"ext": extension(F.col("file_path")), "content": universal_newlines(F.col("content"))})
+    lines = text.withColumn("lines", split_lines(F.col("content")))
+    return lines.withColumn("bare_lines", strip_lines(F.col("lines"), F.col("content")))
 
 
 def style_check(
@@ -26,7 +26,7 @@ def style_check(
     Text without content has no findings, or one ``check_error`` with ``report_unreadable``.
     """
     text = with_lines(files)
-    found = style.style_issues(F.col("content"), F.col("lines"), F.col("ext"), rules, extensions)
+    found = style.style_issues(F.col("content"), F.col("lines"), F.col("bare_lines"), F.col("ext"), rules, extensions)
     if report_unreadable:
         unread = F.col("content").isNull()
         if extensions is not None:

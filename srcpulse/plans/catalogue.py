@@ -72,11 +72,10 @@ def _neighbours(spark, sf):
 
 def analysed(spark, sf, rules=None) -> DataFrame:
     """The whole score over the corpus."""
-    history = _metrics(spark, sf, A.METRICS_CORPUS)
     return pipelines.analyze_files(
-        A.source_files(spark, sf), _commits(spark, sf, A.COMMITS_CORPUS), history, _neighbours(spark, sf), SHIP_AS_OF,
-        days_back=1095, history_skip=1, history_tie_break=_metrics_order(), keep=["repo"], rules=rules,
-        current=hist.last_n(history, 1, _metrics_order()),
+        A.source_files(spark, sf), _commits(spark, sf, A.COMMITS_CORPUS), _metrics(spark, sf, A.METRICS_CORPUS),
+        _neighbours(spark, sf), SHIP_AS_OF, days_back=1095, newest_is_current=True, history_tie_break=_metrics_order(),
+        keep=["repo"], rules=rules,
     )
 
 
@@ -145,19 +144,27 @@ def trend_chronological(spark, sf):
 
 @query
 def current_with_trend(spark, sf):
-    history = _metrics(spark, sf)
-    current = hist.last_n(history, 1, _metrics_order()).select(
-        "file_path", F.coalesce(pipelines.COMPLEXITY, F.lit(0.0)).alias("current_complexity"), pipelines.MAINTAINABILITY
+    both = hist.metric_trend(
+        _metrics(spark, sf), (pipelines.COMPLEXITY, pipelines.MAINTAINABILITY), order="reference",
+        tie_break=_metrics_order(), newest_is_current=True,
     )
-    trends = hist.metric_trend(history, [pipelines.COMPLEXITY], order="reference", tie_break=_metrics_order(), skip=1)
-    both = hist.current_with_history(current, trends.withColumnRenamed("cyclomatic_complexity_trend", "complexity_trend"))
-    cc, mi, trend = F.col("current_complexity"), F.col(pipelines.MAINTAINABILITY), F.col("complexity_trend")
-    return both.select(
-        "file_path", cc, trend, scoring.complexity_risk(cc, trend).alias("complexity_risk_score"),
+    cc, mi, trend = F.coalesce(pipelines.COMPLEXITY, F.lit(0.0)), F.col(pipelines.MAINTAINABILITY), F.col("complexity_trend")
+    return both.withColumnRenamed("cyclomatic_complexity_trend", "complexity_trend").select(
+        "file_path", cc.alias("current_complexity"), trend, scoring.complexity_risk(cc, trend).alias("complexity_risk_score"),
         joined(scoring.complexity_warnings(cc, mi, trend)).alias("complexity_warnings"),
     )
 
 
+@query
+def current_with_stored_trend(spark, sf):
+    """Text metrics of the corpus files with the trend of their stored rows."""
+    current = metrics.branch_complexity(A.source_files(spark, sf))
+    trends = hist.metric_trend(
+        _metrics(spark, sf, A.METRICS_CORPUS), [pipelines.MAINTAINABILITY], order="chronological", tie_break=_metrics_order()
+    )
+    return hist.current_with_history(current, trends)
+
+
 # --- churn ---------------------------------------------------------------------------------------
 def _stats_supp(spark, sf):
     return churn.change_stats(_commits(spark, sf, A.COMMITS_SUPP), SHIP_AS_OF, 90)
@@ -215,7 +222,7 @@ def line_profile(spark, sf):
 
 @query
 def line_profile_docs(spark, sf):
-    return metrics.line_profile(A.table(spark, sf, "documents").withColumnRenamed("text", "content"), ["doc_id"])
+    return metrics.line_profile(A.documents(spark, sf).withColumnRenamed("text", "content"), ["doc_id"])
 
 
 @query
@@ -242,7 +249,7 @@ def dependency_risk(spark, sf):
 
 @query
 def code_sample(spark, sf):
-    sampled = A.table(spark, sf, "documents").select("doc_id", text.code_sample(F.col("text"), 10).alias("s"))
+    sampled = A.documents(spark, sf).select("doc_id", text.code_sample(F.col("text"), 10).alias("s"))
     return sampled.select("doc_id", F.md5("s").alias("sample_md5"), F.length("s").alias("sample_length"))
 
 
@@ -277,7 +284,7 @@ def style_warnings_top10(spark, sf):
 
 
 def _documents(spark, sf):
-    return A.table(spark, sf, "documents").selectExpr("doc_id", "concat('doc/', doc_id) AS file_path", "text AS content")
+    return A.documents(spark, sf).selectExpr("doc_id", "concat('doc/', doc_id) AS file_path", "text AS content")
 
 
 def _document_issues(spark, sf, rules):
@@ -438,6 +445,13 @@ def top_risky_files(spark, sf):
     return hist.top_n_risky(analysed(spark, sf)).select("repo", "risk_rank", "file_path", "decay_score", "risk_level")
 
 
+@query
+def top_risky_predictions(spark, sf):
+    stored = A.view(A.table(spark, sf, "orders"), (*A.PREDICTIONS, A.PREDICTION_GROUP))
+    newest = hist.latest_one(stored, _latest_tie_break())
+    return hist.top_n_risky(newest).select("repo", "risk_rank", "file_path", "decay_score", "risk_level")
+
+
 @query
 def decay_features(spark, sf):
     return model.decay_features(analysed(spark, sf).filter("status = 'completed'"))
@@ -481,7 +495,7 @@ def repo_report(spark, sf):
 
 @query
 def repo_file_results(spark, sf):
-    selected, _ = pipelines.report_files(analysed(spark, sf, style.DEFAULT_RULES))
+    selected = rollups.select_bounded(analysed(spark, sf, style.DEFAULT_RULES))
     return selected.select("repo", "file_path", "decay_score", "risk_level", F.col("issue_count").alias("style_issue_count"))
 
 

@@ -418,6 +418,8 @@ ORACLE: dict[str, str] = {
     "trend_reference": trends("reference"),
     "trend_chronological": trends("chronological"),
     "current_with_trend": CURRENT_WITH_TREND,
+    "current_with_stored_trend": f"WITH {CORPUS}, {COMPLEXITY}, {numbered(A.METRICS_CORPUS)}, {trend('maintainability_index', 'chronological', name='m')} "
+    "SELECT file_path, complexity AS cyclomatic_complexity, coalesce(m.trend, 'insufficient_data') AS maintainability_index_trend FROM cc LEFT JOIN m USING (file_path)",
     "commit_gaps": f"WITH {churn('lineitem', A.COMMITS_SUPP, A.SHIP_AS_OF, 90)}, d AS (SELECT file_path, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, "
     "count(*) AS commits, max(gap) AS g FROM gaps GROUP BY ALL) "
     "SELECT file_path, day, commits, CASE WHEN day > min(day) OVER (PARTITION BY file_path) THEN g END AS gap_days FROM d",
@@ -482,6 +484,9 @@ ORACLE: dict[str, str] = {
     "avg_decay": f"WITH {ANALYSED}, m AS (SELECT CAST(sum(CAST(coalesce(decay_score, 0) AS DECIMAL(20,10))) AS DOUBLE) / count(*) AS x FROM an) SELECT {round_exact('x')} AS avg_decay_score FROM m",
     "top_risky_files": f"WITH {ANALYSED}, t AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY decay_score DESC, file_path) AS r FROM an WHERE risk_level IN ('high', 'critical')) "
     "SELECT repo, CAST(r AS INTEGER) AS risk_rank, file_path, decay_score, risk_level FROM t WHERE r <= 15",
+    "top_risky_predictions": f"WITH p AS ({A.sql_view('orders', (*A.PREDICTIONS, A.PREDICTION_GROUP))}), o AS (SELECT *, row_number() OVER (PARTITION BY file_path "
+    "ORDER BY ts DESC, decay_score DESC, prediction_id) AS n FROM p), t AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY decay_score DESC, file_path) AS r "
+    "FROM o WHERE n = 1 AND risk_level IN ('high', 'critical')) SELECT repo, CAST(r AS INTEGER) AS risk_rank, file_path, decay_score, risk_level FROM t WHERE r <= 15",
     "repo_hygiene": f"WITH {HYGIENE} SELECT * FROM hy",
     "shareability": f"WITH {report(60)} SELECT repo, suggestions FROM rep",
     "repo_report": f"WITH {report(60)} SELECT repo, files_analyzed, files_skipped, {round_exact('mean')} AS avg_decay_score, high_risk_count, "

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from srcpulse.functions import imports as imp, scoring, style
 from srcpulse.operators import churn, history as hist, metrics, rollups, similarity, style as style_ops, validation
+from srcpulse.session import materialize
 from srcpulse.sources import corpus, store
 
+MAX_BROADCAST_PATHS = 200_000
 COMPLEXITY, MAINTAINABILITY = "cyclomatic_complexity", "maintainability_index"
 
 
@@ -23,7 +25,7 @@ def text_signals(
     """
     also = [imp.extract_imports(F.col("content"), F.col("ext")).alias("_imports")]
     if rules is not None:
-        also.append(style.style_issues(F.col("content"), F.col("lines"), F.col("ext"), rules).alias("issues"))
+        also.append(style.style_issues(F.col("content"), F.col("lines"), F.col("bare_lines"), F.col("ext"), rules).alias("issues"))
     rows = metrics.file_metrics(files, keep, also)
     names = F.col("_imports")
     extra = [
@@ -87,28 +89,27 @@ def predict_decay(signals: DataFrame, as_of: datetime, cfg: scoring.ScoreConfig
 
 def analyze_files(
     files: DataFrame, commits: DataFrame, history: DataFrame, neighbours: DataFrame, as_of: datetime, *,
-    days_back: int = 90, trend_order: str = "reference", trend_rows: int = 10, history_skip: int = 0,
+    days_back: int = 90, trend_order: str = "reference", trend_rows: int = 10, newest_is_current: bool = False,
     history_tie_break: Sequence[Column] = (), keep: Sequence[str] = (), rules: Sequence[style.Rule] | None = None,
-    current: DataFrame | None = None, cfg: scoring.ScoreConfig = scoring.DEFAULT,
+    cfg: scoring.ScoreConfig = scoring.DEFAULT,
 ) -> DataFrame:
     """Score every file. ``neighbours`` is ``file_path, decay_neighbours, bug_neighbours``.
 
-    ``current(file_path, cyclomatic_complexity, maintainability_index)``, where given, holds the measured
-    values of now; without it they are estimated from the text.
+    With ``newest_is_current`` the newest history row of a file holds its measured complexity and
+    maintainability of now; without it they are columns of ``files`` or estimated from the text.
 
     The text is read once and dropped; the four signals meet in left joins on ``file_path``, each side with
     one small row per file. Commits and history are reduced before they are shuffled.
     """
     measured = (COMPLEXITY, MAINTAINABILITY)
-    if current is not None:
+    if newest_is_current:
         files = files.withColumns({m: F.lit(None).cast("double") for m in measured})
-        text = text_signals(files, keep, rules).drop(*measured)
-        text = text.join(current.select("file_path", *measured), "file_path", "left")
-    else:
-        text = text_signals(files, keep, rules)
+    text = text_signals(files, keep, rules)
+    if newest_is_current:
+        text = text.drop(*measured)
     stats = churn.change_stats(commits, as_of, days_back)
     trends = hist.metric_trend(
-        history, measured, order=trend_order, n=trend_rows, tie_break=history_tie_break, skip=history_skip
+        history, measured, order=trend_order, n=trend_rows, tie_break=history_tie_break, newest_is_current=newest_is_current
     )
     empty = F.array().cast(similarity._FOUND)
     joined = text.join(stats, "file_path", "left").join(trends, "file_path", "left").join(neighbours, "file_path", "left")
@@ -130,20 +131,25 @@ def analyze_files(
 
 def check_changes(
     requests: DataFrame, files: DataFrame, max_files: int = validation.MAX_FILES, max_bytes: int = validation.MAX_BYTES,
-    rules: Sequence[style.Rule] = style.DEFAULT_RULES,
+    rules: Sequence[style.Rule] = style.DEFAULT_RULES, max_broadcast_paths: int = MAX_BROADCAST_PATHS,
 ) -> DataFrame:
     """One gate row per batch of requested paths.
 
-    A batch with more than twice ``max_files`` paths is refused. Findings are counted per file before the
-    join, so texts are never shuffled.
+    A batch with more than twice ``max_files`` paths is refused. Texts are never shuffled: where the
+    requested paths are counted to be few, they are sent to the files and only those files are checked;
+    else all files are checked in place and their small counts are joined.
     """
     sized = validation.batch_status(requests, max_files)
     looked_at = validation.validate_paths(requests, files, max_files, max_bytes)
     rejected = validation.path_counts(looked_at)
+    valid = looked_at.filter("outcome = 'valid'").select("batch_id", "requested_path")
+    asked = valid.select(F.col("requested_path").alias("file_path")).distinct()
+    if asked.limit(max_broadcast_paths + 1).count() <= max_broadcast_paths:
+        files = files.join(F.broadcast(asked), "file_path", "left_semi")
     checked = style_ops.style_check(files, rules, report_unreadable=True).select(
-        F.col("file_path").alias("requested_path"), "issue_count", "issues"
-    ).select("requested_path", "issue_count", *style_ops.severity_columns())
-    valid = looked_at.filter("outcome = 'valid'").select("batch_id", "requested_path").join(checked, "requested_path")
+        F.col("file_path").alias("requested_path"), "issue_count", *style_ops.severity_columns()
+    )
+    valid = valid.join(checked, "requested_path")
     zero = F.lit(0).cast("bigint")
     sums = valid.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("files_checked"),
@@ -167,17 +173,25 @@ def check_changes(
     )
 
 
-def report_files(analysed: DataFrame, max_files: int | None = 60, focus: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The files a repository report covers, and how many it leaves out."""
-    return rollups.select_bounded(analysed, max_files, focus), rollups.skipped_counts(analysed, max_files)
+REPORT_COLUMNS = (
+    "repo", "file_path", "status", "decay_score", "risk_level", "predicted_issues", "recommendations", "issue_count",
+    *style.SEVERITIES, *style.CATEGORIES,
+)
 
 
 def repo_report(
     analysed: DataFrame, listing: DataFrame, max_files: int | None = 60, focus: Column | None = None
 ) -> DataFrame:
-    """One row per repository from ``analyze_files(..., keep=["repo"], rules=...)``; nothing is stored."""
-    selected, skipped = report_files(analysed, max_files, focus)
-    return rollups.repo_report(selected, skipped, listing)
+    """One row per repository from ``analyze_files(..., keep=["repo"], rules=...)``; no history is stored.
+
+    Four rollups read the per-file rows, so these are written once to the shared folder: the texts are read
+    and checked once, and a lost executor does not bring that work back.
+    """
+    focus_column = [] if focus is None else [focus.alias("_focus")]
+    rows = materialize(analysed.select(*REPORT_COLUMNS, *focus_column), "report")
+    lead = F.col("_focus") if focus_column else None
+    selected = rollups.select_bounded(rows, max_files, lead)
+    return rollups.repo_report(selected, rollups.skipped_counts(rows, max_files), listing)
 
 
 def project_scan(

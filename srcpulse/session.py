@@ -20,6 +20,8 @@ def local_session(app: str = "srcpulse", cores: str = "*", memory: str = "8g") -
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Large column expressions are built with thousands of calls; do not record a stack trace for each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )

@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores, shuffled to all cores; any larger table as it is.
+
+    The shipped tables are single row groups, which one task would read and then work on alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
     """The same table as a stream. The bracket makes the path a pattern, which fits a file and a folder alike."""
     reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
@@ -103,7 +112,11 @@ def sql_view(source: str, columns) -> str:
 
 
 def source_files(spark, sf_dir, columns=CORPUS) -> DataFrame:
-    return view(table(spark, sf_dir, "part"), columns)
+    return view(spread(table(spark, sf_dir, "part")), columns)
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def repo_listing(spark, sf_dir) -> DataFrame:
@@ -165,6 +178,7 @@ PREDICTIONS = (
         "risk_level",
     ),
 )
+PREDICTION_GROUP = ("concat('grp', o_custkey % 20)", "repo")
 STATUS_REQUESTS = (("concat('cust/', c_custkey)", "file_path"),)
 
 # --- patterns and query vectors from embeddings --------------------------------------------------
