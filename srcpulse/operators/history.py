@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from srcpulse.functions import scoring
-from srcpulse.functions.numbers import round_half_even
+from srcpulse.functions.numbers import bind, round_half_even
 
 
 def latest_predictions(predictions: DataFrame) -> DataFrame:
@@ -40,21 +40,26 @@ def metrics_view(history: DataFrame) -> DataFrame:
 
 def half_trend(values: Column, rows: Column, percent: float = 10.0) -> Column:
     """Compare the mean of the first half of ``values`` with the rest; an odd middle value goes to the rest."""
-    size = F.size(values)
-    half = F.floor(size / 2).cast("int")
-
     def mean(part: Column) -> Column:
         return F.aggregate(part, F.lit(0.0), lambda acc, v: acc + v) / F.size(part)
 
-    first = mean(F.slice(values, F.lit(1), half))
-    rest = mean(F.slice(values, half + 1, size - half))
-    change = (rest - first) / F.nullif(first, F.lit(0.0)) * 100.0
-    return (
-        F.when((rows < 2) | (size < 2), F.lit("insufficient_data"))
-        .when(change > percent, F.lit("increasing"))
-        .when(change < -percent, F.lit("decreasing"))
-        .otherwise(F.lit("stable"))
-    )
+    def change(series: Column) -> Column:
+        size = F.size(series)
+        half = F.floor(size / 2).cast("int")
+        first, rest = mean(F.slice(series, F.lit(1), half)), mean(F.slice(series, half + 1, size - half))
+        relative = bind(first, lambda base: (rest - base) / F.nullif(base, F.lit(0.0)) * 100.0)
+        return F.when(size >= 2, relative)
+
+    def named(pair: Column) -> Column:
+        return (
+            F.when((rows < 2) | (pair["size"] < 2), F.lit("insufficient_data"))
+            .when(pair["change"] > percent, F.lit("increasing"))
+            .when(pair["change"] < -percent, F.lit("decreasing"))
+            .otherwise(F.lit("stable"))
+        )
+
+    measured = bind(values, lambda v: F.struct(F.size(v).alias("size"), change(v).alias("change")))
+    return bind(measured, named)
 
 
 def metric_trend(
