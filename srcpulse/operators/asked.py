@@ -1,0 +1,19 @@
+"""Cutting a large table down to the keys a request names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_BROADCAST_KEYS = 200_000
+
+
+def only_asked(rows: DataFrame, asked: DataFrame, key: str, max_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """Rows whose ``key`` is in ``asked``, where these keys are counted to be few; else all rows as they are.
+
+    Few keys are sent to the rows, which then need no shuffle to be cut down. With many keys nothing is
+    gained by a cut, so the caller's join on ``key`` does the work.
+    """
+    keys = asked.select(key).distinct()
+    if keys.limit(max_keys + 1).count() > max_keys:
+        return rows
+    return rows.join(F.broadcast(keys), key, "left_semi")

@@ -40,9 +40,13 @@ _FOUND = f"array<{NEIGHBOUR}>"
 
 
 def _matrix(vectors, metric: str) -> np.ndarray:
-    m = np.array([np.asarray(v, dtype=np.float64) for v in vectors], dtype=np.float64)
+    return _unit(np.array([np.asarray(v, dtype=np.float64) for v in vectors], dtype=np.float64), metric)
+
+
+def _unit(m: np.ndarray, metric: str) -> np.ndarray:
+    """Rows brought to length one where the metric is the angle."""
     if metric == "cosine" and len(m):
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     return m
 
 
@@ -58,21 +62,31 @@ def _distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _top_k(q: np.ndarray, p: np.ndarray, k: int, metric: str, max_distance: float | None):
-    """For each query the positions and distances of its k nearest rows of ``p``, nearest first.
+    """Positions and distances of the k nearest rows of ``p``, nearest first, and how many of them count.
 
-    Rows of ``p`` are in order of ``pattern_id``, so a stable sort settles ties.
+    Rows of ``p`` are in order of ``pattern_id``. A distance has nine decimals, so distance and position make
+    one whole number: no two are equal, and ties fall to the smaller position.
     """
-    k = min(k, len(p))
-    step = max(1, _CHUNK_ENTRIES // max(1, len(p)))
-    for start in range(0, len(q), step):
+    n, k = len(p), min(k, len(p))
+    near, dist = np.zeros((len(q), k), dtype=np.int64), np.zeros((len(q), k))
+    step = max(1, _CHUNK_ENTRIES // max(1, n))
+    for start in range(0, len(q) if k else 0, step):
         d = _distances(q[start : start + step], p, metric)
-        limit = np.partition(d, k - 1, axis=1)[:, k - 1] if k else None
-        for i, row in enumerate(d):
-            near = np.flatnonzero(row <= limit[i]) if k else np.empty(0, dtype=int)
-            near = near[np.argsort(row[near], kind="stable")][:k]
-            if max_distance is not None:
-                near = near[row[near] <= max_distance]
-            yield near, row[near]
+        if d.max(initial=0.0) * n < 9e9:
+            key = np.rint(d * 10**DECIMALS).astype(np.int64) * n + np.arange(n)
+        else:  # too far apart for one number: rank the distances instead
+            key = d.argsort(axis=1, kind="stable").argsort(axis=1)
+        first = np.argpartition(key, k - 1, axis=1)[:, :k]
+        first = np.take_along_axis(first, np.take_along_axis(key, first, axis=1).argsort(axis=1), axis=1)
+        near[start : start + step], dist[start : start + step] = first, np.take_along_axis(d, first, axis=1)
+    counts = np.full(len(q), k) if max_distance is None else (dist <= max_distance).sum(axis=1)
+    return near, dist, counts
+
+
+def _flat(near: np.ndarray, dist: np.ndarray, counts: np.ndarray):
+    """The counted entries of all rows, one after another."""
+    kept = np.arange(near.shape[1])[None, :] < counts[:, None]
+    return near[kept], dist[kept]
 
 
 def _catalogue_fits(patterns: DataFrame, max_bytes: int) -> tuple[bool, int]:
@@ -88,11 +102,12 @@ def nearest_patterns(
     """The nearest patterns of every query in each collection: ``query_id, decay_neighbours, bug_neighbours``.
 
     ``queries(query_id, embedding)`` with unique ids, ``patterns(collection, pattern_id, embedding, bug_type,
-    severity)``. Without ``max_distance`` every query has its k neighbours, however far.
+    severity)``. Without ``max_distance`` every query has its k neighbours, however far. A query without a
+    vector has none.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
-    known = patterns.filter(F.col("collection").isin(*k)).select(
+    known = patterns.filter(F.col("collection").isin(*k) & F.col("embedding").isNotNull()).select(
         "collection", F.col("pattern_id").cast("string").alias("pattern_id"), "embedding", "bug_type", "severity"
     )
     fits, count = _catalogue_fits(known, max_broadcast_bytes)
@@ -112,22 +127,26 @@ def _by_broadcast(queries, known, k, metric, max_distance) -> DataFrame:
         pa.struct([("pattern_id", pa.string()), ("distance", pa.float64()), ("bug_type", pa.string()), ("severity", pa.string())])
     )
 
+    def lists(q: np.ndarray, asked: np.ndarray, name: str) -> pa.Array:
+        """Neighbour lists of all queries; ``asked`` tells which of them have a vector."""
+        matrix, info = sent.value.get(name, (np.empty((0, 0)), None))
+        counts = np.zeros(len(asked), dtype=np.int64)
+        if not len(q) or not len(matrix):
+            return pa.array([[]] * len(asked), type=kind)
+        near, dist, found = _top_k(q, matrix, k[name], metric, max_distance)
+        counts[asked] = found
+        near, dist = _flat(near, dist, found)
+        fields = [pa.array(info[near, 0], pa.string()), pa.array(dist), *[pa.array(info[near, i], pa.string()) for i in (1, 2)]]
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(kind.value_type))).cast(kind)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = _matrix(batch.column("embedding").to_pylist(), metric)
-            columns = [batch.column("query_id")]
-            for name in (DECAY, BUG):
-                matrix, info = sent.value.get(name, (np.empty((0, 0)), None))
-                found = [[]] * len(q)
-                if len(q) and len(matrix):
-                    found = [
-                        [
-                            {"pattern_id": info[j, 0], "distance": float(d), "bug_type": info[j, 1], "severity": info[j, 2]}
-                            for j, d in zip(near, dist)
-                        ]
-                        for near, dist in _top_k(q, matrix, k[name], metric, max_distance)
-                    ]
-                columns.append(pa.array(found, type=kind))
+            vectors = batch.column("embedding")
+            asked = vectors.is_valid().to_numpy(zero_copy_only=False)
+            flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            q = _unit(flat.reshape(int(asked.sum()), -1) if asked.any() else np.empty((0, 0)), metric)
+            columns = [batch.column("query_id"), *[lists(q, asked, name) for name in (DECAY, BUG)]]
             yield pa.RecordBatch.from_arrays(columns, names=["query_id", "decay_neighbours", "bug_neighbours"])
 
     id_type = queries.schema["query_id"].dataType.simpleString()
@@ -206,7 +225,8 @@ def _search_shelf(queries, shelf, k, metric, max_distance, pivots, id_type) -> D
             row, cell = np.nonzero(visit)
             yield pdf.iloc[row].assign(cell=cell.astype("int32"))
 
-    visits = queries.select("query_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInPandas(
+    known = queries.filter(F.col("embedding").isNotNull())
+    visits = known.select("query_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInPandas(
         to_visits, f"query_id {id_type}, embedding array<float>, cell int"
     )
     visitors = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -221,15 +241,17 @@ def _search_shelf(queries, shelf, k, metric, max_distance, pivots, id_type) -> D
     )
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(p):
-            p = p.sort_values("pattern_id", kind="stable")
-            info = p[["pattern_id", "bug_type", "severity"]].to_numpy(object)
-            ids = q["query_id"].to_numpy()
-            hits = _top_k(_matrix(q["embedding"], metric), _matrix(p["embedding"], metric), k, metric, max_distance)
-            for i, (near, dist) in zip(ids, hits):
-                out.extend((i, info[j, 0], float(x), info[j, 1], info[j, 2]) for j, x in zip(near, dist))
-        return pd.DataFrame(out, columns=["query_id", "pattern_id", "distance", "bug_type", "severity"])
+        names = ["query_id", "pattern_id", "distance", "bug_type", "severity"]
+        if not len(q) or not len(p):
+            return pd.DataFrame([], columns=names)
+        p = p.sort_values("pattern_id", kind="stable")
+        info = p[names[1:2] + names[3:]].to_numpy(object)
+        found = _top_k(_matrix(q["embedding"], metric), _matrix(p["embedding"], metric), k, metric, max_distance)
+        near, dist = _flat(*found)
+        ids = q["query_id"].to_numpy().repeat(found[2])
+        return pd.DataFrame(
+            {"query_id": ids, "pattern_id": info[near, 0], "distance": dist, "bug_type": info[near, 1], "severity": info[near, 2]}
+        )
 
     keys = ["cell", "part", "turn"]
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(

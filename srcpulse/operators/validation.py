@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from srcpulse.operators.asked import only_asked
+
 # --- fixed values: limits ------------------------------------------------------------------------
 MAX_FILES = 200
 MAX_BYTES = 2 * 1024 * 1024
@@ -49,7 +51,7 @@ def validate_paths(
     """
     order = Window.partitionBy("batch_id").orderBy("request_ord")
     first = requests.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_files + 1)
-    known = files.select(F.col("file_path").alias("requested_path"), F.col("size_bytes"))
+    known = only_asked(files.select(F.col("file_path").alias("requested_path"), F.col("size_bytes")), first, "requested_path")
     path = F.col("requested_path")
     inside = (
         F.col("size_bytes").isNotNull()

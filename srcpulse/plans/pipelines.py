@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from srcpulse.functions import imports as imp, scoring, style
 from srcpulse.operators import churn, history as hist, metrics, rollups, similarity, style as style_ops, validation
+from srcpulse.operators.asked import MAX_BROADCAST_KEYS, only_asked
 from srcpulse.session import materialize
 from srcpulse.sources import corpus, store
 
-MAX_BROADCAST_PATHS = 200_000
 COMPLEXITY, MAINTAINABILITY = "cyclomatic_complexity", "maintainability_index"
 
 
@@ -131,7 +131,7 @@ def analyze_files(
 
 def check_changes(
     requests: DataFrame, files: DataFrame, max_files: int = validation.MAX_FILES, max_bytes: int = validation.MAX_BYTES,
-    rules: Sequence[style.Rule] = style.DEFAULT_RULES, max_broadcast_paths: int = MAX_BROADCAST_PATHS,
+    rules: Sequence[style.Rule] = style.DEFAULT_RULES, max_broadcast_paths: int = MAX_BROADCAST_KEYS,
 ) -> DataFrame:
     """One gate row per batch of requested paths.
 
@@ -143,9 +143,7 @@ def check_changes(
     looked_at = validation.validate_paths(requests, files, max_files, max_bytes)
     rejected = validation.path_counts(looked_at)
     valid = looked_at.filter("outcome = 'valid'").select("batch_id", "requested_path")
-    asked = valid.select(F.col("requested_path").alias("file_path")).distinct()
-    if asked.limit(max_broadcast_paths + 1).count() <= max_broadcast_paths:
-        files = files.join(F.broadcast(asked), "file_path", "left_semi")
+    files = only_asked(files, valid.withColumnRenamed("requested_path", "file_path"), "file_path", max_broadcast_paths)
     checked = style_ops.style_check(files, rules, report_unreadable=True).select(
         F.col("file_path").alias("requested_path"), "issue_count", *style_ops.severity_columns()
     )

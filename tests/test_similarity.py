@@ -81,6 +81,23 @@ def test_small_and_empty_catalogues(spark, limit):
         sim.nearest_patterns(q, p, metric="dot")
 
 
+@pytest.mark.parametrize("limit", [sim.MAX_BROADCAST_BYTES, 0])
+def test_queries_without_a_vector_and_seeds_without_one(spark, limit):
+    patterns, queries = _data(20, 4)
+    q, p = _frames(spark, patterns + [("bug_patterns", "none", None, "x", "low")], queries + [(99, None)])
+    rows = {r.query_id: r for r in sim.nearest_patterns(q, p, max_broadcast_bytes=limit).collect()}
+    assert len(rows) == 5 and not rows[99].decay_neighbours and len(rows[0].decay_neighbours) == 5
+
+
+def test_far_vectors(spark):
+    patterns, queries = _data(40, 6)
+    patterns = [(c, i, [x * 1e5 for x in v], t, s) for c, i, v, t, s in patterns]
+    q, p = _frames(spark, patterns, queries)
+    got = sim.nearest_patterns(q, p, metric="l2").filter("query_id = 5").first()
+    distances = [n.distance for n in got.decay_neighbours]
+    assert distances == sorted(distances) and len(distances) == 5
+
+
 def test_bounded_search_has_no_shuffle(spark):
     q, p = _frames(spark, *_data(30, 5))
     plan = sim.with_pattern_risk(sim.nearest_patterns(q, p))._jdf.queryExecution().executedPlan().toString()
