@@ -122,6 +122,14 @@ def high_risk_report(predictions: DataFrame, threshold: float = 70.0) -> DataFra
     )
 
 
+def dashboard_cards(predictions: DataFrame, threshold: float = 60.0, keep: int = 2) -> DataFrame:
+    """High-risk files as a dashboard shows them: level in capitals and the first ``keep`` recommendations."""
+    return high_risk_list(predictions, threshold).select(
+        "file_path", "decay_score", F.upper("risk_level").alias("risk"),
+        F.slice(F.coalesce("recommendations", F.array().cast("array<string>")), 1, keep).alias("recommendations"),
+    )
+
+
 def _level_counts(levels: Sequence[str]) -> list[Column]:
     return [F.count_if(F.col("risk_level") == level).alias(f"{level}_count") for level in levels]
 

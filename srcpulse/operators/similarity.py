@@ -15,16 +15,21 @@ products are summed decides nothing.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from srcpulse.functions import scoring
 from srcpulse.schemas import NEIGHBOUR
 
+# Functions sent to tasks travel with their code, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values: neighbours asked of each collection -------------------------------------------
 DECAY, BUG = "decay_patterns", "bug_patterns"
 NEIGHBOURS = {DECAY: 5, BUG: 3}

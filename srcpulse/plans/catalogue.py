@@ -423,6 +423,12 @@ def decay_recommendations(spark, sf):
     )
 
 
+@query
+def dashboard_cards(spark, sf):
+    done = analysed(spark, sf).filter("status = 'completed'")
+    return hist.dashboard_cards(done, 40).withColumn("recommendations", joined("recommendations"))
+
+
 @query
 def predicted_issues(spark, sf):
     return analysed(spark, sf).select("file_path", F.explode_outer("predicted_issues").alias("i")).filter("i IS NOT NULL").select(

@@ -345,11 +345,11 @@ DECAY_SCORES = f"""WITH {ANALYSED} SELECT file_path, CASE WHEN done THEN 'comple
  CASE WHEN done THEN dr END AS dependency_risk_score, CASE WHEN done THEN round(pattern_risk, 6) END AS pattern_risk_score,
  decay_score, risk_level, CASE WHEN done THEN 0.75e0 END AS confidence,
  CASE WHEN done THEN TIMESTAMP '{A.SHIP_AS_OF}' + to_days({REFACTOR_DAYS}) END AS optimal_refactor_date FROM an"""
-RECOMMENDATIONS = f"""WITH {ANALYSED} SELECT file_path, concat_ws(' | ', {', '.join(complexity_warnings('cc', 'mi', 'tr'))},
+ADVICE = f"""{', '.join(complexity_warnings('cc', 'mi', 'tr'))},
  CASE WHEN n > 10 THEN 'Consider splitting this frequently-changed file into smaller modules' END,
  CASE WHEN import_count > 20 THEN 'High dependency count - review and remove unused imports' END,
- CASE WHEN x >= 70 THEN 'CRITICAL: Schedule refactoring within next sprint' WHEN x >= 50 THEN 'Add to technical debt backlog for next quarter' END) AS recommendations
-FROM an WHERE done"""
+ CASE WHEN x >= 70 THEN 'CRITICAL: Schedule refactoring within next sprint' WHEN x >= 50 THEN 'Add to technical debt backlog for next quarter' END"""
+RECOMMENDATIONS = f"WITH {ANALYSED} SELECT file_path, concat_ws(' | ', {ADVICE}) AS recommendations FROM an WHERE done"
 EXPECTED = """ei AS (SELECT repo, file_path, 1 AS ord, 'complexity_growth' AS type, 'Complexity is increasing - may become unmaintainable' AS description, 0.7e0 AS probability, '3-6 months' AS timeframe
   FROM an WHERE done AND tr = 'increasing'
  UNION ALL SELECT repo, file_path, 2, 'high_churn', 'High change frequency indicates instability', 0.65e0, '1-3 months' FROM an WHERE done AND n > 10
@@ -479,6 +479,8 @@ ORACLE: dict[str, str] = {
     "CASE WHEN crit THEN 'Matches critical bug pattern - immediate review recommended.' END) AS pattern_warnings FROM x",
     "decay_scores": DECAY_SCORES,
     "decay_recommendations": RECOMMENDATIONS,
+    "dashboard_cards": f"WITH {ANALYSED} SELECT file_path, decay_score, upper(risk_level) AS risk, array_to_string(list_filter([{ADVICE}], lambda m: m IS NOT NULL)[1:2], ' | ') AS recommendations "
+    "FROM an WHERE done AND decay_score >= 40",
     "predicted_issues": f"WITH {ANALYSED}, {EXPECTED} SELECT file_path, type, description, probability, timeframe FROM ei",
     "top_predicted_types": f"WITH {ANALYSED}, {EXPECTED} SELECT type, count(*) AS n FROM ei GROUP BY type ORDER BY n DESC, type LIMIT 20",
     "avg_decay": f"WITH {ANALYSED}, m AS (SELECT CAST(sum(CAST(coalesce(decay_score, 0) AS DECIMAL(20,10))) AS DOUBLE) / count(*) AS x FROM an) SELECT {round_exact('x')} AS avg_decay_score FROM m",

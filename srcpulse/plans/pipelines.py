@@ -140,7 +140,8 @@ def check_changes(
     else all files are checked in place and their small counts are joined.
     """
     sized = validation.batch_status(requests, max_files)
-    looked_at = validation.validate_paths(requests, files, max_files, max_bytes)
+    # At most max_files + 1 short rows per batch, read three times below.
+    looked_at = materialize(validation.validate_paths(requests, files, max_files, max_bytes), "requests")
     rejected = validation.path_counts(looked_at)
     valid = looked_at.filter("outcome = 'valid'").select("batch_id", "requested_path")
     files = only_asked(files, valid.withColumnRenamed("requested_path", "file_path"), "file_path", max_broadcast_paths)

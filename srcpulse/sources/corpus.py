@@ -5,15 +5,20 @@ from __future__ import annotations
 import math
 import os
 import re
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from srcpulse.functions.text import universal_newlines
 from srcpulse.session import materialize
 
+# Functions sent to tasks travel with their code, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values: limits and folders left out ---------------------------------------------------
 MAX_BYTES = 2 * 1024 * 1024
 PROJECT_EXTENSIONS = (".py", ".js", ".ts")
