@@ -63,10 +63,11 @@ def _latest_tie_break():
 
 
 def _neighbours(spark, sf):
-    """Neighbours of each corpus file: searched once per distinct vector, then joined to the files by vector."""
-    vectors = A.table(spark, sf, "embeddings").filter("vec_id < 500").selectExpr("vec_id AS query_id", "embedding")
+    """Neighbours of each corpus file, which takes the vectors in turn: searched once per vector, then joined by vector."""
+    vectors = A.table(spark, sf, "embeddings").selectExpr("vec_id AS query_id", "embedding")
     found = similarity.nearest_patterns(vectors, A.patterns(spark, sf), metric="cosine")
-    files = A.table(spark, sf, "part").selectExpr(f"{A.corpus_path('p_partkey')} AS file_path", "p_partkey % 500 AS query_id")
+    turn = F.expr("p_partkey") % F.lit(vectors.count())
+    files = A.table(spark, sf, "part").select(F.expr(A.corpus_path("p_partkey")).alias("file_path"), turn.alias("query_id"))
     return files.join(found, "query_id").drop("query_id")
 
 

@@ -325,7 +325,7 @@ ANALYSED = f"""{CORPUS}, {IMPORTS}, {numbered(A.METRICS_CORPUS)},
 {trend('cyclomatic_complexity', 'reference', 2, 11, 'c')},
 cur AS (SELECT file_path, cyclomatic_complexity AS cc, maintainability_index AS mi FROM num WHERE rn = 1),
 {churn('lineitem', A.COMMITS_CORPUS, A.SHIP_AS_OF, 1095)},
-{knn('vec_id < 500')},
+{knn('true')},
 pr AS (SELECT query_id, {PATTERN_POINTS} AS pattern_risk, count(*) FILTER (collection = 'decay_patterns') AS pm,
   count(*) FILTER (collection = 'bug_patterns') AS bm,
   list(coalesce(bug_type, 'unknown') ORDER BY rank) FILTER (collection = 'bug_patterns') AS bugs FROM nb GROUP BY query_id),
@@ -333,7 +333,7 @@ sig AS (SELECT co.repo, co.file_path, coalesce(cc, 0) AS cc, mi, coalesce(c.tren
   coalesce(authors_count, 0) AS a, coalesce(avg_days_between_changes, 1095e0) AS g, import_count, dependency_depth, pattern_risk, pm, bm, bugs,
   {EXT.replace('file_path', 'co.file_path')} IN ({listed(SUPPORTED_EXTENSIONS)}) AS done
   FROM corpus co JOIN deps USING (file_path) LEFT JOIN cur USING (file_path) LEFT JOIN c USING (file_path) LEFT JOIN churn USING (file_path)
-  LEFT JOIN pr ON pr.query_id = co.file_id % 500),
+  LEFT JOIN pr ON pr.query_id = co.file_id % (SELECT count(*) FROM embeddings)),
 rs AS (SELECT *, {complexity_risk('cc', 'tr')} AS cr, {CHURN_RISK.format(n='n', a='a', g='g')} AS vr,
   {DEPENDENCY_RISK.format(n='import_count', d='dependency_depth')} AS dr FROM sig),
 raw AS (SELECT *, least(1e2, greatest(0e0, cr * 0.3e0 + vr * 0.25e0 + dr * 0.2e0 + coalesce(pattern_risk, 0) * 0.25e0)) AS x FROM rs),
