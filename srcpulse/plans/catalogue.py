@@ -524,6 +524,13 @@ def source_url_triage(spark, sf):
     return urls.reason_counts(urls.classify_source_urls(A.source_urls(spark, sf)))
 
 
+@query
+def url_targets(spark, sf):
+    listing = A.source_files(spark, sf, A.LISTING[:1]).withColumn("repo", F.lit("mono"))
+    found = urls.focus_or_walk(A.source_files(spark, sf, A.URL_TARGETS), listing)
+    return found.select("url_id", "path_in_repo", "focus_path", "walk_root")
+
+
 @query
 def pattern_catalogue(spark, sf):
     """The seeds, then the patterns of the embeddings table twice: ids that are there are not added again."""

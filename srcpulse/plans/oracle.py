@@ -497,6 +497,11 @@ ORACLE: dict[str, str] = {
     "repo_file_results": f"WITH {report(60)} SELECT repo, file_path, decay_score, risk_level, CAST(coalesce(issue_n, 0) AS BIGINT) AS style_issue_count FROM sel",
     "source_url_triage": f"WITH {URLS} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS urls FROM cu GROUP BY 1",
     "source_urls": SOURCE_URLS,
+    "url_targets": f"WITH t AS ({A.sql_view('part', A.URL_TARGETS)}), l AS ({A.sql_view('part', A.LISTING[:1])}), "
+    "p AS (SELECT *, CASE WHEN NOT is_raw_file AND path_in_repo NOT LIKE '%..%' THEN rtrim(path_in_repo, '/') END AS path FROM t), "
+    "d AS (SELECT DISTINCT path FROM p WHERE EXISTS (SELECT 1 FROM l WHERE starts_with(l.file_path, p.path || '/'))) "
+    "SELECT url_id, path_in_repo, CASE WHEN path IN (SELECT file_path FROM l) THEN path END AS focus_path, "
+    "CASE WHEN path IN (SELECT path FROM d) THEN path END AS walk_root FROM p",
     "pattern_catalogue": f"""WITH p AS ({A.sql_view('embeddings WHERE label < 4', A.PATTERNS)}),
  s(collection, pattern_id, bug_type, severity) AS (VALUES ('decay_patterns', 'pattern_001', NULL, NULL), ('decay_patterns', 'pattern_002', NULL, NULL), ('decay_patterns', 'pattern_003', NULL, NULL),
   ('bug_patterns', 'bug_001', 'division_by_zero', 'high'), ('bug_patterns', 'bug_002', 'sql_injection', 'critical'), ('bug_patterns', 'bug_003', 'security', 'critical')),

@@ -99,6 +99,16 @@ LISTING = (
     ),
     ("CASE WHEN p_partkey % 11 = 0 THEN CAST(3000000 AS BIGINT) ELSE CAST(1000 AS BIGINT) END", "size_bytes"),
 )
+URL_TARGETS = (
+    ("p_partkey", "url_id"),
+    ("'mono'", "repo"),
+    (
+        f"CASE p_partkey % 7 WHEN 0 THEN {LISTING[0][0]} WHEN 1 THEN 'src/' WHEN 2 THEN concat('src/builder/pkg', p_partkey % 40) "
+        "WHEN 3 THEN concat('absent/', p_partkey) WHEN 4 THEN 'src/../src' WHEN 5 THEN 'src' END",
+        "path_in_repo",
+    ),
+    ("p_partkey % 7 = 5", "is_raw_file"),
+)
 # Names at the top of a repository: one per flag and divisor of the repository number.
 HYGIENE_NAMES = (("README.md", 2), ("LICENSE", 3), (".gitignore", 4), ("CONTRIBUTING.md", 5), ("CODE_OF_CONDUCT.md", 6))
 

@@ -131,10 +131,12 @@ def _reader(root: str):
 def scan_corpus(
     spark: SparkSession, root: str, extensions: Sequence[str] = PROJECT_EXTENSIONS, max_bytes: int = MAX_BYTES,
     skip_dirs: Sequence[str] = PROJECT_SKIP, skip_hidden: bool = False, walk_root: str | None = None,
-    repo_is_first_folder: bool = False,
+    repo_is_first_folder: bool = False, focus_path: str | None = None,
 ) -> DataFrame:
     """Read a folder tree as ``repo, file_path, content, size_bytes``.
 
+    ``focus_path`` names one file below ``root`` that is read whatever its suffix or folder.
+
     Suffix and size are applied to the listing, so large and foreign files are never opened. The files are
     then spread evenly over enough tasks for about 128 MiB each and read there. Text that is not UTF-8
     comes as null content. ``file_path`` is the path below ``root``.
@@ -142,6 +144,13 @@ def scan_corpus(
     start = _inside(walk_root)
     keep = analyzable(F.col("file_path"), F.col("size_bytes"), extensions, max_bytes, skip_dirs, skip_hidden, walk_root)
     files = list_tree(spark, root, skip_dirs, skip_hidden, start).filter(keep)
+    focus = _inside(focus_path)
+    if focus:
+        system, base = _open(root)
+        info = system.get_file_info(f"{base}/{focus}")
+        if info.type == fs.FileType.File and info.size <= max_bytes:
+            one = spark.createDataFrame([(focus, info.size)], files.schema)
+            files = files.filter(F.col("file_path") != focus).unionByName(one)
     total = files.agg(F.sum("size_bytes")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / _TASK_BYTES))
     rows = files.repartition(tasks).mapInPandas(_reader(root), "file_path string, content string, size_bytes bigint")

@@ -46,6 +46,13 @@ def test_scan(spark, tree):
     ]
 
 
+def test_focus_file_comes_whatever_its_name(spark, tree):
+    focused = corpus.scan_corpus(spark, tree, [".js"], focus_path="c.txt")
+    assert sorted(r.file_path for r in focused.collect()) == ["b.js", "c.txt", "dist/o.js"]
+    for path in ("big.py", "../c.txt", "none.py", "src"):
+        assert corpus.scan_corpus(spark, tree, [".js"], focus_path=path).count() == 2
+
+
 def _inputs(spark):
     commits = spark.createDataFrame(
         [("a.py", f"u{i % 6}", AS_OF - timedelta(days=i)) for i in range(25)] + [("src/d.py", "u", AS_OF - timedelta(days=3))],
