@@ -146,7 +146,7 @@ def pack(
         n = left.count()
         if n == 0:
             break
-        tasks = -(-n // merge_rows)
+        tasks = -(-n // max(merge_rows, 4 * open_windows))  # each round leaves a quarter at most
         dealt = left.repartition(tasks, "sequence_id").sortWithinPartitions(F.desc("used"), "sequence_id")
         made = written(dealt.mapInArrow(_merge_windows(capacity, open_windows, step), MOVES), "pack-moves")
         now = made.select("sequence_id", "into", "base")
