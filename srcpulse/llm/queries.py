@@ -7,12 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from srcpulse.llm import decontaminate, packing, token_counts, token_files
+from srcpulse.llm import decontaminate, exact, packing, pii, repeats, simhash, token_counts, token_files, toxicity, url_templates
 from srcpulse.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), TOKENIZER)
 
@@ -21,16 +28,62 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_ids(documents(spark, sf_dir), TOKENIZER))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.report(decontaminate.find_items(documents(spark, sf_dir), items))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(documents(spark, sf_dir).select("doc_id", "text")).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.spans(documents(spark, sf_dir)))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), TOKENIZER)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_token_files, op6_decontaminate, op9_packing)
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_token_counts, op3_token_files, op4_simhash, op5_url_templates, op6_decontaminate, op7_exact_dedup,
+        op8_pii, op9_packing, op10_toxicity,
+    )
+}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"[x for x in string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"
+ORACLE: dict[str, str] = {
+    "op5_url_templates": url_templates.judge_sql(RULES),
+    "op6_decontaminate": f"""
+    WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+      windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') AS grams
+        FROM items, unnest(range(greatest(len(w) - 9, 1))) t(i) WHERE len(w) > 0),
+      docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+      sizes AS (SELECT DISTINCT n FROM windows),
+      runs AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS grams FROM docs, sizes, unnest(range(len(w) - n + 1)) t(i)),
+      hits AS (SELECT doc_id, r.n, i, item_id FROM runs r JOIN windows USING (n, grams)),
+      words AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM hits), unnest(range(n)) u(j) GROUP BY 1),
+      found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op7_exact_dedup": r"""
+    WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+      doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM norm""",
 }
-ORACLE: dict[str, str] = {}
