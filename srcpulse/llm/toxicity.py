@@ -114,7 +114,7 @@ def _lexicon(sample: DataFrame, base: float, size: int, least_docs: int, least_s
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    fit_rows: int = 40_000, lexicon_size: int = 5_000, least_docs: int = 5, least_share: float = 0.6,
+    fit_rows: int = 40_000, lexicon_size: int = 5_000, least_docs: int = 4, least_share: float = 0.5,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Model:
     """A model of the labels given; leave out rows of `labels` that must not be learned from."""
