@@ -26,7 +26,7 @@ from srcpulse.llm.common import texts
 FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
-HITS = "doc_id long, text string, n_words long, n_bytes long, spans array<struct<start:int,end:int>>, items array<string>"
+HITS = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -146,37 +146,43 @@ def _shards(items: DataFrame, shard_words: int) -> Iterator[list[tuple[object, l
     yield some
 
 
+def _automata(items: DataFrame, id_col: str, text_col: str, window: int, shard_words: int) -> list:
+    """Broadcast automata of all items, each of bounded size."""
+    chosen = items.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text"))
+    send = items.sparkSession.sparkContext.broadcast
+    return [send(Automaton(shard, window)) for shard in _shards(chosen, shard_words)]
+
+
+def _hits(sequence: list[bytes], shards: list) -> tuple[list[tuple[int, int]], set]:
+    found = [shard.value.hits(sequence) for shard in shards]
+    if len(found) == 1:
+        return found[0]
+    return united([span for spans, _ in found for span in spans]), set().union(*(names for _, names in found))
+
+
 def find_items(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
     item_text_col: str = "text", window: int = 10, shard_words: int = 4_000_000,
 ) -> DataFrame:
-    """doc_id, text, n_words, n_bytes, `spans` of hit words, `items` found (as strings), of every document."""
-    spark = docs.sparkSession
+    """doc_id, n_words, `spans` of hit words, `items` found (as strings), of every document."""
     rows = texts(docs, id_col, text_col)
-    chosen = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    shards = [spark.sparkContext.broadcast(Automaton(shard, window)) for shard in _shards(chosen, shard_words)]
+    shards = _automata(items, item_id_col, item_text_col, window, shard_words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_bytes, spans, found = [], [], [], []
+            n_words, spans, found = [], [], []
             for text in batch.column("text").to_pylist():
                 sequence = words(text)
-                hits: list[tuple[int, int]] = []
-                names: set = set()
-                for shard in shards:
-                    some, these = shard.value.hits(sequence)
-                    hits += some
-                    names |= these
+                hits, names = _hits(sequence, shards)
                 n_words.append(len(sequence))
-                n_bytes.append(len(text.encode()))
-                spans.append([{"start": a, "end": b} for a, b in (united(hits) if len(shards) > 1 else hits)])
+                spans.append([{"start": a, "end": b} for a, b in hits])
                 found.append(sorted(names))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(n_bytes, pa.int64()),
+                    batch.column("doc_id"), pa.array(n_words, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(found, pa.list_(pa.string())),
                 ],
-                ["doc_id", "text", "n_words", "n_bytes", "spans", "items"],
+                ["doc_id", "n_words", "spans", "items"],
             )
 
     return rows.mapInArrow(scan, HITS)
@@ -218,17 +224,25 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def decontaminated(found: DataFrame, *, most_covered: float = 0.8) -> DataFrame:
-    """doc_id, text of each row of `find_items`, hit words removed; a document with a larger share of hit words goes."""
+def decontaminated(
+    docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10,
+    most_covered: float = 0.8, shard_words: int = 4_000_000,
+) -> DataFrame:
+    """The rows of `docs`, all columns, with hit words removed from the text; rows with a larger share of hit words go."""
+    shards = _automata(items, item_id_col, item_text_col, window, shard_words)
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kept = [], []
-            for row in batch.to_pylist():
-                spans = [(s["start"], s["end"]) for s in row["spans"]]
-                if sum(b - a for a, b in spans) <= most_covered * row["n_words"]:
-                    ids.append(row["doc_id"])
-                    kept.append(without_spans(row["text"], spans) if spans else row["text"])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text"])
-
-    return found.mapInArrow(clean, "doc_id long, text string")
+            kept, rows = [], []
+            for i, text in enumerate(batch.column(at).to_pylist()):
+                sequence = words(text)
+                spans, _ = _hits(sequence, shards)
+                if sum(b - a for a, b in spans) <= most_covered * len(sequence):
+                    rows.append(i)
+                    kept.append(without_spans(text, spans) if spans else text)
+            some = batch.take(pa.array(rows, pa.int64()))
+            yield some.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
+
+    return docs.mapInArrow(clean, docs.schema)

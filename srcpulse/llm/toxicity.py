@@ -36,7 +36,7 @@ STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 #: Phrases in which a word of the lexicon is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "sore loser rule")
 _foreign = re.compile("[Ͱ-ӿԀ-ԯᴀɑ]").search
-_stand_in = re.compile(r"[013457@$](?=[0-9@$]{0,4}[a-z])").sub
+_stand_in = re.compile(r"[013457@$](?=[0-9@$]{0,4}[a-z])|(?<=[a-z])0(?![0-9a-z])").sub
 _words = re.compile(r"[^\W\d_]+").findall
 #: The exponents of the text's length that are tried.
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)

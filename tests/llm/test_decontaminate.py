@@ -66,5 +66,6 @@ def test_removal_keeps_the_rest_and_drops_covered_documents(spark):
         "doc_id long, text string",
     )
     items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
-    kept = decontaminate.decontaminated(decontaminate.find_items(docs, items, window=3))
-    assert {r.doc_id: r.text for r in kept.collect()} == {1: "Keep this. ! And this.", 3: "clean", 4: ""}
+    kept = decontaminate.decontaminated(docs.withColumn("spans", decontaminate.F.lit(1)), items, window=3)
+    assert kept.columns == ["doc_id", "text", "spans"]
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: "Keep this. ! And this.", 3: "clean", 4: None}
