@@ -139,7 +139,9 @@ def _keyed(prints: DataFrame, masks: list[list[int]]) -> DataFrame:
                 keys = np.packbits(wide, axis=1).view(">i8")[:, 0].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), shard, np.int32)), pa.array(keys), batch.column("fp")], ["shard", "key", "fp"])
 
-    return prints.mapInArrow(key, "shard int, key long, fp binary")
+    # Fingerprints are small and their keys many: all tasks make keys, however few bytes the fingerprints have.
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return dealt.mapInArrow(key, "shard int, key long, fp binary")
 
 
 def _halved(keyed: DataFrame, bits: int, max_bits: int, shard_rows: int) -> DataFrame:
