@@ -157,10 +157,10 @@ def pattern_risk(decay: Column, bugs: Column, cfg: ScoreConfig = DEFAULT) -> Col
     return F.least(F.lit(100.0), total)
 
 
-def similar_issues(bugs: Column, keep: int = 3) -> Column:
-    """Bug type and severity of the nearest bug patterns; missing metadata reads ``unknown``."""
+def similar_issues(bugs: Column, keep: int | None = 3) -> Column:
+    """Bug type and severity of the ``keep`` nearest bug patterns, or of all given; missing metadata reads ``unknown``."""
     return F.transform(
-        F.slice(bugs, 1, keep),
+        bugs if keep is None else F.slice(bugs, 1, keep),
         lambda n: F.struct(
             F.coalesce(n["bug_type"], F.lit("unknown")).alias("type"),
             F.coalesce(n["severity"], F.lit("unknown")).alias("severity"),

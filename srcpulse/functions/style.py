@@ -282,5 +282,6 @@ def style_risk(issues: Column) -> Column:
     return F.least(F.lit(100), weighted).cast("int")
 
 
-def style_warnings(issues: Column, keep: int = 10) -> Column:
-    return F.transform(F.slice(issues, 1, keep), lambda i: i["message"])
+def style_warnings(issues: Column, keep: int | None = 10) -> Column:
+    """Messages of the first ``keep`` findings, or of all."""
+    return F.transform(issues if keep is None else F.slice(issues, 1, keep), lambda i: i["message"])

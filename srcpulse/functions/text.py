@@ -64,9 +64,11 @@ def short_path(path: Column, width: int = 60) -> Column:
     return F.when(F.length(path) > width, F.concat(F.lit("..."), F.right(path, F.lit(width - 3)))).otherwise(path)
 
 
-def code_sample(content: Column, n_lines: int = 1000) -> Column:
-    """The first ``n_lines`` lines with their breaks: the query text of the similarity search."""
+def code_sample(content: Column, n_lines: int | None = None) -> Column:
+    """The text, or its first ``n_lines`` lines with their breaks: the query text of the similarity search."""
     text = universal_newlines(content)
+    if n_lines is None:
+        return text
     head = F.substring_index(text, "\n", n_lines)
     return F.when(head == text, text).otherwise(F.concat(head, F.lit("\n")))
 

@@ -38,31 +38,35 @@ def commit_gaps(commits: DataFrame) -> DataFrame:
     return per_day.withColumn("gap_days", F.floor(elapsed / DAY_MICROS))
 
 
-def change_stats(
-    commits: DataFrame, as_of: datetime, days_back: int = 90, approximate_authors: bool = False
-) -> DataFrame:
+def change_stats(commits: DataFrame, as_of: datetime, days_back: int = 90) -> DataFrame:
     """Per file: commits, distinct authors, mean gap in days (``days_back`` for one commit), oldest and newest change.
 
-    The distinct count is planned by Spark over (file, author) first, so a hot file is spread by author.
+    One pass over the commits. They are counted per (file, author, day), which combines before the shuffle and spreads
+    a hot file over its authors and days; the first day of an author carries the author's count, so that days and then
+    files only add up numbers.
     """
     recent = in_window(commits, as_of, days_back)
-    rhythm = (
-        commit_gaps(recent)
+    per_author = recent.groupBy("file_path", "author", F.floor(micros(F.col("ts")) / DAY_MICROS).alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    by_author = Window.partitionBy("file_path", "author").orderBy("day")
+    is_new = F.col("author").isNotNull() & (F.row_number().over(by_author) == 1)
+    per_day = per_author.withColumn("new", is_new.cast("int")).groupBy("file_path", "day").agg(
+        F.sum("n").alias("commits"), F.sum("new").alias("authors"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
+    )
+    by_day = Window.partitionBy("file_path").orderBy("day")
+    elapsed = micros(F.col("first_ts")) - micros(F.lag("last_ts").over(by_day))
+    n = F.col("change_frequency")
+    mean = F.when(n > 1, round_half_even(F.col("gap_days").cast("double") / (n - 1))).otherwise(F.lit(float(days_back)))
+    return (
+        per_day.withColumn("gap_days", F.floor(elapsed / DAY_MICROS))
         .groupBy("file_path")
         .agg(
-            F.sum("commits").alias("change_frequency"),
-            F.coalesce(F.sum("gap_days"), F.lit(0)).alias("gap_days"),
-            F.min("first_ts").alias("last_modified"),
+            F.sum("commits").alias("change_frequency"), F.sum("authors").alias("authors_count"),
+            F.coalesce(F.sum("gap_days"), F.lit(0)).alias("gap_days"), F.min("first_ts").alias("last_modified"),
             F.max("last_ts").alias("latest_change"),
         )
-    )
-    count = F.approx_count_distinct("author") if approximate_authors else F.count_distinct("author")
-    authors = recent.groupBy("file_path").agg(count.alias("authors_count"))
-    n = F.col("change_frequency")
-    mean = F.when(n > 1, round_half_even(F.col("gap_days").cast("double") / (n - 1))).otherwise(F.lit(float(days_back)))
-    return rhythm.join(authors, "file_path").select(
-        "file_path", "change_frequency", "authors_count", mean.alias("avg_days_between_changes"), "last_modified",
-        "latest_change",
+        .select("file_path", "change_frequency", "authors_count", mean.alias("avg_days_between_changes"), "last_modified", "latest_change")
     )
 
 

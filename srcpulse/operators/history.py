@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from srcpulse.functions import scoring
 from srcpulse.functions.numbers import bind, round_half_even
-from srcpulse.operators.asked import only_asked
 
 
 def latest_predictions(predictions: DataFrame) -> DataFrame:
@@ -158,8 +157,9 @@ def risk_summary(latest: DataFrame) -> DataFrame:
 
 def prediction_status(requests: DataFrame, predictions: DataFrame, tie_break: Sequence[Column]) -> DataFrame:
     """Each requested path with its latest prediction, or ``not_analyzed``."""
-    known = latest_one(only_asked(predictions, requests, "file_path"), tie_break).select("file_path", "ts", "decay_score", "risk_level")
-    return requests.select("file_path").distinct().join(known, "file_path", "left").select(
+    asked = requests.select("file_path").distinct()
+    known = latest_one(predictions.join(asked, "file_path", "left_semi"), tie_break)
+    return asked.join(known.select("file_path", "ts", "decay_score", "risk_level"), "file_path", "left").select(
         "file_path",
         F.when(F.col("ts").isNull(), F.lit("not_analyzed")).otherwise(F.lit("analyzed")).alias("status"),
         "decay_score", "risk_level", "ts",

@@ -73,8 +73,8 @@ def file_metrics(files: DataFrame, keep=(), also=()) -> DataFrame:
     )
 
 
-def import_stats(files: DataFrame, keep=()) -> DataFrame:
-    """Distinct imports of each file: their number, the deepest name and the first ten names."""
+def import_stats(files: DataFrame, keep=(), first: int | None = None) -> DataFrame:
+    """Distinct imports of each file: their number, the deepest name and all names, or the ``first`` ones."""
     named = files.select(
         "file_path", *keep,
         imp.extract_imports(text.universal_newlines(F.col("content")), text.extension(F.col("file_path"))).alias("_imports"),
@@ -84,7 +84,7 @@ def import_stats(files: DataFrame, keep=()) -> DataFrame:
         "file_path", *keep,
         F.size(names).alias("import_count"),
         imp.dependency_depth(names).alias("dependency_depth"),
-        F.slice(names, 1, 10).alias("imports"),
+        (names if first is None else F.slice(names, 1, first)).alias("imports"),
     )
 
 

@@ -45,10 +45,15 @@ HYGIENE_FLAGS = ("has_readme", "has_license", "has_gitignore", "has_contributing
 # -------------------------------------------------------------------------------------------------
 
 
-def top_predicted_types(predictions: DataFrame, n: int = 20, by: Sequence[str] = ()) -> DataFrame:
-    """The ``n`` most common predicted issue types, per ``by`` if given; equal counts in order of the type."""
+def top_predicted_types(predictions: DataFrame, n: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Predicted issue types with their counts, per ``by`` if given; the ``n`` most common ones where ``n`` is given.
+
+    Equal counts are in order of the type.
+    """
     kinds = predictions.select(*by, F.explode_outer("predicted_issues").alias("i")).filter(F.col("i").isNotNull())
     counts = kinds.groupBy(*by, F.coalesce("i.type", F.lit("unknown")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    if n is None:
+        return counts
     if not by:
         return counts.orderBy(F.desc("n"), "type").limit(n)
     order = Window.partitionBy(*by).orderBy(F.desc("n"), "type")
@@ -68,9 +73,14 @@ def avg_decay(predictions: DataFrame) -> DataFrame:
     return predictions.agg(round_half_even(mean_decay(F.col("decay_score"))).alias("avg_decay_score"))
 
 
-def repo_hygiene(listing: DataFrame) -> DataFrame:
-    """Five flags from the names at the top of each repository, which may be files or folders."""
-    below = F.substring(F.col("file_path"), F.length("repo") + 2, F.length("file_path"))
+def repo_hygiene(listing: DataFrame, below_root: bool = False) -> DataFrame:
+    """Five flags from the names at the top of each repository, which may be files or folders.
+
+    Paths start with the repository's name, or with ``below_root``, as ``scan_corpus`` gives them, right below it.
+    """
+    below = F.col("file_path")
+    if not below_root:
+        below = F.substring(below, F.length("repo") + 2, F.length("file_path"))
     name = F.lower(F.split(below, "/", 2).getItem(0))
     top = listing.select("repo", name.alias("n"))
     n = F.col("n")
@@ -102,8 +112,8 @@ def shareability(has_readme, has_license, has_gitignore, has_contributing, criti
     )
 
 
-def select_bounded(files: DataFrame, max_files: int | None = 60, focus: Column | None = None) -> DataFrame:
-    """The first files of each repository: a focus file first, then by path. ``max_files=None`` keeps all.
+def select_bounded(files: DataFrame, max_files: int | None = None, focus: Column | None = None) -> DataFrame:
+    """All files, or the first ``max_files`` of each repository: a focus file first, then by path.
 
     Give it rows without the text: the choice needs keys only.
     """
@@ -114,14 +124,14 @@ def select_bounded(files: DataFrame, max_files: int | None = 60, focus: Column |
     return files.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_files).drop("_r")
 
 
-def skipped_counts(files: DataFrame, max_files: int | None = 60) -> DataFrame:
+def skipped_counts(files: DataFrame, max_files: int | None = None) -> DataFrame:
     total = F.count(F.lit(1))
     skipped = F.greatest(total - max_files, F.lit(0)) if max_files is not None else F.lit(0)
     return files.groupBy("repo").agg(skipped.cast("bigint").alias("files_skipped"))
 
 
 def repo_report(
-    selected: DataFrame, skipped: DataFrame, listing: DataFrame, top_files: int = 15, top_types: int = 20
+    selected: DataFrame, skipped: DataFrame, listing: DataFrame, top_files: int = 15, top_types: int = 20, below_root: bool = False
 ) -> DataFrame:
     """One row per repository.
 
@@ -151,7 +161,7 @@ def repo_report(
         )
     )
     # Listings start the join: a repository without a source file still has its hygiene row.
-    joined = repo_hygiene(listing)
+    joined = repo_hygiene(listing, below_root)
     for part in (sums, skipped, risky, kinds):
         joined = joined.join(part, "repo", "left")
     numbers = ("files_analyzed", "files_skipped", "high_risk_count", "total_issues", *style.SEVERITIES, *style.CATEGORIES)

@@ -51,9 +51,10 @@ def style_issue_rows(checked: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return rows.select("file_path", *keep, "i.*")
 
 
-def issues_per_file(checked: DataFrame, keep: int = 25) -> DataFrame:
-    """The first ``keep`` findings of each file in rule order, and the full count."""
-    return checked.select("file_path", F.slice("issues", 1, keep).alias("style_issues"), F.col("issue_count"))
+def issues_per_file(checked: DataFrame, keep: int | None = None) -> DataFrame:
+    """The findings of each file in rule order, or the first ``keep``, and the full count."""
+    shown = F.col("issues") if keep is None else F.slice("issues", 1, keep)
+    return checked.select("file_path", shown.alias("style_issues"), F.col("issue_count"))
 
 
 def severity_counts(issue_rows: DataFrame) -> DataFrame:

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from srcpulse.operators.asked import only_asked
-
 # --- fixed values: limits ------------------------------------------------------------------------
-MAX_FILES = 200
 MAX_BYTES = 2 * 1024 * 1024
 MAX_PATH_LENGTH = 4096
 # -------------------------------------------------------------------------------------------------
@@ -27,48 +24,55 @@ def change_set(status: DataFrame) -> DataFrame:
     )
 
 
-def batch_status(requests: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
-    """Number of requested paths of each batch, and whether it is refused as a whole."""
+def batch_status(requests: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Number of requested paths of each batch, and whether it is refused as a whole: over twice ``max_files``, if given."""
+    refused = F.lit(False) if max_files is None else F.col("requested") > 2 * max_files
     return requests.groupBy("batch_id").agg(F.count(F.lit(1)).alias("requested")).select(
         "batch_id",
         "requested",
-        F.when(F.col("requested") > 2 * max_files, F.lit("too_many_paths")).otherwise(F.lit("accepted")).alias(
+        F.when(refused, F.lit("too_many_paths")).otherwise(F.lit("accepted")).alias(
             "batch_status"
         ),
     )
 
 
 def validate_paths(
-    requests: DataFrame, files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES,
-    max_path_length: int = MAX_PATH_LENGTH,
+    requests: DataFrame, files: DataFrame, max_files: int | None = None, max_bytes: int = MAX_BYTES,
+    max_path_length: int = MAX_PATH_LENGTH, below_root: bool = False,
 ) -> DataFrame:
-    """Requested paths that were looked at, with ``outcome`` valid, oversized or rejected.
+    """Requested paths with ``outcome`` valid, oversized or rejected.
 
-    ``requests(batch_id, repo, request_ord, requested_path)``, ``files(file_path, size_bytes)``. Only the
-    first ``max_files + 1`` requests of a batch are looked at, and none after ``max_files`` valid ones.
+    ``requests(batch_id, repo, request_ord, requested_path)``, ``files(file_path, size_bytes)``. Paths start with the
+    repository's name, or with ``below_root`` right below it; then ``files`` has ``repo`` too and both must fit.
+    Every request is answered. With ``max_files`` only those that a batch of that size looks at: the first ``max_files + 1`` requests of a batch are looked at, and none after ``max_files`` valid ones.
     The first cut is a row number, made before the shuffle, so the running count sees at most
     ``max_files + 1`` rows of a batch.
     """
     order = Window.partitionBy("batch_id").orderBy("request_ord")
-    first = requests.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_files + 1)
-    known = only_asked(files.select(F.col("file_path").alias("requested_path"), F.col("size_bytes")), first, "requested_path")
+    first = requests
+    if max_files is not None:
+        first = requests.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_files + 1)
+    keys = ["repo", "requested_path"] if below_root else ["requested_path"]
+    known = files.select(*keys[:-1], F.col("file_path").alias("requested_path"), F.col("size_bytes"))
     path = F.col("requested_path")
     inside = (
         F.col("size_bytes").isNotNull()
         & (path != "")
         & (F.length(path) <= max_path_length)
-        & F.startswith(path, F.concat(F.rtrim(F.col("repo"), F.lit("/")), F.lit("/")))
+        & (F.lit(True) if below_root else F.startswith(path, F.concat(F.rtrim(F.col("repo"), F.lit("/")), F.lit("/"))))
     )
     outcome = (
         F.when(~inside, F.lit("rejected")).when(F.col("size_bytes") > max_bytes, F.lit("oversized")).otherwise(F.lit("valid"))
     )
+    answered = first.join(known, keys, "left").withColumn("outcome", outcome)
+    columns = ("batch_id", "repo", "request_ord", "requested_path", "outcome")
+    if max_files is None:
+        return answered.select(*columns)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        first.join(known, "requested_path", "left")
-        .withColumn("outcome", outcome)
-        .withColumn("_before", F.coalesce(F.sum((F.col("outcome") == "valid").cast("int")).over(before), F.lit(0)))
+        answered.withColumn("_before", F.coalesce(F.sum((F.col("outcome") == "valid").cast("int")).over(before), F.lit(0)))
         .filter(F.col("_before") < max_files)
-        .select("batch_id", "repo", "request_ord", "requested_path", "outcome")
+        .select(*columns)
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from srcpulse.functions import scoring, style, text
 from srcpulse.operators import churn, history as hist, metrics, model, rollups, similarity, style as so, urls, validation
 from srcpulse.plans import pipelines
-from srcpulse.plans.oracle import BATCH
 from srcpulse.session import materialize, shared_dir
 from srcpulse.sources import adapters as A, corpus, patterns as pat, store
 from srcpulse.streaming import live
@@ -71,10 +70,18 @@ def _neighbours(spark, sf):
     return files.join(found, "query_id").drop("query_id")
 
 
-def analysed(spark, sf, rules=None) -> DataFrame:
-    """The whole score over the corpus."""
+def _report_files(files: DataFrame) -> DataFrame:
+    """Source files that a repository report lists: by suffix, without folders of tools and hidden ones."""
+    keep = corpus.analyzable(
+        F.col("file_path"), F.lit(0), corpus.REPOSITORY_EXTENSIONS, skip_dirs=corpus.REPOSITORY_SKIP, skip_hidden=True
+    )
+    return files.filter(keep)
+
+
+def analysed(spark, sf, rules=None, files=None) -> DataFrame:
+    """The whole score over the corpus, or over other files."""
     return pipelines.analyze_files(
-        A.source_files(spark, sf), _commits(spark, sf, A.COMMITS_CORPUS), _metrics(spark, sf, A.METRICS_CORPUS),
+        A.source_files(spark, sf) if files is None else files, _commits(spark, sf, A.COMMITS_CORPUS), _metrics(spark, sf, A.METRICS_CORPUS),
         _neighbours(spark, sf), SHIP_AS_OF, days_back=1095, newest_is_current=True, history_tie_break=_metrics_order(),
         keep=["repo"], rules=rules,
     )
@@ -250,6 +257,12 @@ def dependency_risk(spark, sf):
 
 @query
 def code_sample(spark, sf):
+    sampled = A.documents(spark, sf).select("doc_id", text.code_sample(F.col("text")).alias("s"))
+    return sampled.select("doc_id", F.md5("s").alias("sample_md5"), F.length("s").alias("sample_length"))
+
+
+@query
+def code_sample_first10(spark, sf):
     sampled = A.documents(spark, sf).select("doc_id", text.code_sample(F.col("text"), 10).alias("s"))
     return sampled.select("doc_id", F.md5("s").alias("sample_md5"), F.length("s").alias("sample_length"))
 
@@ -272,7 +285,7 @@ def style_risk(spark, sf):
 
 @query
 def style_issues_top25(spark, sf):
-    first = so.issues_per_file(so.style_check(A.source_files(spark, sf)))
+    first = so.issues_per_file(so.style_check(A.source_files(spark, sf)), 25)
     rows = first.select("file_path", F.posexplode_outer("style_issues").alias("p", "i"), "issue_count")
     return rows.filter("i IS NOT NULL").select(
         "file_path", (F.col("p") + 1).alias("issue_no"), "i.type", "i.line", F.col("issue_count").alias("style_issue_count")
@@ -352,12 +365,18 @@ def paths_in_repo(spark, sf):
 
 @query
 def validate_paths(spark, sf):
-    return validation.validate_paths(*_path_inputs(spark, sf), max_files=BATCH)
+    return validation.validate_paths(*_path_inputs(spark, sf))
+
+
+@query
+def validate_paths_first60(spark, sf):
+    """What a batch of at most 60 files looks at."""
+    return validation.validate_paths(*_path_inputs(spark, sf), max_files=60)
 
 
 @query
 def path_counts(spark, sf):
-    return validation.path_counts(validation.validate_paths(*_path_inputs(spark, sf), max_files=BATCH))
+    return validation.path_counts(validation.validate_paths(*_path_inputs(spark, sf)))
 
 
 @query
@@ -371,8 +390,15 @@ def validate_repos(spark, sf):
 @query
 def check_changes(spark, sf):
     requests, sizes = _path_inputs(spark, sf)
-    files = A.source_files(spark, sf, (*A.CORPUS, A.SIZED_FILES[1]))
-    return pipelines.check_changes(requests, files, max_files=BATCH)
+    files = A.source_files(spark, sf, (*A.CORPUS_WITH_GAPS, A.SIZED_FILES[1]))
+    return pipelines.check_changes(requests, files)
+
+
+@query
+def check_changes_issues(spark, sf):
+    requests, sizes = _path_inputs(spark, sf)
+    files = A.source_files(spark, sf, (*A.CORPUS_WITH_GAPS, A.SIZED_FILES[1]))
+    return pipelines.check_changes_issues(requests, files).select("batch_id", *ISSUE_COLUMNS)
 
 
 # --- similarity ----------------------------------------------------------------------------------
@@ -439,7 +465,7 @@ def predicted_issues(spark, sf):
 
 @query
 def top_predicted_types(spark, sf):
-    return rollups.top_predicted_types(analysed(spark, sf))
+    return rollups.top_predicted_types(analysed(spark, sf), 20)
 
 
 @query
@@ -466,11 +492,21 @@ def decay_features(spark, sf):
 
 @query
 def rf_train_score(spark, sf):
-    """Train on the features of the whole corpus with the score as target, then score the same files."""
+    """Train on the features of the whole corpus with the score as target, save, load, and score the same files.
+
+    A forest's trees are its library's own; what must hold of any is returned: predictions lie in the range of the
+    targets, and their squared error is below that of the mean.
+    """
     done = analysed(spark, sf).filter("status = 'completed'").withColumn("target", F.col("decay_score"))
     features = materialize(model.decay_features(done, keep=("file_path", "target")), "features")
-    forest = model.train_decay_model(features)
-    return model.score_decay(forest, features).select("file_path", "target", "prediction")
+    path = shared_dir(spark, "forest")
+    model.save_model(model.train_decay_model(features), path)
+    scored = model.score_decay(model.load_or_train(path, features), features).select("file_path", "target", "prediction")
+    low, high, mean = features.agg(F.min("target"), F.max("target"), F.avg("target")).first()
+    squared = lambda by: F.sum((by - F.col("target")) ** 2)
+    own, of_mean = scored.agg(squared(F.col("prediction")), squared(F.lit(mean))).first()
+    inside = F.col("prediction").between(low - 1e-9, high + 1e-9)
+    return scored.select("file_path", "target", inside.alias("in_range"), F.lit(own < of_mean).alias("beats_mean"))
 
 
 # --- repositories --------------------------------------------------------------------------------
@@ -480,7 +516,8 @@ def repo_hygiene(spark, sf):
 
 
 def _report(spark, sf):
-    return pipelines.repo_report(analysed(spark, sf, style.DEFAULT_RULES), A.repo_listing(spark, sf))
+    files = _report_files(A.source_files(spark, sf))
+    return pipelines.repo_report(analysed(spark, sf, style.DEFAULT_RULES, files), A.repo_listing(spark, sf))
 
 
 @query
@@ -495,6 +532,7 @@ def repo_report(spark, sf):
     flat = {"shareability_recommendations": "suggestions", "predicted_issue_types": "predicted_issue_types"}
     return report.select(
         *[c for c in report.columns if c not in flat and c != "highest_risk_files"],
+        F.coalesce(joined(F.col("highest_risk_files.file_path"), ","), F.lit("")).alias("highest_risk_files"),
         joined("shareability_recommendations").alias("suggestions"),
         F.coalesce(joined(kinds, ","), F.lit("")).alias("predicted_issue_types"),
     )
@@ -502,8 +540,15 @@ def repo_report(spark, sf):
 
 @query
 def repo_file_results(spark, sf):
-    selected = rollups.select_bounded(analysed(spark, sf, style.DEFAULT_RULES))
-    return selected.select("repo", "file_path", "decay_score", "risk_level", F.col("issue_count").alias("style_issue_count"))
+    """Every file of a report with its status, expected issues, recommendations and findings."""
+    files = _report_files(A.source_files(spark, sf))
+    scored = analysed(spark, sf, style.DEFAULT_RULES, files).drop("issue_count")
+    found = F.transform("issues", lambda i: F.concat_ws(":", i["type"], i["line"]))
+    checked = so.style_check(files).select("file_path", joined(found, ",").alias("findings"), F.col("issue_count").cast("bigint").alias("style_issue_count"))
+    return scored.join(checked, "file_path").select(
+        "repo", "file_path", "status", "decay_score", "risk_level", joined(F.col("predicted_issues.type"), ",").alias("predicted_issue_types"),
+        joined("recommendations").alias("recommendations"), "style_issue_count", "findings",
+    )
 
 
 @query
@@ -534,9 +579,9 @@ def url_targets(spark, sf):
 @query
 def pattern_catalogue(spark, sf):
     """The seeds, then the patterns of the embeddings table twice: ids that are there are not added again."""
-    reviewed = F.when(F.expr("label IN (2, 3) AND vec_id % 3 = 0"), F.create_map(F.lit("severity"), F.lit("reviewed")))
+    reviewed = F.when(F.expr("label >= 2 AND vec_id % 3 = 0"), F.create_map(F.lit("severity"), F.lit("reviewed")))
     added = A.view(
-        A.table(spark, sf, "embeddings").filter("label < 4"), (*A.PATTERNS, ("vec_id", "vec_id"), ("label", "label"))
+        A.table(spark, sf, "embeddings"), (*A.PATTERNS, ("vec_id", "vec_id"), ("label", "label"))
     ).select("collection", "pattern_id", "embedding", "bug_type", "severity", reviewed.alias("meta"), F.lit("").alias("text"))
     once = pat.with_patterns(pat.seed_patterns(spark), added)
     full = pat.with_patterns(once, added.unionByName(added))
@@ -589,6 +634,7 @@ def _drain(spark, rows, name):
 @query
 def stream_churn(spark, sf):
     commits = A.view(A.table_stream(spark, sf, "events"), A.COMMITS_EVENTS)
+    commits = live.closed(commits, shared_dir(spark, "stream-end"))
     done = _drain(spark, live.windowed_churn(commits), "stream-churn")
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
@@ -596,6 +642,7 @@ def stream_churn(spark, sf):
 @query
 def stream_progress(spark, sf):
     events = A.table_stream(spark, sf, "events").select("ts", F.col("event_type").alias("step"))
+    events = live.closed(events, shared_dir(spark, "stream-end"))
     done = _drain(spark, live.progress_counts(events), "stream-progress")
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 

@@ -273,8 +273,10 @@ UNREADABLE = (
 GAPS_CORPUS = f"corpus AS ({A.sql_view('part', A.CORPUS_WITH_GAPS)})"
 
 
-def requests_looked_at(max_files: int, max_bytes: int = 2 * 1024 * 1024) -> str:
-    """CTEs ending in ``looked``."""
+def requests_looked_at(max_files: int | None = None, max_bytes: int = 2 * 1024 * 1024) -> str:
+    """CTEs ending in ``looked``: every request, or those that a batch of ``max_files`` looks at."""
+    if max_files is None:
+        max_files = 2**40
     return f"""req AS ({A.sql_view('part', A.PATH_REQUESTS)}), fs AS ({A.sql_view('part', A.SIZED_FILES)}),
 o AS (SELECT req.*, row_number() OVER (PARTITION BY batch_id ORDER BY request_ord) AS n,
   CASE WHEN size_bytes IS NULL OR requested_path NOT LIKE repo || '/%' THEN 'rejected' WHEN size_bytes > {max_bytes} THEN 'oversized' ELSE 'valid' END AS outcome
@@ -284,21 +286,20 @@ run AS (SELECT *, coalesce(sum(CASE WHEN outcome = 'valid' THEN 1 ELSE 0 END) OV
 looked AS (SELECT batch_id, repo, request_ord, requested_path, outcome FROM run WHERE before < {max_files})"""
 
 
-def check_changes(max_files: int) -> str:
+def check_changes() -> str:
     sums = ", ".join(f"sum(coalesce(per.{s}, 0)) AS {s}" for s in st.SEVERITIES)
     shown = ", ".join(
-        f"CASE WHEN requested <= {2 * max_files} THEN CAST(coalesce({c}, 0) AS BIGINT) END AS {c}"
+        f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}"
         for c in ("files_checked", "files_with_issues", "total_issues", *st.SEVERITIES, "paths_rejected")
     )
     ok = "coalesce(critical, 0) = 0 AND coalesce(high, 0) = 0"
-    return f"""WITH {style_cte()}, {BY_FILE}, {requests_looked_at(max_files)},
+    return f"""WITH {style_cte(GAPS_CORPUS)}, {BY_FILE}, {requests_looked_at()},
 b AS (SELECT batch_id, count(*) AS requested FROM req GROUP BY batch_id),
 rj AS (SELECT batch_id, count(*) FILTER (outcome <> 'valid') AS paths_rejected FROM looked GROUP BY batch_id),
 s AS (SELECT batch_id, count(*) AS files_checked, count(per.n) AS files_with_issues, sum(coalesce(per.n, 0)) AS total_issues, {sums}
   FROM looked LEFT JOIN per ON requested_path = per.file_path WHERE outcome = 'valid' GROUP BY batch_id)
-SELECT batch_id, CASE WHEN requested > {2 * max_files} THEN 'too_many_paths' ELSE 'accepted' END AS batch_status,
- CASE WHEN requested <= {2 * max_files} THEN {ok} END AS ok, {shown},
- CASE WHEN requested <= {2 * max_files} THEN CASE WHEN coalesce(files_checked, 0) = 0 THEN {q(so.NO_VALID_FILES)} WHEN {ok} THEN {q(so.GATE_PASSED)} ELSE {q(so.GATE_FAILED)} END END AS message
+SELECT batch_id, 'accepted' AS batch_status, {ok} AS ok, {shown},
+ CASE WHEN coalesce(files_checked, 0) = 0 THEN {q(so.NO_VALID_FILES)} WHEN {ok} THEN {q(so.GATE_PASSED)} ELSE {q(so.GATE_FAILED)} END AS message
 FROM b LEFT JOIN rj USING (batch_id) LEFT JOIN s USING (batch_id)"""
 
 
@@ -362,18 +363,20 @@ hy AS (SELECT repo, bool_or(n = 'readme' OR n LIKE 'readme.%') AS has_readme, bo
  bool_or(contains(n, 'code_of_conduct') OR n = 'conduct.md') AS has_code_of_conduct FROM tops GROUP BY repo)"""
 
 
-def report(max_files: int) -> str:
-    """CTEs ending in ``rep``, one row per repository."""
+def report() -> str:
+    """CTEs ending in ``rep``, one row per repository, over the files that a report lists."""
     style_part = style_cte().split(",\nsc AS", 1)[1]
     sums = ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in (*st.CATEGORIES, *st.SEVERITIES))
+    counted = ("files_analyzed", "files_skipped", "mean", "high_risk_count", "total_issues", *st.CATEGORIES, *st.SEVERITIES)
+    filled = ", ".join(f"coalesce({c}, 0) AS {c}" for c in counted)
     return f"""{ANALYSED}, {EXPECTED}, sc AS{style_part}, {BY_FILE}, {HYGIENE},
-cut AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_path) AS fr, count(*) OVER (PARTITION BY repo) AS total FROM an),
+cut AS (SELECT * FROM an WHERE regexp_matches(file_path, '\\.(py|js|ts|jsx|tsx|go|rs|java)$')),
 sel AS (SELECT cut.*, per.n AS issue_n, {', '.join('per.' + c for c in (*st.SEVERITIES, *st.CATEGORIES))}
-  FROM cut LEFT JOIN per ON per.file_path = cut.file_path WHERE fr <= {max_files}),
-sm AS (SELECT repo, count(*) AS files_analyzed, max(greatest(total - {max_files}, 0)) AS files_skipped,
+  FROM cut LEFT JOIN per ON per.file_path = cut.file_path),
+sm AS (SELECT repo, count(*) AS files_analyzed, CAST(0 AS BIGINT) AS files_skipped,
   CAST(sum(CAST(coalesce(decay_score, 0) AS DECIMAL(20,10))) AS DOUBLE) / count(*) AS mean,
   count(*) FILTER (risk_level IN ('high', 'critical')) AS high_risk_count, CAST(sum(coalesce(issue_n, 0)) AS BIGINT) AS total_issues, {sums} FROM sel GROUP BY repo),
-rep AS (SELECT *, concat_ws(' | ', CASE WHEN NOT has_readme THEN {q(ru.ADD_README)} END, CASE WHEN NOT has_license THEN {q(ru.ADD_LICENSE)} END,
+rep AS (SELECT * REPLACE ({filled}), concat_ws(' | ', CASE WHEN NOT has_readme THEN {q(ru.ADD_README)} END, CASE WHEN NOT has_license THEN {q(ru.ADD_LICENSE)} END,
   CASE WHEN NOT has_gitignore THEN {q(ru.ADD_GITIGNORE)} END, CASE WHEN NOT has_contributing THEN {q(ru.ADD_CONTRIBUTING)} END,
   CASE WHEN critical > 0 THEN {q(ru.FIX_CRITICAL)} END, CASE WHEN ai_style >= 5 THEN {q(ru.TIGHTEN_STYLE)} END,
   CASE WHEN high_risk_count > 0 THEN high_risk_count || {q(ru.HIGH_RISK_FILES)} WHEN mean >= 50 THEN {q(ru.ELEVATED_RISK)} END,
@@ -404,7 +407,6 @@ SCAN_REPOSITORY = f"""WITH l AS ({A.sql_view('part', A.LISTING)}) SELECT file_pa
  AND NOT regexp_matches(file_path, '/(\\.git|node_modules|__pycache__|venv|\\.venv|dist|build)/') AND NOT regexp_matches(file_path, '/\\.[^/]+/')"""
 
 # --- every query ---------------------------------------------------------------------------------
-BATCH = 60  # files per batch of requested paths in the registered queries
 ORACLE: dict[str, str] = {
     "high_risk_latest": f"WITH {LATEST} SELECT prediction_id, file_path, ts, decay_score, risk_level FROM latest WHERE decay_score >= 70",
     "high_risk_report": f"WITH {LATEST} SELECT 7e1 AS threshold, count(*) AS count FROM latest WHERE decay_score >= 70",
@@ -459,12 +461,14 @@ ORACLE: dict[str, str] = {
     "OR (status = 'modified' AND repo NOT IN (SELECT repo FROM s WHERE status = 'staged'))",
     "paths_in_repo": f"WITH r AS ({A.sql_view('part', A.PATH_REQUESTS)}), f AS ({A.sql_view('part', A.SIZED_FILES)}) "
     "SELECT batch_id, requested_path, requested_path IN (SELECT file_path FROM f) AS known FROM r",
-    "validate_paths": f"WITH {requests_looked_at(BATCH)} SELECT * FROM looked",
-    "path_counts": f"WITH {requests_looked_at(BATCH)} SELECT batch_id, count(*) FILTER (outcome = 'valid') AS valid_paths, count(*) FILTER (outcome <> 'valid') AS paths_rejected FROM looked GROUP BY batch_id",
+    "validate_paths": f"WITH {requests_looked_at()} SELECT * FROM looked",
+    "validate_paths_first60": f"WITH {requests_looked_at(60)} SELECT * FROM looked",
+    "path_counts": f"WITH {requests_looked_at()} SELECT batch_id, count(*) FILTER (outcome = 'valid') AS valid_paths, count(*) FILTER (outcome <> 'valid') AS paths_rejected FROM looked GROUP BY batch_id",
     "validate_repos": f"WITH r AS ({A.sql_view('part', A.REPO_REQUESTS)}), k AS (SELECT DISTINCT concat('pkg', p_partkey % 20) AS repo FROM part) "
     "SELECT request_id, length(repo_path) AS path_length, CASE WHEN repo_path = '' OR repo_path = '/' OR length(repo_path) > 4096 THEN 'invalid' "
     "WHEN repo_path NOT IN (SELECT repo FROM k) THEN 'not_found' ELSE 'ok' END AS repo_status FROM r",
-    "check_changes": check_changes(BATCH),
+    "check_changes": check_changes(),
+    "check_changes_issues": f"WITH {style_cte(GAPS_CORPUS)}, {requests_looked_at()} SELECT batch_id, {ISSUE_COLUMNS} FROM looked JOIN issues ON requested_path = file_path WHERE outcome = 'valid'",
     "import_stats": f"WITH {CORPUS}, {IMPORTS} SELECT file_path, import_count, dependency_depth, imports FROM deps",
     "dependency_risk": f"WITH {CORPUS}, {IMPORTS} SELECT file_path, {DEPENDENCY_RISK.format(n='import_count', d='dependency_depth')} AS dependency_risk_score, "
     "CASE WHEN import_count > 25 THEN 'Very high import count (' || import_count || '). Consider modularization.' "
@@ -490,11 +494,16 @@ ORACLE: dict[str, str] = {
     "ORDER BY ts DESC, decay_score DESC, prediction_id) AS n FROM p), t AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY decay_score DESC, file_path) AS r "
     "FROM o WHERE n = 1 AND risk_level IN ('high', 'critical')) SELECT repo, CAST(r AS INTEGER) AS risk_rank, file_path, decay_score, risk_level FROM t WHERE r <= 15",
     "repo_hygiene": f"WITH {HYGIENE} SELECT * FROM hy",
-    "shareability": f"WITH {report(60)} SELECT repo, suggestions FROM rep",
-    "repo_report": f"WITH {report(60)} SELECT repo, files_analyzed, files_skipped, {round_exact('mean')} AS avg_decay_score, high_risk_count, "
+    "shareability": f"WITH {report()} SELECT repo, suggestions FROM rep",
+    "repo_report": f"WITH {report()} SELECT repo, files_analyzed, files_skipped, {round_exact('mean')} AS avg_decay_score, high_risk_count, "
     f"{', '.join(ru.HYGIENE_FLAGS)}, total_issues, {', '.join(st.CATEGORIES)}, {', '.join(st.SEVERITIES)}, suggestions, "
-    "(SELECT coalesce(string_agg(type || '=' || n, ',' ORDER BY n DESC, type), '') FROM (SELECT type, count(*) AS n FROM ei JOIN sel USING (file_path) WHERE sel.repo = rep.repo GROUP BY type ORDER BY n DESC, type LIMIT 20)) AS predicted_issue_types FROM rep",
-    "repo_file_results": f"WITH {report(60)} SELECT repo, file_path, decay_score, risk_level, CAST(coalesce(issue_n, 0) AS BIGINT) AS style_issue_count FROM sel",
+    "(SELECT coalesce(string_agg(type || '=' || n, ',' ORDER BY n DESC, type), '') FROM (SELECT type, count(*) AS n FROM ei JOIN sel USING (file_path) WHERE sel.repo = rep.repo GROUP BY type ORDER BY n DESC, type LIMIT 20)) AS predicted_issue_types, "
+    "(SELECT coalesce(string_agg(file_path, ',' ORDER BY decay_score DESC, file_path), '') FROM (SELECT * FROM sel WHERE sel.repo = rep.repo AND risk_level IN ('high', 'critical') "
+    "ORDER BY decay_score DESC, file_path LIMIT 15)) AS highest_risk_files FROM rep",
+    "repo_file_results": f"WITH {report()} SELECT repo, file_path, CASE WHEN done THEN 'completed' ELSE 'unsupported_file' END AS status, decay_score, risk_level, "
+    "CASE WHEN done THEN (SELECT coalesce(string_agg(type, ',' ORDER BY ord, nth), '') FROM (SELECT *, row_number() OVER () AS nth FROM ei) e WHERE e.file_path = sel.file_path) END AS predicted_issue_types, "
+    f"CASE WHEN done THEN concat_ws(' | ', {ADVICE}) END AS recommendations, CAST(coalesce(issue_n, 0) AS BIGINT) AS style_issue_count, "
+    "(SELECT coalesce(string_agg(type || ':' || line, ',' ORDER BY rule_ord, line), '') FROM issues i WHERE i.file_path = sel.file_path) AS findings FROM sel",
     "source_url_triage": f"WITH {URLS} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS urls FROM cu GROUP BY 1",
     "source_urls": SOURCE_URLS,
     "url_targets": f"WITH t AS ({A.sql_view('part', A.URL_TARGETS)}), l AS ({A.sql_view('part', A.LISTING[:1])}), "
@@ -502,14 +511,15 @@ ORACLE: dict[str, str] = {
     "d AS (SELECT DISTINCT path FROM p WHERE EXISTS (SELECT 1 FROM l WHERE starts_with(l.file_path, p.path || '/'))) "
     "SELECT url_id, path_in_repo, CASE WHEN path IN (SELECT file_path FROM l) THEN path END AS focus_path, "
     "CASE WHEN path IN (SELECT path FROM d) THEN path END AS walk_root FROM p",
-    "pattern_catalogue": f"""WITH p AS ({A.sql_view('embeddings WHERE label < 4', A.PATTERNS)}),
+    "pattern_catalogue": f"""WITH p AS ({A.sql_view('embeddings', A.PATTERNS)}),
  s(collection, pattern_id, bug_type, severity) AS (VALUES ('decay_patterns', 'pattern_001', NULL, NULL), ('decay_patterns', 'pattern_002', NULL, NULL), ('decay_patterns', 'pattern_003', NULL, NULL),
   ('bug_patterns', 'bug_001', 'division_by_zero', 'high'), ('bug_patterns', 'bug_002', 'sql_injection', 'critical'), ('bug_patterns', 'bug_003', 'security', 'critical')),
  a AS (SELECT collection, pattern_id, bug_type, severity, CASE WHEN collection = 'bug_patterns' AND CAST(pattern_id AS BIGINT) % 3 = 0 THEN 'reviewed' ELSE severity END AS meta_severity FROM p)
  SELECT collection, pattern_id, bug_type, severity, severity AS meta_severity FROM s UNION ALL SELECT collection, pattern_id, bug_type, severity, meta_severity FROM a""",
     "corpus_scan": SCAN_PROJECT,
     "corpus_scan_repository": SCAN_REPOSITORY,
-    "code_sample": "WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, "
+    "code_sample": "SELECT doc_id, md5(text) AS sample_md5, CAST(length(text) AS INTEGER) AS sample_length FROM documents",
+    "code_sample_first10": "WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, "
     "md5(CASE WHEN len(ls) > 10 THEN array_to_string(ls[1:10], chr(10)) || chr(10) ELSE text END) AS sample_md5, "
     "CAST(length(CASE WHEN len(ls) > 10 THEN array_to_string(ls[1:10], chr(10)) || chr(10) ELSE text END) AS INTEGER) AS sample_length FROM d",
     "short_path": "SELECT page_id, CASE WHEN length(url) > 30 THEN '...' || right(url, 27) ELSE url END AS short_url FROM pages",
@@ -518,14 +528,15 @@ ORACLE: dict[str, str] = {
     "metrics_append": f"WITH {ANALYSED} SELECT file_path, TIMESTAMP '{A.SHIP_AS_OF}' AS ts, CAST(cc AS DOUBLE) AS cyclomatic_complexity, CAST(n AS INTEGER) AS change_frequency, "
     "CAST(a AS INTEGER) AS authors_count, import_count, dependency_depth FROM an WHERE done",
     "predictions_append": f"WITH {ANALYSED} SELECT file_path, TIMESTAMP '{A.SHIP_AS_OF}' AS ts, decay_score, risk_level, 0.75e0 AS confidence FROM an WHERE done",
+    "rf_train_score": f"WITH {ANALYSED} SELECT file_path, decay_score AS target, true AS in_range, true AS beats_mean FROM an WHERE done",
     "decay_features": f"WITH {ANALYSED} SELECT file_path, CAST(cc AS DOUBLE) AS current_complexity, CASE WHEN tr = 'increasing' THEN 1e0 ELSE 0e0 END AS complexity_increasing, "
     "CAST(n AS DOUBLE) AS change_frequency, CAST(a AS DOUBLE) AS authors_count, CAST(import_count AS DOUBLE) AS import_count, "
     "CAST(dependency_depth AS DOUBLE) AS dependency_depth, CAST(coalesce(pm, 0) AS DOUBLE) AS pattern_matches, CAST(coalesce(bm, 0) AS DOUBLE) AS bug_pattern_matches FROM an WHERE done",
-    "stream_churn": f"""WITH e AS ({A.sql_view('events', A.SQL_COMMITS_EVENTS)}), w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM e),
+    "stream_churn": f"""WITH e AS ({A.sql_view('events', A.SQL_COMMITS_EVENTS)}),
  d AS (SELECT date_trunc('day', ts) AS s, file_path, count(*) AS commits, count(DISTINCT author) AS authors FROM e GROUP BY ALL)
- SELECT s AS window_start, s + INTERVAL 1 DAY AS window_end, file_path, commits AS change_frequency, authors AS authors_count FROM d, w WHERE s + INTERVAL 1 DAY <= mark""",
-    "stream_progress": "WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events), d AS (SELECT date_trunc('hour', ts) AS s, event_type AS step, count(*) AS events FROM events GROUP BY ALL) "
-    "SELECT s AS window_start, s + INTERVAL 1 HOUR AS window_end, step, events FROM d, w WHERE s + INTERVAL 1 HOUR <= mark",
+ SELECT s AS window_start, s + INTERVAL 1 DAY AS window_end, file_path, commits AS change_frequency, authors AS authors_count FROM d""",
+    "stream_progress": "WITH d AS (SELECT date_trunc('hour', ts) AS s, event_type AS step, count(*) AS events FROM events GROUP BY ALL) "
+    "SELECT s AS window_start, s + INTERVAL 1 HOUR AS window_end, step, events FROM d",
     "stream_latest": f"WITH {LATEST} SELECT prediction_id, file_path, ts, decay_score, risk_level FROM latest",
     "stream_style_gate": f"WITH {style_cte()}, {gate('issues', 'corpus')}",
 }

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from srcpulse.functions import imports as imp, scoring, style
 from srcpulse.operators import churn, history as hist, metrics, rollups, similarity, style as style_ops, validation
-from srcpulse.operators.asked import MAX_BROADCAST_KEYS, only_asked
 from srcpulse.session import materialize
 from srcpulse.sources import corpus, store
 
@@ -17,7 +16,7 @@ COMPLEXITY, MAINTAINABILITY = "cyclomatic_complexity", "maintainability_index"
 
 
 def text_signals(
-    files: DataFrame, keep: Sequence[str] = (), rules: Sequence[style.Rule] | None = None
+    files: DataFrame, keep: Sequence[str] = (), rules: Sequence[style.Rule] | None = None, first_imports: int | None = None
 ) -> DataFrame:
     """Everything that comes from the text of a file, in one pass without a shuffle; the text ends here.
 
@@ -30,7 +29,7 @@ def text_signals(
     names = F.col("_imports")
     extra = [
         F.size(names).alias("import_count"), imp.dependency_depth(names).alias("dependency_depth"),
-        F.slice(names, 1, 10).alias("imports"),
+        (names if first_imports is None else F.slice(names, 1, first_imports)).alias("imports"),
     ]
     if rules is not None:
         extra += [F.size("issues").cast("bigint").alias("issue_count"), *style_ops.severity_columns("issues")]
@@ -129,26 +128,32 @@ def analyze_files(
     return predict_decay(filled, as_of, cfg)
 
 
+def _valid_files(looked_at: DataFrame, files: DataFrame, below_root: bool) -> DataFrame:
+    """Files that a valid request names. Requests name their repository, so both join on it where paths lie below it."""
+    keys = ["repo", "file_path"] if below_root else ["file_path"]
+    asked = looked_at.filter("outcome = 'valid'").withColumnRenamed("requested_path", "file_path").select(*keys).distinct()
+    return files.join(asked, keys, "left_semi")
+
+
 def check_changes(
-    requests: DataFrame, files: DataFrame, max_files: int = validation.MAX_FILES, max_bytes: int = validation.MAX_BYTES,
-    rules: Sequence[style.Rule] = style.DEFAULT_RULES, max_broadcast_paths: int = MAX_BROADCAST_KEYS,
+    requests: DataFrame, files: DataFrame, max_files: int | None = None, max_bytes: int = validation.MAX_BYTES,
+    rules: Sequence[style.Rule] = style.DEFAULT_RULES, report_unreadable: bool = False, below_root: bool = False,
 ) -> DataFrame:
-    """One gate row per batch of requested paths.
+    """One gate row per batch of requested paths; every request counts.
 
-    A batch with more than twice ``max_files`` paths is refused. Texts are never shuffled: where the
-    requested paths are counted to be few, they are sent to the files and only those files are checked;
-    else all files are checked in place and their small counts are joined.
+    With ``max_files`` a batch of more than twice that number is refused. Text that cannot be read has no finding, or a
+    ``check_error`` with ``report_unreadable``. Only files that a request names are checked.
     """
     sized = validation.batch_status(requests, max_files)
-    # At most max_files + 1 short rows per batch, read three times below.
-    looked_at = materialize(validation.validate_paths(requests, files, max_files, max_bytes), "requests")
+    # A short row per request, read three times below.
+    looked_at = materialize(validation.validate_paths(requests, files, max_files, max_bytes, below_root=below_root), "requests")
     rejected = validation.path_counts(looked_at)
-    valid = looked_at.filter("outcome = 'valid'").select("batch_id", "requested_path")
-    files = only_asked(files, valid.withColumnRenamed("requested_path", "file_path"), "file_path", max_broadcast_paths)
-    checked = style_ops.style_check(files, rules, report_unreadable=True).select(
-        F.col("file_path").alias("requested_path"), "issue_count", *style_ops.severity_columns()
-    )
-    valid = valid.join(checked, "requested_path")
+    keys = ["repo", "requested_path"] if below_root else ["requested_path"]
+    valid = looked_at.filter("outcome = 'valid'").select("batch_id", *keys)
+    checked = style_ops.style_check(
+        _valid_files(looked_at, files, below_root), rules, report_unreadable=report_unreadable, keep=keys[:-1]
+    ).select(*keys[:-1], F.col("file_path").alias("requested_path"), "issue_count", *style_ops.severity_columns())
+    valid = valid.join(checked, keys)
     zero = F.lit(0).cast("bigint")
     sums = valid.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("files_checked"),
@@ -172,6 +177,21 @@ def check_changes(
     )
 
 
+def check_changes_issues(
+    requests: DataFrame, files: DataFrame, max_files: int | None = None, max_bytes: int = validation.MAX_BYTES,
+    rules: Sequence[style.Rule] = style.DEFAULT_RULES, report_unreadable: bool = False, below_root: bool = False,
+) -> DataFrame:
+    """The findings behind ``check_changes``: a row per batch, file and finding."""
+    looked_at = materialize(validation.validate_paths(requests, files, max_files, max_bytes, below_root=below_root), "requests")
+    keys = ["repo", "file_path"] if below_root else ["file_path"]
+    checked = style_ops.style_check(
+        _valid_files(looked_at, files, below_root), rules, report_unreadable=report_unreadable, keep=keys[:-1]
+    )
+    issues = style_ops.style_issue_rows(checked, keys[:-1])
+    asked = looked_at.filter("outcome = 'valid'").withColumnRenamed("requested_path", "file_path").select("batch_id", *keys)
+    return asked.join(issues, keys)
+
+
 REPORT_COLUMNS = (
     "repo", "file_path", "status", "decay_score", "risk_level", "predicted_issues", "recommendations", "issue_count",
     *style.SEVERITIES, *style.CATEGORIES,
@@ -179,10 +199,13 @@ REPORT_COLUMNS = (
 
 
 def repo_report(
-    analysed: DataFrame, listing: DataFrame, max_files: int | None = 60, focus: Column | None = None
+    analysed: DataFrame, listing: DataFrame, max_files: int | None = None, focus: Column | None = None, below_root: bool = False
 ) -> DataFrame:
     """One row per repository from ``analyze_files(..., keep=["repo"], rules=...)``; no history is stored.
 
+    Give it the files of the report only: ``corpus.analyzable`` and, for a limit, ``rollups.select_bounded`` cut the
+    source files before they are analysed. ``max_files`` here is for rows that are analysed anyway.
+
     Four rollups read the per-file rows, so these are written once to the shared folder: the texts are read
     and checked once, and a lost executor does not bring that work back.
     """
@@ -190,7 +213,7 @@ def repo_report(
     rows = materialize(analysed.select(*REPORT_COLUMNS, *focus_column), "report")
     lead = F.col("_focus") if focus_column else None
     selected = rollups.select_bounded(rows, max_files, lead)
-    return rollups.repo_report(selected, rollups.skipped_counts(rows, max_files), listing)
+    return rollups.repo_report(selected, rollups.skipped_counts(rows, max_files), listing, below_root=below_root)
 
 
 def project_scan(

@@ -123,7 +123,7 @@ def test_repository_report(spark):
     past = files.filter("file_path < 'a/f020'").select("file_path").crossJoin(history.drop("file_path"))
     scored = pipelines.analyze_files(files, busy, past, boost, AS_OF, newest_is_current=True, keep=["repo"], rules=style.DEFAULT_RULES)
     listing = files.select("repo", "file_path").unionByName(spark.createDataFrame([("b", "b/README.md"), ("c", "c/LICENSE")], "repo string, file_path string"))
-    got = {r.repo: r for r in pipelines.repo_report(scored, listing).collect()}
+    got = {r.repo: r for r in pipelines.repo_report(scored, listing, max_files=60).collect()}
     a, b, c = got["a"], got["b"], got["c"]
     assert (a.files_analyzed, a.files_skipped, a.high_risk_count, len(a.highest_risk_files)) == (60, 10, 20, 15)
     assert [f["file_path"] for f in a.highest_risk_files] == [f"a/f{i:03d}.py" for i in range(15)]
@@ -134,7 +134,7 @@ def test_repository_report(spark):
     assert any(s.startswith("20 file(s)") for s in a.shareability_recommendations)
     assert (b.has_readme, b.files_analyzed, b.total_issues, b.avg_decay_score) == (True, 1, 0, 0.0)
     assert (c.files_analyzed, c.avg_decay_score, c.has_license) == (0, 0.0, True)
-    everything = {r.repo: r for r in pipelines.repo_report(scored, listing, max_files=None).collect()}
+    everything = {r.repo: r for r in pipelines.repo_report(scored, listing).collect()}
     assert (everything["a"].files_analyzed, everything["a"].files_skipped) == (70, 0)
 
 

@@ -76,8 +76,9 @@ def test_order_score_and_cuts(spark):
     orders = [i["rule_ord"] for i in row.issues]
     assert orders == sorted(orders) and row.issue_count == 62
     assert row.style_risk_score == 100 and len(row.style_warnings) == 10
-    kept = so.issues_per_file(so.style_check(spark.createDataFrame([("a.py", text)], "file_path string, content string"))).first()
-    assert len(kept.style_issues) == 25 and kept.issue_count == 62
+    checked = so.style_check(spark.createDataFrame([("a.py", text)], "file_path string, content string"))
+    kept = so.issues_per_file(checked, 25).first()
+    assert len(kept.style_issues) == 25 and kept.issue_count == 62 and len(so.issues_per_file(checked).first().style_issues) == 62
 
 
 def test_risk_by_severity(spark):

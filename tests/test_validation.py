@@ -48,14 +48,21 @@ def test_repositories(spark):
     assert sorted(got) == ["invalid"] * 4 + ["not_found", "ok"]
 
 
-def test_check_changes_messages_and_both_ways(spark):
+def test_check_changes_messages_limits_and_findings(spark):
     files = [("r/a.py", "except:\n", 10), ("r/b.py", "x = 1\n", 10), ("r/c.py", "# TODO\n", 10)]
     files = spark.createDataFrame(files, "file_path string, content string, size_bytes bigint")
     req = [(1, "r", 0, "r/a.py"), (2, "r", 0, "r/b.py"), (2, "r", 1, "r/c.py"), (3, "r", 0, "r/none.py")] + [(4, "r", i, "r/b.py") for i in range(5)]
     req = spark.createDataFrame(req, "batch_id int, repo string, request_ord int, requested_path string")
     few = {r.batch_id: r for r in pipelines.check_changes(req, files, max_files=2).collect()}
-    many = {r.batch_id: r for r in pipelines.check_changes(req, files, max_files=2, max_broadcast_paths=0).collect()}
-    assert few == many
+    all_ = {r.batch_id: r for r in pipelines.check_changes(req, files).collect()}
+    assert (all_[4].ok, all_[4].batch_status, all_[4].files_checked) == (True, "accepted", 5) and all_[2] == few[2]
+    found = [(r.batch_id, r.file_path, r.type) for r in pipelines.check_changes_issues(req, files).collect()]
+    assert len(found) == sum(r.total_issues for r in all_.values()) and (1, "r/a.py", "bare_except") in found
+    below = files.withColumn("repo", F.lit("r")).withColumn("file_path", F.substring("file_path", 3, 9))
+    short = req.withColumn("requested_path", F.substring("requested_path", 3, 9))
+    assert {r.batch_id: r for r in pipelines.check_changes(short, below, below_root=True).collect()} == all_
+    unread = files.withColumn("content", F.lit(None).cast("string"))
+    assert all(r.total_issues == 0 and r.ok for r in pipelines.check_changes(req, unread).collect())
     assert (few[1].ok, few[1].message) == (False, so.GATE_FAILED)
     assert (few[2].ok, few[2].total_issues, few[2].files_with_issues, few[2].message) == (True, 2, 1, so.GATE_PASSED)
     assert (few[3].ok, few[3].files_checked, few[3].paths_rejected, few[3].message) == (True, 0, 1, so.NO_VALID_FILES)
@@ -89,6 +96,8 @@ def test_hygiene_looks_at_top_names_only(spark):
             ("b", "b/contributing/x.md"), ("b", "b/CODE_OF_CONDUCT.md")]
     got = {r.repo: tuple(r)[1:] for r in rollups.repo_hygiene(spark.createDataFrame(rows, "repo string, file_path string")).collect()}
     assert got == {"a": (True, False, False, False, False), "b": (True, True, True, True, True)}
+    below = spark.createDataFrame([(r, p.split("/", 1)[1]) for r, p in rows], "repo string, file_path string")
+    assert {r.repo: tuple(r)[1:] for r in rollups.repo_hygiene(below, below_root=True).collect()} == got
 
 
 def test_suggestions(spark):
