@@ -187,7 +187,7 @@ imp AS (SELECT file_path, ext, list_sort(list_distinct(CASE WHEN ext = '.py' THE
   ELSE CAST([] AS VARCHAR[]) END)) AS names FROM im),
 deps AS (SELECT file_path, CAST(len(names) AS INTEGER) AS import_count,
   CAST(coalesce(list_max(list_transform(names, lambda x: length(x) - length(replace(x, '.', '')))), 0) AS INTEGER) AS dependency_depth,
-  array_to_string(names[1:10], ',') AS imports FROM imp)"""
+  array_to_string(names, ',') AS imports FROM imp)"""
 DEPENDENCY_RISK = (
     "least(1e2, CASE WHEN {n} > 30 THEN 3e1 WHEN {n} > 20 THEN 2e1 WHEN {n} > 10 THEN 1e1 ELSE 0e0 END + "
     "CASE WHEN {d} > 5 THEN 25e0 WHEN {d} > 3 THEN 15e0 ELSE 0e0 END)"

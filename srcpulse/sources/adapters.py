@@ -38,8 +38,20 @@ def corpus_path(key: str) -> str:
     )
 
 
+def _imports(n: int, deepest: str) -> str:
+    names = [f"'import lib{i}'" for i in range(1, n - 1)]
+    return f"concat_ws(chr(10), {', '.join(names)}, 'import {deepest}')"
+
+
+# Files with 11, 16, 21, 26 and 31 imports, one on either side of each step of the import score; up to seven levels deep.
+MANY_IMPORTS = "CASE p_partkey % 13 " + " ".join(
+    f"WHEN {i} THEN {_imports(n, deepest)}"
+    for i, (n, deepest) in enumerate(((11, "a.b"), (16, "a.b.c"), (21, "a.b.c.d"), (26, "a.b.c.d.e"), (31, "a.b.c.d.e.f.g")), 1)
+) + " END"
+
 CORPUS_CONTENT = """concat_ws(chr(10),
   'import os',
+  MANY_IMPORTS,
   CASE WHEN p_partkey % 2 = 0 THEN 'from pkg.core.io.fmt.base import load' END,
   CASE WHEN p_partkey % 5 < 2 THEN concat('import a from ', chr(34), './x/y.z', chr(34)) END,
   CASE WHEN p_partkey % 3 = 0 THEN '# TODO revisit' END,
@@ -55,7 +67,7 @@ CORPUS_CONTENT = """concat_ws(chr(10),
   CASE WHEN p_partkey % 8 = 3 THEN concat('    total = total + increment_value', chr(10), '    total = total + increment_value') END,
   CASE WHEN p_partkey % 11 = 0 THEN repeat(concat('# note', chr(10)), 14) END,
   '    a = 1', '    b = 1', '    c = 1', '    d = 1', '    e = 1', '    f = 1', '    g = 1',
-  '    return data')"""
+  '    return data')""".replace("MANY_IMPORTS", MANY_IMPORTS)
 
 CORPUS = (
     ("p_partkey", "file_id"),
@@ -150,7 +162,9 @@ SQL_LISTING = (
 # --- commits from lineitem and events ------------------------------------------------------------
 COMMITS_SUPP = (("concat('supp/', l_suppkey)", "file_path"), ("CAST(l_partkey AS STRING)", "author"), ("l_shipdate", "ts"))
 COMMITS_PART = (("concat('part/', l_partkey)", "file_path"), ("CAST(l_suppkey AS STRING)", "author"), ("l_shipdate", "ts"))
-COMMITS_CORPUS = ((corpus_path("l_partkey"), "file_path"), *COMMITS_PART[1:])
+# A fifth of all commits and measurements is about 65 files of many imports, which so are hotspots with short gaps.
+BUSY_FILE = corpus_path("(CASE WHEN l_orderkey % 5 = 0 THEN l_partkey % 65 * 13 + 5 ELSE l_partkey END)")
+COMMITS_CORPUS = ((BUSY_FILE, "file_path"), *COMMITS_PART[1:])
 COMMITS_EVENTS = (
     ("concat('key/', get_json_object(props, '$.k'))", "file_path"), ("CAST(user_id AS STRING)", "author"), ("ts", "ts"),
 )
@@ -170,7 +184,7 @@ METRICS = (
     ("CAST(l_suppkey % 50 AS INT)", "change_frequency"),
     ("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber"), ("l_quantity", "l_quantity"),
 )
-METRICS_CORPUS = ((corpus_path("l_partkey"), "file_path"), *METRICS[1:])
+METRICS_CORPUS = ((BUSY_FILE, "file_path"), *METRICS[1:])
 METRICS_ORDER = ("l_orderkey", "l_linenumber", "l_quantity", "lines_of_code", "change_frequency")
 SQL_METRICS_ORDER = "ts DESC, " + ", ".join(f"{c} DESC" for c in METRICS_ORDER)
 
