@@ -34,9 +34,13 @@ def focus_or_walk(targets: DataFrame, listing: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.regexp_replace("path_in_repo", r"/+", "/"), r"/$", "")
     usable = ~F.col("is_raw_file") & (path != "") & ~path.rlike(r"(^|/)\.\.(/|$)")
     asked = targets.withColumn("_path", F.when(usable, path))
-    files = listing.select("repo", F.col("file_path").alias("_path"), F.lit(True).alias("_file")).distinct()
-    dirs = folders(listing).select("repo", F.col("folder").alias("_path"), F.lit(True).alias("_dir"))
-    return asked.join(files, ["repo", "_path"], "left").join(dirs, ["repo", "_path"], "left").select(
+    files = listing.select("repo", F.col("file_path").alias("_path"), F.lit(False).alias("dir"))
+    dirs = folders(listing).select("repo", F.col("folder").alias("_path"), F.lit(True).alias("dir"))
+    known = files.unionByName(dirs).groupBy("repo", "_path").agg(F.bool_or(~F.col("dir")).alias("_file"), F.bool_or("dir").alias("_dir"))
+    # Targets without a path need no lookup, and would all meet in one task there.
+    found = asked.filter("_path IS NOT NULL").join(known, ["repo", "_path"], "left")
+    rest = asked.filter("_path IS NULL").withColumns({"_file": F.lit(None).cast("boolean"), "_dir": F.lit(None).cast("boolean")})
+    return found.select(*rest.columns).unionByName(rest).select(
         *targets.columns,
         F.when(F.col("_file"), F.col("_path")).alias("focus_path"),
         F.when(F.col("_dir"), F.col("_path")).alias("walk_root"),

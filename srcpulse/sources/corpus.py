@@ -139,7 +139,8 @@ def scan_corpus(
 
     Suffix and size are applied to the listing, so large and foreign files are never opened. The files are
     then spread evenly over enough tasks for about 128 MiB each and read there. Text that is not UTF-8
-    comes as null content. ``file_path`` is the path below ``root``.
+    comes as null content. ``file_path`` starts with the repository: ``<repo>/<path below it>``, the layout of all
+    operators, so files of one name in two repositories stay apart.
     """
     start = _inside(walk_root)
     keep = analyzable(F.col("file_path"), F.col("size_bytes"), extensions, max_bytes, skip_dirs, skip_hidden, walk_root)
@@ -155,5 +156,7 @@ def scan_corpus(
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / _TASK_BYTES))
     rows = files.repartition(tasks).mapInPandas(_reader(root), "file_path string, content string, size_bytes bigint")
     name = root.rstrip("/").rsplit("/", 1)[-1]
-    repo = F.split("file_path", "/", 2).getItem(0) if repo_is_first_folder else F.lit(name)
-    return rows.select(repo.alias("repo"), "file_path", universal_newlines(F.col("content")).alias("content"), "size_bytes")
+    path = F.col("file_path")
+    repo = F.split(path, "/", 2).getItem(0) if repo_is_first_folder else F.lit(name)
+    path = path if repo_is_first_folder else F.concat_ws("/", repo, path)
+    return rows.select(repo.alias("repo"), path.alias("file_path"), universal_newlines(F.col("content")).alias("content"), "size_bytes")

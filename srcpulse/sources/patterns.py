@@ -55,10 +55,11 @@ def full_metadata(bug_type: Column, severity: Column, meta: Column) -> Column:
 def new_patterns(existing: DataFrame, added: DataFrame) -> DataFrame:
     """The rows of ``added`` that the catalogue lacks, once per id, with their metadata made whole.
 
-    Of several rows with one new id the first by text is kept; the row number cuts before the shuffle.
+    Of several rows with one new id the first by text, then by all its columns, is kept; the row number cuts before the
+    shuffle.
     """
     keys = ["collection", "pattern_id"]
-    first = Window.partitionBy(*keys).orderBy("text")
+    first = Window.partitionBy(*keys).orderBy("text", F.to_json(F.struct(*[c for c in added.columns if c not in keys])))
     once = added.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
     meta = F.when(F.col("collection") == BUG, full_metadata(F.col("bug_type"), F.col("severity"), F.col("meta"))).otherwise(
         F.col("meta")

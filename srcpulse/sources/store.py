@@ -11,9 +11,13 @@ from srcpulse.session import materialize
 _DAY = "ts_date"
 
 
-def read_commits(spark: SparkSession, path: str, format: str = "parquet", **options: str) -> DataFrame:
-    """A commit log exported as Parquet, JSON or CSV, one row per file and commit."""
-    return spark.read.schema(COMMITS).options(**options).format(format).load(path)
+def read_commits(spark: SparkSession, path: str, format: str = "parquet", below_root: bool = False, **options: str) -> DataFrame:
+    """A commit log exported as Parquet, JSON or CSV, one row per file and commit.
+
+    Paths start with the repository, as everywhere; with ``below_root`` the log has them below it, and they are completed.
+    """
+    commits = spark.read.schema(COMMITS).options(**options).format(format).load(path)
+    return commits.withColumn("file_path", F.concat_ws("/", "repo", "file_path")) if below_root else commits
 
 
 def _conform(df: DataFrame, schema: StructType) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srcpulse.functions import style
-from srcpulse.operators import model, similarity as sim, style as so
+from srcpulse.operators import churn, model, rollups, similarity as sim, style as so
 from srcpulse.operators.history import latest_predictions
 from srcpulse.plans import pipelines
 from srcpulse.schemas import FILE_METRICS
@@ -16,6 +16,13 @@ from srcpulse.streaming import live
 AS_OF = datetime(2024, 3, 1)
 
 
+def scanned(spark, root, *args, **options):
+    """The scan with paths below the root, which is named proj."""
+    found = corpus.scan_corpus(spark, root, *args, **options)
+    assert found.filter("NOT startswith(file_path, 'proj/')").isEmpty()
+    return found.withColumn("file_path", F.substring("file_path", 6, 999))
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "proj"
@@ -32,25 +39,25 @@ def tree(tmp_path):
 
 
 def test_scan(spark, tree):
-    rows = {r.file_path: r for r in corpus.scan_corpus(spark, tree).collect()}
+    rows = {r.file_path: r for r in scanned(spark, tree).collect()}
     assert sorted(rows) == ["a.py", "b.js", "bad.py", "dist/o.js", "pkg/__init__.py", "src/.cache/h.py", "src/d.py"]
     assert rows["b.js"].content == "import x from './y'\nconst z = 1\n" and rows["b.js"].size_bytes == 34
     assert rows["bad.py"].content is None and rows["a.py"].repo == "proj"
     repo = dict(extensions=corpus.REPOSITORY_EXTENSIONS, skip_dirs=corpus.REPOSITORY_SKIP, skip_hidden=True)
-    paths = lambda **o: sorted(r.file_path for r in corpus.scan_corpus(spark, tree, **repo, **o).collect())
+    paths = lambda **o: sorted(r.file_path for r in scanned(spark, tree, **repo, **o).collect())
     assert paths() == ["a.py", "b.js", "bad.py", "pkg/__init__.py", "src/d.py"]
     assert paths(walk_root="src") == ["src/d.py"]
     assert paths(walk_root="../elsewhere") == paths()
-    assert sorted(r.file_path for r in corpus.scan_corpus(spark, tree, [".py"], max_bytes=10).collect()) == [
+    assert sorted(r.file_path for r in scanned(spark, tree, [".py"], max_bytes=10).collect()) == [
         "bad.py", "pkg/__init__.py", "src/.cache/h.py", "src/d.py"
     ]
 
 
 def test_focus_file_comes_whatever_its_name(spark, tree):
-    focused = corpus.scan_corpus(spark, tree, [".js"], focus_path="c.txt")
+    focused = scanned(spark, tree, [".js"], focus_path="c.txt")
     assert sorted(r.file_path for r in focused.collect()) == ["b.js", "c.txt", "dist/o.js"]
     for path in ("big.py", "../c.txt", "none.py", "src"):
-        assert corpus.scan_corpus(spark, tree, [".js"], focus_path=path).count() == 2
+        assert scanned(spark, tree, [".js"], focus_path=path).count() == 2
 
 
 def _inputs(spark):
@@ -71,7 +78,7 @@ def _inputs(spark):
 
 
 def test_whole_score_by_hand(spark, tree):
-    files = corpus.scan_corpus(spark, tree)
+    files = scanned(spark, tree)
     rows = {r.file_path: r for r in pipelines.analyze_files(files, *_inputs(spark), AS_OF, newest_is_current=True).collect()}
     a = rows["a.py"]
     # complexity 30 and rising 65, churn 30 + 20 + 25 = 75, one import without a dot 0, patterns 100
@@ -88,7 +95,7 @@ def test_whole_score_by_hand(spark, tree):
 
 
 def test_estimates_without_measurements(spark, tree):
-    rows = {r.file_path: r for r in pipelines.analyze_files(corpus.scan_corpus(spark, tree), *_inputs(spark), AS_OF).collect()}
+    rows = {r.file_path: r for r in pipelines.analyze_files(scanned(spark, tree), *_inputs(spark), AS_OF).collect()}
     assert rows["a.py"].cyclomatic_complexity == 1.0 and 0 < rows["a.py"].maintainability_index <= 100
     assert rows["b.js"].cyclomatic_complexity == 0.0
 
@@ -107,6 +114,21 @@ def test_project_scan_stores_completed_rows(spark, tree, tmp_path):
     assert [f.name for f in FILE_METRICS] == store.read_metrics(spark, m).columns[: len(FILE_METRICS)]
 
 
+def test_files_of_one_name_in_two_repositories_stay_apart(spark, tmp_path):
+    rows = [("r1", "setup.py", "c", "x", AS_OF), ("r2", "setup.py", "d", "y", AS_OF)]
+    spark.createDataFrame(rows, "repo string, file_path string, commit_id string, author string, ts timestamp").write.parquet(str(tmp_path / "log"))
+    stats = churn.change_stats(store.read_commits(spark, str(tmp_path / "log"), below_root=True), AS_OF).collect()
+    assert sorted((r.file_path, r.change_frequency, r.authors_count) for r in stats) == [("r1/setup.py", 1, 1), ("r2/setup.py", 1, 1)]
+
+
+def test_hygiene_of_a_scan(spark, tmp_path):
+    for name in ("README.md", "LICENSE", "sub/.gitignore"):
+        (tmp_path / "proj" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "proj" / name).write_text("x")
+    listing = corpus.scan_corpus(spark, str(tmp_path / "proj"), [""])
+    assert tuple(rollups.repo_hygiene(listing).first()) == ("proj", True, True, False, False, False)
+
+
 def test_commit_log_formats(spark, tmp_path):
     rows = spark.createDataFrame([("r", "a.py", "c1", "x@y", AS_OF)], "repo string, file_path string, commit_id string, author string, ts timestamp")
     for kind in ("parquet", "json", "csv"):
