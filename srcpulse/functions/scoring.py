@@ -38,6 +38,19 @@ class ScoreConfig:
     weight_pattern: float = 0.25
     level_steps: tuple = ((80, "critical"), (60, "high"), (40, "medium"))
     level_floor: str = "low"
+    many_commits: int = 15
+    many_authors: int = 4
+    very_many_commits: int = 20
+    very_many_authors: int = 5
+    many_imports: int = 15
+    very_many_imports: int = 25
+    trimmed_imports: int = 20
+    refactor_now_score: float = 70
+    refactor_later_score: float = 50
+    refactor_steps: tuple = ((60, 60), (40, 90))
+    refactor_now_days: int = 30
+    refactor_now_gap_days: float = 14
+    refactor_floor_days: int = 180
     confidence: float = 0.75
     default_gap_days: float = 30
 
@@ -124,11 +137,11 @@ def is_hotspot(commits: Column, cfg: ScoreConfig = DEFAULT) -> Column:
     return commits > cfg.hotspot_commits
 
 
-def churn_warnings(commits: Column, authors: Column) -> Column:
+def churn_warnings(commits: Column, authors: Column, cfg: ScoreConfig = DEFAULT) -> Column:
     return _present(
-        F.when(commits > 15, _around(HIGH_CHURN, commits)),
-        F.when(authors > 4, _around(MANY_AUTHORS, authors)),
-        F.when((commits > 20) & (authors > 5), F.lit(CHURN_AND_AUTHORS)),
+        F.when(commits > cfg.many_commits, _around(HIGH_CHURN, commits)),
+        F.when(authors > cfg.many_authors, _around(MANY_AUTHORS, authors)),
+        F.when((commits > cfg.very_many_commits) & (authors > cfg.very_many_authors), F.lit(CHURN_AND_AUTHORS)),
     )
 
 
@@ -136,9 +149,11 @@ def dependency_risk(imports: Column, depth: Column, cfg: ScoreConfig = DEFAULT)
     return F.least(F.lit(100.0), _steps(imports, cfg.import_steps) + _steps(depth, cfg.depth_steps))
 
 
-def dependency_warnings(imports: Column) -> Column:
+def dependency_warnings(imports: Column, cfg: ScoreConfig = DEFAULT) -> Column:
     return _present(
-        F.when(imports > 25, _around(VERY_MANY_IMPORTS, imports)).when(imports > 15, _around(MANY_IMPORTS, imports))
+        F.when(imports > cfg.very_many_imports, _around(VERY_MANY_IMPORTS, imports)).when(
+            imports > cfg.many_imports, _around(MANY_IMPORTS, imports)
+        )
     )
 
 
@@ -222,25 +237,27 @@ def predicted_issues(trend: Column, hotspot: Column, similar: Column) -> Column:
 
 def refactor_days(score: Column, gap: Column, cfg: ScoreConfig = DEFAULT) -> Column:
     gap = F.coalesce(gap, F.lit(float(cfg.default_gap_days)))
-    return (
-        F.when((score >= 70) & (gap < 14), F.lit(30))
-        .when(score >= 60, F.lit(60))
-        .when(score >= 40, F.lit(90))
-        .otherwise(F.lit(180))
-    )
+    out = F.when((score >= cfg.refactor_now_score) & (gap < cfg.refactor_now_gap_days), F.lit(cfg.refactor_now_days))
+    for least, days in cfg.refactor_steps:
+        out = out.when(score >= least, F.lit(days))
+    return out.otherwise(F.lit(cfg.refactor_floor_days))
 
 
 def optimal_refactor_date(score: Column, gap: Column, as_of: Column, cfg: ScoreConfig = DEFAULT) -> Column:
     return as_of + F.make_dt_interval(refactor_days(score, gap, cfg))
 
 
-def recommendations(warnings: Column, hotspot: Column, imports: Column, score: Column) -> Column:
+def recommendations(
+    warnings: Column, hotspot: Column, imports: Column, score: Column, cfg: ScoreConfig = DEFAULT
+) -> Column:
     return F.concat(
         F.coalesce(warnings, F.array().cast("array<string>")),
         _present(
             F.when(hotspot, F.lit(SPLIT_HOTSPOT)),
-            F.when(imports > 20, F.lit(TRIM_IMPORTS)),
-            F.when(score >= 70, F.lit(REFACTOR_NOW)).when(score >= 50, F.lit(REFACTOR_LATER)),
+            F.when(imports > cfg.trimmed_imports, F.lit(TRIM_IMPORTS)),
+            F.when(score >= cfg.refactor_now_score, F.lit(REFACTOR_NOW)).when(
+                score >= cfg.refactor_later_score, F.lit(REFACTOR_LATER)
+            ),
         ),
     )
 

@@ -88,7 +88,7 @@ def with_churn_risk(stats: DataFrame, cfg: scoring.ScoreConfig = scoring.DEFAULT
         "*",
         scoring.churn_risk(n, a, gap, cfg).alias("churn_risk_score"),
         scoring.is_hotspot(n, cfg).alias("is_hotspot"),
-        scoring.churn_warnings(n, a).alias("churn_warnings"),
+        scoring.churn_warnings(n, a, cfg).alias("churn_warnings"),
     )
 
 

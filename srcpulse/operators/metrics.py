@@ -93,5 +93,5 @@ def with_dependency_risk(stats: DataFrame, cfg: scoring.ScoreConfig = scoring.DE
     return stats.select(
         "*",
         scoring.dependency_risk(n, depth, cfg).alias("dependency_risk_score"),
-        scoring.dependency_warnings(n).alias("dependency_warnings"),
+        scoring.dependency_warnings(n, cfg).alias("dependency_warnings"),
     )

@@ -79,7 +79,7 @@ def predict_decay(signals: DataFrame, as_of: datetime, cfg: scoring.ScoreConfig
             "predicted_issues": if_done(scoring.predicted_issues(trend, c("is_hotspot"), c("similar_issues"))),
             "optimal_refactor_date": if_done(scoring.optimal_refactor_date(score, gap, moment, cfg)),
             "recommendations": if_done(
-                scoring.recommendations(c("complexity_warnings"), c("is_hotspot"), c("import_count"), score)
+                scoring.recommendations(c("complexity_warnings"), c("is_hotspot"), c("import_count"), score, cfg)
             ),
             "ts": moment,
         }
