@@ -32,12 +32,19 @@ def _numbered(things: DataFrame, *by: str) -> DataFrame:
     return written(things.select(*by).distinct().orderBy(*by).withColumn("name", F.monotonically_increasing_id()), "exact-names")
 
 
+def _renamed(things: DataFrame, *by: str) -> DataFrame:
+    """The rows with `name`, the number of their `by` columns.
+
+    Joined by a sort, as numbers in order are stored in so few bytes that a broadcast would be planned on their file size."""
+    return things.join(_numbered(things, *by).hint("merge"), list(by)).select("rid", "n", "at", "name")
+
+
 def names(texts: DataFrame, block_chars: int) -> DataFrame:
     """(rid, round, name) of each row of (rid, norm): equal for equal texts and for no others."""
     blocks = F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), 0))
     cut = texts.select("rid", blocks.alias("blocks"))
     parts = cut.select("rid", F.size("blocks").alias("n"), F.posexplode("blocks").alias("at", "block"))
-    level = written(parts.join(_numbered(parts, "block"), "block").select("rid", "n", "at", "name"), "exact-round")
+    level = written(_renamed(parts, "block"), "exact-round")
     done, step = [], 0
     while True:
         done.append(level.where("n = 1").select("rid", F.lit(step).alias("round"), "name"))
@@ -48,7 +55,7 @@ def names(texts: DataFrame, block_chars: int) -> DataFrame:
         pairs = open_.groupBy("rid", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.floor(F.col("at") / 2).cast("int").alias("at")).agg(
             F.max(F.when(first, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~first, F.col("name"))), F.lit(-1)).alias("b")
         )
-        level = written(pairs.join(_numbered(pairs, "a", "b"), ["a", "b"]).select("rid", "n", "at", "name"), "exact-round")
+        level = written(_renamed(pairs, "a", "b"), "exact-round")
         step += 1
     out = done[0]
     for more in done[1:]:
