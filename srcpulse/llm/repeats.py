@@ -40,7 +40,7 @@ PLACE = np.uint64((1 << 21) - 1)
 #: An odd number, and its inverse modulo 2**64: the base of the rolling hash.
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Segments that a task puts in suffix order together.
-GATHERED = 5_000
+GATHERED = 2_500
 BROADCAST_ROWS = 500_000
 
 
