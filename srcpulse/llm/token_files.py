@@ -88,7 +88,7 @@ def from_simple8b(words: bytes, escapes: bytes, n: int) -> np.ndarray:
 
 
 def write_ids(
-    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = 0, block_ids: int = 65_536,
+    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = 0, block_ids: int = 8_192,
     escape_bits: int = 15,
 ) -> DataFrame:
     """Write the ids of all documents in ascending doc_id order; the table of blocks, read back."""
@@ -145,7 +145,6 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                     ["doc_id", "shard", "local", "n_tokens", "ids_crc32"],
                 )
 
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     found = blocks.mapInArrow(decode, "doc_id long, shard int, local long, n_tokens long, ids_crc32 long")
     totals = blocks.groupBy(F.col("shard").alias("of")).agg(F.sum("n_ids").alias("ids"))
     # One row per shard, so the window and the broadcast hold as many rows as the writer had tasks.
