@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcpulse.session import shared_dir
+
 #: Rows of one Arrow batch. Texts vary from nothing to megabytes, so a batch holds few rows.
 BATCH_ROWS = 500
 
@@ -25,26 +24,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names. Where it is unset, one is made, but only where all runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="srcpulse-llm-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, what: str, *partition_by: str, compression: str = "zstd") -> DataFrame:
     """The frame as a Parquet table in the shared folder, read back: later steps don't depend on executors that made it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{what}-{uuid.uuid4().hex}"
+    path = shared_dir(spark, f"llm/{what}")
     df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession) -> None:
     """Delete what the operators left in the shared folder. For use when no result is read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "llm")).getParent()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "llm")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
