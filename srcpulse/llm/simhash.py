@@ -95,12 +95,16 @@ def _from_bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), ">u8").reshape(len(values), -1).astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bits: int, seed: int = 42) -> DataFrame:
-    """doc_id, text_hash, fp (binary) of every row."""
+def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bits: int, seed: int = 42, distinct: bool = False) -> DataFrame:
+    """doc_id, text_hash, fp (binary) of every row. With `distinct` a text's repeated shingles count once."""
+
+    def hashes(text: str) -> list[int]:
+        found = shingle_hashes(text, shingle, seed)
+        return list(set(found)) if distinct else found
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = majorities([shingle_hashes(t, shingle, seed) for t in batch.column("text").to_pylist()], bits)
+            prints = majorities([hashes(t) for t in batch.column("text").to_pylist()], bits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(_as_bytes(prints), pa.binary())], ["doc_id", "text_hash", "fp"]
             )
@@ -311,10 +315,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 64, max_bits: int = 4,
-    masks: list[list[int]] | None = None, shard_rows: int = 200_000,
+    masks: list[list[int]] | None = None, shard_rows: int = 200_000, distinct: bool = False,
 ) -> DataFrame:
     """doc_id, text_hash, fingerprint (hex), component_id (least doc_id reachable), root (a component's name) of every row."""
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits), "simhash-prints")
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits, distinct=distinct), "simhash-prints")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     masks = masks or block_masks(bits, max_bits, max_bits + 2)
     keyed = _halved(_keyed(by_print.select("fp"), masks), bits, max_bits, shard_rows)
