@@ -12,6 +12,10 @@ and branches are pruned by the triangle inequality. Vantage points alone would n
 A shard gives a forest of its links, at most one link per member; links of all shards are joined to components by
 alternating star steps over written tables. Nothing is collected.
 
+`one_of_each` can ask for an exact similarity of shingle sets: then links of fingerprints only name candidates. The
+sets of texts that have a candidate are compared within the candidates' groups, and groups over a task's measure in
+pairs of blocks, so rows grow with the number of blocks and never with pairs of texts.
+
 Null and empty texts have fingerprint zero. Rows with a null doc_id belong to components, but name one only as null if
 there is no other row in it. Repeated rows are all returned. An empty table gives an empty result.
 """
@@ -19,6 +23,7 @@ there is no other row in it. Repeated rows are all returned. An empty table give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations, repeat
 
 import numpy as np
@@ -37,6 +42,8 @@ LEAF = 48
 #: Links that a forest keeps waiting.
 FLUSHED = 1_000_000
 BROADCAST_ROWS = 500_000
+#: Shingle sets compared in one task: so many sets and shingles are a block.
+BLOCK_SETS, BLOCK_SHINGLES = 4_096, 1_000_000
 
 
 def shingle_hashes(text: str, shingle: int, seed: int) -> list[int]:
@@ -96,21 +103,24 @@ def _from_bytes(column: pa.Array) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bits: int, seed: int = 42, distinct: bool = False) -> DataFrame:
-    """doc_id, text_hash, fp (binary) of every row. With `distinct` a text's repeated shingles count once."""
+    """doc_id, text_hash, fp (binary) of every row. With `distinct` a text's repeated shingles count once, and set_id and n
+    name its set of shingles and give the set's size."""
 
     def hashes(text: str) -> list[int]:
         found = shingle_hashes(text, shingle, seed)
-        return list(set(found)) if distinct else found
+        return sorted(set(found)) if distinct else found
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = majorities([hashes(t) for t in batch.column("text").to_pylist()], bits)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(_as_bytes(prints), pa.binary())], ["doc_id", "text_hash", "fp"]
-            )
+            found = [hashes(t) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(_as_bytes(majorities(found, bits)), pa.binary())]
+            if distinct:
+                set_ids = [xxhash.xxh3_128_digest(np.array(x, np.uint64).tobytes()) for x in found]
+                columns += [pa.array(set_ids, pa.binary()), pa.array(list(map(len, found)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "set_id", "n"][: len(columns)])
 
     rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(make, "doc_id long, text_hash long, fp binary")
+    return rows.mapInArrow(make, "doc_id long, text_hash long, fp binary" + (", set_id binary, n long" if distinct else ""))
 
 
 def block_masks(bits: int, max_bits: int, blocks: int) -> list[list[int]]:
@@ -313,27 +323,125 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _print_roots(prints: DataFrame, bits: int, max_bits: int, masks: list[list[int]] | None, shard_rows: int) -> DataFrame:
+    """u, root of distinct fingerprints linked within `max_bits`."""
+    masks = masks or block_masks(bits, max_bits, max_bits + 2)
+    return components(_links(_halved(_keyed(prints, masks), bits, max_bits, shard_rows), max_bits))
+
+
 def near_groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 64, max_bits: int = 4,
-    masks: list[list[int]] | None = None, shard_rows: int = 200_000, distinct: bool = False,
+    masks: list[list[int]] | None = None, shard_rows: int = 200_000,
 ) -> DataFrame:
     """doc_id, text_hash, fingerprint (hex), component_id (least doc_id reachable), root (a component's name) of every row."""
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits, distinct=distinct), "simhash-prints")
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits), "simhash-prints")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    masks = masks or block_masks(bits, max_bits, max_bits + 2)
-    keyed = _halved(_keyed(by_print.select("fp"), masks), bits, max_bits, shard_rows)
-    roots = components(_links(keyed, max_bits))
+    roots = _print_roots(by_print.select("fp"), bits, max_bits, masks, shard_rows)
     rooted = by_print.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.join(named, "root").select("fp", "root", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "text_hash", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay, all columns: of each group those of the least (doc_id, hash of the text).
+def set_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """A forest of the links between sets (of distinct values) with a Jaccard similarity of `least` or more."""
+    order = sorted((i for i, x in enumerate(sets) if len(x)), key=lambda i: len(sets[i]))
+    if len(order) < 2:
+        return []
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    values, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    left, flat, of_left = np.arange(len(order)), ids, sizes  # sets not reached yet, by size
+    mark, out = np.zeros(len(values), np.uint8), []
+    while len(left):
+        queue = [int(left[0])]
+        left, flat, of_left = left[1:], flat[of_left[0] :], of_left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            a, b = np.searchsorted(of_left, [least * sizes[at] - 1, sizes[at] / least + 1])
+            if a == b:
+                continue
+            bounds = np.concatenate([[0], np.cumsum(of_left)])
+            own = ids[starts[at] : starts[at + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[flat[bounds[a] : bounds[b]]], bounds[a:b] - bounds[a], dtype=np.int64)
+            mark[own] = 0
+            close = np.zeros(len(left), bool)
+            close[a:b] = both / (sizes[at] + of_left[a:b] - both) >= least
+            if close.any():
+                queue += left[close].tolist()
+                out += [(order[at], order[i]) for i in left[close]]
+                flat = flat[np.repeat(~close, of_left)]
+                left, of_left = left[~close], of_left[~close]
+    return out
+
+
+def set_groups(
+    docs: DataFrame, *, least: float, id_col: str = "doc_id", text_col: str = "text", shingle: int, bits: int, max_bits: int,
+    masks: list[list[int]] | None = None, shard_rows: int = 200_000, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """doc_id, text_hash, root of every row: texts linked by a Jaccard similarity of shingle sets of `least` or more,
+    where links of fingerprints within `max_bits` connect them."""
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits, distinct=True), "simhash-prints")
+    each = prints.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    each = written(each, "simhash-sets")
+    near = _print_roots(each.select("fp").distinct(), bits, max_bits, masks, shard_rows).withColumnRenamed("u", "fp")
+    rooted = each.join(near, "fp", "left").withColumn("near", F.coalesce("root", "fp")).drop("root", "fp")
+    measures = rooted.groupBy("near").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    blocks = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("shingles") / block_shingles)).cast("int")
+    wanted = rooted.join(measures.select("near", blocks.alias("blocks")), "near")
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("set_id"), F.col("blocks"))).otherwise(0).cast("int")
+    wanted = written(wanted.select("set_id", F.col("of.doc_id").alias("__id"), F.col("of.text_hash").alias("__hash"), "near", "blocks", block.alias("block")), "simhash-near")
+    roots = components(_set_links(docs, wanted, least, id_col, text_col, shingle)).withColumnRenamed("u", "set_id")
+    return prints.join(roots, "set_id", "left").select("doc_id", "text_hash", F.coalesce("root", "set_id").alias("root"))
+
+
+def _set_links(docs: DataFrame, wanted: DataFrame, least: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """u > v: forests of the exact links within the groups of `wanted`, of each pair of blocks where a group has several."""
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__id"]) & (rows["text_hash"] == wanted["__hash"])).select("near", "blocks", "block", "set_id", "text")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.array(list(set(shingle_hashes(t, shingle, 42))), np.uint64).tobytes() for t in batch.column("text").to_pylist()]
+            columns = [batch.column(n) for n in ("near", "blocks", "block", "set_id")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], ["near", "blocks", "block", "set_id", "hashes"])
+
+    made = rows.mapInArrow(hashes, "near binary, blocks int, block int, set_id binary, hashes binary")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
+    dealt = made.withColumn("other", F.explode(others))
+    names = ["near", "low", "high"]
+    dealt = dealt.select("near", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "set_id", "hashes")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            ids = list(held)
+            pairs = [(max(ids[a], ids[b]), min(ids[a], ids[b])) for a, b in set_links([np.frombuffer(held[i], np.uint64) for i in ids], least)]
+            if pairs:
+                u, v = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+        for batch in batches:
+            for near, low, high, set_id, raw in zip(*(batch.column(n).to_pylist() for n in [*names, "set_id", "hashes"]), strict=True):
+                if (near, low, high) != key:
+                    yield from found()
+                    key, held = (near, low, high), {}
+                held[set_id] = raw  # rows that repeat are one set
+        yield from found()
+
+    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(link, "u binary, v binary").distinct()
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, **options) -> DataFrame:
+    """The rows of `docs` that stay, all columns: of each group those of the least (doc_id, hash of the text). Groups are
+    those of near fingerprints, or with `least` those of shingle sets with that Jaccard similarity or more.
 
     Rows equal in doc_id and text are one document, and go or stay together."""
-    groups = written(near_groups(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "text_hash", "root"), "simhash-groups")
+    found = near_groups if least is None else partial(set_groups, least=least)
+    groups = written(found(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "text_hash", "root"), "simhash-groups")
     key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
     gone = groups.join(groups.groupBy("root").agg(F.min(key).alias("first")), "root").where(key != F.col("first"))
     gone = written(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "simhash-gone")

@@ -4,6 +4,8 @@ import random
 
 import corpus_pipeline
 
+from srcpulse.llm import simhash
+
 
 def kept(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
@@ -16,3 +18,41 @@ def test_repeated_lines_count_once(spark):
     line, own = words(13), [words(200) for _ in range(3)]
     texts = [" ".join(own[0] + 40 * line), " ".join(own[1] + 40 * line), " ".join(own[2] + 2 * line), " ".join(own[2] + 40 * line)]
     assert kept(spark, texts) == {0, 1, 2}
+
+
+def test_only_texts_that_are_alike_go(spark):
+    """Pairs of 200 shingles with 178 or 172 in common (0.80, 0.75), and a chain of small sets."""
+    rnd = random.Random(4)
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], set()
+    for i in range(120):
+        base = words(204)
+        texts += [" ".join(base), " ".join(base[: 182 if i % 2 else 176] + words(22 if i % 2 else 28))]
+        want |= {2 * i} if i % 2 else {2 * i, 2 * i + 1}
+    small = words(9)  # five shingles, of which a text without the last word has four
+    texts += [" ".join(small), " ".join(small[:8]), " ".join(small[:7]), None, "", " "]
+    n = len(texts)
+    assert kept(spark, texts) == want | {n - 6, n - 4, n - 3}
+
+
+def test_blocks_of_a_large_group_lose_no_link(spark):
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(150):
+        x = list(base)
+        for at in rnd.sample(range(100), 2):
+            x[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(x))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    root = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    options = {"least": 0.8, "shingle": 5, "bits": 512, "max_bits": 200, "masks": corpus_pipeline.MASKS}
+    for more in ({}, {"block_sets": 20}, {"block_shingles": 2000}):
+        assert {r.doc_id for r in simhash.one_of_each(docs, **options, **more).collect()} == set(root)
+    assert simhash.one_of_each(docs.limit(0), **options).count() == 0
