@@ -3,7 +3,8 @@
 Four patterns find e-mail addresses, IP addresses, card numbers and telephone numbers. The corpus then tells which terms
 reveal a protected value: term and value stand within `near` words of each other in documents much more often than by
 chance. With counts over all documents, a pair is disclosing if P(value | term) >= `least_share` and log2(P(term, value) / (P(term) P(value))) >= `least_bits`, in at least
-`least_docs` documents. Such a term is a span of kind `term` wherever it stands near that value; a sanitised text has
+`least_docs` documents. Such a term is a span of kind `term` where it stands near that value, or with `everywhere` at each place in
+every document, as its share is over the whole corpus; values in fewer than `least_docs` documents have no estimate. A sanitised text has
 values replaced by their kind, and terms generalised to `<TERM>` or, from `remove_bits` on, removed.
 
 Values and terms are counted with map-side combining; the terms counted over the whole corpus are only those of pairs
@@ -76,19 +77,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], near: int) -> list[tuple[str, str, int, int]]:
-    """(value, term, start, end) of the terms within `near` words of each span; words of spans are none."""
-    if not spans:
-        return []
-    words = [(m.start(), m.end()) for m in _terms(text)]
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the words outside the spans."""
     free, i, last = [], 0, 0
-    for a, b in words:
+    for m in _terms(text):
+        a, b = m.span()
         while i < len(spans) and spans[i][0] < b:
             last = max(last, spans[i][2])
             i += 1
         if a >= last:
             free.append((a, b))
-    out, i = [], 0
+    return free
+
+
+def near_terms(text: str, spans: list[tuple[int, int, int]], near: int) -> list[tuple[str, str, int, int]]:
+    """(value, term, start, end) of the terms within `near` words of each span; words of spans are none."""
+    if not spans:
+        return []
+    free, out, i = free_words(text, spans), [], 0
     for start, kind, end in spans:
         while i < len(free) and free[i][0] < start:
             i += 1
@@ -142,10 +148,52 @@ def disclosing(
     return counted.select("value", "term", "bits")
 
 
-def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near: int = 6, **thresholds) -> DataFrame:
-    """doc_id, text_hash, base, terms: spans by pattern, and spans of disclosing terms with their `bits`, of every row."""
+def _marked(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, broadcast_terms: int) -> DataFrame:
+    """doc_id, text_hash, base, terms of every row: all places of disclosing terms, outside of base spans."""
+    terms = written(pairs.groupBy("term").agg(F.max("bits").alias("bits")), "pii-terms")
+    small = terms.count() <= broadcast_terms
+    known = docs.sparkSession.sparkContext.broadcast({r.term: r.bits for r in terms.toLocalIterator()}) if small else None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits_of = known.value if small else None
+        for batch in batches:
+            base, places = [], []
+            for text in batch.column("text").to_pylist():
+                found = base_spans(text)
+                base.append([{"kind": k, "start": a, "end": b} for a, k, b in found])
+                here = [(a, b, text[a:b].translate(_LOWER)) for a, b in free_words(text, found)] if not small or bits_of else []
+                if small:
+                    places.append([{"start": a, "end": b, "bits": bits_of[w]} for a, b, w in here if w in bits_of])
+                else:
+                    places.append([{"start": a, "end": b, "term": w} for a, b, w in here])
+            last = ("bits", pa.float64()) if small else ("term", pa.string())
+            place = pa.struct([("start", pa.int32()), ("end", pa.int32()), last])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(base, pa.list_(SPAN)), pa.array(places, pa.list_(place))],
+                ["doc_id", "text_hash", "base", "terms"],
+            )
+
+    rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    of = "doc_id long, text_hash long, base array<struct<kind:int,start:int,end:int>>, terms array<struct<start:int,end:int,{}>>"
+    if small:
+        return rows.mapInArrow(scan, of.format("bits:double"))
+    rows = written(rows.mapInArrow(scan, of.format("term:string")).withColumn("rid", F.monotonically_increasing_id()), "pii-words")
+    told = rows.select("rid", F.explode("terms").alias("x")).select("rid", "x.*").join(terms, "term")
+    told = told.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "bits"))).alias("terms"))
+    none = F.array().cast("array<struct<start:int,end:int,bits:double>>")
+    return rows.drop("terms").join(told, "rid", "left").select("doc_id", "text_hash", "base", F.coalesce("terms", none).alias("terms"))
+
+
+def spans(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near: int = 6, everywhere: bool = False,
+    broadcast_terms: int = BROADCAST_TERMS, **thresholds,
+) -> DataFrame:
+    """doc_id, text_hash, base, terms: spans by pattern, and spans of disclosing terms with their `bits`, of every row.
+    Terms are marked near their value, or with `everywhere` wherever they stand."""
     found = find(docs, id_col=id_col, text_col=text_col, near=near)
     pairs = written(disclosing(docs, found, text_col=text_col, **thresholds), "pii-disclosing")
+    if everywhere:
+        return _marked(docs, pairs, id_col, text_col, broadcast_terms)
     close = found.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
     told = close.join(pairs, ["value", "term"]).groupBy("rid", "start", "end").agg(F.max("bits").alias("bits"))
     terms = told.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "bits"))).alias("terms"))
@@ -180,9 +228,9 @@ def sanitised_text(text: str, base: list, terms: list, remove_bits: float) -> st
     return "".join([*out, text[at:]])
 
 
-def sanitised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remove_bits: float = 12.0, **options) -> DataFrame:
+def sanitised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remove_bits: float = 12.0, everywhere: bool = True, **options) -> DataFrame:
     """doc_id, text of every document, values and disclosing terms replaced."""
-    found = spans(docs, id_col=id_col, text_col=text_col, **options).where((F.size("base") > 0)).dropDuplicates(["doc_id", "text_hash"])
+    found = spans(docs, id_col=id_col, text_col=text_col, everywhere=everywhere, **options).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "text_hash"])
     found = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "base", "terms")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,7 +46,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(pii.spans(documents(spark, sf_dir)))
+    return pii.report(pii.spans(documents(spark, sf_dir), everywhere=True))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
