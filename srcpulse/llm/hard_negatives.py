@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcpulse.llm.common import written
+from srcpulse.llm.heaps import Heaps, best
 
 #: Rows of a tile, and the side from which a product is not split any more.
 ANCHOR_ROWS, TILE_ROWS, LEAF = 256, 1024, 32
-#: Anchor tiles whose heaps a task holds before it hands them on, and entries that wait for a merge.
-HELD_TILES, HELD_ROWS = 64, 200_000
+#: Anchor tiles whose heaps a task holds before it hands them on.
+HELD_TILES = 64
 TILE = "n int, width int, low long, high long, ids binary, labels binary, vectors binary"
 SENT = ("n", "width", "ids", "labels", "vectors")
 FOUND = "id long, score long, tie long"
@@ -132,13 +133,6 @@ def tiles(rows: DataFrame, of_rows: int) -> DataFrame:
     return written(made.join(numbers, "place").drop("place"), "hard-tiles")
 
 
-def best(row: np.ndarray, score: np.ndarray, ids: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
-    """Places of the `k` best entries of each row: higher scores first, then smaller ids, then smaller ties."""
-    order = np.lexsort((tie, ids, -score, row))
-    firsts = np.searchsorted(row[order], row[order], side="left")
-    return order[np.arange(len(order)) - firsts < k]
-
-
 def _pairs(left: DataFrame, right: DataFrame, use: Column, *also: str) -> DataFrame:
     """A row for each pair of tiles that `use` asks for, dealt by the right tile. Numbers are paired; vectors follow by keys:
     a left tile moves once for each pair, a right tile once."""
@@ -151,28 +145,6 @@ def _pairs(left: DataFrame, right: DataFrame, use: Column, *also: str) -> DataFr
     return numbers.join(whole(left, "a", *also), "a").repartition(n, "b").join(whole(right, "b"), "b")
 
 
-class Heaps:
-    """The best `k` (id, score, tie) of each key; what several tiles push is merged at once."""
-
-    def __init__(self, k: int) -> None:
-        self._k, self._parts, self._rows, self._kept = k, [], 0, 0
-
-    def push(self, key: np.ndarray, ids: np.ndarray, score: np.ndarray, tie: np.ndarray) -> None:
-        self._parts.append((key, ids, score, tie))
-        self._rows += len(key)
-        if self._rows > 2 * self._kept + HELD_ROWS:
-            self.merged()
-
-    def merged(self) -> tuple[np.ndarray, ...]:
-        if not self._parts:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        key, ids, score, tie = (np.concatenate(x) for x in zip(*self._parts, strict=True))
-        keep = best(key, score, ids, tie, self._k)
-        self._parts = [(key[keep], ids[keep], score[keep], tie[keep])]
-        self._rows = self._kept = len(keep)
-        return self._parts[0]
-
-
 class _Tile:
     def __init__(self, n: int, width: int, ids: bytes, labels: bytes, vectors: bytes) -> None:
         self.ids, self.labels = np.frombuffer(ids, "<i8"), np.frombuffer(labels, "<i8")

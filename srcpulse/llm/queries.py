@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcpulse.llm import decontaminate, exact, hard_negatives, packing, pii, repeats, simhash, token_counts, token_files, toxicity, url_templates
+from srcpulse.llm import decontaminate, exact, hard_negatives, lexical, packing, pii, repeats, simhash, token_counts, token_files, toxicity, url_templates
 from srcpulse.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,16 +64,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_token_counts, op3_token_files, op4_simhash, op5_url_templates, op6_decontaminate, op7_exact_dedup,
-        op8_pii, op9_packing, op10_toxicity, op11_hard_negatives,
+        op8_pii, op9_packing, op10_toxicity, op11_hard_negatives, op13_lexical_search,
     )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"[x for x in string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"
+_NO_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 ORACLE: dict[str, str] = {
     "op5_url_templates": url_templates.judge_sql(RULES),
     "op6_decontaminate": f"""
@@ -105,4 +110,17 @@ ORACLE: dict[str, str] = {
           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
         FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
     SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5""",
+    "op13_lexical_search": rf"""
+    WITH tokens AS (SELECT doc_id, [x for x in string_split_regex({_LOWER}, '{_NO_TERM}+') if x <> ''] AS w FROM documents),
+      sizes AS (SELECT doc_id, len(w) AS n FROM tokens WHERE len(w) > 0),
+      total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+      wanted AS (SELECT DISTINCT item_id, unnest([x for x in string_split_regex({_LOWER}, '{_NO_TERM}+') if x <> '']) AS t FROM benchmark),
+      counts AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM tokens) WHERE t IN (SELECT t FROM wanted) GROUP BY ALL),
+      weights AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+        FROM (SELECT t, count(*) AS df FROM counts GROUP BY t), total),
+      impacts AS (SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)) AS impact
+        FROM counts JOIN sizes USING (doc_id), total),
+      scored AS (SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score FROM wanted JOIN weights USING (t) JOIN impacts USING (t) GROUP BY ALL),
+      ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= 10""",
 }
