@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +18,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id`, `text` of every row, null texts empty; all other columns are dropped, so none can clash."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """`doc_id`, `text` of every row, null texts empty; all other columns but `more` are dropped, so none can clash."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *more,
     )
 
 
@@ -32,6 +36,14 @@ def written(df: DataFrame, what: str, *partition_by: str, compression: str = "zs
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept[T](what: str, key: object, make: Callable[[], T]) -> T:
+    """What a worker process makes once for all its tasks. Modules travel anew with each task, so it is kept beside them."""
+    held = sys.__dict__.setdefault("_srcpulse_kept", {}).setdefault(what, {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def removed(spark: SparkSession) -> None:
     """Delete what the operators left in the shared folder. For use when no result is read any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "llm")).getParent()

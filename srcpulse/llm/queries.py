@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcpulse.llm import decontaminate, exact, hard_negatives, lexical, packing, pii, repeats, simhash, token_counts, token_files, toxicity, url_templates
+from srcpulse.llm import decontaminate, exact, hard_negatives, language_model, lexical, packing, pii, repeats, simhash, token_counts, token_files, toxicity, url_templates
 from srcpulse.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +64,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    scored = language_model.score(docs, language_model.fit(docs, ~held_out("doc_id")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -72,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_token_counts, op3_token_files, op4_simhash, op5_url_templates, op6_decontaminate, op7_exact_dedup,
-        op8_pii, op9_packing, op10_toxicity, op11_hard_negatives, op13_lexical_search,
+        op8_pii, op9_packing, op10_toxicity, op11_hard_negatives, op12_language_model, op13_lexical_search,
     )
 }
 
