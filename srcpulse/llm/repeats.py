@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcpulse.llm.common import texts, written
+from srcpulse.llm.common import kept, texts, written
 
 SEGMENTS = "doc_id long, text_hash long, anchor long, segment long, start int, windows int, times int, stride int"
 #: Windows of a long text that are looked at together, and the bits that number them.
@@ -44,14 +43,13 @@ GATHERED = 2_500
 BROADCAST_ROWS = 500_000
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def run(base: int) -> np.ndarray:
         out = np.full(n, base, np.uint64)
         out[0] = 1
         return np.cumprod(out)
 
-    return run(BASE), run(pow(BASE, -1, 2**64))
+    return kept("powers", n, lambda: (run(BASE), run(pow(BASE, -1, 2**64))))
 
 
 def segments(raw: bytes, least: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:

@@ -11,10 +11,11 @@ import json
 import re
 import sys
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
+from srcpulse.llm.common import kept
+
 #: Ranges of code points with settled classes (first, last).
 SETTLED = (
     (0x0000, 0x0377), (0x0384, 0x038A), (0x038E, 0x03A1), (0x03A3, 0x0527), (0x2010, 0x2027), (0x2030, 0x205E),
@@ -148,8 +149,7 @@ class Codec:
         return sum(map(lengths.__getitem__, pieces))
 
 
-@lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     """One codec per worker process and tokenizer file."""
     sys.setswitchinterval(0.05)
-    return Codec(path)
+    return kept("codec", path, lambda: Codec(path))
