@@ -12,7 +12,7 @@ from srcpulse.operators import churn, history as hist, metrics, model, rollups,
 from srcpulse.plans import pipelines
 from srcpulse.session import materialize, shared_dir
 from srcpulse.sources import adapters as A, corpus, patterns as pat, store
-from srcpulse.streaming import live
+from srcpulse.streaming import churn_state, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -639,6 +639,26 @@ def stream_churn(spark, sf):
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
+def _sliding_churn(spark, commits, days_back, slide_days):
+    commits = live.closed(commits, shared_dir(spark, "stream-end"))
+    with churn_state.keyed_state(spark):
+        done = _drain(spark, churn_state.sliding_churn(commits, days_back, slide_days), "stream-churn-risk")
+    done = done.withColumn("churn_warnings", joined("churn_warnings"))
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_end", "last_modified", "latest_change")})
+
+
+@query
+def stream_churn_risk(spark, sf):
+    """Gap, risk and hotspots of the commits to each file over windows of 90 days that end every 30 days."""
+    return _sliding_churn(spark, A.view(A.table_stream(spark, sf, "lineitem"), A.COMMITS_SUPP), 90, 30)
+
+
+@query
+def stream_churn_risk_events(spark, sf):
+    """The same over commits at any time of the day, in windows of a week that end every three days."""
+    return _sliding_churn(spark, A.view(A.table_stream(spark, sf, "events"), A.COMMITS_EVENTS), 7, 3)
+
+
 @query
 def stream_progress(spark, sf):
     events = A.table_stream(spark, sf, "events").select("ts", F.col("event_type").alias("step"))
@@ -655,6 +675,18 @@ def stream_latest(spark, sf):
     return live.read_latest(spark, f"{base}/table").select(*PREDICTION_COLUMNS)
 
 
+@query
+def stream_latest_upsert(spark, sf):
+    """The same in eight batches that arrive out of order, then all of them once more through another query."""
+    base = shared_dir(spark, "stream-upsert")
+    rows = A.view(A.table(spark, sf, "orders"), A.PREDICTIONS)
+    rows.repartition(8, "prediction_id").write.parquet(f"{base}/in")
+    for name in ("first", "again"):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        live.start_latest(stream, f"{base}/table", f"{base}/{name}", available_now=True, buckets=16).awaitTermination()
+    return live.read_latest(spark, f"{base}/table").distinct().select(*PREDICTION_COLUMNS)
+
+
 @query
 def stream_style_gate(spark, sf):
     base = shared_dir(spark, "stream-gate")

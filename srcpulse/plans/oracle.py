@@ -120,6 +120,22 @@ def recent(source: str, columns, as_of: str, days: int) -> str:
     )
 
 
+def sliding_churn(source: str, columns, days: int, slide: int) -> str:
+    """Statistics, risk and flags per file and window end, from every commit and window end that holds it."""
+    ch = {"n": "n", "a": "authors", "g": "gap"}
+    return f"""WITH com AS ({A.sql_view(source, columns)}),
+ends AS (SELECT TIMESTAMP '1970-01-01' + to_days(CAST(d AS INTEGER)) AS window_end FROM
+  (SELECT unnest(range(CAST(floor(epoch(min(ts)) / 86400 / {slide}) AS BIGINT) * {slide},
+    CAST(ceil(epoch(max(ts)) / 86400) AS BIGINT) + {days + slide}, {slide})) AS d FROM com)),
+held AS (SELECT window_end, com.* FROM com JOIN ends ON ts <= window_end AND ts >= window_end - INTERVAL {days} DAY),
+gaps AS (SELECT *, floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY file_path, window_end ORDER BY ts))) / 86400000000) AS gap FROM held),
+agg AS (SELECT file_path, window_end, count(*) AS n, count(DISTINCT author) AS authors, sum(gap) / nullif(count(*) - 1, 0) AS g,
+  min(ts) AS last_modified, max(ts) AS latest_change FROM gaps GROUP BY file_path, window_end),
+done AS (SELECT *, CASE WHEN n > 1 THEN {round_exact('g')} ELSE {days}e0 END AS gap FROM agg)
+SELECT file_path, window_end, n AS change_frequency, authors AS authors_count, gap AS avg_days_between_changes, last_modified, latest_change,
+  {CHURN_RISK.format(**ch)} AS churn_risk_score, n > 10 AS is_hotspot, {CHURN_WARNINGS.format(**ch)} AS churn_warnings FROM done"""
+
+
 def churn(source: str, columns, as_of: str, days: int) -> str:
     """CTEs ending in ``churn``; gaps between neighbouring commits, one by one."""
     return f"""{recent(source, columns, as_of, days)},
@@ -535,8 +551,11 @@ ORACLE: dict[str, str] = {
     "stream_churn": f"""WITH e AS ({A.sql_view('events', A.SQL_COMMITS_EVENTS)}),
  d AS (SELECT date_trunc('day', ts) AS s, file_path, count(*) AS commits, count(DISTINCT author) AS authors FROM e GROUP BY ALL)
  SELECT s AS window_start, s + INTERVAL 1 DAY AS window_end, file_path, commits AS change_frequency, authors AS authors_count FROM d""",
+    "stream_churn_risk": sliding_churn("lineitem", A.COMMITS_SUPP, 90, 30),
+    "stream_churn_risk_events": sliding_churn("events", A.SQL_COMMITS_EVENTS, 7, 3),
     "stream_progress": "WITH d AS (SELECT date_trunc('hour', ts) AS s, event_type AS step, count(*) AS events FROM events GROUP BY ALL) "
     "SELECT s AS window_start, s + INTERVAL 1 HOUR AS window_end, step, events FROM d",
     "stream_latest": f"WITH {LATEST} SELECT prediction_id, file_path, ts, decay_score, risk_level FROM latest",
+    "stream_latest_upsert": f"WITH {LATEST} SELECT prediction_id, file_path, ts, decay_score, risk_level FROM latest",
     "stream_style_gate": f"WITH {style_cte()}, {gate('issues', 'corpus')}",
 }

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from srcpulse.functions import style
 from srcpulse.operators.history import latest_predictions
 from srcpulse.operators.style import severity_columns, style_check, with_verdict
+from srcpulse.sources import keyed
 
 
 def windowed_churn(commits: DataFrame, window: str = "1 day", slide: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -61,17 +62,19 @@ def _write_batch(path: str, shape: Callable[[DataFrame], DataFrame]) -> Callable
     return write
 
 
-def start_latest(predictions: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Keep the newest rows of each file: every batch adds its own newest rows as one folder."""
-    writer = predictions.writeStream.foreachBatch(_write_batch(path, latest_predictions)).option(
-        "checkpointLocation", checkpoint
-    )
+def start_latest(predictions: DataFrame, path: str, checkpoint: str, available_now: bool = False, buckets: int = keyed.BUCKETS) -> StreamingQuery:
+    """Keep the newest rows of each file in a keyed table: a batch rewrites only the buckets of its files."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        keyed.merge(batch, path, "file_path", latest_predictions, checkpoint, batch_id, buckets)
+
+    writer = predictions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest rows over all batches so far."""
-    return latest_predictions(spark.read.parquet(path)).drop("batch_id")
+    return keyed.read(spark, path)
 
 
 def start_style_gate(
