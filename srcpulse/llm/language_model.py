@@ -77,12 +77,33 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-class _Hashes(dict):
+class _Words(dict):
+    """Number of each word that a task has met, in order; `hashes` and what else belongs to a number are arrays."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: list[bytes] = []
+        self.hashes = np.zeros(0, np.uint64)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
+        self[word] = n = len(self.words)
+        self.words.append(word)
+        return n
+
+    def numbers(self, texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of end, words, end of all texts in a row, first place of each text)."""
+        if len(self.words) > KEPT_WORDS:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+            self.words, self.hashes = [], self.hashes[:0]
+        found, sizes = [], []
+        for text in texts_:
+            words = words_of(text)
+            found += [END, *words, END]
+            sizes.append(len(words) + 2)
+        out = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        new = [xxhash.xxh3_64_intdigest(w) for w in self.words[len(self.hashes) :]]
+        self.hashes = np.concatenate([self.hashes, np.array(new, np.uint64)])
+        return out, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,11 +113,18 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def grams(hashes: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-grams of each order that end at each place of (end, words, end); the first `k` places have none of order k + 1."""
+def _within(starts: np.ndarray, n: int) -> np.ndarray:
+    """The place of each of `n` tokens within its text."""
+    sizes = np.diff(starts, append=n)
+    return np.arange(n) - np.repeat(starts, sizes)
+
+
+def grams(hashes: np.ndarray, within: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hashes of the n-grams of each order that end at each token. A token at place p of its text ends n-grams of up to
+    p + 1 tokens; hashes beyond that cross texts and stand for nothing."""
     out = [hashes]
     for _ in range(order - 1):
-        out.append(_mixed(out[-1][:-1], hashes[len(hashes) - len(out[-1]) + 1 :]))
+        out.append(_mixed(np.concatenate([out[-1][:1], out[-1][:-1]]), hashes))
     return out
 
 
@@ -122,41 +150,46 @@ def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
     return np.searchsorted(np.array(least), counts, side="right").astype(np.uint8)
 
 
-def count_of(levels: np.ndarray, base: float) -> np.ndarray:
-    """The mean of the counts that a level stands for; 0 for none."""
-    least = [0, 1]
-    while len(least) < 258:
-        least.append(max(least[-1] + 1, math.ceil(min(base ** (len(least) - 1), 2.0**62))))
-    mean = np.array([0.0, *((a + b - 1) / 2 for a, b in zip(least[1:], least[2:], strict=False))])
-    return mean[levels]
+def level_means(base: float) -> np.ndarray:
+    """The mean of the counts that each level stands for; 0 for level 0."""
+    least = [1]
+    while len(least) < 257:
+        least.append(max(least[-1] + 1, math.ceil(min(base ** len(least), 2.0**62))))
+    return np.array([0.0, *((a + b - 1) / 2 for a, b in zip(least, least[1:], strict=False))])
+
 
+def _hashed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of the places of each n-gram: double hashing over 32 bits."""
+    return keys.astype(np.uint32), (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
-def _places(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    """The bit of each pair (n-gram, level) for one of the probes: double hashing within its part."""
-    a = _mixed(keys, np.uint64(2 * level + 1) + np.zeros(1, np.uint64))
-    step = (a >> np.uint64(32)) | np.uint64(1)
-    return ((a & np.uint64(0xFFFFFFFF)) + step * np.uint64(probe)) % np.uint64(bits)
+
+def _places(start: np.ndarray, step: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    """The bit for one turn, which numbers level and probe, within a part of `bits` bits."""
+    return (start + step * np.uint32(turn)).astype(np.uint64) * np.uint64(bits) >> np.uint64(32)
 
 
 def filled(keys: np.ndarray, levels: np.ndarray, bits: int, probes: int) -> np.ndarray:
     """The bit array of one part, as bytes."""
     on = np.zeros(bits, bool)
+    start, step = _hashed(keys)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        some = keys[levels >= level]
-        for probe in range(probes):
-            on[_places(some, level, probe, bits)] = True
+        some = levels >= level
+        start, step, levels = start[some], step[some], levels[some]
+        for turn in range(level * probes, (level + 1) * probes):
+            on[_places(start, step, turn, bits)] = True
     return np.packbits(on, bitorder="little")
 
 
 def probed(keys: np.ndarray, at: np.ndarray, raw: np.ndarray, bits: int, probes: int) -> np.ndarray:
     """Levels of the n-grams, whose part's bits start at byte `at` of `raw`: probed upwards until one is missing."""
     levels, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+    start, step = _hashed(keys)
     level = 1
-    while len(left) and level < 255:
-        for probe in range(probes):
-            place = _places(keys[left], level, probe, bits)
-            hit = raw[at[left] + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1
-            left = left[hit > 0]
+    while len(left) and level < 256:
+        for turn in range(level * probes, (level + 1) * probes):
+            place = _places(start, step, turn, bits)
+            hit = raw[at + (place >> np.uint64(3)).astype(np.int64)] & (np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)) != 0
+            left, at, start, step = left[hit], at[hit], start[hit], step[hit]
         levels[left] = level
         level += 1
     return levels
@@ -191,8 +224,7 @@ def gram_counts(docs: DataFrame, order: int, parts: int, *, id_col: str = "doc_i
     """part, grams (sorted 64-bit hashes), counts of all n-grams of the rows, a row per part; a written table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n = _Hashes(), [], 0
-        end = known[END]
+        known, held, n = _Words(), [], 0
 
         def sent() -> pa.RecordBatch:
             keys, counts = _summed(np.concatenate(held))
@@ -202,13 +234,14 @@ def gram_counts(docs: DataFrame, order: int, parts: int, *, id_col: str = "doc_i
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), cut(keys, "<u8"), cut(counts, "<i8")], ["part", "grams", "counts"])
 
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                of_order = grams(np.array([end, *map(known.__getitem__, words_of(text)), end], np.uint64), order)
-                held += [of_order[0][1:], *of_order[1:]]
-                n += order * len(of_order[0])
-                if n > HELD_GRAMS:
-                    yield sent()
-                    held, n = [], 0
+            numbers, starts = known.numbers(batch.column("text").cast(pa.binary()).to_pylist())
+            within = _within(starts, len(numbers))
+            # The end that leads a text is a context and no token of it.
+            held += [one[within >= max(k, 1)] for k, one in enumerate(grams(known.hashes[numbers], within, order))]
+            n += order * len(numbers)
+            if n > HELD_GRAMS:
+                yield sent()
+                held, n = [], 0
         if held:
             yield sent()
 
@@ -259,57 +292,58 @@ def fit(docs: DataFrame, train: Column, *, shape: Shape = Shape(), id_col: str =
     return Model(shape, words, total.n, total.v, written(counts.mapInArrow(build, "part int, bits binary"), "model-filter"), parts, bits)
 
 
-def log_probability(of_order: list[np.ndarray], levels: list[np.ndarray], shape: Shape, n_train: int, n_distinct: int) -> np.ndarray:
-    """log10 of the probability of each word and the end, given its n-grams' levels by order."""
-    counts = [count_of(x, shape.base) for x in levels]
-    p = (counts[0][1:] + 0.5) / (n_train + 0.5 * (n_distinct + 1))
-    for k in range(1, shape.order):
-        # Places of order k + 1 are the last of those of order k; a context ends one place earlier.
-        gram, context = counts[k], counts[k - 1][:-1]
-        p[k - 1 :] = (gram + shape.mu * p[k - 1 :]) / (context + shape.mu)
-    return np.log10(p)
+class _Scorer:
+    """Scores of texts, given a look-up from n-gram hashes to levels."""
+
+    def __init__(self, shape: Shape, n_train: int, n_distinct: int) -> None:
+        self.shape, self._total, self._means = shape, n_train + 0.5 * (n_distinct + 1), level_means(shape.base)
+
+    def keys(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """All n-grams that a score looks at."""
+        within = _within(starts, len(hashes))
+        return np.concatenate([one[within >= k] for k, one in enumerate(grams(hashes, within, self.shape.order))])
+
+    def scores(self, hashes: np.ndarray, starts: np.ndarray, look_up, first: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the probability of each text; `first` has the levels of single tokens where they are known."""
+        if not len(starts):
+            return np.zeros(0)
+        within = _within(starts, len(hashes))
+        counts = self._means[look_up(hashes) if first is None else first]
+        p = (counts + 0.5) / self._total
+        for k, one in enumerate(grams(hashes, within, self.shape.order)[1:], start=1):
+            some = np.flatnonzero(within >= k)
+            context, counts = counts[some - 1], np.zeros(len(hashes))
+            counts[some] = self._means[look_up(one[some])]
+            p[some] = (counts[some] + self.shape.mu * p[some]) / (context + self.shape.mu)
+        p[starts] = 1.0  # the end that leads a text
+        return np.add.reduceat(np.log10(p), starts)
+
+
+CHUNKED = [c.split()[0] for c in CHUNK.split(", ")]
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_tokens: int) -> DataFrame:
     """chunk, doc_id, text_hash, hashes of (end, words, end) of every row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, chunk, n = _Hashes(), TaskContext.get().partitionId() << 32, 0
-        end = known[END]
+        known, chunk, n = _Words(), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            chunks, hashes = [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                one = np.array([end, *map(known.__getitem__, words_of(text)), end], np.uint64)
+            numbers, starts = known.numbers(batch.column("text").cast(pa.binary()).to_pylist())
+            hashes, chunks = np.split(known.hashes[numbers], starts[1:]), []
+            for one in hashes[: batch.num_rows]:
                 if n and n + len(one) > chunk_tokens:
                     chunk, n = chunk + 1, 0
                 n += len(one)
                 chunks.append(chunk)
-                hashes.append(one.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), batch.column("doc_id"), batch.column("text_hash"), pa.array(hashes, pa.binary())], [c.split()[0] for c in CHUNK.split(", ")])
+            raw = pa.array([one.tobytes() for one in hashes[: batch.num_rows]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), batch.column("doc_id"), batch.column("text_hash"), raw], CHUNKED)
 
     return texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(cut, CHUNK)
 
 
-class _Scorer:
-    """Scores of documents, given a look-up from n-gram hashes to levels."""
-
-    def __init__(self, shape: Shape, n_train: int, n_distinct: int) -> None:
-        self._shape, self._n_train, self._n_distinct = shape, n_train, n_distinct
-
-    def grams(self, raw: list[bytes]) -> list[list[np.ndarray]]:
-        return [grams(np.frombuffer(x, "<u8"), self._shape.order) for x in raw]
-
-    def scores(self, docs: list[list[np.ndarray]], look_up) -> list[float]:
-        if not docs:
-            return []
-        every = [one for doc in docs for one in doc]
-        cuts = np.cumsum([0, *map(len, every)])
-        levels, out = look_up(np.concatenate(every)), []
-        for i, doc in enumerate(docs):
-            at = i * self._shape.order
-            mine = [levels[cuts[at + k] : cuts[at + k + 1]] for k in range(self._shape.order)]
-            out.append(float(log_probability(doc, mine, self._shape, self._n_train, self._n_distinct).sum()))
-        return out
+def _joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of several texts in a row, and the first place of each."""
+    return np.frombuffer(b"".join(raw), "<u8"), np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw], dtype=np.int64)])[:-1]
 
 
 def _frequent(words: DataFrame, most: int) -> DataFrame:
@@ -329,40 +363,45 @@ def _frequent(words: DataFrame, most: int) -> DataFrame:
 def _base(docs: DataFrame, model: Model, id_col: str, text_col: str, frequent: int, raw_filter: np.ndarray | None) -> DataFrame:
     """rid, doc_id, text_hash, n_tokens, and n_known and base of the frequent words, others as `rare`, score where the filter is given."""
     log_of = lambda c: math.log10((c + 0.5) / (model.n_train + 0.5 * (model.n_distinct + 1)))
-    table = {bytes(r.word): (log_of(r.c), r.c > 0) for r in _frequent(model.words, frequent).toLocalIterator()}
+    table = {bytes(r.word): (log_of(r.c), int(r.c > 0)) for r in _frequent(model.words, frequent).toLocalIterator()}
     sent = docs.sparkSession.sparkContext.broadcast((table, raw_filter))
     scorer, probes, parts, bits = _Scorer(model.shape, model.n_train, model.n_distinct), model.shape.probes, model.parts, model.part_bits
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, raw = sent.value[0].get, sent.value[1]
-        known = _Hashes()
-        end = known[END]
+        table, raw = sent.value
+        known = _Words()
+        log_p, is_known, level = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
         def look_up(keys: np.ndarray) -> np.ndarray:
             return probed(keys, part_of(keys, parts) * (bits // 8), raw, bits, probes)
 
         for batch in batches:
-            n_tokens, n_known, base, rare, of_doc = [], [], [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                words = [*words_of(text), END]
-                n, total, odd = 0, 0.0, []
-                for word, tf in Counter(words).items():
-                    found = get(word)
-                    if found is None:
-                        odd.append((word, tf))
-                    else:
-                        total += tf * found[0]
-                        n += tf * found[1]
-                n_tokens.append(len(words))
-                n_known.append(n)
-                base.append(total)
-                rare.append(odd)
-                if raw is not None:
-                    of_doc.append(grams(np.array([end, *map(known.__getitem__, words)], np.uint64), scorer._shape.order))
-            score = scorer.scores(of_doc, look_up) if raw is not None else [None] * batch.num_rows
-            rare = pa.array([[{"word": w, "tf": t} for w, t in x] for x in rare], rare_type)
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), rare, pa.array(score, pa.float64())]
+            if not batch.num_rows:
+                continue
+            before = len(known.words)
+            numbers, starts = known.numbers(batch.column("text").cast(pa.binary()).to_pylist())
+            before = before if before <= KEPT_WORDS else 0  # all was forgotten
+            new = [table.get(w, (math.nan, 0)) for w in known.words[before:]]
+            log_p = np.concatenate([log_p[:before], np.array([x for x, _ in new], np.float64)])
+            is_known = np.concatenate([is_known[:before], np.array([x for _, x in new], np.int64)])
+            sizes = np.diff(starts, append=len(numbers))
+            is_token = np.ones(len(numbers), bool)
+            is_token[starts] = False
+            each = np.where(is_token, log_p[numbers], 0.0)
+            odd = np.flatnonzero(np.isnan(each))
+            each[odd] = 0.0
+            doc = np.repeat(np.arange(len(starts)), sizes)[odd]
+            pair, tf = np.unique(doc << 32 | numbers[odd], return_counts=True)
+            word_of, cuts = (pair & (2**32 - 1)).tolist(), np.searchsorted(pair >> 32, np.arange(len(starts) + 1))
+            rare = pa.StructArray.from_arrays([pa.array([known.words[i] for i in word_of], pa.binary()), pa.array(tf.astype(np.int64))], ["word", "tf"])
+            score = pa.nulls(batch.num_rows, pa.float64())
+            if raw is not None:
+                level = np.concatenate([level[:before], look_up(known.hashes[before:])])
+                score = pa.array(scorer.scores(known.hashes[numbers], starts, look_up, level[numbers]))
+            columns = [
+                batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes - 1), pa.array(np.add.reduceat(is_known[numbers] * is_token, starts)),
+                pa.array(np.add.reduceat(each, starts)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), rare), score,
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_tokens", "n_known", "base", "rare", "score"])
 
     rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
@@ -384,7 +423,7 @@ def routed_scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text
         at, held = None, []
 
         def asked() -> pa.RecordBatch:
-            keys = np.unique(np.concatenate([x for doc in scorer.grams(held) for x in doc]))
+            keys = np.unique(scorer.keys(*_joined(held)))
             cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
             some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
             columns = [pa.array(some, pa.int32()), pa.array([at] * len(some), pa.int64()), pa.array([keys[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())]
@@ -418,15 +457,11 @@ def routed_scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, table = None, [], None
         for batch in batches:
-            docs_, ids, texts_ = [], [], []
+            docs_, ids, texts_, scores = [], [], [], []
 
             def done() -> list[float]:
-                def look_up(keys: np.ndarray) -> np.ndarray:
-                    return table[1][np.searchsorted(table[0], keys)]
-
-                return scorer.scores(scorer.grams(docs_), look_up)
+                return scorer.scores(*_joined(docs_), lambda keys: table[1][np.searchsorted(table[0], keys)]).tolist()
 
-            scores: list[float] = []
             for chunk, levels, doc, text, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "levels", "doc_id", "text_hash", "hashes")), strict=True):
                 if chunk != at:
                     scores += done()
