@@ -1,11 +1,12 @@
 """Nearest patterns of every query vector.
 
-Two exact ways with one result:
+Exact ways with one result:
 
 * A catalogue whose size is checked to be small is sent to every task, and each batch of queries is
   multiplied with it. The plan is narrow: no shuffle and no row per (query, pattern) pair.
-* A larger catalogue is cut into cells around a few pivots. The triangle inequality tells from the
-  distances to the pivots alone which cells can hold a neighbour of a query; only those are searched.
+* A larger catalogue is scanned as eight-bit codes, whose bounds leave few vectors to be looked at in full (`quantised`).
+* Where it has clusters it can be cut into cells around a few pivots instead (``large="cells"``). The triangle inequality tells from
+  the distances to the pivots alone which cells can hold a neighbour of a query; only those are searched.
   Cells and the queries that visit them are split until each group has a bounded number of rows.
 
 Distances are compared at nine decimals and ties go to the smaller ``pattern_id``, so the order in which
@@ -25,6 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from srcpulse.functions import scoring
+from srcpulse.operators import quantised
 from srcpulse.schemas import NEIGHBOUR
 
 # Functions sent to tasks travel with their code, so workers need no copy of this package.
@@ -102,7 +104,7 @@ def _catalogue_fits(patterns: DataFrame, max_bytes: int) -> tuple[bool, int]:
 
 def nearest_patterns(
     queries: DataFrame, patterns: DataFrame, k: Mapping[str, int] = NEIGHBOURS, metric: str = "l2",
-    max_distance: float | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    max_distance: float | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, large: str = "codes",
 ) -> DataFrame:
     """The nearest patterns of every query in each collection: ``query_id, decay_neighbours, bug_neighbours``.
 
@@ -112,13 +114,17 @@ def nearest_patterns(
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
+    if large not in ("codes", "cells"):
+        raise ValueError("a large catalogue is searched by codes or by cells")
     known = patterns.filter(F.col("collection").isin(*k) & F.col("embedding").isNotNull()).select(
         "collection", F.col("pattern_id").cast("string").alias("pattern_id"), "embedding", "bug_type", "severity"
     )
     fits, count = _catalogue_fits(known, max_broadcast_bytes)
     if fits:
         return _by_broadcast(queries, known, k, metric, max_distance)
-    return _by_cells(queries, known, k, metric, max_distance, count)
+    if large == "cells":
+        return _by_cells(queries, known, k, metric, max_distance, count)
+    return _by_codes(queries, known, k, metric, max_distance)
 
 
 def _by_broadcast(queries, known, k, metric, max_distance) -> DataFrame:
@@ -160,6 +166,23 @@ def _by_broadcast(queries, known, k, metric, max_distance) -> DataFrame:
     )
 
 
+def _pair_distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows of equal place."""
+    if metric == "cosine":
+        return np.round(np.maximum(1.0 - (_unit(q, metric) * _unit(p, metric)).sum(axis=1), 0.0), DECIMALS)
+    d = (q * q).sum(axis=1) + (p * p).sum(axis=1) - 2.0 * (q * p).sum(axis=1)
+    return np.round(np.maximum(d, 0.0), DECIMALS)
+
+
+def _by_codes(queries, known, k, metric, max_distance) -> DataFrame:
+    found = None
+    for name, wanted in k.items():
+        rows = quantised.search(queries, known.filter(F.col("collection") == name), wanted, metric, max_distance, _pair_distances)
+        rows = rows.withColumn("collection", F.lit(name))
+        found = rows if found is None else found.unionByName(rows)
+    return _gathered(queries, found)
+
+
 def _by_cells(queries, known, k, metric, max_distance, count) -> DataFrame:
     """Search only the cells that can hold a neighbour, in groups of bounded size."""
     spark = queries.sparkSession
@@ -176,6 +199,11 @@ def _by_cells(queries, known, k, metric, max_distance, count) -> DataFrame:
             "collection", F.lit(name)
         )
         found = rows if found is None else found.unionByName(rows)
+    return _gathered(queries, found)
+
+
+def _gathered(queries, found) -> DataFrame:
+    """The ranked rows of all collections as lists of each query."""
 
     def gathered(name: str) -> Column:
         # at most k entries of a query

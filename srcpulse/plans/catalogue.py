@@ -413,11 +413,25 @@ def knn_patterns(spark, sf):
 
 @query
 def knn_patterns_cells(spark, sf):
+    return _knn_rows(
+        similarity.nearest_patterns(
+            A.query_vectors(spark, sf), A.patterns(spark, sf), metric="cosine", max_broadcast_bytes=0, large="cells"
+        )
+    )
+
+
+@query
+def knn_patterns_codes(spark, sf):
     return _knn_rows(
         similarity.nearest_patterns(A.query_vectors(spark, sf), A.patterns(spark, sf), metric="cosine", max_broadcast_bytes=0)
     )
 
 
+@query
+def knn_patterns_squared_codes(spark, sf):
+    return _knn_rows(similarity.nearest_patterns(A.query_vectors(spark, sf), A.patterns(spark, sf), metric="l2", max_broadcast_bytes=0))
+
+
 @query
 def knn_patterns_squared(spark, sf):
     return _knn_rows(similarity.nearest_patterns(A.query_vectors(spark, sf), A.patterns(spark, sf), metric="l2"))

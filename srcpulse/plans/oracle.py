@@ -490,8 +490,10 @@ ORACLE: dict[str, str] = {
     "CASE WHEN import_count > 25 THEN 'Very high import count (' || import_count || '). Consider modularization.' "
     "WHEN import_count > 15 THEN 'High import count (' || import_count || '). Monitor dependencies.' ELSE '' END AS dependency_warnings FROM deps",
     "knn_patterns": f"WITH {knn('label >= 4')} {KNN_ROWS}",
+    "knn_patterns_codes": f"WITH {knn('label >= 4')} {KNN_ROWS}",
     "knn_patterns_cells": f"WITH {knn('label >= 4')} {KNN_ROWS}",
     "knn_patterns_squared": f"WITH {knn('label >= 4', SQUARED)} {KNN_ROWS}",
+    "knn_patterns_squared_codes": f"WITH {knn('label >= 4', SQUARED)} {KNN_ROWS}",
     "pattern_risk": f"WITH {knn('label >= 4')}, x AS (SELECT query_id, {PATTERN_POINTS} AS r, "
     "string_agg(coalesce(bug_type, 'unknown') || '/' || coalesce(severity, 'unknown'), ',' ORDER BY rank) FILTER (collection = 'bug_patterns') AS similar_issues, "
     "count(*) FILTER (collection = 'bug_patterns') AS b, bool_or(collection = 'bug_patterns' AND severity = 'critical') AS crit FROM nb GROUP BY query_id) "

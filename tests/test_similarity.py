@@ -1,4 +1,4 @@
-"""Both ways of the search against a plain loop."""
+"""All ways of the search against a plain loop."""
 
 import numpy as np
 import pytest
@@ -6,6 +6,7 @@ import pytest
 from srcpulse.operators import similarity as sim
 
 K = {"decay_patterns": 5, "bug_patterns": 3}
+WAYS = [{"max_broadcast_bytes": sim.MAX_BROADCAST_BYTES}, {"max_broadcast_bytes": 0, "large": "cells"}, {"max_broadcast_bytes": 0}]
 
 
 def _data(n=240, queries=60, dims=8, seed=3):
@@ -52,40 +53,40 @@ def _rows(found):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("limit", [sim.MAX_BROADCAST_BYTES, 0])
-def test_equals_a_plain_loop(spark, metric, limit, monkeypatch):
+@pytest.mark.parametrize("way", WAYS)
+def test_equals_a_plain_loop(spark, metric, way, monkeypatch):
     monkeypatch.setattr(sim, "CELL_ROWS", 16)
     monkeypatch.setattr(sim, "QUERY_ROWS", 8)
     patterns, queries = _data()
-    found = sim.nearest_patterns(*_frames(spark, patterns, queries), metric=metric, max_broadcast_bytes=limit)
+    found = sim.nearest_patterns(*_frames(spark, patterns, queries), metric=metric, **way)
     assert _rows(found) == _loop(patterns, queries, metric)
 
 
-@pytest.mark.parametrize("limit", [sim.MAX_BROADCAST_BYTES, 0])
-def test_max_distance(spark, limit):
+@pytest.mark.parametrize("way", WAYS)
+def test_max_distance(spark, way):
     patterns, queries = _data(60, 20)
-    found = sim.nearest_patterns(*_frames(spark, patterns, queries), metric="l2", max_distance=4.0, max_broadcast_bytes=limit)
+    found = sim.nearest_patterns(*_frames(spark, patterns, queries), metric="l2", max_distance=4.0, **way)
     want = {key: v for key, v in _loop(patterns, queries, "l2", 4.0).items() if v}
     assert _rows(found) == want and found.count() == 20
 
 
-@pytest.mark.parametrize("limit", [sim.MAX_BROADCAST_BYTES, 0])
-def test_small_and_empty_catalogues(spark, limit):
+@pytest.mark.parametrize("way", WAYS)
+def test_small_and_empty_catalogues(spark, way):
     patterns, queries = _data(3, 4)
     q, p = _frames(spark, patterns, queries)
-    row = sim.nearest_patterns(q, p, max_broadcast_bytes=limit).filter("query_id = 0").first()
+    row = sim.nearest_patterns(q, p, **way).filter("query_id = 0").first()
     assert (len(row.decay_neighbours), len(row.bug_neighbours)) == (2, 1)
-    empty = sim.nearest_patterns(q, p.limit(0), max_broadcast_bytes=limit).collect()
+    empty = sim.nearest_patterns(q, p.limit(0), **way).collect()
     assert len(empty) == 4 and all(not r.decay_neighbours and not r.bug_neighbours for r in empty)
     with pytest.raises(ValueError):
         sim.nearest_patterns(q, p, metric="dot")
 
 
-@pytest.mark.parametrize("limit", [sim.MAX_BROADCAST_BYTES, 0])
-def test_queries_without_a_vector_and_seeds_without_one(spark, limit):
+@pytest.mark.parametrize("way", WAYS)
+def test_queries_without_a_vector_and_seeds_without_one(spark, way):
     patterns, queries = _data(20, 4)
     q, p = _frames(spark, patterns + [("bug_patterns", "none", None, "x", "low")], queries + [(99, None)])
-    rows = {r.query_id: r for r in sim.nearest_patterns(q, p, max_broadcast_bytes=limit).collect()}
+    rows = {r.query_id: r for r in sim.nearest_patterns(q, p, **way).collect()}
     assert len(rows) == 5 and not rows[99].decay_neighbours and len(rows[0].decay_neighbours) == 5
 
 
