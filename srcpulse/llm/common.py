@@ -14,15 +14,24 @@ from srcpulse.session import shared_dir
 BATCH_ROWS = 500
 
 
+#: Terms end at every ASCII character but letters and digits; A-Z count as a-z.
+FOLDED = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """Runs of letters, digits and non-ASCII characters of a text in UTF-8, A-Z as a-z."""
+    return text.translate(FOLDED).split()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+def texts(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """`doc_id`, `text` of every row, null texts empty; all other columns but `more` are dropped, so none can clash."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        (F.col(id_col) if id_col else F.lit(None)).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         *more,
     )

@@ -24,11 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcpulse.llm.common import texts, written
+from srcpulse.llm.common import terms_of, texts, written
 from srcpulse.llm.heaps import Heaps, best
 
-#: Terms end at every ASCII character but letters and digits; A-Z count as a-z.
-FOLDED = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 #: Terms of all items of a block together, items of a tile and documents of a tile.
 BLOCK_TERMS, ITEM_TILE, DOC_TILE = 200_000, 64, 1024
 #: Impacts are below this, and float64 sums of whole numbers are exact below that.
@@ -39,10 +37,6 @@ RANKED = "item int, item_id long, doc_id long, score long, tie long"
 NO_ID = 2**63 - 1
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLDED).split()
-
-
 def item_terms(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id (the item's id), terms (distinct, sorted) of the distinct items that have any."""
 

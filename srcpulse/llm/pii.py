@@ -1,14 +1,16 @@
 """Operator 8: personal data by patterns, and terms that give it away.
 
 Four patterns find e-mail addresses, IP addresses, card numbers and telephone numbers. The corpus then tells which terms
-reveal a protected value: term and value stand within `near` words of each other in documents much more often than by
-chance. With counts over all documents, a pair is disclosing if P(value | term) >= `least_share` and log2(P(term, value) / (P(term) P(value))) >= `least_bits`, in at least
-`least_docs` documents. Such a term is a span of kind `term` where it stands near that value, or with `everywhere` at each place in
-every document, as its share is over the whole corpus; values in fewer than `least_docs` documents have no estimate. A sanitised text has
+reveal a protected entity: a value, or the kind of value. `both` documents have the term within `near` words of the entity,
+`with_term` hold the term anywhere, and P(entity) is the share of documents with the entity. Few counts say little, so the
+estimate is smoothed towards P(entity) with the weight of `smooth` documents: P(entity | term) = (both + smooth P(entity)) / (with_term + smooth).
+A pair discloses if that is `least_share` or more, log2(P(entity | term) / P(entity)) is `least_bits` or more, and `both` is
+`least_docs` or more. Such a term is a span of kind `term` where it stands near that entity, or with `everywhere` at each place in
+every document, as its share is over the whole corpus; so values in fewer than `least_docs` documents have terms through their kind only. A sanitised text has
 values replaced by their kind, and terms generalised to `<TERM>` or, from `remove_bits` on, removed.
 
-Values and terms are counted with map-side combining; the terms counted over the whole corpus are only those of pairs
-that are frequent enough. Words of a document without protected values are never shuffled.
+Values and terms are counted with map-side combining. Documents with a term near any value are a lower bound of those that
+hold it: pairs that cannot reach the share by it go before the corpus is read, and tasks count the terms of the others.
 
 Null and empty texts have no spans. Repeated rows are all returned, and each counts as a document. Empty tables give
 empty results.
@@ -17,13 +19,14 @@ empty results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcpulse.llm.common import texts, written
+from srcpulse.llm.common import terms_of, texts, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: A match never starts inside a run of its first class, so looking behind saves trying each place of a long run.
@@ -44,6 +47,8 @@ FOUND = (
 )
 #: Terms of 40 bytes or so that are sent to all tasks at most; more are joined by a shuffle.
 BROADCAST_TERMS = 500_000
+#: Terms that a task counts before it hands the counts on.
+COUNTED_TERMS = 500_000
 
 
 def _luhn(digits: str) -> bool:
@@ -127,25 +132,62 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", nea
     return written(rows.mapInArrow(scan, FOUND).withColumn("rid", F.monotonically_increasing_id()), "pii-found")
 
 
+def _entities(near: Column) -> Column:
+    """(entity, term) of each near term: its value, the value's kind, and `*` for any value."""
+    kind = lambda v: F.concat(F.substring_index(v, ":", 1), F.lit(":*"))
+    each = F.transform(near, lambda x: F.transform(F.array(x["value"], kind(x["value"]), F.lit("*")), lambda e: F.struct(e.alias("entity"), x["term"].alias("term"))))
+    return F.flatten(each)
+
+
+def _holding(docs: DataFrame, terms: DataFrame, text_col: str, broadcast_terms: int) -> DataFrame:
+    """term, with_term: the documents that hold each of the terms. Tasks count, so a row is a task's count of a term and
+    never a word of a document. Where the terms are too many to be sent, tasks count all words."""
+    terms = written(terms.distinct(), "pii-asked")
+    known = None
+    if terms.count() <= broadcast_terms:
+        known = docs.sparkSession.sparkContext.broadcast({r.term.encode() for r in terms.toLocalIterator()})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        asked = known.value if known else None
+
+        def sent() -> pa.RecordBatch:
+            columns = [pa.array([t.decode() for t in held], pa.string()), pa.array(list(held.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["term", "n"])
+
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                held.update(set(terms_of(text)) if asked is None else asked.intersection(terms_of(text)))
+            if len(held) > COUNTED_TERMS:
+                yield sent()
+                held.clear()
+        yield sent()
+
+    counted = texts(docs, text_col=text_col, id_col=None).select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
+    return counted if known else counted.join(terms, "term", "left_semi")
+
+
 def disclosing(
-    docs: DataFrame, found: DataFrame, *, text_col: str = "text", least_docs: int = 3, least_share: float = 0.5, least_bits: float = 4.0,
+    docs: DataFrame, found: DataFrame, *, text_col: str = "text", least_docs: int = 2, least_share: float = 0.5, least_bits: float = 4.0,
+    smooth: float = 1.5, broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
-    """value, term, bits of the pairs that disclose."""
-    close = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["value"], x["term"])))).alias("x"))
-    pairs = close.groupBy("x.value", "x.term").agg(F.count("*").alias("both")).where(F.col("both") >= least_docs)
-    pairs = written(pairs, "pii-pairs")
-    values = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.col("near.value"))).alias("value")).groupBy("value").agg(F.count("*").alias("with_value"))
-    terms = pairs.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    lower = F.translate(F.col(text_col).cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    each = docs.select(F.explode(F.array_distinct(F.split(lower, "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))).alias("term"))
-    with_term = each.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
+    """entity, term, bits of the pairs that disclose; an entity is a value (`email:a@b.c`) or a kind (`email:*`)."""
     n = found.count()
-    counted = pairs.join(values, "value").join(with_term, "term")
-    bits = F.log2(F.col("both") * F.lit(float(n)) / (F.col("with_value") * F.col("with_term").cast("double")))
-    counted = counted.withColumn("bits", bits).where((F.col("both") >= least_share * F.col("with_term")) & (F.col("bits") >= least_bits))
-    return counted.select("value", "term", "bits")
+    close = found.where(F.size("near") > 0).withColumn("entities", _entities(F.col("near")))
+    pairs = close.select(F.explode(F.array_distinct("entities")).alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("both"))
+    pairs = written(pairs.where(F.col("both") >= least_docs), "pii-pairs")
+    held = close.select(F.explode(F.array_distinct("entities.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    held = written(held.where(F.col("with_entity") >= least_docs), "pii-entities")
+    held = F.broadcast(held) if held.count() <= broadcast_terms else held
+    share = F.col("with_entity") / F.lit(float(n))
+    smoothed = lambda c: (F.col("both") + smooth * share) / (F.col(c) + smooth)
+    # The documents with the term near any value are some of those that hold it, so this share is the most there can be.
+    least_holding = pairs.where("entity = '*'").select("term", F.col("both").alias("near_any"))
+    open_ = pairs.where("entity <> '*'").join(held, "entity").join(least_holding, "term").where(smoothed("near_any") >= least_share)
+    open_ = written(open_, "pii-open")
+    counted = open_.join(_holding(docs, open_.select("term"), text_col, broadcast_terms), "term")
+    bits = F.log2(smoothed("with_term") / share)
+    return counted.withColumn("bits", bits).where((smoothed("with_term") >= least_share) & (F.col("bits") >= least_bits)).select("entity", "term", "bits")
 
 
 def _marked(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, broadcast_terms: int) -> DataFrame:
@@ -191,11 +233,13 @@ def spans(
     """doc_id, text_hash, base, terms: spans by pattern, and spans of disclosing terms with their `bits`, of every row.
     Terms are marked near their value, or with `everywhere` wherever they stand."""
     found = find(docs, id_col=id_col, text_col=text_col, near=near)
-    pairs = written(disclosing(docs, found, text_col=text_col, **thresholds), "pii-disclosing")
+    pairs = written(disclosing(docs, found, text_col=text_col, broadcast_terms=broadcast_terms, **thresholds), "pii-disclosing")
     if everywhere:
         return _marked(docs, pairs, id_col, text_col, broadcast_terms)
+    kind = F.concat(F.substring_index("value", ":", 1), F.lit(":*"))
     close = found.where(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    told = close.join(pairs, ["value", "term"]).groupBy("rid", "start", "end").agg(F.max("bits").alias("bits"))
+    close = close.withColumn("entity", F.explode(F.array("value", kind)))
+    told = close.join(pairs, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("bits").alias("bits"))
     terms = told.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "bits"))).alias("terms"))
     with_terms = found.where(F.size("near") > 0).join(terms, "rid", "left")
     without = found.where(F.size("near") == 0).withColumn("terms", F.lit(None).cast("array<struct<start:int,end:int,bits:double>>"))
