@@ -11,10 +11,13 @@ UNSUPPORTED = "unsupported_file"
 
 
 def with_support(files: DataFrame, extensions=text.SUPPORTED_EXTENSIONS) -> DataFrame:
-    """Adds ``status`` and ``reason``: a wrong extension and an unreadable text are both unsupported."""
+    """Adds ``status`` and ``reason``: a wrong extension and an unreadable text are both unsupported.
+
+    A ``reason`` that a scan has given already, such as ``oversized``, stays."""
     ext = text.extension(F.col("file_path"))
+    given = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
     reason = F.when(~ext.isin(*extensions), F.lit("extension")).when(F.col("content").isNull(), F.lit("unreadable"))
-    return files.withColumn("reason", reason).withColumn(
+    return files.withColumn("reason", F.coalesce(given, reason)).withColumn(
         "status", F.when(F.col("reason").isNotNull(), F.lit(UNSUPPORTED)).otherwise(F.lit("supported"))
     )
 

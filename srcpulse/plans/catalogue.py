@@ -11,7 +11,7 @@ from srcpulse.functions import scoring, style, text
 from srcpulse.operators import churn, history as hist, metrics, model, rollups, similarity, style as so, urls, validation
 from srcpulse.plans import pipelines
 from srcpulse.session import materialize, shared_dir
-from srcpulse.sources import adapters as A, corpus, patterns as pat, store
+from srcpulse.sources import adapters as A, corpus, patterns as pat, store, tree
 from srcpulse.streaming import churn_state, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -617,6 +617,19 @@ def corpus_scan_repository(spark, sf):
     return A.source_files(spark, sf, A.LISTING).filter(keep)
 
 
+@query
+def tree_scan(spark, sf):
+    """The texts of the corpus as files in a tree, read back under both lists of folders that are left out."""
+    root = shared_dir(spark, "tree")
+    tree.write_tree(A.source_files(spark, sf, A.TREE_FILES), root)
+    project = tree.read_tree(spark, root, max_bytes=A.TREE_MAX_BYTES)
+    repository = tree.read_tree(
+        spark, root, corpus.REPOSITORY_EXTENSIONS, A.TREE_MAX_BYTES, corpus.REPOSITORY_SKIP, skip_hidden=True, walk_root="src"
+    )
+    both = project.withColumn("scan", F.lit("project")).unionByName(repository.withColumn("scan", F.lit("repository")))
+    return both.select("scan", "file_path", "size_bytes", "reason", F.md5("content").alias("content_md5"))
+
+
 # --- stores --------------------------------------------------------------------------------------
 def _stored(spark, sf):
     base = shared_dir(spark, "store")

@@ -553,6 +553,14 @@ ORACLE: dict[str, str] = {
     "stream_churn": f"""WITH e AS ({A.sql_view('events', A.SQL_COMMITS_EVENTS)}),
  d AS (SELECT date_trunc('day', ts) AS s, file_path, count(*) AS commits, count(DISTINCT author) AS authors FROM e GROUP BY ALL)
  SELECT s AS window_start, s + INTERVAL 1 DAY AS window_end, file_path, commits AS change_frequency, authors AS authors_count FROM d""",
+    "tree_scan": f"""WITH files AS ({A.sql_view('part', A.TREE_FILES)}),
+sized AS (SELECT file_path, content, octet_length(encode(content)) AS size_bytes FROM files),
+kept AS (SELECT 'project' AS scan, * FROM sized WHERE regexp_matches(file_path, '[.](py|js|ts)$')
+    AND NOT regexp_matches('/' || file_path, '/([.]git|node_modules|__pycache__|venv|[.]venv)/')
+  UNION ALL SELECT 'repository', * FROM sized WHERE file_path LIKE 'src/%' AND regexp_matches(file_path, '[.](py|js|ts|jsx|tsx|go|rs|java)$')
+    AND NOT regexp_matches('/' || file_path, '/([.][^/]*|node_modules|__pycache__|venv|dist|build)/'))
+SELECT scan, file_path, size_bytes, CASE WHEN size_bytes > {A.TREE_MAX_BYTES} THEN 'oversized' END AS reason,
+  CASE WHEN size_bytes <= {A.TREE_MAX_BYTES} THEN md5(content) END AS content_md5 FROM kept""",
     "stream_churn_risk": sliding_churn("lineitem", A.COMMITS_SUPP, 90, 30),
     "stream_churn_risk_events": sliding_churn("events", A.SQL_COMMITS_EVENTS, 7, 3),
     "stream_progress": "WITH d AS (SELECT date_trunc('hour', ts) AS s, event_type AS step, count(*) AS events FROM events GROUP BY ALL) "

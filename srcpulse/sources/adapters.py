@@ -111,6 +111,8 @@ LISTING = (
     ),
     ("CASE WHEN p_partkey % 11 = 0 THEN CAST(3000000 AS BIGINT) ELSE CAST(1000 AS BIGINT) END", "size_bytes"),
 )
+TREE_FILES = (LISTING[0], (CORPUS_CONTENT, "content"))
+TREE_MAX_BYTES = 700
 URL_TARGETS = (
     ("p_partkey", "url_id"),
     ("'mono'", "repo"),

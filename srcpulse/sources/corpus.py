@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import math
 import os
 import re
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from srcpulse.functions.text import universal_newlines
-from srcpulse.session import materialize
-
 # Functions sent to tasks travel with their code, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -26,8 +21,6 @@ REPOSITORY_EXTENSIONS = (".py", ".js", ".ts", ".jsx", ".tsx", ".go", ".rs", ".ja
 PROJECT_SKIP = (".git", "node_modules", "__pycache__", "venv", ".venv")
 REPOSITORY_SKIP = (".git", "node_modules", "__pycache__", "venv", ".venv", "dist", "build")
 # -------------------------------------------------------------------------------------------------
-_READ_BYTES = 16 * 1024 * 1024
-_TASK_BYTES = 128 * 1024 * 1024
 
 
 def _inside(walk_root: str | None) -> str:
@@ -64,99 +57,22 @@ def _open(root: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(root)
 
 
-def _lister(root: str, skip_dirs: Sequence[str], skip_hidden: bool):
-    """Entries of each folder of a batch; folders left out are not listed further."""
-    left_out = set(skip_dirs)
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = _open(root)
-        for batch in batches:
-            for folder in batch["file_path"]:
-                rows = []
-                for info in system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=True)):
-                    name = info.path.rsplit("/", 1)[-1]
-                    is_dir = info.type == fs.FileType.Directory
-                    if is_dir and (name in left_out or (skip_hidden and name.startswith("."))):
-                        continue
-                    rows.append((f"{folder}/{name}" if folder else name, is_dir, 0 if is_dir else info.size))
-                yield pd.DataFrame(rows, columns=["file_path", "is_dir", "size_bytes"])
-
-    return entries
-
-
-def list_tree(spark: SparkSession, root: str, skip_dirs: Sequence[str] = (), skip_hidden: bool = False, start: str = "") -> DataFrame:
-    """All files below ``root`` as ``file_path, size_bytes``, folder level by folder level.
-
-    Every level is listed in parallel and written to the shared folder, so neither the driver nor one task
-    sees the whole tree. Spark's own file sources are not used because they leave out every name that
-    starts with ``_`` or ``.``, and with it each ``__init__.py``.
-    """
-    level = spark.createDataFrame([(start,)], "file_path string")
-    cores = spark.sparkContext.defaultParallelism
-    found = None
-    while True:
-        listed = level.mapInPandas(_lister(root, skip_dirs, skip_hidden), "file_path string, is_dir boolean, size_bytes bigint")
-        entries = materialize(listed, "listing")
-        files = entries.filter("NOT is_dir").drop("is_dir")
-        found = files if found is None else found.unionByName(files)
-        folders = entries.filter("is_dir").select("file_path")
-        if folders.isEmpty():
-            return found
-        level = folders.repartition(cores)
-
-
-def _reader(root: str):
-    """Texts of the listed files, in pieces of bounded size; text that is not UTF-8 or is gone is null."""
-
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = _open(root)
-        for batch in batches:
-            rows, held = [], 0
-            for path, size in zip(batch["file_path"], batch["size_bytes"]):
-                try:
-                    with system.open_input_stream(f"{base}/{path}") as stream:
-                        content = stream.read().decode("utf-8")
-                except (OSError, UnicodeDecodeError):
-                    content = None
-                rows.append((path, content, size))
-                held += size
-                if held >= _READ_BYTES:
-                    yield pd.DataFrame(rows, columns=["file_path", "content", "size_bytes"])
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=["file_path", "content", "size_bytes"])
-
-    return texts
-
-
 def scan_corpus(
     spark: SparkSession, root: str, extensions: Sequence[str] = PROJECT_EXTENSIONS, max_bytes: int = MAX_BYTES,
     skip_dirs: Sequence[str] = PROJECT_SKIP, skip_hidden: bool = False, walk_root: str | None = None,
     repo_is_first_folder: bool = False, focus_path: str | None = None,
 ) -> DataFrame:
-    """Read a folder tree as ``repo, file_path, content, size_bytes``.
+    """Read a folder tree as ``repo, file_path, content, size_bytes``, without its oversized files (``tree.scan_tree`` lists them too).
 
     ``focus_path`` names one file below ``root`` that is read whatever its suffix or folder.
 
-    Suffix and size are applied to the listing, so large and foreign files are never opened. The files are
-    then spread evenly over enough tasks for about 128 MiB each and read there. Text that is not UTF-8
-    comes as null content. ``file_path`` starts with the repository: ``<repo>/<path below it>``, the layout of all
-    operators, so files of one name in two repositories stay apart.
+    Suffix and size are applied before a file is opened. Text that is not UTF-8 comes as null content. ``file_path``
+    starts with the repository: ``<repo>/<path below it>``, the layout of all operators, so files of one name in two
+    repositories stay apart.
     """
-    start = _inside(walk_root)
-    keep = analyzable(F.col("file_path"), F.col("size_bytes"), extensions, max_bytes, skip_dirs, skip_hidden, walk_root)
-    files = list_tree(spark, root, skip_dirs, skip_hidden, start).filter(keep)
-    focus = _inside(focus_path)
-    if focus:
-        system, base = _open(root)
-        info = system.get_file_info(f"{base}/{focus}")
-        if info.type == fs.FileType.File and info.size <= max_bytes:
-            one = spark.createDataFrame([(focus, info.size)], files.schema)
-            files = files.filter(F.col("file_path") != focus).unionByName(one)
-    total = files.agg(F.sum("size_bytes")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / _TASK_BYTES))
-    rows = files.repartition(tasks).mapInPandas(_reader(root), "file_path string, content string, size_bytes bigint")
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    path = F.col("file_path")
-    repo = F.split(path, "/", 2).getItem(0) if repo_is_first_folder else F.lit(name)
-    path = path if repo_is_first_folder else F.concat_ws("/", repo, path)
-    return rows.select(repo.alias("repo"), path.alias("file_path"), universal_newlines(F.col("content")).alias("content"), "size_bytes")
+    from srcpulse.sources import tree  # which takes its limits and lists from here
+
+    found = tree.scan_tree(
+        spark, root, extensions, max_bytes, skip_dirs, skip_hidden, walk_root, focus_path, repo_is_first_folder=repo_is_first_folder
+    )
+    return found.where(F.col("size_bytes") <= max_bytes).drop("reason")
