@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from srcpulse.functions import scoring, style, text
 from srcpulse.operators import churn, history as hist, metrics, model, rollups, similarity, style as so, urls, validation
 from srcpulse.plans import pipelines
+from srcpulse.schemas import NEIGHBOUR
 from srcpulse.session import materialize, shared_dir
 from srcpulse.sources import adapters as A, corpus, patterns as pat, store, tree
 from srcpulse.streaming import churn_state, live
@@ -651,6 +652,36 @@ def predictions_append(spark, sf):
     return stored.select("file_path", ntz("ts"), "decay_score", "risk_level", "confidence")
 
 
+@query
+def project_scan_runs(spark, sf):
+    """Scans of a tree in runs: one is repeated, one breaks off and is done again, one breaks off for good."""
+    base = shared_dir(spark, "project")
+    tree.write_tree(A.source_files(spark, sf, A.TREE_FILES), f"{base}/mono")
+    paths = {"metrics": f"{base}/metrics", "predictions": f"{base}/predictions"}
+    none = spark.createDataFrame([], f"file_path string, decay_neighbours array<{NEIGHBOUR}>, bug_neighbours array<{NEIGHBOUR}>")
+
+    def scan(run_id):
+        return pipelines.project_scan(
+            spark, f"{base}/mono", _commits(spark, sf, A.COMMITS_TREE), _metrics(spark, sf, A.METRICS_TREE), none, SHIP_AS_OF, paths["metrics"],
+            paths["predictions"], max_bytes=A.TREE_MAX_BYTES, run_id=run_id, days_back=1095, newest_is_current=True, history_tie_break=_metrics_order(),
+        )
+
+    scan("nightly-1")
+    whole = scan("nightly-1")
+    part = store.read_metrics(spark, paths["metrics"]).limit(50)
+    for run_id in ("nightly-2", "nightly-3"):  # some rows of one table are written, and no run is finished
+        store.stage(part.drop("ts_date"), paths["metrics"], run_id)
+    scan("nightly-2")
+    stored = [
+        store.read_metrics(spark, paths["metrics"]).groupBy("file_path").agg(F.count("*").alias("copies"), F.max("change_frequency").cast("bigint").alias("commits"))
+        .withColumn("stored", F.lit("metrics")),
+        store.read_predictions(spark, paths["predictions"]).groupBy("file_path").agg(F.count("*").alias("copies"), F.lit(None).cast("bigint").alias("commits"))
+        .withColumn("stored", F.lit("predictions")),
+        whole.where("status <> 'completed'").select("file_path", F.lit(0).cast("bigint").alias("copies"), F.lit(None).cast("bigint").alias("commits"), F.col("reason").alias("stored")),
+    ]
+    return stored[0].unionByName(stored[1]).unionByName(stored[2])
+
+
 # --- streams -------------------------------------------------------------------------------------
 def _drain(spark, rows, name):
     base = shared_dir(spark, name)

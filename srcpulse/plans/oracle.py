@@ -561,6 +561,14 @@ kept AS (SELECT 'project' AS scan, * FROM sized WHERE regexp_matches(file_path,
     AND NOT regexp_matches('/' || file_path, '/([.][^/]*|node_modules|__pycache__|venv|dist|build)/'))
 SELECT scan, file_path, size_bytes, CASE WHEN size_bytes > {A.TREE_MAX_BYTES} THEN 'oversized' END AS reason,
   CASE WHEN size_bytes <= {A.TREE_MAX_BYTES} THEN md5(content) END AS content_md5 FROM kept""",
+    "project_scan_runs": f"""WITH files AS ({A.sql_view('part', A.TREE_FILES)}),
+{recent('lineitem', A.COMMITS_TREE, A.SHIP_AS_OF, 1095)},
+kept AS (SELECT 'mono/' || file_path AS file_path, octet_length(encode(content)) > {A.TREE_MAX_BYTES} AS big FROM files
+  WHERE regexp_matches(file_path, '[.](py|js|ts)$') AND NOT regexp_matches('/' || file_path, '/([.]git|node_modules|__pycache__|venv|[.]venv)/')),
+n AS (SELECT file_path, count(*) AS commits FROM rec GROUP BY file_path)
+SELECT 'metrics' AS stored, file_path, 2::BIGINT AS copies, coalesce(commits, 0) AS commits FROM kept LEFT JOIN n USING (file_path) WHERE NOT big
+UNION ALL SELECT 'predictions', file_path, 2, NULL FROM kept WHERE NOT big
+UNION ALL SELECT 'oversized', file_path, 0, NULL FROM kept WHERE big""",
     "stream_churn_risk": sliding_churn("lineitem", A.COMMITS_SUPP, 90, 30),
     "stream_churn_risk_events": sliding_churn("events", A.SQL_COMMITS_EVENTS, 7, 3),
     "stream_progress": "WITH d AS (SELECT date_trunc('hour', ts) AS s, event_type AS step, count(*) AS events FROM events GROUP BY ALL) "

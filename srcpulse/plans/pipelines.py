@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from srcpulse.functions import imports as imp, scoring, style
 from srcpulse.operators import churn, history as hist, metrics, rollups, similarity, style as style_ops, validation
 from srcpulse.session import materialize
-from srcpulse.sources import corpus, store
+from srcpulse.sources import corpus, store, tree
 
 COMPLEXITY, MAINTAINABILITY = "cyclomatic_complexity", "maintainability_index"
 
@@ -218,10 +218,14 @@ def repo_report(
 
 def project_scan(
     spark: SparkSession, root: str, commits: DataFrame, history: DataFrame, neighbours: DataFrame, as_of: datetime,
-    metrics_path: str, predictions_path: str, extensions: Sequence[str] = corpus.PROJECT_EXTENSIONS, **options,
+    metrics_path: str, predictions_path: str, extensions: Sequence[str] = corpus.PROJECT_EXTENSIONS,
+    max_bytes: int = corpus.MAX_BYTES, run_id: str | None = None, **options,
 ) -> DataFrame:
-    """Scan a folder tree, score it and store the completed rows; an unreadable file is a row, never a failed job."""
-    files = corpus.scan_corpus(spark, root, extensions)
+    """Scan a folder tree, score it and store the completed rows; an unreadable or oversized file is a row, never a failed job.
+
+    With a ``run_id`` the rows are stored once however often the scan is repeated or breaks off.
+    """
+    files = tree.scan_tree(spark, root, extensions, max_bytes)
     return store.persist_completed(
-        analyze_files(files, commits, history, neighbours, as_of, **options), metrics_path, predictions_path
+        analyze_files(files, commits, history, neighbours, as_of, **options), metrics_path, predictions_path, run_id
     )

@@ -176,6 +176,10 @@ SQL_COMMITS_EVENTS = (
 SHIP_AS_OF = "2001-11-04 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 
+# The files of a written tree, by the part that a line is about.
+TREE_PATH = f"concat('mono/', {LISTING[0][0].replace('p_partkey', 'l_partkey')})"
+COMMITS_TREE = ((TREE_PATH, "file_path"), *COMMITS_PART[1:])
+
 # --- history from lineitem -----------------------------------------------------------------------
 METRICS = (
     ("concat('part/', l_partkey)", "file_path"),
@@ -186,6 +190,7 @@ METRICS = (
     ("CAST(l_suppkey % 50 AS INT)", "change_frequency"),
     ("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber"), ("l_quantity", "l_quantity"),
 )
+METRICS_TREE = ((TREE_PATH, "file_path"), *METRICS[1:])
 METRICS_CORPUS = ((BUSY_FILE, "file_path"), *METRICS[1:])
 METRICS_ORDER = ("l_orderkey", "l_linenumber", "l_quantity", "lines_of_code", "change_frequency")
 SQL_METRICS_ORDER = "ts DESC, " + ", ".join(f"{c} DESC" for c in METRICS_ORDER)

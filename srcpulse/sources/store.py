@@ -1,14 +1,23 @@
-"""Append-only tables: commits in, metrics and predictions in and out."""
+"""Append-only tables: commits in, metrics and predictions in and out.
+
+Rows come in runs. A run is written to a folder of its own and then named in the table's list of finished runs; readers see
+the rows of finished runs only. So a run that is repeated adds nothing, one that broke off leaves nothing to be seen, and doing it
+again replaces what it left.
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from srcpulse.schemas import COMMITS, DECAY_PREDICTIONS, FILE_METRICS
 from srcpulse.session import materialize
+from srcpulse.sources import folders
 
-_DAY = "ts_date"
+_DAY, _RUNS = "ts_date", "_runs"
 
 
 def read_commits(spark: SparkSession, path: str, format: str = "parquet", below_root: bool = False, **options: str) -> DataFrame:
@@ -33,37 +42,80 @@ def _conform(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*out)
 
 
-def _append(df: DataFrame, path: str) -> None:
-    """Append by day. The rebalance hint gathers small days into few files and splits large ones."""
-    df.withColumn(_DAY, F.to_date("ts")).hint("rebalance", _DAY).write.mode("append").partitionBy(_DAY).parquet(path)
+def _run_name(run_id: str | None) -> str:
+    run_id = run_id or uuid.uuid4().hex
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", run_id):
+        raise ValueError(f"a run is named by letters, digits, dots and dashes: {run_id!r}")
+    return run_id
+
+
+def finished_runs(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in folders.names(spark, f"{path}/{_RUNS}") if not n.startswith(".") and not n.endswith(".draft")]
+
+
+def stage(df: DataFrame, path: str, run_id: str) -> None:
+    """Write the rows of a run by day, in place of what an earlier try has left; nobody sees them yet.
+
+    The rebalance hint gathers small days into few files and splits large ones.
+    """
+    dated = df.withColumn(_DAY, F.to_date("ts")).hint("rebalance", _DAY)
+    dated.write.mode("overwrite").partitionBy(_DAY).parquet(f"{path}/run={run_id}")
+
+
+def finish(spark: SparkSession, path: str, run_id: str) -> None:
+    folders.write_text(spark, f"{path}/{_RUNS}/{run_id}", "")
+
+
+def _append(df: DataFrame, path: str, run_id: str | None) -> bool:
+    run_id = _run_name(run_id)
+    if run_id in finished_runs(df.sparkSession, path):
+        return False
+    stage(df, path, run_id)
+    finish(df.sparkSession, path, run_id)
+    return True
+
+
+def _metrics(df: DataFrame) -> DataFrame:
+    return _conform(df.withColumnRenamed("metadata", "extra_data") if "metadata" in df.columns else df, FILE_METRICS)
+
+
+def append_metrics(df: DataFrame, path: str, run_id: str | None = None) -> bool:
+    """Append one run; False where that run is in the table already."""
+    return _append(_metrics(df), path, run_id)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    if "metadata" in df.columns:
-        df = df.withColumnRenamed("metadata", "extra_data")
-    _append(_conform(df, FILE_METRICS), path)
+def append_predictions(df: DataFrame, path: str, run_id: str | None = None) -> bool:
+    return _append(_conform(df, DECAY_PREDICTIONS), path, run_id)
 
 
-def append_predictions(df: DataFrame, path: str) -> None:
-    _append(_conform(df, DECAY_PREDICTIONS), path)
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    finished = spark.createDataFrame([(r,) for r in finished_runs(spark, path)], "run string")
+    stored = spark.read.schema(StructType([*schema.fields, StructField("run", StringType()), StructField(_DAY, DateType())])).parquet(path)
+    return stored.join(F.broadcast(finished), "run", "left_semi").drop("run")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(StructType(FILE_METRICS.fields)).parquet(path)
+    return _read(spark, path, FILE_METRICS)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(StructType(DECAY_PREDICTIONS.fields)).parquet(path)
+    return _read(spark, path, DECAY_PREDICTIONS)
 
 
-def persist_completed(analysed: DataFrame, metrics_path: str, predictions_path: str) -> DataFrame:
-    """Append the completed rows to both tables; gives back the whole result.
+def persist_completed(analysed: DataFrame, metrics_path: str, predictions_path: str, run_id: str | None = None) -> DataFrame:
+    """Append the completed rows to both tables, as one run; gives back the whole result.
 
-    The result is written once to the shared folder and both appends read it from there, so the analysis
-    runs once and the loss of an executor costs no second run.
+    The result is written once to the shared folder and both appends read it from there, so the analysis runs once and the
+    loss of an executor costs no second run. Both tables have their rows before either names the run: where one names it
+    already, a try that broke off in between has left only names to be written.
     """
-    stored = materialize(analysed, "analysis")
-    done = stored.filter("status = 'completed'")
-    append_metrics(done, metrics_path)
-    append_predictions(done, predictions_path)
-    return stored
+    spark, run_id = analysed.sparkSession, _run_name(run_id)
+    left = [p for p in (metrics_path, predictions_path) if run_id not in finished_runs(spark, p)]
+    if len(left) == 2:
+        analysed = materialize(analysed, "analysis")
+        done = analysed.filter("status = 'completed'")
+        stage(_metrics(done), metrics_path, run_id)
+        stage(_conform(done, DECAY_PREDICTIONS), predictions_path, run_id)
+    for path in left:
+        finish(spark, path, run_id)
+    return analysed
