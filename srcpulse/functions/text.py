@@ -103,6 +103,11 @@ def mean_block_complexity(content: Column) -> Column:
     return F.coalesce(mean, F.lit(0.0))
 
 
+def token_volume(tokens: Column, distinct_tokens: Column) -> Column:
+    """Bits that a text of so many tokens, so many of them distinct, needs; 0 for none."""
+    return F.when(distinct_tokens > 0, tokens * F.log2(distinct_tokens.cast("double"))).otherwise(F.lit(0.0))
+
+
 def maintainability_index(
     tokens: Column, distinct_tokens: Column, complexity: Column, lines: Column, comment_lines: Column
 ) -> Column:

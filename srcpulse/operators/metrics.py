@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from srcpulse.functions import imports as imp, scoring, text
+from srcpulse.functions import imports as imp, lexed, scoring, text
 from srcpulse.operators.style import with_lines
 
 UNSUPPORTED = "unsupported_file"
@@ -37,6 +37,38 @@ def branch_complexity(files: DataFrame) -> DataFrame:
     return files.select("file_path", value.alias("cyclomatic_complexity"))
 
 
+def token_classes(files: DataFrame, keep=()) -> DataFrame:
+    """Operators and operands of each Python text, all and distinct, and their volume; other files have none."""
+    ext = text.extension(F.col("file_path"))
+    found = files.where(ext == ".py").select("file_path", *keep, lexed.token_classes(text.universal_newlines(F.col("content"))).alias("t"))
+    return found.select("file_path", *keep, "t.*").withColumn("volume", text.token_volume(
+        F.col("operators") + F.col("operands"), F.col("distinct_operators") + F.col("distinct_operands")
+    ))
+
+
+def with_lexed(files: DataFrame) -> DataFrame:
+    """Adds ``cyclomatic_complexity`` and ``maintainability_index`` from the tokens of each Python text; 0 for other languages.
+
+    ``file_metrics`` and ``analyze_files`` take these columns as they are, so a score comes from what the text says now.
+    """
+    python, content = text.extension(F.col("file_path")) == ".py", text.universal_newlines(F.col("content"))
+    lines = text.split_lines(content)
+    counted = files.withColumn(
+        "_l", F.when(python, F.struct(
+            lexed.block_complexity(content).alias("cc"), lexed.token_classes(content).alias("t"),
+            text.line_counts(text.strip_lines(lines, content)).alias("c"),
+        ))
+    )
+    index = text.maintainability_index(
+        F.col("_l.t.operators") + F.col("_l.t.operands"), F.col("_l.t.distinct_operators") + F.col("_l.t.distinct_operands"),
+        F.col("_l.cc"), F.col("_l.c.line_count"), F.col("_l.c.comment_lines"),
+    )
+    return counted.withColumns({
+        "cyclomatic_complexity": F.when(python, F.col("_l.cc")).otherwise(F.lit(0.0)),
+        "maintainability_index": F.when(python, index).otherwise(F.lit(0.0)),
+    }).drop("_l")
+
+
 def file_metrics(files: DataFrame, keep=(), also=()) -> DataFrame:
     """Lines, complexity, maintainability and comment ratio of each supported file.
 

@@ -239,6 +239,17 @@ def branch_complexity(spark, sf):
     return metrics.branch_complexity(A.source_files(spark, sf))
 
 
+@query
+def branch_complexity_lexed(spark, sf):
+    return metrics.with_lexed(A.source_files(spark, sf, A.TEXT_CORPUS)).select("file_path", "cyclomatic_complexity")
+
+
+@query
+def token_classes(spark, sf):
+    found = metrics.token_classes(A.source_files(spark, sf, A.TEXT_CORPUS))
+    return found.withColumn("volume", F.round("volume", 6))
+
+
 @query
 def maintainability(spark, sf):
     return metrics.file_metrics(A.source_files(spark, sf)).drop("reason")
@@ -458,6 +469,19 @@ def decay_scores(spark, sf):
     )
 
 
+@query
+def decay_scores_text(spark, sf):
+    """The whole score from the texts as they are now, with all stored rows as the past."""
+    files = metrics.with_lexed(A.source_files(spark, sf, A.TEXT_CORPUS))
+    scored = pipelines.analyze_files(
+        files, _commits(spark, sf, A.COMMITS_CORPUS), _metrics(spark, sf, A.METRICS_CORPUS), _neighbours(spark, sf), SHIP_AS_OF,
+        days_back=1095, history_tie_break=_metrics_order(),
+    )
+    return scored.select(
+        "file_path", "status", "cyclomatic_complexity", "complexity_risk_score", "churn_risk_score", "dependency_risk_score", "decay_score", "risk_level",
+    )
+
+
 @query
 def decay_recommendations(spark, sf):
     return analysed(spark, sf).filter("status = 'completed'").select(

@@ -356,6 +356,32 @@ rs AS (SELECT *, {complexity_risk('cc', 'tr')} AS cr, {CHURN_RISK.format(n='n',
 raw AS (SELECT *, least(1e2, greatest(0e0, cr * 0.3e0 + vr * 0.25e0 + dr * 0.2e0 + coalesce(pattern_risk, 0) * 0.25e0)) AS x FROM rs),
 an AS (SELECT *, CASE WHEN done THEN {round_exact('x')} END AS decay_score, CASE WHEN NOT done THEN NULL WHEN x >= 80 THEN 'critical'
   WHEN x >= 60 THEN 'high' WHEN x >= 40 THEN 'medium' ELSE 'low' END AS risk_level FROM raw)"""
+# Strings and comments as one pattern, leftmost first; written for an engine without possessive loops.
+_STRINGS = r"""\"\"\"(?:[^\\]|\\(?s:.))*?(?:\"\"\"|\z)|\x27\x27\x27(?:[^\\]|\\(?s:.))*?(?:\x27\x27\x27|\z)|\"(?:[^\"\\\n]|\\(?s:.))*\"?|\x27(?:[^\x27\\\n]|\\(?s:.))*\x27?"""
+_SIGNS = r"\*\*=?|//=?|<<=?|>>=?|[<>!=]=|[-+*/%&|^@]=|[-+*/%&|^~<>@]"
+_KEY = "False None True as assert async await break class continue def del elif else except finally for from global if import lambda nonlocal pass raise return try while with yield"
+LEXED = rf"""tc AS ({A.sql_view('part', A.TEXT_CORPUS)}),
+ln AS (SELECT file_path, i, replace(lines[i], chr(9), '        ') AS line FROM
+  (SELECT file_path, string_split(regexp_replace(content, '{_STRINGS}|#[^\n]*', ' ', 'g'), chr(10)) AS lines FROM tc WHERE file_path LIKE '%.py') x, unnest(range(1, len(lines) + 1)) t(i)),
+li AS (SELECT file_path, i, length(line) - length(ltrim(line)) AS indent, regexp_matches(line, '^\s*(?:async\s+)?def\s') AS starts,
+  len(regexp_extract_all(line, '\b(?:if|elif|for|while|except|with|assert|and|or)\b')) AS words
+  FROM ln WHERE NOT regexp_matches(line, '^\s*([)\]}}].*)?$')),
+ends AS (SELECT d.file_path, d.i, min(l.i) AS stop FROM li d LEFT JOIN li l ON l.file_path = d.file_path AND l.i > d.i AND l.indent <= d.indent WHERE d.starts GROUP BY ALL),
+ins AS (SELECT li.*, EXISTS (SELECT 1 FROM ends e WHERE e.file_path = li.file_path AND e.i < li.i AND li.i < coalesce(e.stop, 1000000000)) AS inside FROM li),
+fn AS (SELECT file_path, count(*) FILTER (starts AND NOT inside) AS functions,
+  (count(*) FILTER (starts) + sum(CASE WHEN inside OR starts THEN words ELSE 0 END))::DOUBLE AS paths FROM ins GROUP BY file_path),
+mc AS (SELECT file_path, paths / nullif(functions, 0) AS m FROM fn),
+lx AS (SELECT tc.file_path, CASE WHEN m IS NULL THEN 0e0 ELSE {round_exact('m')} END AS cc FROM tc LEFT JOIN mc USING (file_path))"""
+TOKEN_CLASSES = rf"""WITH tc AS ({A.sql_view('part', A.TEXT_CORPUS)}),
+tk AS (SELECT file_path, [t FOR t IN regexp_extract_all(content, '{_STRINGS}|#[^\n]*|\w+|->|:=|{_SIGNS}') IF t[1] <> '#' AND t NOT IN ('->', ':=')] AS k
+  FROM tc WHERE file_path LIKE '%.py'),
+cl AS (SELECT file_path, [t FOR t IN k IF t IN ('and', 'in', 'is', 'not', 'or') OR NOT regexp_matches(t, '^[\w\"\x27]')] AS o,
+  [t FOR t IN k IF regexp_matches(t, '^[\w\"\x27]') AND NOT list_contains(string_split('{_KEY} and in is not or', ' '), t)] AS d FROM tk)
+SELECT file_path, len(o)::INTEGER AS operators, len(list_distinct(o))::INTEGER AS distinct_operators, len(d)::INTEGER AS operands, len(list_distinct(d))::INTEGER AS distinct_operands,
+  round((len(o) + len(d)) * log2((len(list_distinct(o)) + len(list_distinct(d)))::DOUBLE), 6) AS volume FROM cl"""
+ANALYSED_TEXT = ANALYSED.replace(CORPUS, f"corpus AS ({A.sql_view('part', A.TEXT_CORPUS)}), {LEXED}").replace(
+    trend("cyclomatic_complexity", "reference", 2, 11, "c"), trend("cyclomatic_complexity", "reference", 1, 10, "c")
+).replace("cur AS (SELECT file_path, cyclomatic_complexity AS cc, maintainability_index AS mi FROM num WHERE rn = 1)", "cur AS (SELECT file_path, cc, 0e0 AS mi FROM lx)")
 REFACTOR_DAYS = "CASE WHEN x >= 70 AND g < 14 THEN 30 WHEN x >= 60 THEN 60 WHEN x >= 40 THEN 90 ELSE 180 END"
 DECAY_SCORES = f"""WITH {ANALYSED} SELECT file_path, CASE WHEN done THEN 'completed' ELSE 'unsupported_file' END AS status,
  CASE WHEN done THEN cr END AS complexity_risk_score, CASE WHEN done THEN vr END AS churn_risk_score,
@@ -569,6 +595,11 @@ n AS (SELECT file_path, count(*) AS commits FROM rec GROUP BY file_path)
 SELECT 'metrics' AS stored, file_path, 2::BIGINT AS copies, coalesce(commits, 0) AS commits FROM kept LEFT JOIN n USING (file_path) WHERE NOT big
 UNION ALL SELECT 'predictions', file_path, 2, NULL FROM kept WHERE NOT big
 UNION ALL SELECT 'oversized', file_path, 0, NULL FROM kept WHERE big""",
+    "branch_complexity_lexed": f"WITH {LEXED} SELECT file_path, cc AS cyclomatic_complexity FROM lx",
+    "token_classes": TOKEN_CLASSES,
+    "decay_scores_text": f"""WITH {ANALYSED_TEXT} SELECT file_path, CASE WHEN done THEN 'completed' ELSE 'unsupported_file' END AS status,
+ CASE WHEN done THEN cc END AS cyclomatic_complexity, CASE WHEN done THEN cr END AS complexity_risk_score, CASE WHEN done THEN vr END AS churn_risk_score,
+ CASE WHEN done THEN dr END AS dependency_risk_score, decay_score, risk_level FROM an""",
     "stream_churn_risk": sliding_churn("lineitem", A.COMMITS_SUPP, 90, 30),
     "stream_churn_risk_events": sliding_churn("events", A.SQL_COMMITS_EVENTS, 7, 3),
     "stream_progress": "WITH d AS (SELECT date_trunc('hour', ts) AS s, event_type AS step, count(*) AS events FROM events GROUP BY ALL) "

@@ -69,12 +69,34 @@ CORPUS_CONTENT = """concat_ws(chr(10),
   '    a = 1', '    b = 1', '    c = 1', '    d = 1', '    e = 1', '    f = 1', '    g = 1',
   '    return data')""".replace("MANY_IMPORTS", MANY_IMPORTS)
 
+# Words of decisions in strings, comments and documentation, nested functions, brackets that close at the margin.
+_Q3 = "concat(chr(34), chr(34), chr(34))"
+LEXED_CONTENT = f"""concat_ws(chr(10),
+  'import os  # if and or',
+  CASE WHEN p_partkey % 3 = 0 THEN concat({_Q3}, 'If this', chr(10), 'and that or while', chr(10), 'def fake(x): if x', chr(10), {_Q3}) END,
+  'class Part:',
+  '    def price(self, size=3):',
+  CASE WHEN p_partkey % 2 = 0 THEN concat('        ', {_Q3}, 'for it is', chr(10), 'and or not', chr(10), '        ', {_Q3}) END,
+  CASE WHEN p_partkey % 4 < 3 THEN concat('        if size > 4 and self.base != 2:  # elif', chr(10), '            return ', chr(34), 'if # and', chr(34)) END,
+  '        for i in range(size):',
+  '            total += i * 2 ** i - 0x1f',
+  '# while at the margin',
+  CASE WHEN p_partkey % 5 = 0 THEN concat('        def inner(x):', chr(10), chr(9), '    return x if x else ~x') END,
+  '        return total',
+  CASE WHEN p_partkey % 6 < 3 THEN concat_ws(chr(10), 'async def wide(a,', concat('         b=', chr(39), 'it', chr(92), chr(39), 's if', chr(39), ',  # and'), '):',
+    '    while a or b:', '        assert a not in b', concat('        a //= ', chr(39), chr(34), chr(39))) END,
+  concat('if os.name == ', chr(34), 'nt', chr(34), ' and x:'),
+  CASE WHEN p_partkey % 7 = 0 THEN concat('    x = ', chr(34), p_name, ' if') END,
+  CASE WHEN p_partkey % 11 = 0 THEN repeat(concat('    y = y or 1', chr(10), 'def g(): return 1 if y else 2'), 9) END,
+  '    z = 1')"""
+
 CORPUS = (
     ("p_partkey", "file_id"),
     ("concat('pkg', p_partkey % 20)", "repo"),
     (corpus_path("p_partkey"), "file_path"),
     (CORPUS_CONTENT, "content"),
 )
+TEXT_CORPUS = (*CORPUS[:3], (LEXED_CONTENT, "content"))
 CORPUS_WITH_GAPS = CORPUS[:3] + ((f"CASE WHEN p_partkey % 97 <> 0 THEN {CORPUS_CONTENT} END", "content"),)
 CHANGE_STATUS = (
     *CORPUS[1:3],
