@@ -121,6 +121,13 @@ def high_risk_report(predictions: DataFrame, threshold: float = 70.0) -> DataFra
     )
 
 
+def high_risk_with_count(predictions: DataFrame, threshold: float = 70.0) -> DataFrame:
+    """The rows of ``high_risk_list``, each with the threshold and the number of all of them."""
+    rows = high_risk(predictions, threshold)
+    count = rows.agg(F.count(F.lit(1))).scalar()
+    return rows.select("*", F.lit(float(threshold)).alias("threshold"), count.alias("count"))
+
+
 def dashboard_cards(predictions: DataFrame, threshold: float = 60.0, keep: int = 2) -> DataFrame:
     """High-risk files as a dashboard shows them: level in capitals and the first ``keep`` recommendations."""
     return high_risk_list(predictions, threshold).select(
@@ -166,11 +173,11 @@ def prediction_status(requests: DataFrame, predictions: DataFrame, tie_break: Se
     )
 
 
-def top_n_risky(scored: DataFrame, n: int = 15, by: str = "repo") -> DataFrame:
-    """The ``n`` highest scores among high and critical files of each repository, with their rank."""
+def top_n_risky(scored: DataFrame, n: int | None = 15, by: str = "repo") -> DataFrame:
+    """The ``n`` highest scores among high and critical files of each repository, or all of them, with their rank."""
     order = Window.partitionBy(by).orderBy(F.desc(F.coalesce("decay_score", F.lit(0.0))), "file_path")
     return (
         scored.filter(scoring.is_reportable(F.col("risk_level")))
         .withColumn("risk_rank", F.row_number().over(order))
-        .filter(F.col("risk_rank") <= n)
+        .filter(F.lit(True) if n is None else F.col("risk_rank") <= n)
     )

@@ -131,14 +131,14 @@ def skipped_counts(files: DataFrame, max_files: int | None = None) -> DataFrame:
 
 
 def repo_report(
-    selected: DataFrame, skipped: DataFrame, listing: DataFrame, top_files: int = 15, top_types: int = 20, below_root: bool = False
+    selected: DataFrame, skipped: DataFrame, listing: DataFrame, top_files: int | None = 15, top_types: int | None = 20, below_root: bool = False
 ) -> DataFrame:
     """One row per repository.
 
     ``selected``: a row per analysed file with ``repo, file_path, decay_score, risk_level, predicted_issues,
     recommendations`` and the small style counts of ``severity_columns``. Sums combine before the shuffle;
     the two lists are cut to their n rows by a row number before they are collected, so no list grows with
-    the repository. The per-file rows stay their own table (``selected``).
+    the repository; with None for n a list holds all of its repository. The per-file rows stay their own table (``selected``).
     """
     zero = F.lit(0).cast("bigint")
     counts = [F.coalesce(F.sum(c), zero).alias(c) for c in (*style.SEVERITIES, *style.CATEGORIES)]

@@ -103,6 +103,11 @@ def high_risk_report(spark, sf):
     return hist.high_risk_report(_predictions(spark, sf), 70)
 
 
+@query
+def high_risk_with_count(spark, sf):
+    return hist.high_risk_with_count(_predictions(spark, sf), 70).select(*PREDICTION_COLUMNS, "threshold", "count")
+
+
 @query
 def latest_predictions(spark, sf):
     return hist.latest_predictions(_predictions(spark, sf)).select(*PREDICTION_COLUMNS)
@@ -548,6 +553,25 @@ def rf_train_score(spark, sf):
     return scored.select("file_path", "target", inside.alias("in_range"), F.lit(own < of_mean).alias("beats_mean"))
 
 
+@query
+def rf_out_of_fold(spark, sf):
+    """Each file by a forest that has not seen its fold: range, error against the mean's on the fold, and the same prediction
+    by a forest before it is saved and after it is loaded."""
+    done = analysed(spark, sf).filter("status = 'completed'").withColumn("target", F.col("decay_score"))
+    features = materialize(model.with_folds(model.decay_features(done, keep=("file_path", "target"))), "features")
+    predicted = materialize(model.out_of_fold(features, trees=20), "folds")
+    errors = model.fold_errors(predicted).select("fold", (F.col("error") < F.col("error_of_mean")).alias("beats_mean"))
+    path = shared_dir(spark, "forest")
+    forest = model.train_decay_model(features, trees=20)
+    model.save_model(forest, path)
+    once = model.score_decay(forest, features).select("file_path", F.col("prediction").alias("before"))
+    again = model.score_decay(model.load_model(path), features).select("file_path", F.col("prediction").alias("after"))
+    same = once.join(again, "file_path").select("file_path", (F.col("before") == F.col("after")).alias("same_after_load"))
+    low, high = features.agg(F.min("target"), F.max("target")).first()
+    inside = F.col("prediction").between(low - 1e-9, high + 1e-9).alias("in_range")
+    return predicted.join(F.broadcast(errors), "fold").join(same, "file_path").select("file_path", "fold", "target", inside, "beats_mean", "same_after_load")
+
+
 # --- repositories --------------------------------------------------------------------------------
 @query
 def repo_hygiene(spark, sf):
@@ -577,6 +601,19 @@ def repo_report(spark, sf):
     )
 
 
+@query
+def repo_report_lists(spark, sf):
+    """The lists of a report without a limit."""
+    files = _report_files(A.source_files(spark, sf))
+    scored = analysed(spark, sf, style.DEFAULT_RULES, files)
+    report = pipelines.repo_report(scored, A.repo_listing(spark, sf), top_files=None, top_types=None)
+    kinds = F.transform("predicted_issue_types", lambda k: F.concat_ws("=", k["type"], k["n"].cast("string")))
+    return report.select(
+        "repo", F.coalesce(joined(F.col("highest_risk_files.file_path"), ","), F.lit("")).alias("highest_risk_files"),
+        F.coalesce(joined(F.array_sort(kinds), ","), F.lit("")).alias("predicted_issue_types"),
+    )
+
+
 @query
 def repo_file_results(spark, sf):
     """Every file of a report with its status, expected issues, recommendations and findings."""
@@ -615,6 +652,16 @@ def url_targets(spark, sf):
     return found.select("url_id", "path_in_repo", "focus_path", "walk_root")
 
 
+@query
+def url_reports(spark, sf):
+    """From URLs to a report of each: the folder or file that it names, and the scores of what lies below."""
+    listing = A.source_files(spark, sf, A.LISTING[:1]).withColumn("repo", F.lit("mono"))
+    scores = analysed(spark, sf).select(F.col("file_path").alias("corpus_path"), "decay_score", "risk_level")
+    paths = A.source_files(spark, sf, (A.LISTING[0], (A.CORPUS[2][0], "corpus_path")))
+    scored = paths.join(scores, "corpus_path").withColumn("repo", F.lit("mono")).drop("corpus_path")
+    return pipelines.url_reports(A.source_files(spark, sf, A.URL_TARGETS), listing, scored).drop("repo", "is_raw_file")
+
+
 @query
 def pattern_catalogue(spark, sf):
     """The seeds, then the patterns of the embeddings table twice: ids that are there are not added again."""
@@ -706,6 +753,23 @@ def project_scan_runs(spark, sf):
     return stored[0].unionByName(stored[1]).unionByName(stored[2])
 
 
+@query
+def commit_log_rejects(spark, sf):
+    """Exports of a commit log with broken lines: the lines per reason, and the files and days of the good ones."""
+    base, lines = shared_dir(spark, "log"), A.table(spark, sf, "lineitem")
+    out = None
+    for kind, line in (("csv", A.CSV_LINE), ("json", A.JSON_LINE)):
+        lines.selectExpr(f"{line} AS value").write.text(f"{base}/{kind}")
+        checked = store.checked_commits(spark, f"{base}/{kind}", kind)
+        good = store.good_commits(checked)
+        numbers = good.agg(F.count_distinct("file_path").alias("files"), F.count_distinct("ts").alias("days"))
+        counts = store.reject_counts(checked).withColumn("export", F.lit(kind)).join(
+            numbers.withColumn("reason", F.lit("accepted")), "reason", "left"
+        )
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 # --- streams -------------------------------------------------------------------------------------
 def _drain(spark, rows, name):
     base = shared_dir(spark, name)

@@ -600,6 +600,30 @@ UNION ALL SELECT 'oversized', file_path, 0, NULL FROM kept WHERE big""",
     "decay_scores_text": f"""WITH {ANALYSED_TEXT} SELECT file_path, CASE WHEN done THEN 'completed' ELSE 'unsupported_file' END AS status,
  CASE WHEN done THEN cc END AS cyclomatic_complexity, CASE WHEN done THEN cr END AS complexity_risk_score, CASE WHEN done THEN vr END AS churn_risk_score,
  CASE WHEN done THEN dr END AS dependency_risk_score, decay_score, risk_level FROM an""",
+    "high_risk_with_count": f"WITH {LATEST}, h AS (SELECT * FROM latest WHERE decay_score >= 70) "
+    "SELECT prediction_id, file_path, ts, decay_score, risk_level, 7e1 AS threshold, (SELECT count(*) FROM h) AS count FROM h",
+    "repo_report_lists": f"WITH {report()} SELECT repo, "
+    "(SELECT coalesce(string_agg(k, ',' ORDER BY k), '') FROM (SELECT type || '=' || count(*) AS k FROM ei JOIN sel USING (file_path) WHERE sel.repo = rep.repo GROUP BY type)) AS predicted_issue_types, "
+    "(SELECT coalesce(string_agg(file_path, ',' ORDER BY decay_score DESC, file_path), '') FROM sel WHERE sel.repo = rep.repo AND risk_level IN ('high', 'critical')) AS highest_risk_files FROM rep",
+    "rf_out_of_fold": f"WITH {ANALYSED} SELECT file_path, CAST(CAST('0x' || substr(md5(file_path), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold, decay_score AS target, "
+    "true AS in_range, true AS beats_mean, true AS same_after_load FROM an WHERE done",
+    "commit_log_rejects": " UNION ALL ".join(f"""SELECT '{kind}' AS export, reason, count(*) AS lines, CASE WHEN reason = 'accepted' THEN count(DISTINCT l_partkey) END AS files,
+  CASE WHEN reason = 'accepted' THEN count(DISTINCT l_shipdate::DATE) END AS days FROM (SELECT *, CASE WHEN l_orderkey % 50 IN ({bad}) THEN 'malformed' ELSE
+  CASE l_orderkey % 50 WHEN 13 THEN 'no_path' WHEN 3 THEN 'no_time' WHEN 8 THEN 'bad_time' ELSE 'accepted' END END AS reason FROM lineitem) GROUP BY reason"""
+        for kind, bad in (("csv", "18"), ("json", "18, 23"))),
+    "url_reports": f"""WITH {ANALYSED}, lp AS ({A.sql_view('part', (A.LISTING[0], (A.CORPUS[2][0], 'corpus_path')))}),
+s AS (SELECT lp.file_path, decay_score, risk_level FROM lp JOIN an ON an.file_path = corpus_path),
+t AS ({A.sql_view('part', A.URL_TARGETS)}), p AS (SELECT *, CASE WHEN NOT is_raw_file AND path_in_repo NOT LIKE '%..%' THEN rtrim(path_in_repo, '/') END AS path FROM t),
+d AS (SELECT DISTINCT path FROM p WHERE EXISTS (SELECT 1 FROM lp WHERE starts_with(lp.file_path, p.path || '/'))),
+tg AS (SELECT url_id, path_in_repo, CASE WHEN path IN (SELECT file_path FROM lp) THEN path END AS focus_path, CASE WHEN path IN (SELECT path FROM d) THEN path END AS walk_root FROM p),
+roots AS (SELECT DISTINCT coalesce(walk_root, '') AS root FROM tg),
+m AS (SELECT root, s.* FROM roots JOIN s ON (root = '' OR starts_with(s.file_path, root || '/')) AND regexp_matches(s.file_path, '[.](py|js|ts|jsx|tsx|go|rs|java)$')
+  AND NOT regexp_matches('/' || substr(s.file_path, CASE WHEN root = '' THEN 1 ELSE length(root) + 2 END), '/([.][^/]*|node_modules|__pycache__|venv|dist|build)/')),
+e AS (SELECT url_id, m.file_path, decay_score, risk_level FROM tg JOIN m ON root = coalesce(walk_root, '')
+  UNION SELECT url_id, s.* FROM tg JOIN s ON s.file_path = focus_path),
+g AS (SELECT url_id, count(*) AS n, CAST(sum(CAST(coalesce(decay_score, 0) AS DECIMAL(20,10))) AS DOUBLE) / count(*) AS x, count(*) FILTER (risk_level IN ('high', 'critical')) AS risky, min(file_path) AS first
+  FROM e GROUP BY url_id)
+SELECT tg.*, coalesce(n, 0) AS files_analyzed, coalesce({round_exact('x')}, 0e0) AS avg_decay_score, coalesce(risky, 0) AS high_risk_count, coalesce(focus_path, first) AS first_file FROM tg LEFT JOIN g USING (url_id)""",
     "stream_churn_risk": sliding_churn("lineitem", A.COMMITS_SUPP, 90, 30),
     "stream_churn_risk_events": sliding_churn("events", A.SQL_COMMITS_EVENTS, 7, 3),
     "stream_progress": "WITH d AS (SELECT date_trunc('hour', ts) AS s, event_type AS step, count(*) AS events FROM events GROUP BY ALL) "

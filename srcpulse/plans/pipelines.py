@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from srcpulse.functions import imports as imp, scoring, style
-from srcpulse.operators import churn, history as hist, metrics, rollups, similarity, style as style_ops, validation
+from srcpulse.functions.numbers import round_half_even
+from srcpulse.operators import churn, history as hist, metrics, rollups, similarity, style as style_ops, urls, validation
 from srcpulse.session import materialize
 from srcpulse.sources import corpus, store, tree
 
@@ -199,7 +201,8 @@ REPORT_COLUMNS = (
 
 
 def repo_report(
-    analysed: DataFrame, listing: DataFrame, max_files: int | None = None, focus: Column | None = None, below_root: bool = False
+    analysed: DataFrame, listing: DataFrame, max_files: int | None = None, focus: Column | None = None, below_root: bool = False,
+    top_files: int | None = 15, top_types: int | None = 20,
 ) -> DataFrame:
     """One row per repository from ``analyze_files(..., keep=["repo"], rules=...)``; no history is stored.
 
@@ -213,7 +216,7 @@ def repo_report(
     rows = materialize(analysed.select(*REPORT_COLUMNS, *focus_column), "report")
     lead = F.col("_focus") if focus_column else None
     selected = rollups.select_bounded(rows, max_files, lead)
-    return rollups.repo_report(selected, rollups.skipped_counts(rows, max_files), listing, below_root=below_root)
+    return rollups.repo_report(selected, rollups.skipped_counts(rows, max_files), listing, top_files, top_types, below_root)
 
 
 def project_scan(
@@ -229,3 +232,47 @@ def project_scan(
     return store.persist_completed(
         analyze_files(files, commits, history, neighbours, as_of, **options), metrics_path, predictions_path, run_id
     )
+
+
+def url_reports(
+    targets: DataFrame, listing: DataFrame, scored: DataFrame, extensions: Sequence[str] = corpus.REPOSITORY_EXTENSIONS,
+    skip_dirs: Sequence[str] = corpus.REPOSITORY_SKIP,
+) -> DataFrame:
+    """One row per URL: what it points at, and the files below that with their score, a focus file first.
+
+    ``targets(repo, path_in_repo, is_raw_file, ...)`` as from ``classify_source_urls``, ``listing(repo, file_path)`` and
+    ``scored(repo, file_path, decay_score, risk_level)`` with paths below the repository. Folders that are left out count
+    below the walk root only. Each distinct (repository, walk root) is answered once: a file is looked up by the folders above
+    it, so the listing is read once however many URLs there are, and only folders that someone asks for go on.
+    """
+    placed = materialize(urls.focus_or_walk(targets, listing), "targets")
+    asked = placed.select("repo", F.coalesce("walk_root", F.lit("")).alias("root")).distinct()
+    path, parts = F.col("file_path"), F.split("file_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    named = scored.where(corpus.analyzable(path, F.lit(0), extensions, skip_dirs=()))
+    # Many roots of one repository meet many of its files: the folders that are asked for are few beside the files.
+    within = named.withColumn("root", F.explode(above)).join(asked, ["repo", "root"])
+    below = F.when(F.col("root") == "", path).otherwise(F.expr("substring(file_path, length(root) + 2)"))
+    left_out = "|".join([*map(re.escape, skip_dirs), r"\.[^/]*"])
+    within = within.where(~below.rlike(f"(?:^|/)(?:{left_out})/"))
+    score = F.coalesce("decay_score", F.lit(0.0)).cast("decimal(20,10)")
+    risky = F.coalesce(scoring.is_reportable(F.col("risk_level")), F.lit(False))
+    sums = within.groupBy("repo", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(score).alias("total"), F.count_if(risky).alias("risky"), F.min("file_path").alias("first")
+    )
+    focus = scored.select("repo", path.alias("focus_path"), score.alias("focus_score"), risky.alias("focus_risky"), "file_path")
+    inside = within.where("root = ''").select("repo", path.alias("focus_path"), F.lit(True).alias("counted"))
+    wanted = placed.where("focus_path IS NOT NULL").select("repo", "focus_path").distinct()
+    focus = wanted.join(focus, ["repo", "focus_path"]).join(inside, ["repo", "focus_path"], "left")
+    joined = placed.withColumn("root", F.coalesce("walk_root", F.lit(""))).join(sums, ["repo", "root"], "left").join(
+        focus.drop("file_path"), ["repo", "focus_path"], "left"
+    )
+    more = F.col("focus_score").isNotNull() & F.col("counted").isNull()  # a focus file is read whatever its suffix or folder
+    n = F.coalesce("n", F.lit(0)) + more.cast("int")
+    total = F.coalesce("total", F.lit(0)) + F.when(more, F.col("focus_score")).otherwise(0)
+    mean = round_half_even(F.coalesce(F.try_divide(total.cast("double"), n), F.lit(0.0)))
+    return joined.select(
+        *targets.columns, "focus_path", "walk_root", n.alias("files_analyzed"), mean.alias("avg_decay_score"),
+        (F.coalesce("risky", F.lit(0)) + F.when(more & F.col("focus_risky"), 1).otherwise(0)).alias("high_risk_count"),
+        F.coalesce("focus_path", "first").alias("first_file"),
+    )

@@ -198,6 +198,21 @@ SQL_COMMITS_EVENTS = (
 SHIP_AS_OF = "2001-11-04 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 
+# Lines of a commit log as text exports, a tenth of them broken in one way or another.
+_LOG_TIME = "CASE l_orderkey % 50 WHEN 3 THEN '' WHEN 8 THEN 'yesterday' ELSE concat(substr(CAST(l_shipdate AS STRING), 1, 10), ' 00:00:00') END"
+_LOG_PATH = "CASE WHEN l_orderkey % 50 = 13 THEN '' ELSE concat('part/', l_partkey) END"
+CSV_LINE = f"CASE WHEN l_orderkey % 50 = 18 THEN concat('r,', l_partkey) ELSE concat_ws(',', 'r', {_LOG_PATH}, concat('c', l_orderkey), CAST(l_suppkey AS STRING), {_LOG_TIME}) END"
+
+
+def _json_field(name: str, value: str) -> str:
+    return f"concat(chr(34), '{name}', chr(34), ':', chr(34), {value}, chr(34))"
+
+
+JSON_LINE = (
+    "CASE WHEN l_orderkey % 50 IN (18, 23) THEN concat('{', chr(34), 'repo', chr(34), ': r') ELSE concat('{', concat_ws(',', "
+    + ", ".join(_json_field(n, v) for n, v in (("repo", "'r'"), ("file_path", _LOG_PATH), ("author", "CAST(l_suppkey AS STRING)"), ("ts", _LOG_TIME)))
+    + "), '}') END"
+)
 # The files of a written tree, by the part that a line is about.
 TREE_PATH = f"concat('mono/', {LISTING[0][0].replace('p_partkey', 'l_partkey')})"
 COMMITS_TREE = ((TREE_PATH, "file_path"), *COMMITS_PART[1:])

@@ -17,7 +17,7 @@ from srcpulse.schemas import COMMITS, DECAY_PREDICTIONS, FILE_METRICS
 from srcpulse.session import materialize
 from srcpulse.sources import folders
 
-_DAY, _RUNS = "ts_date", "_runs"
+_DAY, _RUNS, _RAW = "ts_date", "_runs", "_raw"
 
 
 def read_commits(spark: SparkSession, path: str, format: str = "parquet", below_root: bool = False, **options: str) -> DataFrame:
@@ -29,6 +29,42 @@ def read_commits(spark: SparkSession, path: str, format: str = "parquet", below_
     return commits.withColumn("file_path", F.concat_ws("/", "repo", "file_path")) if below_root else commits
 
 
+def checked_commits(spark: SparkSession, path: str, format: str = "csv", below_root: bool = False, **options: str) -> DataFrame:
+    """Every line of a CSV or JSON export: the columns of a commit, ``reason`` why it is none (null for a good line), ``raw`` text.
+
+    A line that is not of the format is ``malformed`` and has only its text; one without a path or time, or with a time that is
+    none, keeps what it has. Nothing is dropped and no line fails a job.
+    """
+    if format not in ("csv", "json"):
+        raise ValueError("text exports are csv or json")
+    text = StructType([StructField(f.name, StringType()) for f in COMMITS])
+    read = spark.read.schema(StructType([*text.fields, StructField(_RAW, StringType())]))
+    # A reader that parses only the columns in use would not see that a line has too few.
+    settings = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW, "columnPruning": "false", **options}
+    lines = read.options(**settings).format(format).load(path)
+    ts = F.col("ts").try_cast("timestamp")
+    reason = (
+        F.when(F.col(_RAW).isNotNull(), "malformed")
+        .when(F.coalesce(F.trim("file_path"), F.lit("")) == "", "no_path")
+        .when(F.coalesce(F.trim("ts"), F.lit("")) == "", "no_time")
+        .when(ts.isNull(), "bad_time")
+    )
+    path_col = F.concat_ws("/", "repo", "file_path") if below_root else F.col("file_path")
+    good = reason.isNull()
+    columns = {"file_path": F.when(good, path_col).otherwise(F.col("file_path")), "ts": ts}
+    fields = [F.when(F.col(_RAW).isNull(), columns.get(f.name, F.col(f.name))).cast(f.dataType).alias(f.name) for f in COMMITS]
+    return lines.select(*fields, reason.alias("reason"), F.col(_RAW).alias("raw"))
+
+
+def good_commits(checked: DataFrame) -> DataFrame:
+    return checked.where("reason IS NULL").drop("reason", "raw")
+
+
+def reject_counts(checked: DataFrame) -> DataFrame:
+    """``reason, lines`` of a checked export; good lines are ``accepted``."""
+    return checked.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _conform(df: DataFrame, schema: StructType) -> DataFrame:
     """The columns of ``schema`` in its order; absent ones are null, an absent or null ``ts`` is now (UTC)."""
     have = set(df.columns)
