@@ -5,12 +5,14 @@ shards so that any two within `max_bits` meet: with `blocks` blocks of bits, two
 blocks, so they agree in `blocks - max_bits` whole ones, and each choice of that many blocks is a shard key. (Longer
 fingerprints with wide bounds use sampled bit positions instead, see `sampled_masks`; those find nearly all pairs.)
 A shard over `shard_rows` is split on by vantage points: near and far halves overlap by `max_bits / 2` on both sides
-of the radius, so every linked pair still shares a half. Within a shard a vantage-point tree answers all range queries,
+of the radius, so every linked pair still shares a half. Where the bound is too wide for that, or much is equal, what stays
+large is cut into blocks and searched in pairs of blocks, so a task never holds more than two. Within a shard a vantage-point tree answers all range queries,
 and branches are pruned by the triangle inequality. Vantage points alone would not do as shards: distances of unrelated
 64-bit fingerprints lie within 32 +- 4, and a band of +- 4 keeps more than half of them.
 
 A shard gives a forest of its links, at most one link per member; links of all shards are joined to components by
-alternating star steps over written tables. Nothing is collected.
+alternating star steps over written tables. Many masks come in two waves, and the second tells links between groups of the
+first only. Nothing is collected.
 
 `one_of_each` can ask for an exact similarity of shingle sets: then links of fingerprints only name candidates. The
 sets of texts that have a candidate are compared within the candidates' groups, and groups over a task's measure in
@@ -139,7 +141,7 @@ def sampled_masks(bits: int, masks: int, size: int, seed: int = 7) -> list[list[
 
 
 def _keyed(prints: DataFrame, masks: list[list[int]]) -> DataFrame:
-    """shard, key, fp: a row for each fingerprint and mask."""
+    """shard, key, node, fp: a row for each of (node, fp) and mask."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,11 +153,12 @@ def _keyed(prints: DataFrame, masks: list[list[int]]) -> DataFrame:
                 wide = np.zeros((len(raw), 64), np.uint8)
                 wide[:, : len(mask)] = bits[:, mask]
                 keys = np.packbits(wide, axis=1).view(">i8")[:, 0].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), shard, np.int32)), pa.array(keys), batch.column("fp")], ["shard", "key", "fp"])
+                columns = [pa.array(np.full(len(raw), shard, np.int32)), pa.array(keys), batch.column("node"), batch.column("fp")]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "node", "fp"])
 
     # Fingerprints are small and their keys many: all tasks make keys, however few bytes the fingerprints have.
-    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    return dealt.mapInArrow(key, "shard int, key long, fp binary")
+    dealt = prints.select("node", "fp").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return dealt.mapInArrow(key, "shard int, key long, node long, fp binary")
 
 
 def _halved(keyed: DataFrame, bits: int, max_bits: int, shard_rows: int) -> DataFrame:
@@ -163,7 +166,8 @@ def _halved(keyed: DataFrame, bits: int, max_bits: int, shard_rows: int) -> Data
     hot = keyed.groupBy("shard", "key").count().where(F.col("count") > shard_rows)
     hot = written(hot.select("shard", "key", F.ceil(F.log2(F.col("count") / shard_rows)).cast("int").alias("levels")), "simhash-hot")
     keyed = keyed.withColumn("part", F.lit(0).cast("long"))
-    if hot.isEmpty():
+    # Distances of unrelated fingerprints lie within a few times sqrt(bits) / 2: a wider band leaves nearly all rows in both halves.
+    if max_bits >= bits**0.5 or hot.isEmpty():
         return keyed
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +182,26 @@ def _halved(keyed: DataFrame, bits: int, max_bits: int, shard_rows: int) -> Data
                 far_half = going & (far >= (bits - max_bits) // 2)
                 part = np.concatenate([np.where(going, 2 * part, part)[near_half], (2 * part + 1)[far_half]])
                 at = np.concatenate([at[near_half], at[far_half]])
-            some = batch.select(["shard", "key", "fp"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(part)], ["shard", "key", "fp", "part"])
+            some = batch.select(["shard", "key", "node", "fp"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(part)], ["shard", "key", "node", "fp", "part"])
 
     cold = keyed.join(hot.select("shard", "key"), ["shard", "key"], "left_anti")
-    return cold.unionByName(keyed.drop("part").join(hot, ["shard", "key"]).mapInArrow(split, "shard int, key long, fp binary, part long"))
+    return cold.unionByName(keyed.drop("part").join(hot, ["shard", "key"]).mapInArrow(split, "shard int, key long, node long, fp binary, part long"))
+
+
+def _dealt(keyed: DataFrame, shard_rows: int) -> DataFrame:
+    """low, high: what is still over twice `shard_rows` is cut into blocks, and each pair of blocks is a run of its own, so
+    no task holds more than two blocks and any two members meet. All else is the one pair (0, 0)."""
+    names = ["shard", "key", "part"]
+    hot = keyed.groupBy(*names).count().where(F.col("count") > 2 * shard_rows)
+    hot = written(hot.select(*names, F.ceil(F.col("count") / shard_rows).cast("int").alias("blocks")), "simhash-blocks")
+    whole = [F.lit(0).alias("low"), F.lit(0).alias("high")]
+    if hot.isEmpty():
+        return keyed.select("*", *whole)
+    cold = keyed.join(hot.select(*names), names, "left_anti").select("*", *whole)
+    own = keyed.join(hot, names).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cold.unionByName(other.select(*keyed.columns, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
 
 
 def _distance(prints: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -252,8 +271,8 @@ def vantage_links(prints: np.ndarray, members: np.ndarray, max_bits: int, forest
 
 
 def _links(keyed: DataFrame, max_bits: int) -> DataFrame:
-    """u > v: a forest of the links of each shard."""
-    names = ["shard", "key", "part"]
+    """u > v: a forest of the links of each shard, between different nodes. Rows of one node are linked already."""
+    names = ["shard", "key", "part", "low", "high"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -267,8 +286,8 @@ def _links(keyed: DataFrame, max_bits: int) -> DataFrame:
             n = int(cuts[-1])
             if n < 2:
                 return None, rest
-            raw = table.column("fp").slice(0, n).combine_chunks()
-            prints, forest = _from_bytes(raw), Forest(n)
+            prints, forest = _from_bytes(table.column("fp").slice(0, n).combine_chunks()), Forest(n)
+            node = table.column("node").slice(0, n).to_numpy()
             sizes, rnd = np.diff(cuts), np.random.default_rng(0)
             run = np.repeat(np.arange(len(sizes)), sizes)
             small = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= LEAF))
@@ -281,12 +300,12 @@ def _links(keyed: DataFrame, max_bits: int) -> DataFrame:
                 forest.link(a, a + step)
             for r in np.flatnonzero(sizes > LEAF):
                 vantage_links(prints, np.arange(cuts[r], cuts[r + 1]), max_bits, forest, rnd)
-            roots = forest.roots()
-            child = np.flatnonzero(roots != np.arange(n))
-            if not len(child):
+            # What a row is linked to is told as its node and the node of its root; equal nodes are no news.
+            u, v = node, node[forest.roots()]
+            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1)[u != v], axis=0)
+            if not len(pairs):
                 return None, rest
-            u, v = raw.take(pa.array(child)), raw.take(pa.array(roots[child]))
-            return pa.RecordBatch.from_arrays([u, v], ["u", "v"]), rest
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"]), rest
 
         rows = 0
         for batch in batches:
@@ -303,7 +322,7 @@ def _links(keyed: DataFrame, max_bits: int) -> DataFrame:
                 yield out
 
     dealt = keyed.repartition(*names).sortWithinPartitions(*names, "fp")
-    return dealt.mapInArrow(link, "u binary, v binary").distinct()
+    return dealt.mapInArrow(link, "u long, v long").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -323,21 +342,31 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _print_roots(prints: DataFrame, bits: int, max_bits: int, masks: list[list[int]] | None, shard_rows: int) -> DataFrame:
-    """u, root of distinct fingerprints linked within `max_bits`."""
+def _print_roots(prints: DataFrame, bits: int, max_bits: int, masks: list[list[int]] | None, shard_rows: int, first_masks: int | None = None) -> DataFrame:
+    """fp, root (a number) of all distinct fingerprints, those linked within `max_bits` under one root.
+
+    With `first_masks` the masks come in two waves: the nodes of the second are the groups that the first has found, so a
+    large group, which meets itself under nearly every mask, gives links to other groups only."""
     masks = masks or block_masks(bits, max_bits, max_bits + 2)
-    return components(_links(_halved(_keyed(prints, masks), bits, max_bits, shard_rows), max_bits))
+    nodes = written(prints.select("fp", F.monotonically_increasing_id().alias("node")), "simhash-nodes")
+    cuts = [0, first_masks, len(masks)] if first_masks and first_masks < len(masks) else [0, len(masks)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        keyed = _dealt(_halved(_keyed(nodes, masks[a:b]), bits, max_bits, shard_rows), shard_rows)
+        roots = components(_links(keyed, max_bits))
+        roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+        joined = nodes.join(roots, nodes["node"] == roots["u"], "left")
+        nodes = written(joined.select("fp", F.coalesce("root", "node").alias("node")), "simhash-nodes")
+    return nodes.withColumnRenamed("node", "root")
 
 
 def near_groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 64, max_bits: int = 4,
-    masks: list[list[int]] | None = None, shard_rows: int = 200_000,
+    masks: list[list[int]] | None = None, shard_rows: int = 200_000, first_masks: int | None = None,
 ) -> DataFrame:
     """doc_id, text_hash, fingerprint (hex), component_id (least doc_id reachable), root (a component's name) of every row."""
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits), "simhash-prints")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = _print_roots(by_print.select("fp"), bits, max_bits, masks, shard_rows)
-    rooted = by_print.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = by_print.join(_print_roots(by_print.select("fp"), bits, max_bits, masks, shard_rows, first_masks), "fp")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.join(named, "root").select("fp", "root", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "text_hash", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "root")
@@ -378,15 +407,15 @@ def set_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 
 def set_groups(
     docs: DataFrame, *, least: float, id_col: str = "doc_id", text_col: str = "text", shingle: int, bits: int, max_bits: int,
-    masks: list[list[int]] | None = None, shard_rows: int = 200_000, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES,
+    masks: list[list[int]] | None = None, shard_rows: int = 200_000, first_masks: int | None = 16, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """doc_id, text_hash, root of every row: texts linked by a Jaccard similarity of shingle sets of `least` or more,
     where links of fingerprints within `max_bits` connect them."""
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits, distinct=True), "simhash-prints")
     each = prints.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("fp").alias("fp"), F.first("n").alias("n"))
     each = written(each, "simhash-sets")
-    near = _print_roots(each.select("fp").distinct(), bits, max_bits, masks, shard_rows).withColumnRenamed("u", "fp")
-    rooted = each.join(near, "fp", "left").withColumn("near", F.coalesce("root", "fp")).drop("root", "fp")
+    near = _print_roots(each.select("fp").distinct(), bits, max_bits, masks, shard_rows, first_masks).withColumnRenamed("root", "near")
+    rooted = each.join(near, "fp").drop("fp")
     measures = rooted.groupBy("near").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
     blocks = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("shingles") / block_shingles)).cast("int")
     wanted = rooted.join(measures.select("near", blocks.alias("blocks")), "near")
@@ -408,7 +437,7 @@ def _set_links(docs: DataFrame, wanted: DataFrame, least: float, id_col: str, te
             columns = [batch.column(n) for n in ("near", "blocks", "block", "set_id")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], ["near", "blocks", "block", "set_id", "hashes"])
 
-    made = rows.mapInArrow(hashes, "near binary, blocks int, block int, set_id binary, hashes binary")
+    made = rows.mapInArrow(hashes, "near long, blocks int, block int, set_id binary, hashes binary")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
     dealt = made.withColumn("other", F.explode(others))
     names = ["near", "low", "high"]

@@ -62,20 +62,40 @@ def test_nulls_copies_and_extra_columns(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shard_rows", [10**6, 40])
-def test_links_of_a_hot_shard(spark, shard_rows):
-    """All fingerprints agree on the first 40 bits, so many shards hold them all; vantage halves must lose no link."""
+@pytest.mark.parametrize(("shard_rows", "first_masks"), [(10**6, None), (40, None), (40, 4)])
+def test_links_of_a_hot_shard(spark, shard_rows, first_masks):
+    """All fingerprints agree on the first 40 bits, so many shards hold them all; vantage halves, blocks and waves must lose no link."""
     rnd = np.random.default_rng(2)
     values = np.unique(rnd.integers(0, 2**24, 700, np.uint64))
     prints = spark.createDataFrame([(v,) for v in simhash._as_bytes(values[:, None])], "fp binary").repartition(3)
-    keyed = simhash._halved(simhash._keyed(prints, simhash.block_masks(64, 4, 6)), 64, 4, shard_rows)
-    root = {bytes(r.u): bytes(r.root) for r in simhash.components(simhash._links(keyed, 4)).collect()}
+    number = {bytes(r.fp): r.root for r in simhash._print_roots(prints, 64, 4, None, shard_rows, first_masks).collect()}
     forest = simhash.Forest(len(values))
     for i, v in enumerate(values):
         close = np.flatnonzero(np.bitwise_count(values ^ v) <= 4)
         forest.link(close, np.full(len(close), i))
-    want = {v: simhash._as_bytes(values[[r], None])[0] for v, r in zip(simhash._as_bytes(values[:, None]), forest.roots(), strict=True)}
-    assert {v: root.get(v, v) for v in want} == want
+    groups = lambda of: {frozenset(i for i, r in enumerate(of) if r == one) for one in set(of)}
+    assert groups([number[v] for v in simhash._as_bytes(values[:, None])]) == groups(forest.roots().tolist())
+
+
+def test_trees_are_entered_and_blocks_meet(spark):
+    """Shards of more members than a leaf holds, cut into pairs of blocks where halves cannot shrink them."""
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 2**63, 8).astype(np.uint64)
+    flips = np.packbits(rnd.random((400, 512)) < 0.04, axis=1).view(">u8").astype(np.uint64)
+    values = np.concatenate([base ^ flips, rnd.integers(0, 2**63, (50, 8)).astype(np.uint64)])
+    prints = spark.createDataFrame([(v,) for v in simhash._as_bytes(values)], "fp binary").repartition(3)
+    masks = simhash.sampled_masks(512, 24, 6)
+    forest = simhash.Forest(len(values))
+    for mask in masks:  # what the masks let meet, pair by pair
+        bits = np.unpackbits(np.array([list(x) for x in simhash._as_bytes(values)], np.uint8), axis=1)[:, mask]
+        for i in range(len(values)):
+            close = np.flatnonzero((bits == bits[i]).all(axis=1) & (np.bitwise_count(values ^ values[i]).sum(axis=1) <= 40))
+            forest.link(close, np.full(len(close), i))
+    groups = lambda of: {frozenset(i for i, r in enumerate(of) if r == one) for one in set(of)}
+    assert max(map(len, groups(forest.roots().tolist()))) > 2 * simhash.LEAF
+    for shard_rows, first_masks in ((10**6, None), (30, None), (30, 5)):
+        number = {bytes(r.fp): r.root for r in simhash._print_roots(prints, 512, 40, masks, shard_rows, first_masks).collect()}
+        assert groups([number[v] for v in simhash._as_bytes(values)]) == groups(forest.roots().tolist())
 
 
 def test_blocks_and_longer_fingerprints():
