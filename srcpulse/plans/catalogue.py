@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from srcpulse.functions import scoring, style, text
 from srcpulse.operators import churn, history as hist, metrics, model, rollups, similarity, style as so, urls, validation
 from srcpulse.plans import pipelines
-from srcpulse.schemas import NEIGHBOUR
+from srcpulse.schemas import ISSUE, NEIGHBOUR
 from srcpulse.session import materialize, shared_dir
 from srcpulse.sources import adapters as A, corpus, patterns as pat, store, tree
 from srcpulse.streaming import churn_state, live
@@ -79,12 +79,12 @@ def _report_files(files: DataFrame) -> DataFrame:
     return files.filter(keep)
 
 
-def analysed(spark, sf, rules=None, files=None) -> DataFrame:
+def analysed(spark, sf, rules=None, files=None, findings=False) -> DataFrame:
     """The whole score over the corpus, or over other files."""
     return pipelines.analyze_files(
         A.source_files(spark, sf) if files is None else files, _commits(spark, sf, A.COMMITS_CORPUS), _metrics(spark, sf, A.METRICS_CORPUS),
         _neighbours(spark, sf), SHIP_AS_OF, days_back=1095, newest_is_current=True, history_tie_break=_metrics_order(),
-        keep=["repo"], rules=rules,
+        keep=["repo"], rules=rules, findings=findings,
     )
 
 
@@ -618,12 +618,11 @@ def repo_report_lists(spark, sf):
 def repo_file_results(spark, sf):
     """Every file of a report with its status, expected issues, recommendations and findings."""
     files = _report_files(A.source_files(spark, sf))
-    scored = analysed(spark, sf, style.DEFAULT_RULES, files).drop("issue_count")
-    found = F.transform("issues", lambda i: F.concat_ws(":", i["type"], i["line"]))
-    checked = so.style_check(files).select("file_path", joined(found, ",").alias("findings"), F.col("issue_count").cast("bigint").alias("style_issue_count"))
-    return scored.join(checked, "file_path").select(
+    scored = analysed(spark, sf, style.DEFAULT_RULES, files, findings=True)
+    found = F.transform(F.coalesce("issues", F.array().cast(f"array<{ISSUE}>")), lambda i: F.concat_ws(":", i["type"], i["line"]))
+    return scored.select(
         "repo", "file_path", "status", "decay_score", "risk_level", joined(F.col("predicted_issues.type"), ",").alias("predicted_issue_types"),
-        joined("recommendations").alias("recommendations"), "style_issue_count", "findings",
+        joined("recommendations").alias("recommendations"), F.col("issue_count").alias("style_issue_count"), joined(found, ",").alias("findings"),
     )
 
 

@@ -18,11 +18,12 @@ COMPLEXITY, MAINTAINABILITY = "cyclomatic_complexity", "maintainability_index"
 
 
 def text_signals(
-    files: DataFrame, keep: Sequence[str] = (), rules: Sequence[style.Rule] | None = None, first_imports: int | None = None
+    files: DataFrame, keep: Sequence[str] = (), rules: Sequence[style.Rule] | None = None, first_imports: int | None = None,
+    findings: bool = False,
 ) -> DataFrame:
     """Everything that comes from the text of a file, in one pass without a shuffle; the text ends here.
 
-    With ``rules`` the small style counts per severity and category come along.
+    With ``rules`` the small style counts per severity and category come along, with ``findings`` the findings too.
     """
     also = [imp.extract_imports(F.col("content"), F.col("ext")).alias("_imports")]
     if rules is not None:
@@ -35,7 +36,8 @@ def text_signals(
     ]
     if rules is not None:
         extra += [F.size("issues").cast("bigint").alias("issue_count"), *style_ops.severity_columns("issues")]
-    return rows.select(*[c for c in rows.columns if c not in ("_imports", "issues")], *extra)
+    left = ("_imports",) if findings else ("_imports", "issues")
+    return rows.select(*[c for c in rows.columns if c not in left], *extra)
 
 
 def predict_decay(signals: DataFrame, as_of: datetime, cfg: scoring.ScoreConfig = scoring.DEFAULT) -> DataFrame:
@@ -92,7 +94,7 @@ def analyze_files(
     files: DataFrame, commits: DataFrame, history: DataFrame, neighbours: DataFrame, as_of: datetime, *,
     days_back: int = 90, trend_order: str = "reference", trend_rows: int = 10, newest_is_current: bool = False,
     history_tie_break: Sequence[Column] = (), keep: Sequence[str] = (), rules: Sequence[style.Rule] | None = None,
-    cfg: scoring.ScoreConfig = scoring.DEFAULT,
+    findings: bool = False, cfg: scoring.ScoreConfig = scoring.DEFAULT,
 ) -> DataFrame:
     """Score every file. ``neighbours`` is ``file_path, decay_neighbours, bug_neighbours``.
 
@@ -105,7 +107,7 @@ def analyze_files(
     measured = (COMPLEXITY, MAINTAINABILITY)
     if newest_is_current:
         files = files.withColumns({m: F.lit(None).cast("double") for m in measured})
-    text = text_signals(files, keep, rules)
+    text = text_signals(files, keep, rules, findings=findings)
     if newest_is_current:
         text = text.drop(*measured)
     stats = churn.change_stats(commits, as_of, days_back)
