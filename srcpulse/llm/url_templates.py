@@ -6,9 +6,10 @@ each node a branch keeps its name only where labels set it apart. Branches that
 and branches whose share of blocked labels is like that of their siblings (two-proportion test) merge into one wildcard.
 A template is rejected if its share of blocked labels, smoothed by the share of all labels, reaches `purity`.
 
-The tree has two levels, the rest of a path counts as one further segment of its shape; deeper paths are not cut off.
+The tree is as deep as the deepest path: level by level, the paths that go on below a node are its branches, and a path
+that ends at a node has that node as its template. One closing slash makes no segment.
 All counting is on distinct (host, shape) rows, combined before the shuffle, so a host with a third of all pages is as
-cheap as another. A null url, or one without `://`, has an empty host and path and is judged like any other. Repeated
+cheap as another, and a level looks only at shapes that reach it. A null url, or one without `://`, has an empty host and path and is judged like any other. Repeated
 rows are all returned; an empty table gives an empty result.
 """
 
@@ -49,44 +50,44 @@ def rule_of(rules: Sequence[Rule]) -> Column:
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _shape(text: Column) -> Column:
-    return F.regexp_replace(text, "[0-9]+", "{n}")
-
-
 def shaped(pages: DataFrame) -> DataFrame:
-    parts = F.split("path", "/")
-    part = lambda i: _shape(F.coalesce(F.get(parts, F.lit(i)), F.lit("")))
-    rest = F.slice(parts, 4, F.greatest(F.size(parts) - 3, F.lit(0)))
-    return pages.withColumns({"s1": part(1), "s2": part(2), "s3": _shape(F.array_join(rest, "/"))})
+    """Adds `segments`: those of the path, runs of digits as `{n}`, without the empty one after a closing slash."""
+    parts = F.split(F.regexp_replace("path", "[0-9]+", "{n}"), "/")
+    n = F.size(parts)
+    n = n - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+    return pages.withColumn("segments", F.when(n > 1, F.slice(parts, F.lit(2), n - 1)).otherwise(F.array().cast("array<string>")))
 
 
-def _named(shapes: DataFrame, above: list[str], branch: str, out: str) -> DataFrame:
-    """Adds `out`: the branch's name where labels set it apart from its siblings, else `*`."""
+def _level(rows: DataFrame, depth: int) -> DataFrame:
+    """`node` of each row one level further down: with the branch's name where labels set it apart from its siblings, else `*`."""
     counts = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    kids = shapes.groupBy(*above, branch).agg(*counts)
-    all_ = kids.groupBy(*above).agg(F.count("*").alias("branches"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
-    kids = kids.join(all_, above)
+    rows = rows.withColumn("branch", F.element_at("segments", depth))
+    kids = rows.groupBy("host", "node", "branch").agg(*counts)
+    all_ = kids.groupBy("host", "node").agg(F.count("*").alias("branches"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
+    kids = kids.join(all_, ["host", "node"])
     rest_labelled, rest_blocked = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
     pooled = (F.col("all_blocked") + 1) / (F.col("all_labelled") + 2)
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_labelled))
     differs = F.abs(F.col("blocked") / F.col("labelled") - rest_blocked / rest_labelled) > APART * spread
     variable = (F.col("branches") > MANY_BRANCHES) & (F.col("n") <= RARE_SHARE * F.col("all_n"))
     apart = F.when((F.col("labelled") > 0) & (rest_labelled > 0), differs).otherwise(False) & ~variable
-    kids = kids.select(*above, branch, F.when(apart, F.col(branch)).otherwise("*").alias(out))
-    return shapes.join(kids, [*above, branch])
+    named = kids.select("host", "node", "branch", F.concat_ws("/", "node", F.when(apart, F.col("branch")).otherwise("*")).alias("below"))
+    return rows.join(named, ["host", "node", "branch"]).drop("branch", "node").withColumnRenamed("below", "node")
 
 
 def templates(labelled: DataFrame, purity: float, weight: float) -> DataFrame:
-    """host, s1, s2, s3, template, share, rejected of every shape among rows of (host, s1, s2, s3, blocked), blocked null where unlabelled."""
-    shapes = labelled.groupBy("host", "s1", "s2", "s3").agg(F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.sum(F.coalesce("blocked", F.lit(0))).alias("blocked"))
-    shapes = written(shapes, "url-shapes")
-    named = _named(_named(shapes, ["host"], "s1", "t1"), ["host", "t1"], "s2", "t2")
-    by = ["host", "t1", "t2", "s3"]
-    prior = shapes.agg((F.sum("blocked") / F.sum("labelled")).alias("p")).first().p or 0.0
-    share = (F.sum("blocked") + weight * prior) / (F.sum("labelled") + weight)
-    judged = named.groupBy(*by).agg(share.alias("share"))
-    template = F.concat_ws("/", F.lit(""), "t1", "t2", F.when(F.col("s3") != "", F.col("s3")))
-    return named.join(judged, by).select("host", "s1", "s2", "s3", template.alias("template"), "share", (F.col("share") >= purity).alias("rejected"))
+    """host, segments, template, share, rejected of every shape among rows of (host, segments, blocked), blocked null where unlabelled."""
+    shapes = labelled.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.sum(F.coalesce("blocked", F.lit(0))).alias("blocked"))
+    shapes = written(shapes.withColumn("node", F.lit("")), "url-shapes")
+    total = shapes.agg((F.sum("blocked") / F.sum("labelled")).alias("p"), F.max(F.size("segments")).alias("deepest")).first()
+    done, open_ = shapes.where(F.size("segments") == 0), shapes
+    for depth in range(1, (total.deepest or 0) + 1):
+        open_ = written(_level(open_.where(F.size("segments") >= depth), depth), "url-level").select(*shapes.columns)
+        done = done.unionByName(open_.where(F.size("segments") == depth))
+    by = ["host", "node"]
+    share = (F.sum("blocked") + weight * (total.p or 0.0)) / (F.sum("labelled") + weight)
+    judged = done.groupBy(*by).agg(share.alias("share"))
+    return done.join(judged, by).select("host", "segments", F.col("node").alias("template"), "share", (F.col("share") >= purity).alias("rejected"))
 
 
 def judge(
@@ -95,28 +96,29 @@ def judge(
     """page_id, host, path, rule, verdict, template of every row."""
     rows = shaped(parsed(pages, id_col, url_col)).withColumn("by_rule", rule_of(rules))
     blocked = F.when(F.col("by_rule").isNotNull(), (F.col("by_rule.verdict") == "block").cast("int"))
-    judged = templates(rows.select("host", "s1", "s2", "s3", blocked.alias("blocked")), purity, weight)
+    judged = templates(rows.select("host", "segments", blocked.alias("blocked")), purity, weight)
     by_method = F.when(F.col("rejected"), "block").otherwise("allow")
-    return rows.join(judged, ["host", "s1", "s2", "s3"]).select(
+    return rows.join(judged, ["host", "segments"]).select(
         "page_id", "host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce("by_rule.verdict", by_method).alias("verdict"), "template"
     )
 
 
-def judge_sql(rules: Sequence[Rule], purity: float = 0.8, weight: float = 10.0) -> str:
-    """The same as one DuckDB statement over `pages`."""
+def judge_sql(rules: Sequence[Rule], purity: float = 0.8, weight: float = 10.0, levels: int = 8) -> str:
+    """The same as one DuckDB statement over `pages`, for paths of at most `levels` segments."""
     listed = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
     named = """
-      {out}_kids AS (SELECT {above}, {branch}, sum(n) n, sum(labelled) labelled, sum(blocked) blocked FROM {source} GROUP BY ALL),
-      {out}_all AS (SELECT {above}, count(*) branches, sum(n) an, sum(labelled) al, sum(blocked) ab FROM {out}_kids GROUP BY ALL),
-      {out}_names AS (SELECT {kid_above}, {branch}, CASE WHEN labelled > 0 AND al > labelled
+      kids{k} AS (SELECT host, node, segments[{k}] AS branch, sum(n) n, sum(labelled) labelled, sum(blocked) blocked
+        FROM rows{before} WHERE len(segments) >= {k} GROUP BY ALL),
+      all{k} AS (SELECT host, node, count(*) branches, sum(n) an, sum(labelled) al, sum(blocked) ab FROM kids{k} GROUP BY ALL),
+      names{k} AS (SELECT host, node, branch, node || '/' || CASE WHEN labelled > 0 AND al > labelled
           AND abs(blocked / labelled - (ab - blocked) / (al - labelled))
             > {apart} * sqrt(((ab + 1) / (al + 2)) * (1 - (ab + 1) / (al + 2)) * (1 / labelled + 1 / (al - labelled)))
-          AND NOT (branches > {many} AND n <= {rare} * an) THEN {branch} ELSE '*' END AS {out}
-        FROM {out}_kids k JOIN {out}_all USING ({above})),
-      {out}_rows AS (SELECT * FROM {source} JOIN {out}_names USING ({above}, {branch}))"""
-    level = lambda out, branch, above, source: named.format(
-        out=out, branch=branch, above=above, kid_above=above, source=source, apart=APART, many=MANY_BRANCHES, rare=RARE_SHARE
-    )
+          AND NOT (branches > {many} AND n <= {rare} * an) THEN branch ELSE '*' END AS below
+        FROM kids{k} JOIN all{k} USING (host, node)),
+      rows{k} AS (SELECT host, segments, n, labelled, blocked, node FROM rows{before} WHERE len(segments) < {k}
+        UNION ALL SELECT host, segments, n, labelled, blocked, below FROM rows{before} r JOIN names{k} USING (host, node)
+          WHERE len(segments) >= {k} AND branch = segments[{k}]),"""
+    tree = "".join(named.format(k=k, before=k - 1, apart=APART, many=MANY_BRANCHES, rare=RARE_SHARE) for k in range(1, levels + 1))
     return rf"""
     WITH rules(verdict, rule_host, rule_path) AS (VALUES {listed}),
       cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -128,16 +130,12 @@ def judge_sql(rules: Sequence[Rule], purity: float = 0.8, weight: float = 10.0)
           ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
       ruled AS (SELECT page_id, parts.host, parts.path, rule, verdict FROM parts
         LEFT JOIN fitting f ON f.host = parts.host AND f.path = parts.path AND k = 1),
-      rows_ AS (SELECT *, regexp_replace(coalesce(string_split(path, '/')[2], ''), '[0-9]+', '{{n}}', 'g') AS s1,
-        regexp_replace(coalesce(string_split(path, '/')[3], ''), '[0-9]+', '{{n}}', 'g') AS s2,
-        regexp_replace(coalesce(array_to_string(string_split(path, '/')[4:], '/'), ''), '[0-9]+', '{{n}}', 'g') AS s3 FROM ruled),
-      shapes AS (SELECT host, s1, s2, s3, count(*)::DOUBLE n, count(verdict)::DOUBLE labelled,
-        count(*) FILTER (verdict = 'block')::DOUBLE blocked FROM rows_ GROUP BY ALL),
-      {level("t1", "s1", "host", "shapes")},
-      {level("t2", "s2", "host, t1", "t1_rows")},
-      judged AS (SELECT host, t1, t2, s3, (sum(blocked) + {weight} * (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) FROM shapes))
-        / (sum(labelled) + {weight}) AS share FROM t2_rows GROUP BY ALL),
-      all_ AS (SELECT * FROM t2_rows JOIN judged USING (host, t1, t2, s3))
-    SELECT page_id, host, path, rule, coalesce(rows_.verdict, CASE WHEN share >= {purity} THEN 'block' ELSE 'allow' END) AS verdict,
-      concat_ws('/', '', t1, t2, nullif(s3, '')) AS template
-    FROM rows_ JOIN all_ USING (host, s1, s2, s3)"""
+      rows_ AS (SELECT *, CASE WHEN path IN ('', '/') THEN []::VARCHAR[]
+        ELSE string_split(regexp_replace(regexp_replace(path, '/$', ''), '[0-9]+', '{{n}}', 'g'), '/')[2:] END AS segments FROM ruled),
+      rows0 AS (SELECT host, segments, count(*)::DOUBLE n, count(verdict)::DOUBLE labelled,
+        count(*) FILTER (verdict = 'block')::DOUBLE blocked, '' AS node FROM rows_ GROUP BY ALL),{tree}
+      judged AS (SELECT host, node, (sum(blocked) + {weight} * (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) FROM rows0))
+        / (sum(labelled) + {weight}) AS share FROM rows{levels} GROUP BY ALL),
+      all_ AS (SELECT host, segments, node, share FROM rows{levels} JOIN judged USING (host, node))
+    SELECT page_id, host, path, rule, coalesce(rows_.verdict, CASE WHEN share >= {purity} THEN 'block' ELSE 'allow' END) AS verdict, node AS template
+    FROM rows_ JOIN all_ USING (host, segments)"""
