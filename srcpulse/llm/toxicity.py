@@ -1,7 +1,8 @@
 """Operator 10: toxicity by a weighted lexicon.
 
 Texts are folded (lower case, look-alike letters, digits and signs that stand for letters inside words) and searched
-for the lexicon's words with one Aho-Corasick automaton; hits inside exception phrases do not count. The summed weights,
+for the lexicon's words with one Aho-Corasick automaton, with stand-ins at the end of words once as they are and once
+folded; hits inside exception phrases do not count. The summed weights,
 divided by a power of the number of words, pass through a logistic curve.
 
 The lexicon is learned: words whose labelled documents are toxic far more often than others, each weighted by the lower
@@ -38,6 +39,9 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "sore loser r
 _foreign = re.compile("[Ͱ-ӿԀ-ԯᴀɑ]").search
 _stand_in = re.compile(r"[013457@$](?=[0-9@$]{0,4}[a-z])|(?<=[a-z])0(?![0-9a-z])").sub
 _words = re.compile(r"[^\W\d_]+").findall
+#: A few stand-ins that end a word.
+_last = re.compile(r"(?<=[a-z])[0-9@$]{1,4}(?![0-9a-z@$])")
+_stands_for = str.maketrans(STAND_INS)
 #: The exponents of the text's length that are tried.
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -49,6 +53,14 @@ def folded(text: str) -> str:
     return _stand_in(lambda m: STAND_INS[m[0]], text)
 
 
+def readings(text: str) -> list[str]:
+    """The folded text, and where stand-ins end a word, once more with these folded: `trash$` may be a word and a price, or
+    a word. Both have the same length, so a place is the same in both."""
+    first = folded(text)
+    second = _last.sub(lambda m: m[0].translate(_stands_for), first) if _last.search(first) else first
+    return [first] if second == first else [first, second]
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -67,18 +79,19 @@ class Model:
         return found
 
     def hits(self, text: str, found: ahocorasick.Automaton) -> tuple[float, int]:
-        """(summed weights, words) of a text."""
-        text = folded(text)
-        total, spared, marks = 0.0, [], []
-        for last, (size, weight) in found.iter(text):
-            start = last + 1 - size
-            if start and text[start - 1].isalnum() or last + 1 < len(text) and text[last + 1].isalnum():
-                continue
-            (spared if weight is None else marks).append((start, last, weight))
-        for start, last, weight in marks:
-            if not any(a <= start and last <= b for a, b, _ in spared):
-                total += weight
-        return total, len(text.split())
+        """(summed weights, words) of a text. A place counts once, in the first reading in which the lexicon knows it."""
+        spared, marks = set(), {}
+        for text in readings(text):
+            for last, (size, weight) in found.iter(text):
+                start = last + 1 - size
+                if start and text[start - 1].isalnum() or last + 1 < len(text) and text[last + 1].isalnum():
+                    continue
+                if weight is None:
+                    spared.add((start, last))
+                else:
+                    marks.setdefault((start, last), weight)
+        total = sum(w for (start, last), w in sorted(marks.items()) if not any(a <= start and last <= b for a, b in spared))
+        return float(total), len(text.split())
 
     def curve(self, total: np.ndarray, words: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
