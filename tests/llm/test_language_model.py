@@ -86,7 +86,7 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 3])
 def test_scores_against_plain_counts(spark, order):
     shape = lm.Shape(order=order, bits_per_entry=200, probes=12, mu=7.0)  # so wide that nothing is taken for present
     docs = spark.createDataFrame([(*r, 1, b"x") for r in ROWS], "doc_id long, text string, c long, word binary")
