@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from srcpulse.session import shared_dir
 
-#: Rows of one Arrow batch. Texts vary from nothing to megabytes, so a batch holds few rows.
+#: Rows of one Arrow batch. Texts vary from nothing to megabytes, so a batch holds few rows; Spark ends it at 64 MB as well
+#: (spark.sql.execution.arrow.maxBytesPerBatch). The setting stays with the session of the frame.
 BATCH_ROWS = 500
 
 
