@@ -6,7 +6,7 @@ Simple-8b words, selector in the top 4 bits, first id in the lowest bits), `esca
 id that needs more than `escape_bits` bits; its place among the words holds 0), `first` (ids of the shard before the
 block) and `n_ids`. So each block is decoded alone, and any document is found by its offset.
 
-Documents are range-partitioned by (doc_id, hash of the text); a task writes one shard. Null texts count as empty, null
+Documents are encoded where they are read; their ids are range-partitioned by (doc_id, hash of the text), and a task writes one shard. Null texts count as empty, null
 doc_ids come first, repeated rows are written each on their own, in any order among equals; an empty table gives an
 empty one. `read_documents` takes the offset of a shard from the totals of the shards, one number per shard.
 """
@@ -32,29 +32,31 @@ SELECTORS = (
 )
 COUNTS = np.array([240, 120, *(n for n, _ in SELECTORS)])
 WIDTHS = np.array([0, 0, *(b for _, b in SELECTORS)])
+#: Bits of each value below 2 ** 16.
+BITS = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
 
 
 def simple8b(ids: np.ndarray, escape_bits: int = 15) -> tuple[bytes, bytes]:
     """(words, escapes) of unsigned ids. A last word may hold fewer ids than its selector says; the reader knows how many."""
-    values = ids.astype(np.uint64)
-    out = np.flatnonzero(values >> np.uint64(escape_bits))
+    out = np.flatnonzero(ids >> escape_bits)
     escapes = np.stack([out.astype("<u4"), ids[out].astype("<u4")], axis=1).tobytes()
+    values = ids.astype(np.uint64)
     values[out] = 0
     n = len(values)
     if not n:
         return b"", escapes
     # The largest width of the 1, 2, 4 ... ids from each place on; beyond the end there are only zeros.
     width = np.zeros(n + 240, np.uint8)
-    width[:n] = np.ceil(np.log2(values + np.uint64(1)))
+    width[:n] = BITS[values] if escape_bits <= 16 else np.ceil(np.log2(values + np.uint64(1)))
     widest = {1: width}
     for size in (2, 4, 8, 16, 32, 64, 128):
         half = widest[size // 2]
         widest[size] = np.maximum(half[: len(half) - size // 2], half[size // 2 :])
-    take, selector = np.ones(n, np.uint8), np.full(n, 15, np.uint8)
+    selector = np.full(n, 15, np.uint8)
     for s in range(14, -1, -1):  # the selector with most ids wins
         size = 1 << int(COUNTS[s]).bit_length() - 1
-        fits = np.maximum(widest[size][:n], widest[size][COUNTS[s] - size :][:n]) <= WIDTHS[s]
-        take[fits], selector[fits] = COUNTS[s], s
+        selector[np.maximum(widest[size][:n], widest[size][COUNTS[s] - size :][:n]) <= WIDTHS[s]] = s
+    take = COUNTS[selector]
     starts, i, step = [], 0, take.tolist()
     while i < n:
         starts.append(i)
@@ -88,41 +90,50 @@ def from_simple8b(words: bytes, escapes: bytes, n: int) -> np.ndarray:
 
 
 def write_ids(
-    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = 0, block_ids: int = 8_192,
+    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int = 0, block_ids: int = 32_768,
     escape_bits: int = 15,
 ) -> DataFrame:
     """Write the ids of all documents in ascending doc_id order; the table of blocks, read back."""
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, shard, block, first = codec(tokenizer), TaskContext.get().partitionId(), 0, 0
+        made = codec(tokenizer)
+        for batch in batches:
+            ids = [made.ids(text) for text in batch.column("text").to_pylist()]
+            wide = [len(x) > 0 and int(x.max()) >= 1 << 16 for x in ids]
+            raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(wide), pa.array(raw, pa.binary())], ["doc_id", "tie", "wide", "ids"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, block, first, total = TaskContext.get().partitionId(), 0, 0, 0
         last = np.array([end], "<u4")
         keys: list = []
         ends: list[int] = []
         parts: list[np.ndarray] = []
 
         def full() -> pa.RecordBatch:
-            ids = np.concatenate(parts)
-            row = [shard, block, first, len(ids), keys, ends, *simple8b(ids, escape_bits)]
+            row = [shard, block, first, total, keys, ends, *simple8b(np.concatenate(parts), escape_bits)]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                parts += [made.ids(text), last]
+            for doc, wide, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "wide", "ids")), strict=True):
+                parts += [np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4"), last]
                 keys.append(doc)
-                ends.append((ends[-1] if ends else 0) + len(parts[-2]) + 1)
-                if ends[-1] >= block_ids:
+                total += len(parts[-2]) + 1
+                ends.append(total)
+                if total >= block_ids:
                     yield full()
-                    block, first = block + 1, first + ends[-1]
+                    block, first, total = block + 1, first + total, 0
                     keys, ends, parts = [], [], []
         if keys:
             yield full()
 
-    rows = texts(docs, id_col, text_col)
-    tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    return written(ordered.mapInArrow(encode, BLOCKS), "token-files", compression="zstd")
+    # Texts stay where they are: their ids, two bytes each, are written, and only those are put in order.
+    rows = texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    encoded = written(rows.mapInArrow(encode, "doc_id long, tie long, wide boolean, ids binary"), "token-ids")
+    ordered = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    return written(ordered.mapInArrow(pack, BLOCKS), "token-files", compression="zstd")
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:

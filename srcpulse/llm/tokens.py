@@ -11,6 +11,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -55,14 +56,14 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class _Ids(dict):
-    """Pre-token -> its ids as little-endian 32-bit bytes; merged when first asked for, emptied when full."""
+    """Pre-token -> its ids as 32-bit numbers; merged when first asked for, emptied when full."""
 
     def __init__(self, merge, entries: int) -> None:
         super().__init__()
         self._merge, self._entries = merge, entries
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self._merge(piece), dtype="<u4").tobytes()
+        ids = array("I", self._merge(piece)).tobytes()
         if len(piece) <= KEPT_CHARS:
             if len(self) >= self._entries:
                 self.clear()
@@ -89,7 +90,7 @@ class Lengths(dict):
 
 
 class Codec:
-    def __init__(self, path: str, entries: int = 300_000) -> None:
+    def __init__(self, path: str, entries: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.path, self._entries = path, entries
@@ -125,7 +126,9 @@ class Codec:
         merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
         if merged != sorted(merged) or len(merged) + 256 != len(ranks) or min(merged, default=256) < 256:
             return None
-        return tiktoken.Encoding("bytes", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        whole = tiktoken.Encoding("bytes", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        one = getattr(getattr(whole, "_core_bpe", None), "encode_single_piece", None)  # the same without cutting by the pattern
+        return (lambda piece: one(piece.encode())) if one else whole.encode_ordinary
 
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens, or None where the library has to cut the text."""
