@@ -1,7 +1,7 @@
 """Operator 7: exact duplicates by deterministic block naming, in DataFrame operations only.
 
-Texts are cut into blocks of `block_chars` characters. The distinct blocks are sorted and numbered, each block becomes
-its number, and pairs of neighbours are sorted and numbered again, until every text is one number: two texts have the
+Texts are cut into blocks of `block_chars` characters. The distinct blocks are dealt by hash, sorted and numbered, each block
+becomes its number, and pairs of neighbours are dealt, sorted and numbered again, until every text is one number: two texts have the
 same number of the same round if and only if they are equal, as no step maps different things to one number. Texts of
 n blocks take ceil(log2 n) rounds; each round's numbers are a written table, so a lost executor never changes them.
 
@@ -28,8 +28,11 @@ def normalised(text: Column) -> Column:
 
 
 def _numbered(things: DataFrame, *by: str) -> DataFrame:
-    """Distinct rows in sorted order, with ascending integers; written, as the integers must not change."""
-    return written(things.select(*by).distinct().orderBy(*by).withColumn("name", F.monotonically_increasing_id()), "exact-names")
+    """Distinct rows with integers; written, as the integers must not change.
+
+    Rows stay in the tasks that made them distinct, and each task sorts and numbers its own: no range of texts is sampled for a
+    common order, which the numbers do not need."""
+    return written(things.select(*by).distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()), "exact-names")
 
 
 def _renamed(things: DataFrame, *by: str) -> DataFrame:
