@@ -198,12 +198,16 @@ def _marked(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, broad
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits_of = known.value if small else None
+        names = frozenset(t.encode() for t in bits_of) if small else None
         for batch in batches:
             base, places = [], []
-            for text in batch.column("text").to_pylist():
+            texts_ = batch.column("text")
+            for text, raw in zip(texts_.to_pylist(), texts_.cast(pa.binary()).to_pylist(), strict=True):
                 found = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for a, k, b in found])
-                here = [(a, b, text[a:b].translate(_LOWER)) for a, b in free_words(text, found)] if not small or bits_of else []
+                # Most texts hold none of the terms, and need no places of words.
+                none = small and names.isdisjoint(terms_of(raw))
+                here = [] if none else [(a, b, text[a:b].translate(_LOWER)) for a, b in free_words(text, found)]
                 if small:
                     places.append([{"start": a, "end": b, "bits": bits_of[w]} for a, b, w in here if w in bits_of])
                 else:
