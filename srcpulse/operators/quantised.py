@@ -27,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CODE_ROWS, QUERY_ROWS = 8192, 2048
 QUERY_BYTES = 64 * 1024 * 1024
+#: Entries whose least one stands for all of them; queries whose bounds are held at once.
+GROUP_ROWS, TILE_QUERIES = 32, 128
 #: Added to every bound: rounding of sums of doubles, and distances that are equal at nine decimals.
 SLACK = 4e-9
 _LEVELS = 127
@@ -63,11 +65,22 @@ def bounds(q: np.ndarray, code: np.ndarray, scale: np.ndarray, rest: np.ndarray,
     return np.maximum(low, 0.0) ** 2 - SLACK, high**2 + SLACK
 
 
-def still_open(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
-    """Which entries may be among the ``k`` nearest of their row."""
-    if high.shape[1] <= k:
-        return np.ones(high.shape, bool)
-    return low <= np.partition(high, k - 1, axis=1)[:, k - 1 : k]
+def kth_bound(d: np.ndarray, k: int) -> np.ndarray:
+    """A number per row that at least ``k`` entries of it do not exceed: the k-th least of the least entries of groups."""
+    groups = d.shape[1] // GROUP_ROWS
+    if groups < k:
+        return np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(d), np.inf)
+    least = d[:, : groups * GROUP_ROWS].reshape(len(d), GROUP_ROWS, groups).min(axis=1)
+    return np.partition(least, k - 1, axis=1)[:, k - 1]
+
+
+def still_open(low: np.ndarray, high: np.ndarray, k: int, reach: np.ndarray | None = None) -> np.ndarray:
+    """Which entries may be among the ``k`` nearest of their row. ``reach``, a distance per row that k patterns are known to stay
+    within, is brought down where these entries say so."""
+    if reach is None:
+        reach = np.full(len(low), np.inf)
+    np.minimum(reach, kth_bound(high, k), out=reach)
+    return low <= reach[:, None]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -114,13 +127,16 @@ def _block(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
     return at("places", "<i8"), at("codes", np.int8).reshape(n, -1), at("scales", "<f8"), at("rests", "<f8")
 
 
-def _found(q_places: np.ndarray, q: np.ndarray, block: tuple, k: int, metric: str) -> pa.RecordBatch:
+def _found(q_places: np.ndarray, q: np.ndarray, block: tuple, k: int, metric: str, reach: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The open pairs of a block; the bounds of ``TILE_QUERIES`` queries are held at once."""
     places, code, scale, rest = block
-    low, high = bounds(q, code, scale, rest, metric)
-    row, col = np.nonzero(still_open(low, high, k))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(q_places[row]), pa.array(places[col]), pa.array(low[row, col]), pa.array(high[row, col])], ["query", "pattern", "low", "high"]
-    )
+    for at in range(0, len(q), TILE_QUERIES):
+        some = slice(at, at + TILE_QUERIES)
+        low, high = bounds(q[some], code, scale, rest, metric)
+        row, col = np.nonzero(still_open(low, high, k, reach[some]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q_places[some][row]), pa.array(places[col]), pa.array(low[row, col]), pa.array(high[row, col])], ["query", "pattern", "low", "high"]
+        )
 
 
 def candidates(queries: DataFrame, shelf: DataFrame, k: int, metric: str, query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -130,26 +146,28 @@ def candidates(queries: DataFrame, shelf: DataFrame, k: int, metric: str, query_
         code, scale, rest = coded(unit(m, metric))
         return code.tobytes(), scale.astype("<f8").tobytes(), rest.astype("<f8").tobytes()
 
-    blocks = _packed(shelf, _CODES, CODE_ROWS, codes)
     size = queries.agg(F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()[0] * 8
     if size <= query_bytes:
         rows = queries.select("place", "embedding").toPandas()
         m = unit(np.array(rows["embedding"].tolist(), np.float64).reshape(len(rows), -1), metric)
-        sent = queries.sparkSession.sparkContext.broadcast((rows["place"].to_numpy(np.int64), m))
+        context = queries.sparkSession.sparkContext
+        sent = context.broadcast((rows["place"].to_numpy(np.int64), m))
+        # Each block meets all queries, so blocks are what tasks share.
+        blocks = _packed(shelf.select("place", "embedding").repartition(context.defaultParallelism, "place"), _CODES, CODE_ROWS, codes)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_places, q = sent.value
+            reach = np.full(len(q), np.inf)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    block = _block(batch, i)
-                    for at in range(0, len(q), QUERY_ROWS):
-                        yield _found(q_places[at : at + QUERY_ROWS], q[at : at + QUERY_ROWS], block, k, metric)
+                    yield from _found(q_places, q, _block(batch, i), k, metric, reach)
 
         near = blocks.mapInArrow(scan, _BOUNDS)
     else:
         asked, n = _numbered(_packed(queries, _QUERIES, QUERY_ROWS, lambda m: (unit(m, metric).astype("<f8").tobytes(),)), "block")
         asked = asked.select("block", F.col("n").alias("q_n"), F.col("places").alias("q_places"), "vectors")
         parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = _packed(shelf, _CODES, CODE_ROWS, codes)
         dealt = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("turn", F.xxhash64("places"))
         pairs = dealt.join(asked, "block").repartition(parts, "block", "turn")
 
@@ -157,7 +175,8 @@ def candidates(queries: DataFrame, shelf: DataFrame, k: int, metric: str, query_
             for batch in batches:
                 for i in range(batch.num_rows):
                     q = np.frombuffer(batch.column("vectors")[i].as_py(), "<f8").reshape(batch.column("q_n")[i].as_py(), -1)
-                    yield _found(np.frombuffer(batch.column("q_places")[i].as_py(), "<i8"), q, _block(batch, i), k, metric)
+                    q_places = np.frombuffer(batch.column("q_places")[i].as_py(), "<i8")
+                    yield from _found(q_places, q, _block(batch, i), k, metric, np.full(len(q), np.inf))
 
         near = pairs.mapInArrow(scan_pairs, _BOUNDS)
     near = materialize(near, "bounds")

@@ -1,5 +1,7 @@
 """Bounds of eight-bit codes, and what they leave open."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -72,3 +74,13 @@ def test_share_of_full_vectors_on_the_shipped_table(spark):
     near = qz.candidates(q, shelf, 3, "cosine").count()
     share = near / (q.count() * shelf.count())
     assert near >= 3 * q.count() and share < 0.02
+
+
+def test_a_block_of_bounds_is_held_in_parts():
+    r = np.random.default_rng(1)
+    block = (np.arange(8192), *qz.coded(r.normal(size=(8192, 16))))
+    q = r.normal(size=(1024, 16))
+    tracemalloc.start()
+    found = sum(b.num_rows for b in qz._found(np.arange(1024), q, block, 3, "l2", np.full(1024, np.inf)))
+    assert found >= 3 * 1024 and tracemalloc.get_traced_memory()[1] < 100e6  # all bounds at once: 67 MB an array
+    tracemalloc.stop()
