@@ -1,5 +1,7 @@
 """All ways of the search against a plain loop."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -103,3 +105,29 @@ def test_bounded_search_has_no_shuffle(spark):
     q, p = _frames(spark, *_data(30, 5))
     plan = sim.with_pattern_risk(sim.nearest_patterns(q, p))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_distances_are_held_in_tiles():
+    r = np.random.default_rng(1)
+    q, p = (sim._unit(r.normal(size=(n, 16)), "cosine") for n in (500, 20000))
+    tracemalloc.start()
+    near, dist, counts = sim._top_k(q, p, 5, "cosine", None)
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # four million distances at once: 32 MB an array
+    tracemalloc.stop()
+    want = np.argsort(np.round(1 - q @ p.T, 9), axis=1, kind="stable")[:, :5]
+    assert (near == want).all() and (counts == 5).all() and (np.diff(dist, axis=1) >= 0).all()
+
+
+def test_a_query_goes_to_groups_of_cells_not_to_each_cell(spark, monkeypatch):
+    """Random vectors name every cell: a query then has a row per group of cells, however many cells there are."""
+    written, kept = {}, sim.materialize
+
+    def counted(frame, purpose):
+        out = kept(frame, purpose)
+        written[purpose] = max(written.get(purpose, 0), out.count())
+        return out
+
+    monkeypatch.setattr(sim, "materialize", counted)
+    patterns, queries = _data(400, 50)
+    found = sim.nearest_patterns(*_frames(spark, patterns, queries), max_broadcast_bytes=0, large="cells")
+    assert written["visits"] == 50 and _rows(found) == _loop(patterns, queries, "l2")
