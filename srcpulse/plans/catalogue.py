@@ -835,6 +835,6 @@ def stream_latest_upsert(spark, sf):
 @query
 def stream_style_gate(spark, sf):
     base = shared_dir(spark, "stream-gate")
-    files = A.view(A.table_stream(spark, sf, "part"), A.CORPUS)
+    files = A.view(A.spread_stream(A.table_stream(spark, sf, "part")), A.CORPUS)
     live.start_style_gate(files, f"{base}/table", f"{base}/checkpoint", available_now=True).awaitTermination()
     return live.read_gate(spark, f"{base}/table")

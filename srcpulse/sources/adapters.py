@@ -30,6 +30,11 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return reader.parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
+def spread_stream(rows: DataFrame) -> DataFrame:
+    """Each batch of a stream dealt to all cores, for small rows that much is then made of."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 # --- source files from part ----------------------------------------------------------------------
 def corpus_path(key: str) -> str:
     return (

@@ -15,6 +15,7 @@ from srcpulse.functions import style
 from srcpulse.operators.history import latest_predictions
 from srcpulse.operators.style import severity_columns, style_check, with_verdict
 from srcpulse.sources import keyed
+from srcpulse.sources.adapters import spread
 
 
 def windowed_churn(commits: DataFrame, window: str = "1 day", slide: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -80,20 +81,18 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
 def start_style_gate(
     files: DataFrame, path: str, checkpoint: str, rules=style.DEFAULT_RULES, available_now: bool = False
 ) -> StreamingQuery:
-    """Check arriving files; every batch adds its counts as one folder."""
-    checked = style_check(files, rules).select(
-        F.size("issues").cast("bigint").alias("issue_count"), *severity_columns()
-    )
+    """Check arriving files; every batch adds its counts as one folder. A batch of fewer splits than cores goes to all cores."""
 
     def counts(batch: DataFrame) -> DataFrame:
-        return batch.agg(
+        checked = style_check(spread(batch), rules).select(F.size("issues").cast("bigint").alias("issue_count"), *severity_columns())
+        return checked.agg(
             F.count(F.lit(1)).alias("files_checked"),
             F.count_if(F.col("issue_count") > 0).alias("files_with_issues"),
             F.coalesce(F.sum("issue_count"), F.lit(0)).alias("total_issues"),
             *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in style.SEVERITIES],
         )
 
-    writer = checked.writeStream.foreachBatch(_write_batch(path, counts)).option("checkpointLocation", checkpoint)
+    writer = files.writeStream.foreachBatch(_write_batch(path, counts)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

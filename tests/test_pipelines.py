@@ -249,3 +249,13 @@ def test_stream_progress(spark, tmp_path):
     live.start_table(live.progress_counts(stream), str(tmp_path / "out"), str(tmp_path / "ck"), available_now=True).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert got and all(r.events == 6 for r in got)
+
+
+def test_a_batch_of_one_split_is_checked_on_all_cores(spark, tmp_path, monkeypatch):
+    rows = [(f"a{i}.py", "import os\nresult = 1\n") for i in range(40)]
+    spark.createDataFrame(rows, "file_path string, content string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen, check = [], live.style_check
+    monkeypatch.setattr(live, "style_check", lambda files, *more: seen.append(files.rdd.getNumPartitions()) or check(files, *more))
+    stream = spark.readStream.schema("file_path string, content string").parquet(str(tmp_path / "in"))
+    live.start_style_gate(stream, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
+    assert seen == [spark.sparkContext.defaultParallelism] and live.read_gate(spark, str(tmp_path / "out")).first().files_checked == 40
