@@ -1,7 +1,7 @@
 """Change statistics of sliding windows as a stream, with state.
 
 Native windows give counts, but a mean gap needs the commits of a file in order, over all days of the window. So commits are
-first reduced natively to one row per (file, day), with a hot file's state spread over its authors, and a stateful step keeps
+first reduced natively to one row per (file, day) with its distinct authors, and a stateful step keeps
 per file the days of the window: count, first and last time, distinct authors. When the watermark passes the end of a window,
 the statistics of that window are what the batch operator gives at that time.
 
@@ -11,12 +11,13 @@ midnight itself are kept apart: a window takes them at its start without the day
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
-from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from srcpulse.functions.numbers import round_half_even
@@ -25,7 +26,8 @@ from srcpulse.operators.churn import DAY_MICROS, with_churn_risk
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DAY_MILLIS = DAY_MICROS // 1000
-_PARTS = "done long, parts array<struct<part:long,n:long,first:long,last:long,authors:array<string>>>"
+#: The days of a file are one text (JSON): a value of many nested fields costs far more to read and write.
+_PARTS = "done long, parts string"
 _OUT = (
     "file_path string, window_end timestamp, change_frequency long, authors_count long, gap_days long, "
     "last_modified timestamp, latest_change timestamp"
@@ -41,12 +43,9 @@ def by_day(commits: DataFrame, delay: str) -> DataFrame:
     ).withWatermark("just_before", delay)
     day = F.window("just_before", "1 day")
     at_end = (F.col("at") % DAY_MICROS == 0).alias("at_end")
-    first, last = F.min("first").alias("first"), F.max("last").alias("last")
-    by_author = shifted.groupBy(day, at_end, "file_path", "author").agg(
-        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last")
-    )
-    days = by_author.groupBy("window", "at_end", "file_path").agg(
-        F.sum("n").alias("n"), first, last, F.array_sort(F.collect_set("author")).alias("authors")
+    # Tasks combine their commits of a day before the shuffle; the state of a day is one row with its distinct authors.
+    days = shifted.groupBy(day.alias("window"), at_end, "file_path").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.array_sort(F.collect_set("author")).alias("authors")
     )
     number = F.floor(F.unix_micros("window.end") / DAY_MICROS) * 2 + F.col("at_end").cast("long")
     return days.select("file_path", number.alias("part"), "n", "first", "last", "authors", F.window_time("window").alias("seen_at"))
@@ -66,56 +65,64 @@ class SlidingWindows(StatefulProcessor):
         if not self._kept.exists():
             return -(2**40), {}
         done, parts = self._kept.get()
-        return done, {p[0]: tuple(p[1:]) for p in parts}
+        return done, {p[0]: tuple(p[1:]) for p in json.loads(parts)}
 
     def _save(self, done: int, parts: dict[int, tuple]) -> None:
-        self._kept.update((done, [(part, *values) for part, values in sorted(parts.items())]))
+        self._kept.update((done, json.dumps([(part, *values) for part, values in sorted(parts.items())])))
 
-    def _next_end(self, done: int, parts: dict[int, tuple]) -> int:
+    def _next_end(self, done: int, oldest: int) -> int:
         """The first window end (in days) that is still to come and holds the oldest kept part."""
-        oldest = min(parts) // 2
-        return max(-(-oldest // self._slide) * self._slide, done + self._slide)
+        return max(-(-(oldest // 2) // self._slide) * self._slide, done + self._slide)
 
     def _wake(self, end: int) -> None:
         for timer in self._handle.listTimers():
             self._handle.deleteTimer(timer)
         self._handle.registerTimer(end * DAY_MILLIS)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         done, parts = self._load()
-        for r in rows:
-            parts[r.part] = (r.n, r.first, r.last, list(r.authors))  # a finished day comes once
+        for days in rows:  # whole columns: a row each would cost more than all that is done with it
+            numbers, *values = (days[c].tolist() for c in ("part", "n", "first", "last", "authors"))
+            parts.update((part, (n, first, last, list(authors))) for part, n, first, last, authors in zip(numbers, *values, strict=True))  # a finished day comes once
         self._save(done, parts)
-        self._wake(self._next_end(done, parts))
+        self._wake(self._next_end(done, min(parts)))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         done, parts = self._load()
         passed = timerValues.getCurrentWatermarkInMs() // DAY_MILLIS
         out = []
-        while parts and (end := self._next_end(done, parts)) <= passed:
-            inside = [(p, v) for p, v in sorted(parts.items()) if 2 * (end - self._back) + 1 <= p <= 2 * end + 1]
-            if inside:
-                out.append(self._row(key[0], end, [v for _, v in inside]))
+        # In order of time; a window is the slice from its first day up to its end, and both only move on.
+        numbers, values = sorted(parts), [parts[p] for p in sorted(parts)]
+        first = stop = 0
+        while first < len(numbers) and (end := self._next_end(done, numbers[first])) <= passed:
+            while first < len(numbers) and numbers[first] < 2 * (end - self._back) + 1:
+                first += 1
+            stop = max(stop, first)
+            while stop < len(numbers) and numbers[stop] <= 2 * end + 1:
+                stop += 1
+            if first < stop:
+                out.append(self._row(key[0], end, values[first:stop]))
             done = end
-            oldest_of_next = 2 * (end + self._slide - self._back) + 1
-            parts = {p: v for p, v in parts.items() if p >= oldest_of_next}
+            while first < len(numbers) and numbers[first] < 2 * (end + self._slide - self._back) + 1:
+                first += 1
+        parts = dict(zip(numbers[first:], values[first:], strict=True))
         if parts:
             self._save(done, parts)
-            self._wake(self._next_end(done, parts))
+            self._wake(self._next_end(done, min(parts)))
         else:
             self._kept.clear()
-        return iter(out)
+        if not out:
+            return iter(())
+        found = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+        return iter((found.assign(**{c: pd.to_datetime(found[c], unit="us") for c in ("window_end", "last_modified", "latest_change")}),))
 
     @staticmethod
-    def _row(file_path: str, end: int, days: list[tuple]) -> Row:
-        when = lambda micros: datetime.fromtimestamp(micros // 10**6, UTC).replace(microsecond=micros % 10**6)
+    def _row(file_path: str, end: int, days: list[tuple]) -> tuple:
+        """One window, with times in microseconds."""
         gaps = sum((b[1] - a[2]) // DAY_MICROS for a, b in zip(days, days[1:], strict=False))
         authors = {a for d in days for a in d[3]}
-        return Row(
-            file_path=file_path, window_end=when(end * DAY_MICROS), change_frequency=sum(d[0] for d in days), authors_count=len(authors),
-            gap_days=gaps, last_modified=when(days[0][1]), latest_change=when(days[-1][2]),
-        )
+        return file_path, end * DAY_MICROS, sum(d[0] for d in days), len(authors), gaps, days[0][1], days[-1][2]
 
 
 def sliding_churn(commits: DataFrame, days_back: int = 90, slide_days: int = 30, delay: str = "1 day") -> DataFrame:
@@ -127,7 +134,7 @@ def sliding_churn(commits: DataFrame, days_back: int = 90, slide_days: int = 30,
     """
     if days_back < 1 or slide_days < 1:
         raise ValueError("days_back and slide_days must be positive")
-    found = by_day(commits, delay).groupBy("file_path").transformWithState(
+    found = by_day(commits, delay).groupBy("file_path").transformWithStateInPandas(
         SlidingWindows(days_back, slide_days), _OUT, outputMode="Append", timeMode="eventTime"
     )
     n = F.col("change_frequency")

@@ -96,3 +96,10 @@ def test_settings_are_checked(spark, tmp_path):
     stream = spark.readStream.schema("file_path string, author string, ts timestamp").parquet(str(tmp_path))
     with pytest.raises(ValueError, match="positive"):
         churn_state.sliding_churn(stream, 90, 0)
+
+
+def test_commits_of_a_day_have_one_level_of_state(spark, tmp_path):
+    schema = "file_path string, author string, ts timestamp"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    days = churn_state.by_day(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 day")
+    assert days._jdf.queryExecution().analyzed().toString().count("Aggregate [") == 1
