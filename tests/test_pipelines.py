@@ -259,3 +259,17 @@ def test_a_batch_of_one_split_is_checked_on_all_cores(spark, tmp_path, monkeypat
     stream = spark.readStream.schema("file_path string, content string").parquet(str(tmp_path / "in"))
     live.start_style_gate(stream, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
     assert seen == [spark.sparkContext.defaultParallelism] and live.read_gate(spark, str(tmp_path / "out")).first().files_checked == 40
+
+
+def test_a_score_is_fused_only_as_far_as_the_jvm_compiles(spark, sf):
+    from srcpulse.plans import catalogue
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    given = spark.conf.get(name)
+    try:
+        for limit, wanted in (("65535", 8000), ("4000", 4000)):
+            spark.conf.set(name, limit)
+            catalogue.QUERIES["repo_file_results"](spark, sf)
+            assert int(spark.conf.get(name)) == wanted
+    finally:
+        spark.conf.set(name, given)
