@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -64,6 +66,13 @@ def first_label(line: Column, patterns: Iterable[tuple[str, str]]) -> Column:
     return out
 
 
+def has_word(text: Column, words: Sequence[str]) -> Column:
+    """Whether a text holds one of the words in any case: by plain search in ASCII, elsewhere by a pattern with all of Unicode's cases."""
+    low = F.lower(text)
+    plain = reduce(or_, [low.contains(w) for w in words])
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(text.rlike(f"(?iU){'|'.join(words)}"))
+
+
 # --- fixed values: patterns, messages, severities, weights ---------------------------------------
 BUG_PRONE = "bug_prone_style"
 AI_STYLE = "ai_style"
@@ -78,7 +87,7 @@ PLACEHOLDERS = (
     (r"(?iU)implement\s+later", "implement later"),
     (r"(?iU)not\s+implemented", "not implemented"),
 )
-PLACEHOLDER_WORDS = r"(?iU)todo|fixme|xxx|hack|placeholder|implement"
+PLACEHOLDER_WORDS = ("todo", "fixme", "xxx", "hack", "placeholder", "implement")
 
 SECRETS = (
     (r"(?iU)password\s*=\s*['\"][^'\"]+['\"]", "hardcoded password"),
@@ -86,7 +95,7 @@ SECRETS = (
     (r"(?iU)secret\s*=\s*['\"][^'\"]+['\"]", "hardcoded secret"),
     (r"(?iU)Bearer\s+[a-zA-Z0-9_\-\.]+", "hardcoded Bearer token"),
 )
-SECRET_WORDS = r"(?iU)password|api[_-]?key|secret|bearer"
+SECRET_WORDS = ("password", "apikey", "api_key", "api-key", "secret", "bearer")
 
 MAGIC_NUMBER = r"(?U)\b(?:[2-9]|[1-9]\d{2,})\b"
 MAGIC_NUMBER_LIMIT = 5
@@ -143,7 +152,8 @@ def _empty_catch(line):
 
 
 def _placeholder(line):
-    return F.concat(F.lit(PLACEHOLDER_TEXT[0]), first_label(line, PLACEHOLDERS), F.lit(PLACEHOLDER_TEXT[1]))
+    label = F.when(has_word(line, PLACEHOLDER_WORDS), first_label(line, PLACEHOLDERS))
+    return F.concat(F.lit(PLACEHOLDER_TEXT[0]), label, F.lit(PLACEHOLDER_TEXT[1]))
 
 
 def _magic_numbers(content, lines):
@@ -158,7 +168,8 @@ def _broad_except(content, lines):
 
 
 def _secret(line):
-    return F.concat(F.lit(SECRET_TEXT[0]), first_label(line, SECRETS), F.lit(SECRET_TEXT[1]))
+    label = F.when(has_word(line, SECRET_WORDS), first_label(line, SECRETS))
+    return F.concat(F.lit(SECRET_TEXT[0]), label, F.lit(SECRET_TEXT[1]))
 
 
 def _comment_ratio(content, lines):
@@ -183,7 +194,7 @@ def _duplicate(line, following):
 
 
 PLACEHOLDER_RULE = Rule(
-    "placeholder_comment", "low", AI_STYLE, "line", _placeholder, guard=lambda c: c.rlike(PLACEHOLDER_WORDS)
+    "placeholder_comment", "low", AI_STYLE, "line", _placeholder, guard=lambda c: has_word(c, PLACEHOLDER_WORDS)
 )
 
 # The order is the order of findings. Placeholders come twice: every such line is listed and scored twice.
@@ -194,7 +205,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     PLACEHOLDER_RULE,
     Rule("magic_numbers", "low", BUG_PRONE, "file", _magic_numbers),
     Rule("broad_except_pass", "medium", BUG_PRONE, "file", _broad_except, (".py",)),
-    Rule("hardcoded_secret", "critical", BUG_PRONE, "line", _secret, guard=lambda c: c.rlike(SECRET_WORDS)),
+    Rule("hardcoded_secret", "critical", BUG_PRONE, "line", _secret, guard=lambda c: has_word(c, SECRET_WORDS)),
     Rule("high_comment_ratio", "low", AI_STYLE, "file", _comment_ratio),
     PLACEHOLDER_RULE,
     Rule("generic_names", "low", AI_STYLE, "file", _generic_names),

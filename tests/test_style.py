@@ -122,3 +122,13 @@ def test_style_plan_has_no_shuffle(spark):
     df = spark.createDataFrame([("a.py", "x")], "file_path string, content string")
     plan = so.style_issue_rows(so.style_check(df))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_words_are_found_as_the_pattern_finds_them(values):
+    """ASCII texts by plain search, others with all of Unicode's cases (long s, Kelvin sign, dotted capital I)."""
+    texts = ["ToDo", "x FIXME", "none", "", None, "Key api-KEY", "haK hacK", "paſsword", "İmplement", "café todo", "café", "API_key", "Apikey", "api--key"]
+    for words, pattern in (
+        (style.PLACEHOLDER_WORDS, r"(?iU)todo|fixme|xxx|hack|placeholder|implement"), (style.SECRET_WORDS, r"(?iU)password|api[_-]?key|secret|bearer"),
+    ):
+        rows = values([(t,) for t in texts], "t string", style.has_word(F.col("t"), words), F.col("t").rlike(pattern))
+        assert [a for a, _ in rows] == [b for _, b in rows] and {a for a, _ in rows} == {True, False, None}
