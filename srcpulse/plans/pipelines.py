@@ -15,6 +15,8 @@ from srcpulse.session import compiled_only, materialize
 from srcpulse.sources import corpus, store, tree
 
 COMPLEXITY, MAINTAINABILITY = "cyclomatic_complexity", "maintainability_index"
+#: Distinct folders that URLs ask for, up to which all tasks get them and no file is shuffled once per folder above it.
+BROADCAST_ROOTS = 100_000
 
 
 def text_signals(
@@ -248,9 +250,13 @@ def url_reports(
     ``scored(repo, file_path, decay_score, risk_level)`` with paths below the repository. Folders that are left out count
     below the walk root only. Each distinct (repository, walk root) is answered once: a file is looked up by the folders above
     it, so the listing is read once however many URLs there are, and only folders that someone asks for go on.
+
+    Folders and focus files both look at the scores, so these are written once to the shared folder: what they come from is analysed once.
     """
     placed = materialize(urls.focus_or_walk(targets, listing), "targets")
-    asked = placed.select("repo", F.coalesce("walk_root", F.lit("")).alias("root")).distinct()
+    scored = materialize(scored.select("repo", "file_path", "decay_score", "risk_level"), "scores")
+    asked = materialize(placed.select("repo", F.coalesce("walk_root", F.lit("")).alias("root")).distinct(), "roots")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROOTS else asked
     path, parts = F.col("file_path"), F.split("file_path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     named = scored.where(corpus.analyzable(path, F.lit(0), extensions, skip_dirs=()))

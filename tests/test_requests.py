@@ -32,6 +32,24 @@ def test_url_reports(spark):
     assert got[9] == (0, 0.0, 0, None) == got[10] and got[11] == (1, 1.0, 0, "src/b.py")
 
 
+def test_url_reports_analyse_once(spark, monkeypatch):
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def analysed(x):
+        looked.add(1)
+        return x
+
+    files = spark.createDataFrame([("r", f"src/f{i}.py", float(i), "high") for i in range(20)], "repo string, file_path string, x double, risk_level string")
+    scored = files.select("repo", "file_path", analysed("x").alias("decay_score"), "risk_level")
+    targets = spark.createDataFrame([(1, "r", "src", False), (2, "r", "src/f3.py", False)], "url_id int, repo string, path_in_repo string, is_raw_file boolean")
+    rows = [sorted(map(tuple, pipelines.url_reports(targets, files.select("repo", "file_path"), scored).collect()))]
+    assert looked.value == 20 and [r[6:9] for r in rows[0]] == [(20, 9.5, 20)] * 2
+    monkeypatch.setattr(pipelines, "BROADCAST_ROOTS", 0)
+    rows.append(sorted(map(tuple, pipelines.url_reports(targets, files.select("repo", "file_path"), scored).collect())))
+    assert rows[0] == rows[1]
+
+
 def test_rejected_lines(spark, tmp_path):
     lines = ["r,a.py,c1,ann,2024-01-02 03:04:05", "r,b.py", "r,,c2,bo,2024-01-02 00:00:00", "r,d.py,c3,cy,", "r,e.py,c4,,soon", 'r,"f,1.py",c5,,2024-02-03']
     (tmp_path / "log.csv").write_text("\n".join(lines) + "\n")
