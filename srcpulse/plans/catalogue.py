@@ -728,12 +728,17 @@ def project_scan_runs(spark, sf):
     base = shared_dir(spark, "project")
     tree.write_tree(A.source_files(spark, sf, A.TREE_FILES), f"{base}/mono")
     paths = {"metrics": f"{base}/metrics", "predictions": f"{base}/predictions"}
-    none = spark.createDataFrame([], f"file_path string, decay_neighbours array<{NEIGHBOUR}>, bug_neighbours array<{NEIGHBOUR}>")
+    none = spark.range(0).select(F.lit("").alias("file_path"), *[F.array().cast(f"array<{NEIGHBOUR}>").alias(n) for n in ("decay_neighbours", "bug_neighbours")])
+    options = {"days_back": 1095, "newest_is_current": True, "history_tie_break": _metrics_order()}
+    scanned = tree.scanned_path(f"{base}/mono")
+    commits, history = (d.where(scanned) for d in (_commits(spark, sf, A.COMMITS_TREE), _metrics(spark, sf, A.METRICS_TREE)))
+    # All runs look at the same commits and history, which are counted once.
+    signals = tuple(materialize(s, "signals") for s in pipelines.stored_signals(commits, history, SHIP_AS_OF, **options))
 
     def scan(run_id):
         return pipelines.project_scan(
-            spark, f"{base}/mono", _commits(spark, sf, A.COMMITS_TREE), _metrics(spark, sf, A.METRICS_TREE), none, SHIP_AS_OF, paths["metrics"],
-            paths["predictions"], max_bytes=A.TREE_MAX_BYTES, run_id=run_id, days_back=1095, newest_is_current=True, history_tie_break=_metrics_order(),
+            spark, f"{base}/mono", commits, history, none, SHIP_AS_OF, paths["metrics"], paths["predictions"], max_bytes=A.TREE_MAX_BYTES, run_id=run_id,
+            signals=signals, **options,
         )
 
     scan("nightly-1")

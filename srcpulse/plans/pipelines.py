@@ -92,11 +92,22 @@ def predict_decay(signals: DataFrame, as_of: datetime, cfg: scoring.ScoreConfig
     ).drop("_score", "decay_neighbours", "bug_neighbours")
 
 
+def stored_signals(
+    commits: DataFrame, history: DataFrame, as_of: datetime, *, days_back: int = 90, trend_order: str = "reference", trend_rows: int = 10,
+    newest_is_current: bool = False, history_tie_break: Sequence[Column] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """What a score takes from commits and history, one row per file each."""
+    compiled_only(commits.sparkSession)
+    return churn.change_stats(commits, as_of, days_back), hist.metric_trend(
+        history, (COMPLEXITY, MAINTAINABILITY), order=trend_order, n=trend_rows, tie_break=history_tie_break, newest_is_current=newest_is_current
+    )
+
+
 def analyze_files(
     files: DataFrame, commits: DataFrame, history: DataFrame, neighbours: DataFrame, as_of: datetime, *,
     days_back: int = 90, trend_order: str = "reference", trend_rows: int = 10, newest_is_current: bool = False,
     history_tie_break: Sequence[Column] = (), keep: Sequence[str] = (), rules: Sequence[style.Rule] | None = None,
-    findings: bool = False, cfg: scoring.ScoreConfig = scoring.DEFAULT,
+    findings: bool = False, cfg: scoring.ScoreConfig = scoring.DEFAULT, signals: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Score every file. ``neighbours`` is ``file_path, decay_neighbours, bug_neighbours``.
 
@@ -105,7 +116,8 @@ def analyze_files(
 
     The text is read once and dropped; the four signals meet in left joins on ``file_path``, each side with
     one small row per file. Commits and history are reduced before they are shuffled. The expressions are wide, so the
-    session fuses operators only as far as the JVM compiles them (``compiled_only``).
+    session fuses operators only as far as the JVM compiles them (``compiled_only``). ``signals`` are those of
+    ``stored_signals`` with the same options, where several scans share them.
     """
     compiled_only(files.sparkSession)
     measured = (COMPLEXITY, MAINTAINABILITY)
@@ -114,9 +126,9 @@ def analyze_files(
     text = text_signals(files, keep, rules, findings=findings)
     if newest_is_current:
         text = text.drop(*measured)
-    stats = churn.change_stats(commits, as_of, days_back)
-    trends = hist.metric_trend(
-        history, measured, order=trend_order, n=trend_rows, tie_break=history_tie_break, newest_is_current=newest_is_current
+    stats, trends = signals or stored_signals(
+        commits, history, as_of, days_back=days_back, trend_order=trend_order, trend_rows=trend_rows, newest_is_current=newest_is_current,
+        history_tie_break=history_tie_break,
     )
     empty = F.array().cast(similarity._FOUND)
     joined = text.join(stats, "file_path", "left").join(trends, "file_path", "left").join(neighbours, "file_path", "left")
@@ -232,11 +244,13 @@ def project_scan(
 ) -> DataFrame:
     """Scan a folder tree, score it and store the completed rows; an unreadable or oversized file is a row, never a failed job.
 
-    With a ``run_id`` the rows are stored once however often the scan is repeated or breaks off.
+    With a ``run_id`` the rows are stored once however often the scan is repeated or breaks off. Commits and measurements of
+    paths that the scan leaves out are dropped before they are counted or sorted.
     """
     files = tree.scan_tree(spark, root, extensions, max_bytes)
+    scanned = tree.scanned_path(root, extensions)
     return store.persist_completed(
-        analyze_files(files, commits, history, neighbours, as_of, **options), metrics_path, predictions_path, run_id
+        analyze_files(files, commits.where(scanned), history.where(scanned), neighbours, as_of, **options), metrics_path, predictions_path, run_id
     )
 
 

@@ -14,6 +14,7 @@ tree is read has the reason ``unreadable``. Names that start with ``_`` or ``.``
 from __future__ import annotations
 
 import json
+import re
 import sys
 import zlib
 from collections.abc import Iterator, Sequence
@@ -22,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith,
 )
@@ -180,11 +181,23 @@ def read_tree(
     return spark.read.format(FORMAT).options(**options).load()
 
 
+def _repo_name(root: str) -> str:
+    return root.rstrip("/").rsplit("/", 1)[-1]
+
+
+def scanned_path(
+    root: str, extensions: Sequence[str] = PROJECT_EXTENSIONS, skip_dirs: Sequence[str] = PROJECT_SKIP, file_path: str = "file_path"
+) -> Column:
+    """Whether ``scan_tree`` can give a row of that path, by its name alone. One pattern, as a path may be an expression of its own."""
+    left_out = f"(?!(?:.*/)?(?:{'|'.join(map(re.escape, skip_dirs))})/)" if skip_dirs else ""
+    return F.col(file_path).rlike(rf"(?s)\A{re.escape(_repo_name(root))}/{left_out}.*(?:{'|'.join(map(re.escape, extensions))})\z")
+
+
 def scan_tree(spark: SparkSession, root: str, *args, repo_is_first_folder: bool = False, **options) -> DataFrame:
     """``repo, file_path, content, size_bytes, reason``: paths start with the repository, line ends are those of Python's text mode."""
     rows = read_tree(spark, root, *args, **options)
     path = F.col("file_path")
-    repo = F.split(path, "/", 2).getItem(0) if repo_is_first_folder else F.lit(root.rstrip("/").rsplit("/", 1)[-1])
+    repo = F.split(path, "/", 2).getItem(0) if repo_is_first_folder else F.lit(_repo_name(root))
     path = path if repo_is_first_folder else F.concat_ws("/", repo, path)
     return rows.select(repo.alias("repo"), path.alias("file_path"), universal_newlines(F.col("content")).alias("content"), "size_bytes", "reason")
 
@@ -194,9 +207,12 @@ def write_tree(files: DataFrame, root: str) -> int:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _open(root)
+        made = ""
         for batch in batches:
-            for path, content in zip(batch["file_path"], batch["content"], strict=True):
-                system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+            for path, content in sorted(zip(batch["file_path"], batch["content"], strict=True), key=lambda f: f[0]):
+                if (folder := f"{base}/{path}".rsplit("/", 1)[0]) != made:
+                    system.create_dir(folder, recursive=True)
+                    made = folder
                 with system.open_output_stream(f"{base}/{path}") as stream:
                     stream.write(content.encode())
             yield pd.DataFrame({"n": [len(batch)]})

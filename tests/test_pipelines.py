@@ -10,7 +10,8 @@ from srcpulse.operators import churn, model, rollups, similarity as sim, style a
 from srcpulse.operators.history import latest_predictions
 from srcpulse.plans import pipelines
 from srcpulse.schemas import FILE_METRICS
-from srcpulse.sources import corpus, patterns as pat, store
+from srcpulse.session import materialize
+from srcpulse.sources import corpus, patterns as pat, store, tree as trees
 from srcpulse.streaming import live
 
 AS_OF = datetime(2024, 3, 1)
@@ -114,6 +115,31 @@ def test_project_scan_stores_completed_rows(spark, tree, tmp_path):
     assert [f.name for f in FILE_METRICS] == store.read_metrics(spark, m).columns[: len(FILE_METRICS)]
 
 
+def test_scans_share_signals_of_the_scanned_paths(spark, tree, tmp_path):
+    names = ["a.py", "b.js", "src/d.py", "dist/o.js", "node_modules/m.js", ".git/g.py", "c.txt", "pkg/__init__.py", "x/venv/y.py", "venv.py", "a.py\n"]
+    paths = spark.createDataFrame([(f"{root}/{n}",) for n in names for root in ("proj", "other", "xproj")], "file_path string")
+    kept = {r.file_path for r in paths.where(trees.scanned_path(tree)).collect()}
+    assert kept == {f"proj/{n}" for n in ("a.py", "b.js", "src/d.py", "dist/o.js", "pkg/__init__.py", "venv.py")}
+
+    commits, history, neighbours = (d.withColumn("file_path", F.concat(F.lit("proj/"), "file_path")) for d in _inputs(spark))
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def author(x):
+        counted.add(1)
+        return x
+
+    commits = commits.unionByName(commits.withColumn("file_path", F.lit("proj/node_modules/m.js"))).withColumn("author", author("author"))
+    signals = tuple(materialize(s, "signals") for s in pipelines.stored_signals(commits.where(trees.scanned_path(tree)), history, AS_OF))
+    assert counted.value == 26  # the other half lies in a folder that is left out
+    m, p = str(tmp_path / "m"), str(tmp_path / "p")
+    alone = pipelines.project_scan(spark, tree, commits, history, neighbours, AS_OF, m, p, run_id="alone").collect()
+    counted.value = 0
+    shared = [pipelines.project_scan(spark, tree, commits, history, neighbours, AS_OF, m, p, run_id=r, signals=signals).collect() for r in ("one", "two")]
+    assert counted.value == 0 and all(sorted(s, key=lambda r: r.file_path) == sorted(alone, key=lambda r: r.file_path) for s in shared)
+    assert {r.file_path: r.change_frequency for r in alone}["proj/a.py"] == 25 and store.read_metrics(spark, m).count() == 3 * len([r for r in alone if r.status == "completed"])
+
+
 def test_files_of_one_name_in_two_repositories_stay_apart(spark, tmp_path):
     rows = [("r1", "setup.py", "c", "x", AS_OF), ("r2", "setup.py", "d", "y", AS_OF)]
     spark.createDataFrame(rows, "repo string, file_path string, commit_id string, author string, ts timestamp").write.parquet(str(tmp_path / "log"))
