@@ -46,7 +46,9 @@ CELL_ROWS = 8192
 QUERY_ROWS = 8192
 #: Queries and rows whose distances are held at once.
 TILE_QUERIES, TILE_ROWS = 256, 4096
-_CHUNK_ENTRIES = 1_000_000
+#: Queries of a batch that are searched, and their answers made, at once.
+SEARCHED_ROWS = 2048
+_CHUNK_ENTRIES = 250_000
 _FOUND = f"array<{NEIGHBOUR}>"
 
 
@@ -78,6 +80,19 @@ def _distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(d, 0.0, out=d)
 
 
+class _Rows:
+    """Rows of a catalogue as it is stored; those of a tile become doubles, of unit length where the metric is the angle."""
+
+    def __init__(self, stored: np.ndarray, metric: str) -> None:
+        self._stored, self._metric = stored, metric
+
+    def __len__(self) -> int:
+        return len(self._stored)
+
+    def __getitem__(self, part) -> np.ndarray:
+        return _unit(self._stored[part].astype(np.float64), self._metric)
+
+
 def _tiles(n_queries: int, n: int) -> Iterator[tuple[np.ndarray, slice]]:
     """All queries against all rows, in tiles of bounded size."""
     for start in range(0, n_queries, TILE_QUERIES):
@@ -163,12 +178,19 @@ def nearest_patterns(
     return _by_codes(queries, known, k, metric, max_distance)
 
 
+def _sent(rows: pd.DataFrame, kind: str) -> tuple[np.ndarray, pa.Array, list[pa.Array]]:
+    """Vectors of the catalogue's own type and the columns of its patterns, as arrays that a worker takes up without an object per value."""
+    vectors = np.zeros((len(rows), len(rows["embedding"].iloc[0]) if len(rows) else 0), np.float32 if kind == "array<float>" else np.float64)
+    for i, v in enumerate(rows["embedding"]):
+        vectors[i] = v
+    named = [pa.array(rows[c].to_numpy(object), pa.string()).dictionary_encode() for c in ("bug_type", "severity")]
+    return vectors, pa.array(rows["pattern_id"].to_numpy(object), pa.string()), named
+
+
 def _by_broadcast(queries, known, k, metric, max_distance) -> DataFrame:
     rows = known.toPandas().sort_values("pattern_id", kind="stable")
-    shelves = {}
-    for name in k:
-        part = rows[rows["collection"] == name]
-        shelves[name] = (_matrix(part["embedding"], metric), part[["pattern_id", "bug_type", "severity"]].to_numpy(object))
+    stored = known.schema["embedding"].dataType.simpleString()
+    shelves = {name: _sent(rows[rows["collection"] == name], stored) for name in k}
     sent = queries.sparkSession.sparkContext.broadcast(shelves)
     kind = pa.list_(
         pa.struct([("pattern_id", pa.string()), ("distance", pa.float64()), ("bug_type", pa.string()), ("severity", pa.string())])
@@ -176,25 +198,28 @@ def _by_broadcast(queries, known, k, metric, max_distance) -> DataFrame:
 
     def lists(q: np.ndarray, asked: np.ndarray, name: str) -> pa.Array:
         """Neighbour lists of all queries; ``asked`` tells which of them have a vector."""
-        matrix, info = sent.value.get(name, (np.empty((0, 0)), None))
+        matrix, ids, named = sent.value.get(name, (np.empty((0, 0)), None, None))
         counts = np.zeros(len(asked), dtype=np.int64)
         if not len(q) or not len(matrix):
             return pa.array([[]] * len(asked), type=kind)
-        near, dist, found = _top_k(q, matrix, k[name], metric, max_distance)
+        near, dist, found = _top_k(q, _Rows(matrix, metric), k[name], metric, max_distance)
         counts[asked] = found
         near, dist = _flat(near, dist, found)
-        fields = [pa.array(info[near, 0], pa.string()), pa.array(dist), *[pa.array(info[near, i], pa.string()) for i in (1, 2)]]
+        at = pa.array(near)
+        fields = [ids.take(at), pa.array(dist), *[c.take(at).cast(pa.string()) for c in named]]
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(kind.value_type))).cast(kind)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column("embedding")
-            asked = vectors.is_valid().to_numpy(zero_copy_only=False)
-            flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            q = _unit(flat.reshape(int(asked.sum()), -1) if asked.any() else np.empty((0, 0)), metric)
-            columns = [batch.column("query_id"), *[lists(q, asked, name) for name in (DECAY, BUG)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "decay_neighbours", "bug_neighbours"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SEARCHED_ROWS):
+                batch = whole.slice(start, SEARCHED_ROWS)
+                vectors = batch.column("embedding")
+                asked = vectors.is_valid().to_numpy(zero_copy_only=False)
+                flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                q = _unit(flat.reshape(int(asked.sum()), -1) if asked.any() else np.empty((0, 0)), metric)
+                columns = [batch.column("query_id"), *[lists(q, asked, name) for name in (DECAY, BUG)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "decay_neighbours", "bug_neighbours"])
 
     id_type = queries.schema["query_id"].dataType.simpleString()
     return queries.select("query_id", "embedding").mapInArrow(

@@ -125,9 +125,9 @@ def append_predictions(df: DataFrame, path: str, run_id: str | None = None) -> b
 
 
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    finished = spark.createDataFrame([(r,) for r in finished_runs(spark, path)], "run string")
+    finished = finished_runs(spark, path)
     stored = spark.read.schema(StructType([*schema.fields, StructField("run", StringType()), StructField(_DAY, DateType())])).parquet(path)
-    return stored.join(F.broadcast(finished), "run", "left_semi").drop("run")
+    return stored.where(F.col("run").isin(finished) if finished else F.lit(False)).drop("run")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -52,5 +52,7 @@ def test_appends_with_and_without_a_name(spark, analysed, tmp_path):
     for name in ("a/b", "..", "_x", "a b"):
         with pytest.raises(ValueError):
             store.append_predictions(analysed, path, name)
+    read = store.read_predictions(spark, path)._jdf.queryExecution().toString()
+    assert "Join" not in read and "ExistingRDD" not in read and "PartitionFilters: [run" in read.replace("isnotnull(", "")  # runs are folders, named without a Python worker
     folders.write_text(spark, f"{path}/_runs/later.draft", "")  # a name that is being written is none yet
     assert len(store.finished_runs(spark, path)) == 3

@@ -1,8 +1,10 @@
 """All ways of the search against a plain loop."""
 
+import pickle
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from srcpulse.operators import similarity as sim
@@ -131,3 +133,21 @@ def test_a_query_goes_to_groups_of_cells_not_to_each_cell(spark, monkeypatch):
     patterns, queries = _data(400, 50)
     found = sim.nearest_patterns(*_frames(spark, patterns, queries), max_broadcast_bytes=0, large="cells")
     assert written["visits"] == 50 and _rows(found) == _loop(patterns, queries, "l2")
+
+
+def test_catalogue_is_sent_as_it_is_stored(spark):
+    """Workers hold the vectors in their own type, and names without an object per pattern; what is sent gives the loop's answers."""
+    rnd = np.random.default_rng(8)
+    vectors = rnd.standard_normal((3000, 64)).astype(np.float32)
+    rows = pd.DataFrame({
+        "embedding": list(vectors), "pattern_id": [f"{i:012}" for i in range(3000)], "bug_type": [("injection", None)[i % 2] for i in range(3000)], "severity": None,
+    })
+    sent = sim._sent(rows, "array<float>")
+    assert sent[0].dtype == np.float32 and sim._sent(rows, "array<double>")[0].dtype == np.float64
+    assert len(pickle.dumps(sent, 5)) < 3000 * 300
+    assert sim._sent(rows[:0], "array<float>")[0].shape == (0, 0) and sent[2][0].to_pylist() == rows["bug_type"].tolist()
+    for metric in sim.METRICS:
+        q = sim._unit(vectors[:300].astype(np.float64), metric)
+        near, dist, _ = sim._top_k(q, sim._Rows(sent[0], metric), 5, metric, None)
+        want = np.round(sim._distances(q, sim._unit(vectors.astype(np.float64), metric), metric), sim.DECIMALS)
+        assert np.array_equal(near, np.argsort(want, axis=1, kind="stable")[:, :5]) and np.allclose(dist, np.sort(want, axis=1)[:, :5], atol=1e-9)
