@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from srcpulse.llm import repeats
+from srcpulse.llm.queries import QUERIES
 
 
 def brute(rows, least, keep="none"):
@@ -81,3 +83,22 @@ def test_suffix_ranks(raw, least):
     ranks = repeats.suffix_ranks(np.frombuffer(raw, np.uint8), places, least)
     parts = [raw[i : i + least] for i in places]
     assert np.unique(ranks, return_inverse=True)[1].tolist() == [sorted(set(parts)).index(p) for p in parts]
+
+
+def test_the_query_tells_the_text_that_stays(spark, tmp_path):
+    """A passage of over 50 words that two documents share goes from both, the same passage cut below 400 bytes stays."""
+    rnd = random.Random(6)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghé") for _ in range(7)) for _ in range(n))
+    passage, short = words(70), words(40)
+    assert len(short.encode()) < 400 < len(passage.encode())
+    rows = [(1, f"{words(9)} {passage} {words(9)}"), (2, f"{words(30)} {passage}"), (3, words(90)), (4, f"{words(5)} {short}"), (5, short), (6, None), (7, "é" * 300), (8, "aé" + "é" * 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert sorted((str(r.doc_id), *tuple(r)[1:5]) for r in found.values()) == brute(rows, 400)
+    assert all(found[d].text == (t or "") for d, t in rows if not found[d].n_removed) and {d for d in found if found[d].n_removed} == {1, 2, 7, 8}
+    for d in (1, 2):
+        assert passage not in found[d].text and hashlib.sha256(found[d].text.encode()).hexdigest() == found[d].kept_sha256
+    cut = spark.createDataFrame([(1, "é" + words(60)), (2, None)], "doc_id long, text string")
+    cut = cut.withColumn("text", F.when(F.col("doc_id") == 2, F.lit("ĩ" + cut.first().text[1:])).otherwise(F.col("text")))  # one byte of the first character is shared
+    both = repeats.without_repeats(cut, with_bytes=True, with_text=True)
+    assert both.columns[5:] == ["kept", "text"] and {r.doc_id: (bytes(r.kept), r.text) for r in both.collect()} == {1: (b"\xc3", "\ufffd"), 2: (b"\xc4", "\ufffd")}
