@@ -4,11 +4,13 @@ A fingerprint bit is 1 where more than half of a text's shingle hashes have it.
 shards so that any two within `max_bits` meet: with `blocks` blocks of bits, two of them differ in at most `max_bits`
 blocks, so they agree in `blocks - max_bits` whole ones, and each choice of that many blocks is a shard key. (Longer
 fingerprints with wide bounds use sampled bit positions instead, see `sampled_masks`; those find nearly all pairs.)
-A shard over `shard_rows` is split on by vantage points: near and far halves overlap by `max_bits / 2` on both sides
-of the radius, so every linked pair still shares a half. Where the bound is too wide for that, or much is equal, what stays
-large is cut into blocks and searched in pairs of blocks, so a task never holds more than two. Within a shard a vantage-point tree answers all range queries,
-and branches are pruned by the triangle inequality. Vantage points alone would not do as shards: distances of unrelated
-64-bit fingerprints lie within 32 +- 4, and a band of +- 4 keeps more than half of them.
+A shard over `shard_rows` is split on by vantage points of its own: the far half lies beyond a radius and the near half
+reaches `max_bits` over it, so every linked pair still shares a half. Where no radius makes a shard smaller (unrelated fingerprints
+under a wide bound, or much that is equal), what stays large is cut into blocks and searched in pairs of blocks, so a task
+never holds more than two. Within every shard of two or more a vantage-point tree finds the links, whatever its size: branches
+are pruned by the triangle inequality, and what lies within the bound of a vantage point is one component, whose members
+need not meet. Vantage points alone would not do as shards: distances of unrelated 64-bit fingerprints lie within 32 +- 4,
+and a band of +- 4 keeps more than half of them.
 
 A shard gives a forest of its links, at most one link per member; links of all shards are joined to components by
 alternating star steps over written tables. Many masks come in two waves, and the second tells links between groups of the
@@ -31,15 +33,20 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcpulse.llm.common import texts, written
 
 #: One byte lane for each of eight bits.
 LANES = np.uint64(0x0101010101010101)
+#: Levels of halves that hot shards are split into at most; a part's number stays below 2 to one more.
+HALVINGS = 8
 #: Rows a task gathers before it looks for runs of a shard key.
 GATHERED = 200_000
+#: Points and queries of tree nodes that a task works on together, and distances that it measures at once.
+ENTRIES, DISTANCES = 100_000, 8_192
+#: Runs above this had a tree before, the others none. Trees have no such leaf now; tests name runs by it.
 LEAF = 48
 #: Links that a forest keeps waiting.
 FLUSHED = 1_000_000
@@ -161,32 +168,49 @@ def _keyed(prints: DataFrame, masks: list[list[int]]) -> DataFrame:
     return dealt.mapInArrow(key, "shard int, key long, node long, fp binary")
 
 
-def _halved(keyed: DataFrame, bits: int, max_bits: int, shard_rows: int) -> DataFrame:
-    """Shards over `shard_rows`, split by vantage points into halves that overlap; `part` names the halves."""
-    hot = keyed.groupBy("shard", "key").count().where(F.col("count") > shard_rows)
-    hot = written(hot.select("shard", "key", F.ceil(F.log2(F.col("count") / shard_rows)).cast("int").alias("levels")), "simhash-hot")
-    keyed = keyed.withColumn("part", F.lit(0).cast("long"))
-    # Distances of unrelated fingerprints lie within a few times sqrt(bits) / 2: a wider band leaves nearly all rows in both halves.
-    if max_bits >= bits**0.5 or hot.isEmpty():
-        return keyed
+def _halved(keyed: DataFrame, max_bits: int, shard_rows: int) -> DataFrame:
+    """Shards over `shard_rows`, split by vantage points into halves that overlap; `part` names the halves.
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A shard's vantage point is one of its own fingerprints, and its radius the one that leaves the larger half least. The
+    outer half lies beyond the radius and the inner one within `max_bits` more, so a linked pair shares a half. Shards that no radius
+    makes smaller by a tenth try another vantage point, as long as any shard of the level gets smaller."""
+    names = ["shard", "key", "part"]
+    keyed = keyed.withColumn("part", F.lit(1).cast("long"))
+    done = None
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, levels = _from_bytes(batch.column("fp")), np.array(batch.column("levels").to_pylist(), np.int64)
-            at, part = np.arange(len(levels)), np.ones(len(levels), np.int64)
-            for level in range(int(levels.max(initial=0))):
-                vantage = np.random.default_rng(level).integers(0, 2**64, prints.shape[1], np.uint64)
-                far = _distance(prints[at], vantage)
-                going = levels[at] > level
-                near_half = ~going | (far <= (bits + max_bits) // 2)
-                far_half = going & (far >= (bits - max_bits) // 2)
-                part = np.concatenate([np.where(going, 2 * part, part)[near_half], (2 * part + 1)[far_half]])
-                at = np.concatenate([at[near_half], at[far_half]])
-            some = batch.select(["shard", "key", "node", "fp"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(part)], ["shard", "key", "node", "fp", "part"])
-
-    cold = keyed.join(hot.select("shard", "key"), ["shard", "key"], "left_anti")
-    return cold.unionByName(keyed.drop("part").join(hot, ["shard", "key"]).mapInArrow(split, "shard int, key long, node long, fp binary, part long"))
+            far = _distance(_from_bytes(batch.column("fp")), _from_bytes(batch.column("vantage"))) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.select([*names, "node", "fp"]).columns, pa.array(far, pa.int64())], [*names, "node", "fp", "far"])
+
+    for level in range(HALVINGS):
+        hot = written(keyed.groupBy(*names).agg(F.count("*").alias("rows")).where(F.col("rows") > shard_rows), "simhash-hot")
+        if hot.isEmpty():
+            break
+        # There is at most one hot shard per `shard_rows` rows, so what is told of them is small.
+        vantage = F.min_by("fp", F.xxhash64("fp", F.lit(level))).alias("vantage")
+        vantages = written(keyed.join(F.broadcast(hot.select(*names)), names).groupBy(*names).agg(vantage), "simhash-vantages")
+        measured = keyed.join(F.broadcast(vantages), names).select(*names, "node", "fp", "vantage")
+        measured = written(measured.mapInArrow(measure, "shard int, key long, part long, node long, fp binary, far long"), "simhash-far")
+        by_far = Window.partitionBy(*names).orderBy("far")
+        inner = F.sum("n").over(by_far.rangeBetween(Window.unboundedPreceding, max_bits))
+        outer = F.sum("n").over(by_far.rangeBetween(1, Window.unboundedFollowing))
+        halves = measured.groupBy(*names, "far").agg(F.count("*").alias("n")).select(*names, "far", F.greatest(inner, F.coalesce(outer, F.lit(0))).alias("larger"))
+        radius = halves.groupBy(*names).agg(F.min(F.struct("larger", "far")).alias("best")).join(hot, names).where("best.larger <= 0.9 * rows")
+        radius = written(radius.select(*names, F.col("best.far").alias("radius")), "simhash-radius")
+        if radius.isEmpty():
+            break
+        cold = keyed.join(F.broadcast(hot.select(*names)), names, "left_anti")
+        done = cold if done is None else done.unionByName(cold)
+        split = measured.join(F.broadcast(radius), names, "left")
+        half = F.when(F.col("radius").isNull(), F.array("part")).otherwise(
+            F.filter(
+                F.array(F.when(F.col("far") <= F.col("radius") + max_bits, 2 * F.col("part")), F.when(F.col("far") > F.col("radius"), 2 * F.col("part") + 1)),
+                lambda x: x.isNotNull(),
+            )
+        )
+        keyed = split.select("shard", "key", F.explode(half).alias("part"), "node", "fp").select("shard", "key", "node", "fp", "part")
+    return keyed if done is None else done.unionByName(keyed)
 
 
 def _dealt(keyed: DataFrame, shard_rows: int) -> DataFrame:
@@ -205,7 +229,13 @@ def _dealt(keyed: DataFrame, shard_rows: int) -> DataFrame:
 
 
 def _distance(prints: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(prints ^ other).sum(axis=-1, dtype=np.int64)
+    counts = np.bitwise_count(prints ^ other)
+    if counts.shape[-1] != 8:
+        return counts.sum(axis=-1, dtype=np.int64)
+    # Eight counts of up to 64 are the bytes of one word: added as pairs, then all four.
+    wide = np.ascontiguousarray(counts).view(np.uint64)[..., 0]
+    wide = (wide & np.uint64(0x00FF00FF00FF00FF)) + (wide >> np.uint64(8) & np.uint64(0x00FF00FF00FF00FF))
+    return (wide * np.uint64(0x0001000100010001) >> np.uint64(48)).astype(np.int64)
 
 
 class Forest:
@@ -239,35 +269,104 @@ class Forest:
                 self._root = up
 
 
-def vantage_links(prints: np.ndarray, members: np.ndarray, max_bits: int, forest: Forest, rnd: np.random.Generator) -> None:
-    """Unite all members within `max_bits` of each other: members are the tree's points and its queries at once."""
-
-    def visit(points: np.ndarray, queries: np.ndarray) -> None:
-        if not len(points) or not len(queries):
-            return
-        if len(points) <= LEAF:
-            for p in points:
-                close = queries[_distance(prints[queries], prints[p]) <= max_bits]
-                forest.link(close, np.full(len(close), p))
-            return
-        vantage = points[rnd.integers(len(points))]
-        of_points, of_queries = _distance(prints[points], prints[vantage]), _distance(prints[queries], prints[vantage])
-        close = queries[of_queries <= max_bits]
-        forest.link(close, np.full(len(close), vantage))
-        radius = int(np.median(of_points))
-        inner = of_points <= radius
-        if inner.all():  # the outer half must not be empty
-            radius -= 1
-            inner = of_points <= radius
-        if not inner.any():  # all equally far: pairs are compared
-            for p in points:
-                close = queries[_distance(prints[queries], prints[p]) <= max_bits]
-                forest.link(close, np.full(len(close), p))
-            return
-        visit(points[inner], queries[of_queries <= radius + max_bits])
-        visit(points[~inner], queries[of_queries > radius - max_bits])
-
-    visit(members, members)
+def _pieces(n: int) -> list[slice]:
+    return [slice(a, a + DISTANCES) for a in range(0, n, DISTANCES)]
+
+
+def _far(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), np.int64)
+    for some in _pieces(len(a)):
+        out[some] = _distance(prints.take(a[some], axis=0), prints.take(b[some], axis=0))
+    return out
+
+
+def _cuts(node: np.ndarray, far: np.ndarray, n_nodes: int) -> np.ndarray:
+    """Which of the points, sorted by (node, far), are outer: a node is cut at the widest gap in the middle half of its ranks."""
+    sizes = np.bincount(node, minlength=n_nodes)
+    first = np.cumsum(sizes) - sizes
+    rank = np.arange(len(node)) - first[node]
+    gap = np.zeros(len(node), np.int64)
+    gap[1:] = far[1:] - far[:-1]
+    middle = (4 * rank >= sizes[node]) & (4 * rank <= 3 * sizes[node]) & (rank > 0)
+    best = np.full(n_nodes, -1, np.int64)
+    off_middle = np.abs(2 * rank - sizes[node])
+    value = np.where(middle, (gap << 23) + (1 << 22) - np.minimum(off_middle, (1 << 22) - 1), -1)
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        best[filled] = np.maximum.reduceat(value, first[filled])
+    cut = np.where(value == best[node], rank, len(node))
+    at = np.full(n_nodes, len(node), np.int64)
+    np.minimum.at(at, node, np.where(value >= 0, cut, len(node)))
+    return rank >= at[node]
+
+
+def vantage_links(prints: np.ndarray, sizes: np.ndarray, max_bits: int, forest: Forest, rnd: np.random.Generator) -> int:
+    """Unite all members within `max_bits` of each other in each of the runs that `prints` holds one after the other: a
+    vantage-point tree per run, all trees level by level. Returns how many distances were measured.
+
+    A node's vantage point meets all its points and queries. Points within the bound are linked by that alone: they become
+    a child that is one component, whose points need not meet. The others are cut in two shells. Members of a later child
+    are queries to the earlier ones, so a pair meets once at most, and a query goes to a child only where the triangle
+    inequality lets a point of it be within the bound."""
+    node = np.repeat(np.arange(len(sizes)), sizes)
+    points = np.arange(len(prints))
+    waiting = [(node, points, np.zeros(len(sizes), bool), node[:0], points[:0])]
+    measured = 0
+    while waiting:
+        # Nodes, their points, whether a node is one component, and queries from outside of it.
+        node, points, one, of, queries = waiting.pop()
+        n = len(one)
+        wanted = (np.bincount(node, minlength=n) > 1) & ~one | (np.bincount(of, minlength=n) > 0) & (np.bincount(node, minlength=n) > 0)
+        if not wanted.all():
+            number = np.cumsum(wanted) - 1
+            keep, asked = wanted[node], wanted[of]
+            node, points, of, queries, one = number[node[keep]], points[keep], number[of[asked]], queries[asked], one[wanted]
+            n = len(one)
+        if not n:
+            continue
+        entries = np.bincount(node, minlength=n) + np.bincount(of, minlength=n)
+        if n > 1 and entries.sum() > ENTRIES:
+            part = np.cumsum(entries) // ENTRIES
+            for p in np.unique(part):
+                own = part == p
+                number = np.cumsum(own) - 1
+                keep, asked = own[node], own[of]
+                waiting.append((number[node[keep]], points[keep], one[own], number[of[asked]], queries[asked]))
+            if len(np.unique(part)) > 1:
+                continue
+            node, points, one, of, queries = waiting.pop()
+        order = np.argsort(node, kind="stable")
+        node, points = node[order], points[order]
+        sizes = np.bincount(node, minlength=n)
+        picked = np.cumsum(sizes) - sizes + rnd.integers(0, sizes)
+        vantage = points[picked]
+        node, points = np.delete(node, picked), np.delete(points, picked)
+        far, asked = _far(prints, points, vantage[node]), _far(prints, queries, vantage[of])
+        measured += len(far) + len(asked)
+        close = (far <= max_bits) & ~one[node]
+        forest.link(points[close], vantage[node[close]])
+        found = asked <= max_bits
+        forest.link(queries[found], vantage[of[found]])
+        # Children of a node: 3 * node is the component around the vantage point, then the two shells.
+        child = 3 * node
+        rest = np.flatnonzero(~close)
+        rest = rest[np.lexsort((far[rest], node[rest]))]
+        child[rest] += 1 + _cuts(node[rest], far[rest], n)
+        least, most = np.full(3 * n, np.iinfo(np.int64).max // 2), np.full(3 * n, -1)
+        np.minimum.at(least, child, far)
+        np.maximum.at(most, child, far)
+        going = ~found | ~one[of]  # a query that meets a component is done with it
+        of, queries, asked, found = of[going], queries[going], asked[going], found[going]
+        inside = ~one[node]
+        to = [3 * of[~found], 3 * of + 1, 3 * of + 2, 3 * node[inside & (child % 3 > 0)], (3 * node + 1)[inside & (child % 3 == 2)]]
+        who = [queries[~found], queries, queries, points[inside & (child % 3 > 0)], points[inside & (child % 3 == 2)]]
+        at = [asked[~found], asked, asked, far[inside & (child % 3 > 0)], far[inside & (child % 3 == 2)]]
+        to, who, at = np.concatenate(to), np.concatenate(who), np.concatenate(at)
+        near = (at >= least[to] - max_bits) & (at <= most[to] + max_bits)
+        joined = np.repeat(one, 3)
+        joined[::3] = True
+        waiting.append((child, points, joined, to[near], who[near]))
+    return measured
 
 
 def _links(keyed: DataFrame, max_bits: int) -> DataFrame:
@@ -288,18 +387,8 @@ def _links(keyed: DataFrame, max_bits: int) -> DataFrame:
                 return None, rest
             prints, forest = _from_bytes(table.column("fp").slice(0, n).combine_chunks()), Forest(n)
             node = table.column("node").slice(0, n).to_numpy()
-            sizes, rnd = np.diff(cuts), np.random.default_rng(0)
-            run = np.repeat(np.arange(len(sizes)), sizes)
-            small = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= LEAF))
-            for step in range(1, min(LEAF, int(sizes.max(initial=1)))):
-                a = small[small + step < n]
-                a = a[run[a] == run[a + step]]
-                if not len(a):
-                    break
-                a = a[_distance(prints[a], prints[a + step]) <= max_bits]
-                forest.link(a, a + step)
-            for r in np.flatnonzero(sizes > LEAF):
-                vantage_links(prints, np.arange(cuts[r], cuts[r + 1]), max_bits, forest, rnd)
+            sizes, rnd = np.diff(cuts)[: np.searchsorted(cuts, n)], np.random.default_rng(0)
+            vantage_links(prints, sizes, max_bits, forest, rnd)
             # What a row is linked to is told as its node and the node of its root; equal nodes are no news.
             u, v = node, node[forest.roots()]
             pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1)[u != v], axis=0)
@@ -351,7 +440,7 @@ def _print_roots(prints: DataFrame, bits: int, max_bits: int, masks: list[list[i
     nodes = written(prints.select("fp", F.monotonically_increasing_id().alias("node")), "simhash-nodes")
     cuts = [0, first_masks, len(masks)] if first_masks and first_masks < len(masks) else [0, len(masks)]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        keyed = _dealt(_halved(_keyed(nodes, masks[a:b]), bits, max_bits, shard_rows), shard_rows)
+        keyed = _dealt(_halved(_keyed(nodes, masks[a:b]), max_bits, shard_rows), shard_rows)
         roots = components(_links(keyed, max_bits))
         roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
         joined = nodes.join(roots, nodes["node"] == roots["u"], "left")

@@ -104,3 +104,42 @@ def test_blocks_and_longer_fingerprints():
     wide = simhash.majorities(hashes, 256)
     assert wide.shape == (3, 4) and wide[0, 0] == 1 and not wide[1].any()
     assert (wide[:, :1] == simhash.majorities(hashes, 64)).all()
+
+
+def test_every_shard_has_a_tree(monkeypatch):
+    """Runs of two to 40 members, all below the old leaf: links as by all pairs, and fewer distances where much is alike."""
+    rnd = np.random.default_rng(5)
+    sizes = rnd.integers(1, 41, 60)
+    n = int(sizes.sum())
+    base = rnd.integers(0, 2**63, (12, 8)).astype(np.uint64)
+    flips = np.packbits(rnd.random((n, 512)) < 0.07, axis=1).view(">u8").astype(np.uint64)
+    prints = base[rnd.integers(0, 12, n)] ^ flips
+    for entries in (simhash.ENTRIES, 30):
+        monkeypatch.setattr(simhash, "ENTRIES", entries)
+        forest, plain_ = simhash.Forest(n), simhash.Forest(n)
+        measured = simhash.vantage_links(prints, sizes, 110, forest, np.random.default_rng(0))
+        for a, m in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
+            for i in range(a, a + m):
+                close = a + np.flatnonzero(np.bitwise_count(prints[a : a + m] ^ prints[i]).sum(axis=1) <= 110)
+                plain_.link(close, np.full(len(close), i))
+        assert (forest.roots() == plain_.roots()).all() and len(set(forest.roots())) < n
+        assert measured < 0.8 * (sizes * (sizes - 1) // 2).sum()
+
+
+def test_hot_shards_of_wide_bounds_are_halved(spark):
+    """Two kinds of fingerprints under one key: a vantage point of the shard's own tells them apart, at 128 of 512 bits as well."""
+    rnd = np.random.default_rng(6)
+    base = rnd.integers(0, 2**63, (2, 8)).astype(np.uint64)
+    base[1] = ~base[0]
+    flips = np.packbits(rnd.random((300, 512)) < 0.05, axis=1).view(">u8").astype(np.uint64)
+    values = np.concatenate([base[i % 2] ^ flips[i : i + 1] for i in range(300)])
+    rows = [(0, 7, i, fp) for i, fp in enumerate(simhash._as_bytes(values))]
+    keyed = spark.createDataFrame(rows, "shard int, key long, node long, fp binary").repartition(3)
+    halves = simhash._halved(keyed, 128, 200).collect()
+    parts = {p: {r.node % 2 for r in halves if r.part == p} for p in {r.part for r in halves}}
+    assert len(halves) == 300 and len(parts) == 2 and all(len(kinds) == 1 for kinds in parts.values())
+    links = simhash._links(simhash._dealt(simhash._halved(keyed, 128, 200), 200), 128)
+    forest = simhash.Forest(300)
+    u, v = zip(*((r.u, r.v) for r in links.collect()), strict=True)
+    forest.link(np.array(u), np.array(v))
+    assert forest.roots().tolist() == [i % 2 for i in range(300)]
