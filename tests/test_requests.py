@@ -1,8 +1,10 @@
 """URL reports, rejects of text exports, high-risk rows, lists without a limit, forests on unseen folds."""
 
+import shutil
 from datetime import datetime
 
 import pytest
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from srcpulse.operators import history as hist, model, rollups
@@ -95,3 +97,29 @@ def test_folds_and_saved_forests(spark, tmp_path):
         (damaged.parent / f".{damaged.name}.crc").unlink(missing_ok=True)
     with pytest.raises(Exception):  # noqa: B017 - whatever Spark makes of it, but no new forest
         model.load_or_train(path, features)
+
+
+def test_large_forests_are_saved_in_parts(spark, tmp_path, monkeypatch):
+    """No part holds more nodes than are to be in the driver at once; trees, order and settings stay, and no tree is lost unnoticed."""
+    data = model.assemble(model.synthetic_training(spark, 200)).withColumnRenamed("features", "own")
+    forest = RandomForestRegressor(featuresCol="own", labelCol="target", predictionCol="score", numTrees=7, maxDepth=5, seed=1).fit(data)
+    most = 2 * max(t.numNodes for t in forest.trees)
+    monkeypatch.setattr(model, "SAVED_NODES", most, raising=False)
+    path = str(tmp_path / "forest")
+    model.save_model(forest, path)
+    parts = [RandomForestRegressionModel.load(str(p)) for p in sorted((tmp_path / "forest" / "data").iterdir())]
+    assert 1 < len(parts) <= 4 and sum(p.getNumTrees for p in parts) == 7 and all(p.totalNumNodes <= most for p in parts)
+    loaded = model.load_model(path)
+    assert loaded.toDebugString.split("\n", 1)[1] == forest.toDebugString.split("\n", 1)[1] and loaded.uid == forest.uid
+    assert loaded.numFeatures == forest.numFeatures and loaded.getPredictionCol() == "score" and loaded.getMaxDepth() == 5
+    scores = lambda m: [r.score for r in m.transform(data).collect()]
+    assert scores(loaded) == scores(forest)
+    small = model.train_decay_model(data.drop("own"), trees=2, depth=2)
+    model.save_model(small, path)
+    assert model.load_model(path).getNumTrees == 2
+    model.save_model(forest, path)
+    shutil.rmtree(sorted((tmp_path / "forest" / "data").iterdir())[-1])
+    with pytest.raises(ValueError):
+        model.load_or_train(path, data)
+    forest.write().overwrite().save(path)  # as forests were saved before
+    assert scores(model.load_model(path)) == scores(forest)
