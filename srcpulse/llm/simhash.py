@@ -16,9 +16,10 @@ A shard gives a forest of its links, at most one link per member; links of all s
 alternating star steps over written tables. Many masks come in two waves, and the second tells links between groups of the
 first only. Nothing is collected.
 
-`one_of_each` can ask for an exact similarity of shingle sets: then links of fingerprints only name candidates. The
-sets of texts that have a candidate are compared within the candidates' groups, and groups over a task's measure in
-pairs of blocks, so rows grow with the number of blocks and never with pairs of texts.
+`one_of_each` can ask for an exact similarity of shingle sets. Then shards are sets with a window of two neighbouring shingle
+hashes in common, which no similar pair lacks, and links of fingerprints in them name candidates. The sets of texts that have a
+candidate are compared within the candidates' groups, and groups over a task's measure in pairs of blocks. Other sets that share as many
+windows as similar ones must are compared too, however far their fingerprints are, so no link is lost.
 
 Null and empty texts have fingerprint zero. Rows with a null doc_id belong to components, but name one only as null if
 there is no other row in it. Repeated rows are all returned. An empty table gives an empty result.
@@ -51,6 +52,10 @@ LEAF = 48
 #: Links that a forest keeps waiting.
 FLUSHED = 1_000_000
 BROADCAST_ROWS = 500_000
+#: Similarity from which sets are found by windows of two values, below by single ones.
+WINDOWS_FROM = 0.7
+#: A window of more sets than this is met only by sets that have too few others.
+HOT = 64
 #: Shingle sets compared in one task: so many sets and shingles are a block.
 BLOCK_SETS, BLOCK_SHINGLES = 4_096, 1_000_000
 
@@ -111,9 +116,28 @@ def _from_bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), ">u8").reshape(len(values), -1).astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bits: int, seed: int = 42, distinct: bool = False) -> DataFrame:
-    """doc_id, text_hash, fp (binary) of every row. With `distinct` a text's repeated shingles count once, and set_id and n
-    name its set of shingles and give the set's size."""
+def common_windows(hashes: list[int], least: float) -> tuple[np.ndarray, int]:
+    """Hashes of a set, and how many of them any other set with a Jaccard similarity of `least` or more has too (or as many as the
+    other has to spare, if that is less).
+
+    A window is two neighbours of the set in ascending order. A value that only one of two sets has breaks two windows of its own
+    set at most, or one of the other, so a set of n loses 2 (1 - least) n windows at most to a set that similar. In an order that all
+    sets share (by hash), the k-th window that both have is therefore among the first 2 (1 - least) n + k of each. Below
+    `WINDOWS_FROM` too few windows would be left, and single values do the same with (1 - least) n + k."""
+    values = np.unique(np.array(hashes, np.uint64))
+    broken, windows = (1 - least) * len(values), _mixed(values, 1)
+    if least >= WINDOWS_FROM:
+        broken, windows = 2 * broken, _mixed(_mixed(values[:-1], 1) + values[1:], 2)
+    most = int(broken + 1e-9) + 2 + len(values) // 10
+    windows = np.partition(windows, most - 1)[:most] if len(windows) > most else windows
+    return windows, len(windows) - int(broken + 1e-9)
+
+
+def fingerprints(
+    docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bits: int, seed: int = 42, distinct: bool = False, least: float = 1.0
+) -> DataFrame:
+    """doc_id, text_hash, fp (binary) of every row. With `distinct` a text's repeated shingles count once, and set_id, node, n,
+    windows and spare name its set of shingles, give the set's size and what it has in common with sets of a similarity of `least`."""
 
     def hashes(text: str) -> list[int]:
         found = shingle_hashes(text, shingle, seed)
@@ -125,11 +149,14 @@ def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, b
             columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(_as_bytes(majorities(found, bits)), pa.binary())]
             if distinct:
                 set_ids = [xxhash.xxh3_128_digest(np.array(x, np.uint64).tobytes()) for x in found]
-                columns += [pa.array(set_ids, pa.binary()), pa.array(list(map(len, found)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "set_id", "n"][: len(columns)])
+                nodes = np.frombuffer(b"".join(set_ids), np.int64)[::2]
+                windows, spare = zip(*(common_windows(x, least) for x in found), strict=True) if found else ((), ())
+                columns += [pa.array(set_ids, pa.binary()), pa.array(nodes), pa.array(list(map(len, found)), pa.int64())]
+                columns += [pa.array([x.view(np.int64) for x in windows], pa.list_(pa.int64())), pa.array(spare, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "set_id", "node", "n", "windows", "spare"][: len(columns)])
 
     rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(make, "doc_id long, text_hash long, fp binary" + (", set_id binary, n long" if distinct else ""))
+    return rows.mapInArrow(make, "doc_id long, text_hash long, fp binary" + (", set_id binary, node long, n long, windows array<long>, spare long" if distinct else ""))
 
 
 def block_masks(bits: int, max_bits: int, blocks: int) -> list[list[int]]:
@@ -494,23 +521,160 @@ def set_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return out
 
 
+def _shared(windows: DataFrame) -> DataFrame:
+    """key, sets, node, windows: the nodes of every window that two or more (`sets`) have. Windows of the same nodes are one key, with
+    their number."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def found(last: bool) -> Iterator[pa.RecordBatch]:
+            window, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            new = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+            end = len(window) if last else int(new[-1])
+            held.append((window[end:], node[end:]))
+            window, node = window[:end], node[:end]
+            each = np.concatenate([[True], (window[1:] != window[:-1]) | (node[1:] != node[:-1])])[:end]
+            window, node = window[each], node[each]
+            starts = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])[: len(window)])
+            sizes = np.diff(np.append(starts, len(window)))
+            if not (sizes > 1).any():
+                return
+            keys = np.add.reduceat(_mixed(node.view(np.uint64), 3), starts)
+            _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            times = np.zeros(len(starts), np.int64)
+            times[first] = counts
+            rows = np.repeat((times > 0) & (sizes > 1), sizes)
+            columns = [np.repeat(x, sizes)[rows] for x in (keys.view(np.int64), sizes.astype(np.int64))] + [node[rows], np.repeat(times, sizes)[rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "sets", "node", "windows"])
+
+        rows = 0
+        for batch in batches:
+            held.append((batch.column("window").to_numpy(), batch.column("node").to_numpy()))
+            rows += batch.num_rows
+            if rows >= GATHERED:
+                yield from found(False)
+                rows = 0
+        if sum(len(w) for w, _ in held):
+            yield from found(True)
+
+    found = windows.repartition("window").sortWithinPartitions("window", "node").mapInArrow(runs, "key long, sets long, node long, windows long")
+    return found.groupBy("key", "sets", "node").agg(F.sum("windows").alias("windows"))
+
+
+def _met(shared: DataFrame, each: DataFrame, hot_sets: int) -> DataFrame:
+    """The rows of `shared` that are needed, with `spare` and `hot`, how many of a set's windows more than `hot_sets` have. Similar sets
+    share at least as many windows as one of them has to spare, so a set meets others at its hot ones only if these are as many."""
+    hot = shared.where(F.col("sets") > hot_sets).groupBy("node").agg(F.sum("windows").alias("hot"))
+    rows = shared.join(each.select("node", "spare"), "node").join(hot, "node", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    return rows.where((F.col("sets") <= hot_sets) | (F.col("hot") >= F.col("spare")))
+
+
+def _near_nodes(each: DataFrame, shared: DataFrame, max_bits: int, shard_rows: int) -> DataFrame:
+    """node, near: sets in the shards of their common windows, linked by fingerprints within `max_bits`, an eighth of the shards first:
+    the others then tell links between the groups that these have found."""
+    nodes = each.select("node", "fp", F.col("node").alias("near"))
+    for wave in (F.pmod("key", F.lit(8)) == 0, F.pmod("key", F.lit(8)) > 0):
+        keyed = shared.where(wave).join(nodes, "node").select(F.lit(0).alias("shard"), "key", F.col("near").alias("node"), "fp")
+        roots = components(_links(_dealt(_halved(keyed, max_bits, shard_rows), shard_rows), max_bits))
+        roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+        joined = nodes.join(roots, nodes["near"] == roots["u"], "left")
+        nodes = written(joined.select("node", "fp", F.coalesce("root", "near").alias("near")), "simhash-nodes")
+    return nodes.select("node", "near")
+
+
+def _far_pairs(shared: DataFrame, grouped: DataFrame, least: float, block_sets: int) -> DataFrame:
+    """u, v: pairs of sets with sizes and windows in common that allow a similarity of `least`, which no fingerprints brought into one
+    group. Windows of many sets are dealt as pairs of blocks."""
+    rows = shared.drop("sets").join(grouped.select("node", "near", "n"), "node")
+    apart = rows.groupBy("key").agg(F.min("near").alias("a"), F.max("near").alias("b"), F.count("*").alias("sets")).where("a < b")
+    rows = rows.join(apart.select("key", F.ceil(F.col("sets") / block_sets).cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    names = ["key", "low", "high"]
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "n", "node", "near", "windows", "spare", "hot")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(last: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([table.column(x).to_numpy() for x in names], axis=1).astype(np.int64)
+            n, node, near, windows, spare, hot = (table.column(x).to_numpy() for x in ("n", "node", "near", "windows", "spare", "hot"))
+            run = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
+            end = len(run) if last else int(np.searchsorted(run, run[-1]))
+            held[:] = [] if last else table.slice(end).to_batches()
+            # Within a run, rows ascend by size: each meets those after it, up to the size that the similarity allows.
+            for i in range(0, end, GATHERED):
+                at = np.arange(i, min(end, i + GATHERED))
+                step = 1
+                while len(at):
+                    at = at[at + step < end]
+                    at = at[(run[at] == run[at + step]) & (least * n[at + step] <= n[at] + 1e-9 * n[at])]
+                    a = at[near[at] != near[at + step]]
+                    b = a + step
+                    # Windows that both have are at least `spare` of one of them; those that are hot need not be among the rows.
+                    columns = [np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), np.minimum(spare[a], spare[b]) - np.minimum(hot[a], hot[b]), windows[a]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["u", "v", "needed", "windows"])
+                    step += 1
+
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= GATHERED:
+                yield from found(False)
+                count = 0
+        if held and sum(b.num_rows for b in held):
+            yield from found(True)
+
+    found = rows.repartition(*names).sortWithinPartitions(*names, "n").mapInArrow(pairs, "u long, v long, needed long, windows long")
+    return found.groupBy("u", "v", "needed").agg(F.sum("windows").alias("windows")).where("windows >= needed").select("u", "v")
+
+
+def _blocked(members: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
+    """What `_set_links` wants of the groups (`near`) of two sets or more, dealt to blocks of a task's measure."""
+    measures = members.groupBy("near").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    blocks = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("shingles") / block_shingles)).cast("int")
+    wanted = members.join(measures.select("near", blocks.alias("blocks")), "near")
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("set_id"), F.col("blocks"))).otherwise(0).cast("int")
+    wanted = wanted.select("set_id", F.col("of.doc_id").alias("__id"), F.col("of.text_hash").alias("__hash"), "near", "blocks", block.alias("block"))
+    return written(wanted, "simhash-near")
+
+
 def set_groups(
     docs: DataFrame, *, least: float, id_col: str = "doc_id", text_col: str = "text", shingle: int, bits: int, max_bits: int,
     masks: list[list[int]] | None = None, shard_rows: int = 200_000, first_masks: int | None = 16, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES,
+    hot_sets: int = HOT,
 ) -> DataFrame:
-    """doc_id, text_hash, root of every row: texts linked by a Jaccard similarity of shingle sets of `least` or more,
-    where links of fingerprints within `max_bits` connect them."""
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits, distinct=True), "simhash-prints")
-    each = prints.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    """doc_id, text_hash, root of every row: texts linked by a Jaccard similarity of shingle sets of `least` or more.
+
+    Every pair that similar has a window in common (`common_windows`). Sets that share one are a shard; with `masks` shards are those of
+    sampled bits. What fingerprints within `max_bits` connect in these is compared as groups, and all other pairs with a window in
+    common one by one, so neither bound loses a link."""
+    made = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits, distinct=True, least=least)
+    prints = written(made, "simhash-prints")
+    each = prints.groupBy("set_id").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("node").alias("node"),
+        F.first("spare").alias("spare"),
+    )
     each = written(each, "simhash-sets")
-    near = _print_roots(each.select("fp").distinct(), bits, max_bits, masks, shard_rows, first_masks).withColumnRenamed("root", "near")
-    rooted = each.join(near, "fp").drop("fp")
-    measures = rooted.groupBy("near").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
-    blocks = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("shingles") / block_shingles)).cast("int")
-    wanted = rooted.join(measures.select("near", blocks.alias("blocks")), "near")
-    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("set_id"), F.col("blocks"))).otherwise(0).cast("int")
-    wanted = written(wanted.select("set_id", F.col("of.doc_id").alias("__id"), F.col("of.text_hash").alias("__hash"), "near", "blocks", block.alias("block")), "simhash-near")
-    roots = components(_set_links(docs, wanted, least, id_col, text_col, shingle)).withColumnRenamed("u", "set_id")
+    shared = written(_shared(prints.select("node", F.explode("windows").alias("window"))), "simhash-shared")
+    shared = written(_met(shared, each, hot_sets), "simhash-met")
+    if masks:
+        near = _print_roots(each.select("fp").distinct(), bits, max_bits, masks, shard_rows, first_masks).withColumnRenamed("root", "near")
+        rooted = each.join(near, "fp").drop("fp")
+    else:
+        rooted = each.drop("fp").join(_near_nodes(each, shared, max_bits, shard_rows), "node")
+    rooted = written(rooted, "simhash-rooted")
+    links = _set_links(docs, _blocked(rooted, block_sets, block_shingles), least, id_col, text_col, shingle)
+    far = written(_far_pairs(shared, rooted, least, block_sets), "simhash-far-pairs")
+    stars = far.select(F.col("u").alias("near"), F.col("v").alias("node")).union(far.select("u", "u").distinct())
+    rest = _blocked(stars.join(rooted.drop("near"), "node"), block_sets, block_shingles)
+    links = links.union(_set_links(docs, rest, least, id_col, text_col, shingle))
+    roots = components(links).withColumnRenamed("u", "set_id")
     return prints.join(roots, "set_id", "left").select("doc_id", "text_hash", F.coalesce("root", "set_id").alias("root"))
 
 
